@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 from .byte_bpe import op4_byte_bpe
+from .language_id import op7_language_id
+from .media_jpeg import op8_media_jpeg
+from .substring_dedup import op1_substring_dedup
+from .suffix_array_dedup import op6_suffix_array_dedup
 from .token_counts import op9_token_counts
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
+    "op7_language_id": op7_language_id,
+    "op8_media_jpeg": op8_media_jpeg,
     "op9_token_counts": op9_token_counts,
 }
 
