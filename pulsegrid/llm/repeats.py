@@ -69,7 +69,7 @@ def span_hash(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 def all_hashes(s: np.ndarray, length: int) -> np.ndarray:
     """Hash of units[i:i + length] for every i."""
     n = len(s) - length
-    return mix((s[length:] - s[:n]) * powers(len(s))[1][:n] + U(length) * U(0xD6E8FEB86659FD93)) if n > 0 else np.zeros(0, U)
+    return mix((s[length:] - s[:n]) * powers(len(s))[1][:n] + U(length * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)) if n > 0 else np.zeros(0, U)
 
 
 @dataclass
