@@ -35,7 +35,7 @@ U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 CHUNK = 1 << 19
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 5 << 20
 _POWERS: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 
@@ -132,7 +132,7 @@ class Piece:
         a = anchor[at]
         new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (at[1:] != at[:-1] + 1)]))
         self.first, self.last = at[new], at[np.concatenate([new[1:], [len(at)]]) - 1]
-        self.hash = g[a[new]]
+        self.hash = mix(g[a[new]] + U(0xA0761D6478BD642F))  # least hashes are small; buckets need even ones
         self.doc = np.searchsorted(self.start, self.first, "right") - 1
         while (bad := self.end[self.doc] < self.first + length).any():  # empty documents may share a start
             self.doc[bad] -= 1
@@ -360,10 +360,10 @@ def resolve(kind: Kind, resolver: Resolver) -> Callable:
             start = np.searchsorted(w_start, start)
         else:
             units = data
-        owner = np.repeat(np.arange(len(h)), owned)
+        owner = np.repeat(np.arange(len(h), dtype=np.int32), owned)
         ends = np.cumsum(owned)
-        inner = np.arange(ends[-1]) - np.repeat(ends - owned, owned)
-        least, count = resolver(units, start[owner] + inner, lo[owner], size[owner].astype(np.int64), kind.length)
+        inner = (np.arange(ends[-1]) - np.repeat(ends - owned, owned)).astype(np.int32)
+        least, count = resolver(units, start[owner] + inner, lo[owner], size[owner].astype(np.int32), kind.length)
         said = least < hi[owner] if kind.smaller_doc else count > 1
         at = np.flatnonzero(said)
         if not kind.smaller_doc:
