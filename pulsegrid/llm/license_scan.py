@@ -16,7 +16,6 @@ from .shared import documents
 
 #: Runs of what is not a letter, digit or non-ASCII character separate words.
 APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Phrases that are always looked for, with their labels.
@@ -180,7 +179,7 @@ def scan(docs: DataFrame) -> DataFrame:
     for word in ("licen", "copyright", "gpl", "spdx", "permission", "redistribut", "public domain", "reserved", "confidential", "warrant", "creativecommons", "free software", "without"):
         gate = gate | low.contains(word)
     gate = gate | low.contains("mit") & low.contains("license") | low.contains("apache") | low.contains("mozilla") | low.contains("boost") | low.contains("source code form") | low.contains("beer") | low.contains("what the fuck") | low.contains("either version") | low.contains("gnu") | low.contains("advertising")
-    rows = rows.withColumn("n_words", F.regexp_count("text", F.lit(WORD)).cast("long"))
+    rows = rows.withColumn("n_words", F.size(F.array_remove(F.split("text", APART), "")).cast("long"))
     spaced = F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.translate("text", UPPER, LOWER), APART, " ")), F.lit(" "))
     rows = rows.withColumn("norm", F.when(gate, spaced)).drop("text")
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, cut, documents
+from .shared import SPACE, cut, documents
 
 LEVELS = ["domain", "lang", "source"]
 KEYS = ["_pg_domain", "_pg_lang", "_pg_source"]
@@ -32,7 +32,7 @@ def _keyed(docs: DataFrame, domain: Column | None, seed: int) -> DataFrame:
             "_pg_domain": F.coalesce(domain if domain is not None else default_domain(), F.lit("")),
             "_pg_lang": name("lang"),
             "_pg_source": name("source"),
-            "_pg_tokens": F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long"),
+            "_pg_tokens": F.size(F.array_remove(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), SPACE + "+"), "")).cast("long"),
             "_pg_base": F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")),
         }
     )

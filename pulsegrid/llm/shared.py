@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 #: Whitespace that separates words: space and U+0009..U+000D.
 SPACE = r"[\x20\x09-\x0D]"
-WORD = r"[^\x20\x09-\x0D]+"
 NULL_ID = 2**63 - 1
 
 
