@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import rhythm, scores
+
+QUERIES: dict = rhythm.QUERIES | scores.QUERIES
+SQL: dict[str, str] = rhythm.SQL | scores.SQL
