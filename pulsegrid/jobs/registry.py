@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import rhythm, scores
+from . import rhythm, scores, signals
 
-QUERIES: dict = rhythm.QUERIES | scores.QUERIES
-SQL: dict[str, str] = rhythm.SQL | scores.SQL
+QUERIES: dict = rhythm.QUERIES | scores.QUERIES | signals.QUERIES
+SQL: dict[str, str] = rhythm.SQL | scores.SQL | signals.SQL

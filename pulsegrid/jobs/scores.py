@@ -81,9 +81,9 @@ def metrics(s, d) -> DataFrame:
     return values_of(s, d).select("event_id", k(7).alias("a"), k(11).alias("b"), k(13).alias("c"), k(5).alias("e"), (F.col("v") / 2).alias("v"), (F.col("event_id") % 40).alias("n"))
 
 
-@query("m9_usability", f"select event_id, round(0.30::double * a + 0.40::double * b + 0.30::double * c - (0.20::double * e + 0.35::double * greatest(0, least(1, v / 100))), 6) score, not (e >= 0.98 and b < 0.5) and b >= 0.35 and c >= 0.25 and v / 100 <= 0.7 usable from {MET}")
+@query("m9_usability", f"select event_id, round(0.30::double * a + 0.40::double * b + 0.30::double * c - (0.20::double * e + 0.35::double * greatest(0, least(1, v / 97))), 6) score, not (e >= 0.98 and b < 0.5) and b >= 0.35 and c >= 0.25 and v / 97 <= 0.7 usable from {MET}")
 def m9(s, d):
-    i = F.col("v") / 100
+    i = F.col("v") / 97
     return metrics(s, d).select("event_id", r6(S.usability_score("a", "b", "c", "e", i)).alias("score"), S.is_usable("b", "c", "e", i).alias("usable"))
 
 
