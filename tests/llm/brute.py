@@ -38,3 +38,53 @@ def suffix(rows, length=50):
         spans = len(re.findall(b"\1+", bytes(gone)))
         out.append((doc, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def simhash(text, shingle=3):
+    import xxhash
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return 0
+    parts = [" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
+    h = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def classes(rows, radius=2):
+    """{row number: (fingerprint, least id reachable)}"""
+    fps = [simhash(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= radius and label[i] != label[j]:
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    least = {}
+    for (doc, _), x in zip(rows, label, strict=True):
+        if doc is not None:
+            least[x] = min(least.get(x, doc), doc)
+    return [(doc, f"{fp:016x}", least.get(x)) for (doc, _), fp, x in zip(rows, fps, label, strict=True)]
+
+
+def licenses(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    hits = []
+    for phrase, label in (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")):
+        p = phrase.split()
+        hits += [(i, label) for i in range(len(words)) if words[i : i + len(p)] == p]
+    at = [i for i, _ in hits]
+    return len(words), len(hits), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in hits}))
+
+
+def quality(text, window=8):
+    text = text or ""
+    words = WORD.findall(text)
+    seen = Counter(tuple(words[i : i + window]) for i in range(len(words) - window + 1))
+    covered = set()
+    for i in range(len(words) - window + 1):
+        if seen[tuple(words[i : i + window])] > 1:
+            covered.update(range(i, i + window))
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    n = len(words)
+    return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), n < 20 or 100 * len(covered) > 30 * n
