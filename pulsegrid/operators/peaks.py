@@ -6,34 +6,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-TRACK = W.partitionBy("track_id").orderBy("frame")
+
+def track():
+    return W.partitionBy("track_id").orderBy("frame")
 
 
 def local_peaks(frames: DataFrame, value: str = "beat", floor: float | Column = 0.0) -> DataFrame:
     """Frames not below the floor nor below either neighbour; the first and last frame never count."""
-    prev, nxt, v = F.lag(value).over(TRACK), F.lead(value).over(TRACK), F.col(value)
+    prev, nxt, v = F.lag(value).over(track()), F.lead(value).over(track()), F.col(value)
     return frames.withColumns({"_prev": prev, "_next": nxt}).where((v >= floor) & (v >= F.col("_prev")) & (v >= F.col("_next"))).drop("_prev", "_next")
 
 
 def onset_curve(frames: DataFrame, value: str = "beat") -> DataFrame:
     """Rise since the frame before, never negative; 0 at the first frame."""
-    return frames.withColumn("onset", F.greatest(F.coalesce(F.col(value) - F.lag(value).over(TRACK), F.lit(0.0)), F.lit(0.0)))
+    return frames.withColumn("onset", F.greatest(F.coalesce(F.col(value) - F.lag(value).over(track()), F.lit(0.0)), F.lit(0.0)))
 
 
 def local_peak_value(frames: DataFrame, value: str = "beat", radius: int = 2) -> DataFrame:
     """Greatest value within the radius."""
-    return frames.withColumn("peak", F.max(value).over(TRACK.rowsBetween(-radius, radius)))
+    return frames.withColumn("peak", F.max(value).over(track().rowsBetween(-radius, radius)))
 
 
 def minimal_peaks(frames: DataFrame, value: str = "beat", floor: float = 0.5, radius: int = 3, width: float = 1.0) -> DataFrame:
     """Frames above the floor that no frame within the radius exceeds, in clusters by their running mean."""
-    top = frames.withColumn("_top", F.max(value).over(TRACK.rowsBetween(-radius, radius))).where((F.col(value) > floor) & (F.col(value) >= F.col("_top")))
+    top = frames.withColumn("_top", F.max(value).over(track().rowsBetween(-radius, radius))).where((F.col(value) > floor) & (F.col(value) >= F.col("_top")))
     return cluster_dedupe(top.select("track_id", "frame"), width)
 
 
 def parabolic_position(frames: DataFrame, value: str = "beat") -> DataFrame:
     """Frame plus the offset of the parabola through it and its neighbours, at most half a frame."""
-    prev, nxt, v = F.lag(value).over(TRACK), F.lead(value).over(TRACK), F.col(value)
+    prev, nxt, v = F.lag(value).over(track()), F.lead(value).over(track()), F.col(value)
     bend = prev - 2 * v + nxt
     shift = F.greatest(F.lit(-0.5), F.least(F.lit(0.5), 0.5 * (prev - nxt) / bend))
     return frames.withColumn("position", F.col("frame") + F.coalesce(F.when(F.abs(bend) > 1e-9, shift), F.lit(0.0)))
@@ -41,7 +43,7 @@ def parabolic_position(frames: DataFrame, value: str = "beat") -> DataFrame:
 
 def refine_to_peak(beats: DataFrame, frames: DataFrame, value: str = "beat", radius: int = 2) -> DataFrame:
     """Move each beat to the strongest frame within the radius; a tie keeps the centre, else the earliest."""
-    around = TRACK.rowsBetween(-radius, radius)
+    around = track().rowsBetween(-radius, radius)
     best = F.max(F.struct(F.col(value).alias("v"), (-F.col("frame")).alias("f"))).over(around)
     at = frames.withColumns({"_best": best}).select("track_id", "frame", F.when(F.col(value) >= F.col("_best.v"), F.col("frame")).otherwise(-F.col("_best.f")).alias("refined"))
     return beats.join(at, ["track_id", "frame"])

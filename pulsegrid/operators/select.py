@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import llround, upper_median
 
-TRACK = W.partitionBy("track_id")
+
+def track():
+    return W.partitionBy("track_id")
 
 
 def argbest(rows: DataFrame, score: str, index: str, by: list[str] | None = None, lowest: bool = False) -> DataFrame:
@@ -21,7 +23,7 @@ def argbest(rows: DataFrame, score: str, index: str, by: list[str] | None = None
 
 def top_candidates(frames: DataFrame, most: int, floor: float, value: str = "beat") -> DataFrame:
     """K3: frames at or above the floor, the strongest ``most`` of a track, earlier ones first among equals."""
-    rank = F.row_number().over(TRACK.orderBy(F.desc(value), "frame"))
+    rank = F.row_number().over(track().orderBy(F.desc(value), "frame"))
     return frames.where(F.col(value) >= floor).withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
 
 
@@ -34,7 +36,7 @@ def pick_window(windows: DataFrame, target: Column, least_score: float, snap: fl
 
 def pick_targets(windows: DataFrame, least_score: float, snap: float) -> DataFrame:
     """K5: windows near the start, end, middle and a quarter of each track; later ones avoid those taken."""
-    span = TRACK
+    span = track()
     w = windows.withColumns({"_lo": F.min("start").over(span), "_hi": F.max("start").over(span)})
     out = windows.select("track_id").distinct()
     taken: dict[str, list[str]] = {"left": [], "right": [], "middle": ["left", "right"], "between": ["middle", "right"]}
@@ -50,16 +52,16 @@ def pick_targets(windows: DataFrame, least_score: float, snap: float) -> DataFra
 def usability_spans(windows: DataFrame, least_score: float) -> DataFrame:
     """Runs of consecutive usable windows with their first and last window and mean score."""
     ok = windows.where(F.col("usable") & (F.col("score") >= least_score))
-    run = F.col("win") - F.row_number().over(TRACK.orderBy("win"))
+    run = F.col("win") - F.row_number().over(track().orderBy("win"))
     return ok.withColumn("_run", run).groupBy("track_id", "_run").agg(F.min("win").alias("first_win"), F.max("win").alias("last_win"), F.avg("score").alias("score"), F.count("*").alias("n")).drop("_run")
 
 
 def bar_bpm(beats: DataFrame, fps: float) -> DataFrame:
     """Tempo of the median gap to the fourth beat before, from three such gaps on; else of the trimmed mean gap."""
-    o = TRACK.orderBy("frame")
+    o = track().orderBy("frame")
     rows = beats.select("track_id", "frame", (F.col("frame") - F.lag("frame", 4).over(o)).alias("bar"), (F.col("frame") - F.lag("frame", 1).over(o)).alias("gap"))
     ranked = rows.withColumns({"gap": F.when(F.col("gap") > 0, F.col("gap")), "bar": F.when(F.col("bar") > 0, F.col("bar"))})
-    ranked = ranked.withColumns({"_r": F.row_number().over(TRACK.orderBy(F.col("gap").asc_nulls_last())), "_n": F.count("gap").over(TRACK)})
+    ranked = ranked.withColumns({"_r": F.row_number().over(track().orderBy(F.col("gap").asc_nulls_last())), "_n": F.count("gap").over(track())})
     trim = F.when(F.col("_n") > 20, F.floor(F.col("_n") / 10)).otherwise(0)
     kept = F.when(F.col("gap").isNotNull() & (F.col("_r") > trim) & (F.col("_r") <= F.col("_n") - trim), F.col("gap"))
     by = ranked.withColumn("_k", kept).groupBy("track_id").agg(F.count("bar").alias("bars"), upper_median("bar").alias("m"), F.avg("_k").alias("mean"))
@@ -68,15 +70,15 @@ def bar_bpm(beats: DataFrame, fps: float) -> DataFrame:
 
 def project_downbeats(beats: DataFrame, bpb: int, phase: int) -> DataFrame:
     """Every beat whose place in its bar is the phase."""
-    i = F.row_number().over(TRACK.orderBy("frame")) - 1
+    i = F.row_number().over(track().orderBy("frame")) - 1
     return beats.withColumn("_i", i).where(F.pmod("_i", F.lit(bpb)) == phase).drop("_i")
 
 
 def edge_tempo(beats: DataFrame, fps: float, n: int = 64) -> DataFrame:
     """Tempo of the upper median gap of the first and the last gaps, and their difference."""
-    o = TRACK.orderBy("frame")
+    o = track().orderBy("frame")
     g = beats.withColumn("gap", F.col("frame") - F.lag("frame").over(o)).where("gap > 0")
-    r = g.withColumns({"_a": F.row_number().over(o), "_z": F.row_number().over(TRACK.orderBy(F.desc("frame")))})
+    r = g.withColumns({"_a": F.row_number().over(o), "_z": F.row_number().over(track().orderBy(F.desc("frame")))})
     by = r.groupBy("track_id").agg(upper_median(F.when(F.col("_a") <= n, F.col("gap"))).alias("a"), upper_median(F.when(F.col("_z") <= n, F.col("gap"))).alias("z"))
     early, late = 60.0 * fps / F.col("a"), 60.0 * fps / F.col("z")
     return by.select("track_id", early.alias("early_bpm"), late.alias("late_bpm"), (late - early).alias("delta_bpm"))
@@ -84,7 +86,7 @@ def edge_tempo(beats: DataFrame, fps: float, n: int = 64) -> DataFrame:
 
 def bar_regularity(bars: DataFrame) -> DataFrame:
     """Whether bar beats (beat_index) come every fourth beat and the first bar is whole."""
-    o = TRACK.orderBy("beat_index")
+    o = track().orderBy("beat_index")
     g = bars.withColumns({"gap": F.col("beat_index") - F.lag("beat_index").over(o), "_r": F.row_number().over(o)})
     by = g.groupBy("track_id").agg(F.min("beat_index").alias("first"), F.coalesce(F.bool_and(F.col("gap") == 4), F.lit(True)).alias("regular"), F.max(F.when(F.col("_r") == 2, F.col("gap"))).alias("first_gap"))
     return by.select("track_id", "regular", ((F.col("first") <= 1) & F.coalesce(F.col("first_gap") == 4, F.lit(False))).alias("whole_first"))
@@ -93,7 +95,7 @@ def bar_regularity(bars: DataFrame) -> DataFrame:
 def drift(nearest: DataFrame, k: int = 32) -> DataFrame:
     """Upper medians of the offsets of the first and last matched frames, and the step correction per frame."""
     m = nearest.where("nearest is not null").withColumn("o", F.col("nearest") - F.col("frame"))
-    r = m.withColumns({"_a": F.row_number().over(TRACK.orderBy("frame")), "_n": F.count("*").over(TRACK)}).where("_n >= 16")
+    r = m.withColumns({"_a": F.row_number().over(track().orderBy("frame")), "_n": F.count("*").over(track())}).where("_n >= 16")
     half = F.least(F.lit(k), F.floor(F.col("_n") / 2))
     by = r.groupBy("track_id").agg(F.max("_n").alias("n"), upper_median(F.when(F.col("_a") <= half, F.col("o"))).alias("head"), upper_median(F.when(F.col("_a") > F.col("_n") - half, F.col("o"))).alias("tail"))
     return by.select("track_id", "n", "head", "tail", ((F.col("tail") - F.col("head")) / (F.col("n") - 1)).alias("step_change"))
@@ -101,7 +103,7 @@ def drift(nearest: DataFrame, k: int = 32) -> DataFrame:
 
 def scale_grid(beats: DataFrame, ratio: float, least_change: float = 1e-9, from_back: bool = False) -> DataFrame:
     """Frames stretched around the first (or last) beat, never below 0."""
-    anchor = (F.max if from_back else F.min)("sample_frame").over(TRACK)
+    anchor = (F.max if from_back else F.min)("sample_frame").over(track())
     if abs(ratio - 1) < least_change:
         return beats
     moved = F.greatest(F.col("_a") + llround((F.col("sample_frame") - F.col("_a")) * ratio), F.lit(0))
@@ -116,7 +118,7 @@ def shift_grid(beats: DataFrame, by: int) -> DataFrame:
 def preferred_beats(decoded: DataFrame, projected: DataFrame) -> DataFrame:
     """The projected beats of tracks that have any, else the decoded ones; one union, no join."""
     both = decoded.withColumn("_p", F.lit(0)).unionByName(projected.withColumn("_p", F.lit(1)))
-    return both.withColumn("_best", F.max("_p").over(TRACK)).where("_p = _best").withColumn("source", F.when(F.col("_p") == 1, "projected").otherwise("decoded")).drop("_p", "_best")
+    return both.withColumn("_best", F.max("_p").over(track())).where("_p = _best").withColumn("source", F.when(F.col("_p") == 1, "projected").otherwise("decoded")).drop("_p", "_best")
 
 
 def union_grids(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -153,7 +155,7 @@ def probe_decision(probes: DataFrame) -> DataFrame:
     """K8: least weighted score of tempo, phase, odd-even and confidence terms; margin to the next; low confidence."""
     phase, odd = F.coalesce(F.col("phase_ms") / 120, F.lit(2.0)), F.coalesce(F.col("odd_even_ms") / 220, F.lit(1.0))
     s = probes.withColumn("score", F.round(2.4 * F.col("mode_error") + 1.2 * phase + 0.9 * odd + 0.5 * (1 - F.col("confidence")), 9))
-    o = TRACK.orderBy("score", "probe")
+    o = track().orderBy("score", "probe")
     s = s.withColumns({"_r": F.row_number().over(o), "margin": F.lead("score").over(o) - F.col("score")})
     c, e, i, g = (F.col(x) for x in ("confidence", "mode_error", "phase_ms", "odd_even_ms"))
     low = (c < 0.55) | (e > 0.03) | F.coalesce(i > 220, F.lit(False)) | (F.coalesce(i > 170, F.lit(False)) & (c < 0.8)) | F.coalesce(g > 220, F.lit(False))
@@ -194,7 +196,7 @@ def project_grid(anchors: DataFrame, sample_rate: float) -> DataFrame:
 
 def resample_linear(samples: DataFrame, ratio: float) -> DataFrame:
     """Output i is the blend at i / ratio; the last sample repeats."""
-    o = TRACK.orderBy("sample")
+    o = track().orderBy("sample")
     x = samples.select("track_id", "sample", "x", F.coalesce(F.lead("x").over(o), F.col("x")).alias("nx"))
     n = samples.groupBy("track_id").agg((F.max("sample") + 1).alias("n"))
     outs = n.select("track_id", F.col("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.round(F.col("n") * ratio).cast("long") - 1)).alias("i"))
@@ -228,8 +230,8 @@ def robust_slope(offsets: DataFrame) -> DataFrame:
 
 def local_windows(offsets: DataFrame, fractions: list[float], beats_each: int) -> DataFrame:
     """Q2: medians of the offsets of the beats around given shares of a track."""
-    n = F.count("*").over(TRACK)
-    i = F.row_number().over(TRACK.orderBy("beat_index")) - 1
+    n = F.count("*").over(track())
+    i = F.row_number().over(track().orderBy("beat_index")) - 1
     at = F.explode(F.array(*map(F.lit, fractions))).alias("fraction")
     rows = offsets.withColumns({"_n": n, "_i": i}).select("*", at)
     half = beats_each // 2

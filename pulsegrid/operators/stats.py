@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp01, upper_median
 
-TRACK = W.partitionBy("track_id").orderBy("frame")
+
+def track():
+    return W.partitionBy("track_id").orderBy("frame")
 
 
 def block_rms(samples: DataFrame, block: int = 1024) -> DataFrame:
@@ -43,7 +45,7 @@ def merge_windows(windows: DataFrame, border: int = 0, first_wins: bool = False)
 def activation_stats(frames: DataFrame, floor: float = 0.1, fps: float = 1.0) -> DataFrame:
     """A5: count, extremes and mean of the curve, frames at or above the floor, first peak, greatest of the first two seconds."""
     v = F.col("beat")
-    rows = frames.withColumns({"_p": F.lag("beat").over(TRACK), "_n": F.lead("beat").over(TRACK)})
+    rows = frames.withColumns({"_p": F.lag("beat").over(track()), "_n": F.lead("beat").over(track())})
     top = (v >= floor) & (v >= F.col("_p")) & (v >= F.col("_n"))
     return rows.groupBy("track_id").agg(
         F.count("*").alias("n"),
@@ -58,7 +60,7 @@ def activation_stats(frames: DataFrame, floor: float = 0.1, fps: float = 1.0) ->
 
 def gaps(beats: DataFrame, k: int = 1) -> DataFrame:
     """Positive gaps to the k-th beat before."""
-    return beats.withColumn("gap", F.col("frame") - F.lag("frame", k).over(TRACK)).where("gap > 0")
+    return beats.withColumn("gap", F.col("frame") - F.lag("frame", k).over(track())).where("gap > 0")
 
 
 def interval_stats(beats: DataFrame, fps: float) -> DataFrame:
@@ -93,7 +95,7 @@ def median_interval_bpm(beats: DataFrame, fps: float) -> DataFrame:
 
 def linear_fit_bpm(beats: DataFrame, fps: float, least: int = 4) -> DataFrame:
     """Tempo of the least-squares slope of frame on beat index; 0 with few beats or no rise."""
-    i = F.row_number().over(TRACK) - 1
+    i = F.row_number().over(track()) - 1
     fit = beats.withColumn("i", i).groupBy("track_id").agg(F.count("*").alias("n"), F.regr_slope("frame", "i").alias("slope"))
     return fit.select("track_id", F.when((F.col("n") >= least) & (F.col("slope") > 0), 60.0 * fps / F.col("slope")).otherwise(0.0).alias("bpm"))
 
@@ -112,7 +114,7 @@ def bpm_histogram(peaks: DataFrame, fps: float, low: float, high: float, width:
 
     The first best bin, refined by the weighted mean of two bins either way; 0 with fewer than four peaks.
     """
-    ahead = {f"_{c}{k}": F.lead(c, k).over(TRACK) for k in range(1, 5) for c in ("frame", value)}
+    ahead = {f"_{c}{k}": F.lead(c, k).over(track()) for k in range(1, 5) for c in ("frame", value)}
     wide = peaks.withColumns(ahead | {"n": F.count("*").over(W.partitionBy("track_id"))})
     each = [F.struct(((F.col(f"_frame{k}") - F.col("frame")) / k).alias("gap"), (0.5 * (F.col(value) + F.col(f"_{value}{k}"))).alias("w")) for k in range(1, 5)]
     pairs = wide.select("track_id", "n", F.array(*each).alias("ps")).select("track_id", "n", F.explode("ps").alias("p"))
@@ -138,7 +140,7 @@ def bpm_histogram(peaks: DataFrame, fps: float, low: float, high: float, width:
 
 def lag_products(frames: DataFrame, low: int, high: int) -> DataFrame:
     """n and ac, the array of sum of beat[t] * beat[t + lag] for lag low..high: leads over one sort, summed at once."""
-    ahead = frames.select("track_id", "beat", F.array(*[F.lead("beat", k).over(TRACK) for k in range(low, high + 1)]).alias("_a"))
+    ahead = frames.select("track_id", "beat", F.array(*[F.lead("beat", k).over(track()) for k in range(low, high + 1)]).alias("_a"))
     sums = [F.coalesce(F.sum(F.col("beat") * F.get("_a", F.lit(i))), F.lit(0.0)) for i in range(high - low + 1)]
     return ahead.groupBy("track_id").agg(F.count("*").alias("n"), F.array(*sums).alias("ac"))
 
@@ -259,7 +261,7 @@ def found_stats(found: DataFrame) -> DataFrame:
 def downbeat_phase_scores(beats: DataFrame, frames: DataFrame, weight: float = 0.25) -> DataFrame:
     """Sum of downbeat and local energy of each of four phases, each by its greatest; the first best phase."""
     top = W.partitionBy("track_id")
-    f = frames.select("track_id", "frame", (F.col("downbeat") / F.max("downbeat").over(top)).alias("d"), (F.max("energy").over(TRACK.rowsBetween(-2, 2)) / F.max("energy").over(top)).alias("e"))
+    f = frames.select("track_id", "frame", (F.col("downbeat") / F.max("downbeat").over(top)).alias("d"), (F.max("energy").over(track().rowsBetween(-2, 2)) / F.max("energy").over(top)).alias("e"))
     hit = beats.join(f, ["track_id", "frame"]).withColumn("s", F.coalesce("d", F.lit(0.0)) + weight * F.coalesce("e", F.lit(0.0)))
     phases = [F.sum(F.when(F.pmod("beat_index", F.lit(4)) == i, F.col("s")).otherwise(0.0)).alias(f"s{i}") for i in range(4)]
     sums = hit.groupBy("track_id").agg(*phases)
@@ -295,7 +297,7 @@ def adjust_phase(beats: DataFrame, interval: float, tolerance: float) -> DataFra
 
 def alignment_trace(nearest: DataFrame, fps: float, most: int = 64) -> DataFrame:
     """Mean and population deviation in seconds of the offsets of the first matched grid frames."""
-    rank = F.row_number().over(TRACK)
+    rank = F.row_number().over(track())
     o = (F.col("nearest") - F.col("frame")) / fps
     return nearest.where("nearest is not null").withColumn("_r", rank).where(F.col("_r") <= most).groupBy("track_id").agg(F.count("*").alias("n"), F.avg(o).alias("mean_s"), F.stddev_pop(o).alias("deviation_s"))
 
