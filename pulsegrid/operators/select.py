@@ -260,3 +260,40 @@ def tempo_without_grid(tempi: DataFrame, grids: DataFrame) -> DataFrame:
     n = grids.groupBy("track_id").agg(F.count("*").alias("n_grid"))
     r = tempi.join(n, "track_id", "left").fillna(0, ["n_grid"])
     return r.select("track_id", "bpm", "n_grid", ((F.col("bpm") > 0) & (F.col("n_grid") == 0)).alias("violation"))
+
+
+def corpus_benchmark(runs: DataFrame, truth: DataFrame) -> DataFrame:
+    """Q6: tempo error, distance of the first downbeat from its true span, and both in one score."""
+    r = runs.join(truth, "stem")
+    t = F.col("first_downbeat_s")
+    out = F.when(t < F.col("onset"), F.col("onset") - t).when(t > F.col("peak"), t - F.col("peak")).when(t.isNotNull(), 0.0)
+    bpm = F.abs(F.col("bpm") - F.col("truth"))
+    return r.select("stem", bpm.alias("bpm_error"), out.alias("downbeat_error"), (bpm + 10 * F.coalesce(out, F.lit(0.0))).alias("score"))
+
+
+def alignment_report(offsets: DataFrame, beat_ms: float, n_edge: int) -> DataFrame:
+    """Q1: medians at the edges and between, their difference in ms and beats, and the odd-even gap of the first 24."""
+    i = F.col("beat_index")
+    r = offsets.withColumns({"_a": F.row_number().over(track().orderBy("beat_index")), "_z": F.row_number().over(track().orderBy(F.desc("beat_index")))})
+    when = lambda c: upper_median(F.when(c, F.col("offset_ms")))
+    by = r.groupBy("track_id").agg(
+        when(F.col("_a") <= n_edge).alias("start_ms"),
+        when(F.col("_z") <= n_edge).alias("end_ms"),
+        when((F.col("_a") > n_edge) & (F.col("_z") > n_edge)).alias("middle_ms"),
+        when((F.col("_a") <= 24) & (i % 2 == 1)).alias("_odd"),
+        when((F.col("_a") <= 24) & (i % 2 == 0)).alias("_even"),
+    )
+    delta = F.col("end_ms") - F.col("start_ms")
+    return by.select("track_id", "start_ms", "end_ms", "middle_ms", delta.alias("delta_ms"), (delta / beat_ms).alias("delta_beats"), F.abs(F.col("_odd") - F.col("_even")).alias("odd_even_ms"))
+
+
+def best_window(frames: DataFrame, length: int, hop: int, total: int, value: str = "energy") -> DataFrame:
+    """K6: the sliding window of greatest mean energy (the first of equals); the whole track where it is silent."""
+    last = (total - length) // hop
+    k = F.floor(F.col("frame") / hop)
+    each = F.explode(F.sequence(F.greatest(F.floor((F.col("frame") - length) / hop) + 1, F.lit(0)), F.least(k, F.lit(last)))).alias("win")
+    inside = frames.where(F.col("frame") < last * hop + length).select("track_id", value, each)
+    means = inside.groupBy("track_id", "win").agg(F.round(F.avg(value), 9).alias("score"))
+    best = argbest(means, "score", "win")
+    silent = F.col("score") <= 1e-9
+    return best.select("track_id", F.when(silent, 0).otherwise(F.col("win") * hop).alias("start"), F.when(silent, total).otherwise(F.col("win") * hop + length).alias("end"), "score")

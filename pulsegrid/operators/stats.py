@@ -333,3 +333,21 @@ def choose_bpm(estimates: DataFrame, tolerance: float = 0.02) -> DataFrame:
     single = reduce(lambda c, name: c.when(F.col(name) > 0, F.col(name)), ["comb", "autocorr", "beats"], F.when(F.col("peaks") > 0, F.col("peaks")))
     chain = reduce(lambda c, p: c.when(agree(*p), mean(*p)), pairs[1:], F.when(agree(*pairs[0]), mean(*pairs[0])))
     return estimates.select("track_id", "peaks", "comb", "autocorr", "beats", chain.otherwise(single.otherwise(0.0)).alias("bpm"))
+
+
+def downmix(pcm: DataFrame, channels: int) -> DataFrame:
+    """M1: interleaved 16-bit values (track_id, sample, v) to the mean over channels of v / 32768."""
+    return pcm.groupBy("track_id", F.floor(F.col("sample") / channels).alias("sample")).agg(F.avg(F.col("v") / 32768.0).alias("x"))
+
+
+def downbeat_phase_guard(beats: DataFrame, frames: DataFrame, inferred: int, most: int = 24) -> DataFrame:
+    """Decayed downbeat strength of each phase; phase 0 where it is best, has evidence and the inferred is not strong."""
+    near = frames.select("track_id", "frame", F.max("downbeat").over(track().rowsBetween(-1, 1)).alias("v"))
+    bar = F.floor(F.col("beat_index") / 4)
+    hit = beats.join(near, ["track_id", "frame"]).withColumns({"_o": bar, "_w": F.exp(-0.12 * bar), "_ph": F.pmod("beat_index", F.lit(4))}).where(F.col("_o") < most)
+    mean = lambda i: F.sum(F.when(F.col("_ph") == i, F.col("_w") * F.col("v"))) / F.sum(F.when(F.col("_ph") == i, F.col("_w")))
+    by = hit.groupBy("track_id").agg(*[mean(i).alias(f"s{i}") for i in range(4)])
+    s = [F.coalesce(f"s{i}", F.lit(0.0)) for i in range(4)]
+    best = F.round(s[0], 9) >= F.greatest(*[F.round(x, 9) for x in s[1:]])
+    strong = (s[inferred] > s[0] + 0.06) & (s[inferred] > s[0] * 1.15)
+    return by.select("track_id", "s0", "s1", "s2", "s3", F.when((s[0] > 0) & best & ~strong, 0).otherwise(inferred).alias("phase"))
