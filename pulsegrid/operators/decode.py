@@ -42,63 +42,77 @@ def viterbi_beats(frames: DataFrame, low: int, high: int, floor: float = 0.05, v
     return rows.groupBy("track_id").applyInPandas(run, rows.select("track_id", "frame").schema)
 
 
-def decode_states(beat: np.ndarray, down: np.ndarray, gaps: np.ndarray, bpb: int, floor: float, change: float) -> tuple[float, list[tuple[int, int]]]:
-    """Joint best path over frame, gap and place in the bar: (score, [(frame, place)]).
+def decode_states(beat: np.ndarray, down: np.ndarray, gaps: np.ndarray, bpb: int, floor: float, change: float) -> list[tuple[float, list[tuple[int, int]]]]:
+    """Joint best path over frame, gap and place in the bar of each row of curves: (score, [(frame, place)]).
 
     A beat at frame i with gap g follows one at i - g whose gap is g or a neighbour of it in the list, at a
-    cost of ``change`` per step; ties go to the earlier gap. Scores are kept per frame; only the
+    cost of ``change`` per step; ties go to the earlier choice. All curves of a batch move together: only the
     frame loop is Python.
     """
-    n, k = len(beat), len(gaps)
-    score, link = np.full((n, k, bpb), -np.inf), np.zeros((n, k, bpb), np.int8)
-    off_beat = np.log(np.maximum(beat - down, floor))
-    on_beat = np.log(np.maximum(down, floor))
-    reward = -np.log(floor)
+    m, n = beat.shape
+    k = len(gaps)
+    score, link = np.full((n, m, k, bpb), -np.inf), np.full((n, m, k, bpb), 9, np.int8)
+    gain = -np.log(floor)
+    off_beat, on_beat = np.log(np.maximum(beat - down, floor)) + gain, np.log(np.maximum(down, floor)) + gain
+    rows = np.arange(k)
     for i in range(n):
-        place = np.full(bpb, off_beat[i] + reward)
-        place[0] = on_beat[i] + reward
-        start = np.broadcast_to(place, (k, bpb)) if i < gaps.max() else np.full((k, bpb), -np.inf)
-        prev = i - gaps
-        ok = prev >= 0
-        best = np.full((k, bpb), -np.inf)
+        place = np.repeat(off_beat[:, i, None], bpb, axis=1)
+        place[:, 0] = on_beat[:, i]
+        ok = rows[i - gaps >= 0]
+        best = np.full((m, k, bpb), -np.inf)
         for step in (-1, 0, 1):
-            src = np.arange(k) + step
-            fine = ok & (src >= 0) & (src < k)
-            cand = np.full((k, bpb), -np.inf)
-            cand[fine] = np.roll(score[prev[fine], src[fine]], 1, axis=1) - change * abs(step)
-            better = cand > best
-            best[better] = cand[better]
-            link[i][better] = step
-        best = best + place
+            to = ok[(ok + step >= 0) & (ok + step < k)]
+            if len(to):
+                before = np.roll(score[i - gaps[to], :, to + step].transpose(1, 0, 2), 1, axis=2) - change * abs(step)
+                better = before > best[:, to]
+                best[:, to] = np.where(better, before, best[:, to])
+                link[i][:, to] = np.where(better, step, link[i][:, to])
+        best = best + place[:, None]
+        start = np.broadcast_to(place[:, None], best.shape) if i < gaps.max() else np.full_like(best, -np.inf)
         fresh = start > best
         score[i] = np.where(fresh, start, best)
         link[i][fresh] = 9
-    at = np.unravel_index(int(np.argmax(score)), score.shape)
-    total, path = float(score[at]), []
-    i, g, p = (int(x) for x in at)
-    while True:
-        path.append((i, p))
-        step = int(link[i, g, p])
-        if step == 9:
-            return total, path[::-1]
-        i, g, p = i - int(gaps[g]), g + step, (p - 1) % bpb
+    out = []
+    for t in range(m):
+        own = score[:, t]
+        i, g, p = (int(x) for x in np.unravel_index(int(np.argmax(own)), own.shape))
+        total, path = float(own[i, g, p]), []
+        while True:
+            path.append((i, p))
+            step = int(link[i, t, g, p])
+            if step == 9:
+                break
+            i, g, p = i - int(gaps[g]), g + step, (p - 1) % bpb
+        out.append((total, path[::-1]))
+    return out
 
 
-def decode_tempo_phase(frames: DataFrame, low: int, high: int, floor: float = 0.05, change: float = 1.0) -> DataFrame:
-    """V2: beats and downbeats of each track by the better of three and four beats a bar (the first at a tie)."""
+def decode_tempo_phase(frames: DataFrame, low: int, high: int, floor: float = 0.05, change: float = 1.0, together: int = 16) -> DataFrame:
+    """V2: beats and downbeats of each track by the better of three and four beats a bar (four at a tie).
+
+    About ``together`` tracks share a group; within it curves of one length are decoded as one batch.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        beat, down = pdf["beat"].to_numpy(), pdf["downbeat"].to_numpy()
-        gaps = np.arange(low, high + 1)
-        options = [(decode_states(beat, down, gaps, b, floor, change), b) for b in (4, 3)]
-        (_, path), bpb = max(options, key=lambda o: o[0][0])
-        at = [i for i, _ in path]
-        return pd.DataFrame({"track_id": pdf["track_id"].iloc[at], "frame": pdf["frame"].iloc[at], "is_downbeat": [p == 0 for _, p in path], "bpb": bpb})
+        by_length: dict[int, list] = {}
+        for _, one in pdf.sort_values("frame").groupby("track_id", sort=True):
+            by_length.setdefault(len(one), []).append(one)
+        out, gaps = [], np.arange(low, high + 1)
+        for same in by_length.values():
+            beat, down = (np.stack([x[c].to_numpy() for x in same]) for c in ("beat", "downbeat"))
+            options = [(b, decode_states(beat, down, gaps, b, floor, change)) for b in (4, 3)]
+            for t, one in enumerate(same):
+                bpb, (_, path) = max(((b, found[t]) for b, found in options), key=lambda o: o[1][0])
+                at = [i for i, _ in path]
+                out.append(pd.DataFrame({"track_id": one["track_id"].iloc[at], "frame": one["frame"].iloc[at], "is_downbeat": [p == 0 for _, p in path], "bpb": bpb}))
+        return pd.concat(out)
 
     rows = frames.select("track_id", "frame", "beat", "downbeat")
+    groups = F.greatest(F.ceil(F.approx_count_distinct("track_id") / together), F.lit(1))
+    n = rows.agg(groups.alias("n"))
+    dealt = rows.join(F.broadcast(n)).withColumn("_group", F.pmod(F.xxhash64("track_id"), F.col("n"))).drop("n")
     schema = f"track_id {dict(rows.dtypes)['track_id']}, frame long, is_downbeat boolean, bpb int"
-    return rows.groupBy("track_id").applyInPandas(run, schema)
+    return dealt.groupBy("_group").applyInPandas(run, schema)
 
 
 def constant_regions(frames: np.ndarray, one: float, total: float, border: float) -> list[tuple[int, int]]:
