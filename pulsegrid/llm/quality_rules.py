@@ -120,7 +120,7 @@ def estimates(measured: DataFrame, core: float = 0.75, steps: int = 3, least_row
     now = cut(spread.select(*keys, *means, *[c.alias(n) for n, c in factor(diagonal).items()]))
     for _ in range(steps):
         near = rows.join(now, keys).select(*keys, *xs, distance().alias("d"))
-        limit = near.groupBy(*keys).agg(F.percentile_approx("d", core, 10000).alias("limit"))
+        limit = cut(near.groupBy(*keys).agg(F.percentile_approx("d", core, 10000).alias("limit")))
         kept = near.join(limit, keys).where("d <= limit")
         sums = kept.groupBy(*keys).agg(
             *[F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)],
@@ -131,11 +131,10 @@ def estimates(measured: DataFrame, core: float = 0.75, steps: int = 3, least_row
     return now
 
 
-def judge(measured: DataFrame, **how) -> DataFrame:
-    """``measured`` with base_failed, distance2 (squared distance, null where base_failed) and kept."""
+def judge(measured: DataFrame, found: DataFrame) -> DataFrame:
+    """``measured`` with base_failed, distance2 (squared distance, null where base_failed) and kept, by the estimates found."""
     names = [f"x{i}" for i in range(DIMS)]
     rest = [c for c in estimates_columns() if c not in ("_pg_lang", "_pg_source")]
-    found = estimates(measured, **how)
     own = found.where(~F.col("_pg_pool")).select("_pg_lang", "_pg_source", F.struct(*rest).alias("_pg_own"))
     pool = found.where(F.col("_pg_pool")).select("_pg_lang", F.struct(*rest).alias("_pg_all"))
     rows = measured.join(own, ["_pg_lang", "_pg_source"], "left").join(pool, ["_pg_lang"], "left")
@@ -171,16 +170,21 @@ def verdicts(docs: DataFrame, **how) -> DataFrame:
     """
     narrow = docs.select("doc_id", "text", *[c for c in ("lang", "source") if c in docs.columns])
     measured = cut(_grouped(narrow).select("doc_id", *STATS, "_pg_lines", "_pg_lang", "_pg_source"))
-    return judge(measured, **how).select(F.col("doc_id").cast("long"), *STATS, "base_failed", "kept", "distance2")
+    return judge(measured, estimates(measured, **how)).select(F.col("doc_id").cast("long"), *STATS, "base_failed", "kept", "distance2")
 
 
 def keep_good(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
+    """The rows of ``docs`` that the rules keep, with the columns of ``docs``.
+
+    Only the statistics are written for the estimates; the texts are measured again as they pass, which
+    costs less than to keep a second copy of them.
+    """
     clash = {c: f"_pg_given_{c}" for c in docs.columns if c in STATS}
     given = docs.withColumnsRenamed(clash)
-    measured = cut(_grouped(given))
+    measured = _grouped(given)
+    found = estimates(cut(measured.select(*STATS, "_pg_lines", "_pg_lang", "_pg_source")), **how)
     back = {v: k for k, v in clash.items()}
-    return judge(measured, **how).where("kept").select(*given.columns).withColumnsRenamed(back)
+    return judge(measured, found).where("kept").select(*given.columns).withColumnsRenamed(back)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
