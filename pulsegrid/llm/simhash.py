@@ -220,13 +220,20 @@ def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 4) -> DataFrame:
 
     Shingles of five words; four bits of 64 stand for a similarity well above 0.8.
     """
-    given = cut(with_fingerprints(docs, shingle).withColumn("_pg_row", F.monotonically_increasing_id()))
-    prints = given.select("doc_id", "_pg_fp", "_pg_row")
+    given = docs.select("doc_id", "text")
+    prints = cut(with_fingerprints(given, shingle).select("doc_id", "_pg_fp", F.xxhash64("text").alias("_pg_text")))
     found = prints.join(classes(prints, radius), prints["_pg_fp"] == F.col("fp"))
     groups = F.coalesce(F.col("component_id"), F.lit(2**63 - 1))
-    ranked = found.groupBy(groups.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_pg_row")).alias("w"))
-    kept = cut(ranked.select(F.col("w._pg_row").alias("_pg_row")))
-    return given.join(kept, "_pg_row", "left_semi").select(*docs.columns)
+    first = found.groupBy(groups.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_pg_text")).alias("w"))
+    winners = first.select(F.col("w.doc_id").alias("_pg_id"), F.col("w._pg_text").alias("_pg_text"))
+    same = (F.col("_pg_id").eqNullSafe(prints["doc_id"])) & (winners["_pg_text"] == prints["_pg_text"])
+    times = prints.join(winners, same).groupBy("_pg_id", winners["_pg_text"]).agg(F.count("*").alias("_pg_times"))
+    kept = cut(times)
+    rows = docs.withColumn("_pg_hash", F.xxhash64("text"))
+    # A sort-merge join at every size: the texts are dealt by id, and no size of the list changes the plan.
+    once = rows.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_pg_id")) & (F.col("_pg_hash") == F.col("_pg_text")))
+    single, repeated = once.where("_pg_times = 1"), once.where("_pg_times > 1")
+    return single.select(*docs.columns).unionByName(repeated.dropDuplicates(["_pg_id", "_pg_text"]).select(*docs.columns))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
