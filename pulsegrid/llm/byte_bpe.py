@@ -214,6 +214,11 @@ class Codec:
         self.pieces = Pieces(Transducer(self.merges))
         self.bytes_of = self.merges.bytes_of
 
+    def forget(self) -> None:
+        self.pieces.clear()
+        self.pieces.transducer._reset()
+        self.merges._pairs.clear()
+
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
@@ -260,9 +265,11 @@ def decode(tokens: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -
     return tokens.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tiktoken", remember: bool = True) -> DataFrame:
     """Digests of each row's ids and of what they decode to, with the length of the decoded text.
 
+    ``remember``: a worker keeps its states and pieces for its next task; without it, it gives their memory back.
+
     A null text counts as empty: 0 tokens and digests of nothing. Repeated rows each give a row, other
     columns are not read, an empty table gives an empty result.
     """
@@ -284,6 +291,8 @@ def round_trip(docs: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tiktoken")
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(bytes_sha), pa.array(chars, pa.int64())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_chars_decoded"],
             )
+        if not remember:
+            c.forget()
 
     return _rows(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_chars_decoded long")
 
