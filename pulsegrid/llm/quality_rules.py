@@ -149,7 +149,8 @@ def judge(measured: DataFrame, found: DataFrame) -> DataFrame:
         y.append(part / F.col(f"_pg_e.l{i}{i}"))
         d = d + y[-1] * y[-1]
     rows = rows.withColumn("base_failed", base_failed()).withColumn("distance2", F.when(~F.col("base_failed"), d))
-    rows = rows.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= CUTOFF))
+    # One condition over both sides of the join: no part of it may move below, where it would measure the texts twice.
+    rows = rows.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(F.coalesce("distance2", F.col("_pg_e.m0") * 0, F.lit(0.0)) <= CUTOFF))
     return rows.drop("_pg_own", "_pg_all", "_pg_e", *["_pg_" + n for n in names])
 
 
