@@ -193,3 +193,37 @@ def c8(s, d):
     u = A.usability_features(frames_of(s, d), 90, 2.0, 4, 12)
     w = u.select("track_id", "win", (F.col("win") * 90.0).alias("start"), S.usability_score("onset_density", "periodicity", "transient_strength", "silence_ratio", "instability").alias("score"), S.is_usable("periodicity", "transient_strength", "silence_ratio", "instability").alias("usable"))
     return rounded(w, "score")
+
+
+@query("q4_drift_signatures")
+def q4(s, d):
+    from . import grids
+
+    b = numbered(peaks_of(s, d))
+    first = F.min("frame").over(W.partitionBy("track_id"))
+    off = b.withColumn("offset_ms", (F.col("frame") - first - F.col("beat_index") * 5).cast("double"))
+    return rounded(grids.drift_signatures(off, 5.0, 16), "drift_beats")
+
+
+@query("v3_decode_candidates")
+def v3(s, d):
+    from ..operators import decode as D
+
+    return D.decode_candidates(frames_of(s, d), 200, 4, 12)
+
+
+@query("c9_select_probe")
+def c9(s, d):
+    from . import grids
+
+    tracks = frames_of(s, d).groupBy("track_id").agg((F.max("frame") + 1).alias("n"))
+    return rounded(grids.select_probe(peaks_of(s, d), tracks, FPS, 180, 60, 70.0, 180.0), "score", "margin", "bpm", "agreed")
+
+
+@query("c10_anchor_refit")
+def c10(s, d):
+    from . import grids
+
+    beats = grids.consensus_grid(frames_of(s, d), FPS, 70.0, 187.0)
+    probes = frames_of(s, d).where("frame in (120, 360, 600)").select("track_id", "frame", (0.5 + F.col("frame") / 1440.0).alias("confidence"))
+    return rounded(grids.anchor_refit(beats, probes), "ratio")

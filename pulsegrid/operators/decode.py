@@ -277,3 +277,39 @@ def low_pass(x: np.ndarray, alpha: float, state: float, block: int = 256) -> tup
         out[lo : lo + k] = kernel[:k, :k] @ b + state * decay ** (i[:k] + 1)
         state = out[lo + k - 1]
     return out, state
+
+
+def decode_list(frames: np.ndarray, obs: np.ndarray, low: int, high: int, penalty: float) -> list[int]:
+    """V3: best path over a sorted list of candidate frames; a link's gap lies in low..high, at a cost for its
+    distance from the middle of that range; the first best end."""
+    n, mid = len(frames), (low + high) / 2
+    score, link = obs.astype(float).copy(), np.full(n, -1)
+    first = np.searchsorted(frames, frames - high, "left")
+    last = np.searchsorted(frames, frames - low, "right")
+    for i in range(n):
+        if first[i] < last[i]:
+            gaps = frames[i] - frames[first[i] : last[i]]
+            cand = score[first[i] : last[i]] - penalty * np.abs(gaps - mid) / mid
+            j = int(np.argmax(cand))
+            if cand[j] > 0:
+                score[i], link[i] = obs[i] + cand[j], first[i] + j
+    at, path = int(np.argmax(score)) if n else -1, []
+    while at >= 0:
+        path.append(at)
+        at = link[at]
+    return path[::-1]
+
+
+def decode_candidates(frames: DataFrame, most: int, low: int, high: int, floor: float = 0.05, weight: float = 0.5, penalty: float = 1.0) -> DataFrame:
+    """V3 with K3: beats among the strongest candidates of each track; reward of a beat by its and its downbeat's log."""
+    from .select import top_candidates
+
+    gain = -np.log(floor)
+    rows = top_candidates(frames, most, floor).select("track_id", "frame", (F.log("beat") + gain + weight * (F.log(F.greatest("downbeat", F.lit(floor))) + gain)).alias("obs"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame")
+        at = decode_list(pdf["frame"].to_numpy(), pdf["obs"].to_numpy(), low, high, penalty)
+        return pd.DataFrame({"track_id": pdf["track_id"].iloc[at], "frame": pdf["frame"].iloc[at]})
+
+    return rows.groupBy("track_id").applyInPandas(run, rows.select("track_id", "frame").schema)
