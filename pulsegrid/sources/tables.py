@@ -6,15 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-EPOCH_MS = 1704067200000  # 2024-01-01
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").withColumn("ms", F.expr(f"unix_millis(cast(ts as timestamp)) - {EPOCH_MS}"))
+    zero = "unix_millis(cast(timestamp_ntz'2024-01-01 00:00:00' as timestamp))"  # the same in any session time zone
+    return table(spark, sf_dir, "events").withColumn("ms", F.expr(f"unix_millis(cast(ts as timestamp)) - {zero}"))
 
 
 def dense(cells: DataFrame, n_frames: int) -> DataFrame:
