@@ -370,7 +370,7 @@ def resolve(kind: Kind, resolver: Resolver) -> Callable:
             least = np.zeros(len(least), np.int64)
         breaks = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (owner[at][1:] != owner[at][:-1]) | (least[at][1:] != least[at][:-1])]) if len(at) else np.zeros(0, bool)
         a = np.flatnonzero(breaks)
-        z = np.concatenate([a[1:], [len(at)]]) - 1
+        z = np.concatenate([a[1:], [len(at)]])[: len(a)] - 1
         run_owner, run_first, run_last, run_least = owner[at[a]], inner[at[a]], inner[at[z]], least[at[a]]
         rows, i = [], 0
         for block, p in zip(table.column("block").to_pylist(), parts, strict=True):
