@@ -189,17 +189,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def classes(prints: DataFrame, radius: int) -> DataFrame:
-    """(fp, component_id) of each fingerprint in ``prints`` (doc_id, _pg_fp): the least doc_id of its component."""
+    """(fp, root, component_id) of each fingerprint in ``prints`` (doc_id, _pg_fp): the root fingerprint of its
+    component, its own where it has no link, and the component's least doc_id."""
     partitions = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     nodes = cut(prints.groupBy(F.col("_pg_fp").alias("fp")).agg(F.min("doc_id").alias("least")))
     edges = cut(links(nodes, partitions, radius))
     if edges.isEmpty():
-        return nodes.select("fp", F.col("least").alias("component_id"))
+        return nodes.select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
     rooted = cut(components(edges))
     linked = nodes.join(rooted, nodes.fp == rooted.node).select("fp", "root", "least")
     by_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = linked.join(by_root, "root").select("fp", "component_id")
-    return nodes.join(found, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    found = linked.join(by_root, "root").select("fp", "root", "component_id")
+    return nodes.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
@@ -216,15 +217,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 4) -> DataFrame:
-    """``docs`` with one row of each component: that with the least doc_id, null last.
+    """``docs`` with one row of each component: that with the least doc_id, null last. Components are told apart
+    by their fingerprints, so null ids and ids on several texts take no unrelated row away.
 
     Shingles of five words; four bits of 64 stand for a similarity well above 0.8.
     """
     given = docs.select("doc_id", "text")
     prints = cut(with_fingerprints(given, shingle).select("doc_id", "_pg_fp", F.xxhash64("text").alias("_pg_text")))
     found = prints.join(classes(prints, radius), prints["_pg_fp"] == F.col("fp"))
-    groups = F.coalesce(F.col("component_id"), F.lit(2**63 - 1))
-    first = found.groupBy(groups.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_pg_text")).alias("w"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_pg_text")).alias("w"))
     winners = first.select(F.col("w.doc_id").alias("_pg_id"), F.col("w._pg_text").alias("_pg_text"))
     same = (F.col("_pg_id").eqNullSafe(prints["doc_id"])) & (winners["_pg_text"] == prints["_pg_text"])
     times = prints.join(winners, same).groupBy("_pg_id", winners["_pg_text"]).agg(F.count("*").alias("_pg_times"))

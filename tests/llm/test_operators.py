@@ -168,6 +168,13 @@ def test_near_dedup_keeps_one(spark):
     same([(r.doc_id, r.text) for r in kept], [(2, near), (9, rows[3][1]), (7, None)])
 
 
+def test_near_dedup_tells_components_apart_without_ids(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (3, texts[2]), (3, texts[3]), (4, texts[3])]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    same([(r.doc_id, r.text) for r in kept], [(None, texts[0]), (None, texts[1]), (3, texts[2]), (3, texts[3])])
+
+
 def test_license_scan_base_places(docs, wide, rows):
     want = {}
     for i, t, _, _ in rows:
