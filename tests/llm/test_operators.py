@@ -175,6 +175,55 @@ def test_near_dedup_tells_components_apart_without_ids(spark):
     same([(r.doc_id, r.text) for r in kept], [(None, texts[0]), (None, texts[1]), (3, texts[2]), (3, texts[3])])
 
 
+def near_pairs(each=60, n=300, seed=8):
+    """Rows 2i and 2i + 1 are near copies with scattered changed words, and the similarity of each pair by brute force."""
+    rng, texts, found = random.Random(seed), [], []
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for goal in (0.76, 0.80, 0.85, 0.90):
+        for _ in range(each):
+            w = [f"w{rng.randrange(20000)}" for _ in range(n)]
+            v, j = list(w), 1.0
+            while True:
+                u = list(v)
+                u[rng.randrange(n)] = f"x{rng.randrange(20000)}"
+                a, b = shingles(w), shingles(u)
+                if len(a & b) / len(a | b) < goal:
+                    break
+                v, j = u, len(a & b) / len(a | b)
+            texts += [" ".join(w), " ".join(v)]
+            found.append((goal, j))
+    return texts, found
+
+
+def test_near_dedup_reaches_a_similarity_of_four_fifths(spark):
+    texts, found = near_pairs()
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept >= set(range(0, len(texts), 2))
+    gone = [2 * i + 1 not in kept for i in range(len(found))]
+    assert not any(g for g, (_, j) in zip(gone, found, strict=True) if j < 0.8)
+    for goal in (0.80, 0.85, 0.90):
+        assert sum(g for g, (x, _) in zip(gone, found, strict=True) if x == goal) >= 59, goal
+
+
+def test_near_dedup_links_a_shard_beyond_its_first_member(spark):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(40):  # two families whose members are alike only within a family, and chains of copies
+        w = base[:150] + [f"{'ab'[i % 2]}{j}" for j in range(50)]
+        for _ in range(2):
+            w[rng.randrange(200)] = f"x{i}.{rng.random()}"
+        texts.append(w)
+    sets = [{tuple(w[i : i + 5]) for i in range(196)} for w in texts]
+    label = list(range(40))
+    for i in range(40):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                label = [label[j] if x == label[i] else x for x in label]
+    kept = simhash.keep_one(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == sorted({label.index(x) for x in label})
+
+
 def test_license_scan_base_places(docs, wide, rows):
     want = {}
     for i, t, _, _ in rows:
