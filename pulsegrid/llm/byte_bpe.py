@@ -1,16 +1,16 @@
 """Byte-level BPE as a lazily determinised transducer, and streaming decode.
 
 A BPE encoding is right exactly if each two neighbouring tokens are: the pair's own bytes must encode to
-that pair. So each prefix of a piece has one last token, and a transducer that keeps the token starts
-still open (a trie node, the token before it, the tokens not yet decided) can emit a token as soon as all
-open starts agree on it, at most one longest token later. Its states and arcs are made when first needed
-and kept up to a bound.
+that pair. So each prefix of a piece has one last token, and a transducer whose states are the sets of open
+token starts can emit a token as soon as all open starts agree on it. Its states and arcs are made when first
+needed and kept up to a bound.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Callable
 from struct import pack
 
 import numpy as np
@@ -27,22 +27,21 @@ class Merges:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.longest = max(map(len, ranks))
         self.parts: dict[int, tuple[int, int]] = {}
         self.joined: dict[tuple[int, int], int] = {}
         self.kids: list[dict[int, int]] = [{}]
         self.token_at = [-1]
-        self._pairs: dict[int, bool] = {}
         for token, b in sorted(self.bytes_of.items()):
             if len(b) == 1 or self._find_parts(token, b):
                 self._add(token, b)
-        self._pairs.clear()
 
     def _find_parts(self, token: int, b: bytes) -> bool:
         for i in range(1, len(b)):
             left, right = self.ranks.get(b[:i]), self.ranks.get(b[i:])
             if left is None or right is None or max(left, right) >= token and len(b) > 2:
                 continue
-            if all(len(self.bytes_of[x]) == 1 or x in self.parts for x in (left, right)) and self._stay_apart(left, right):
+            if all(len(self.bytes_of[x]) == 1 or x in self.parts for x in (left, right)) and self.stay_apart(left, right):
                 self.parts[token], self.joined[left, right] = (left, right), token
                 return True
         return False
@@ -57,7 +56,7 @@ class Merges:
             node = nxt
         self.token_at[node] = token
 
-    def _stay_apart(self, left: int, right: int) -> bool:
+    def stay_apart(self, left: int, right: int) -> bool:
         """Whether no merge crosses the border between two tokens while their own merges run.
 
         Undo the later of the two tokens' last merges again and again; at each step the parts that touch
@@ -78,84 +77,83 @@ class Merges:
                 before_left, before_right = min(before_left, right + 1), right
                 right = r_parts[0]
 
-    def fits(self, left: int, right: int) -> bool:
-        key = left << 32 | right
-        if (ok := self._pairs.get(key)) is None:
-            if len(self._pairs) > 1_000_000:
-                self._pairs.clear()
-            ok = self._pairs[key] = self._stay_apart(left, right)
-        return ok
-
 
 class Transducer:
-    """States are tuples of (trie node, token before, undecided tokens); about ``most`` of them are kept.
-
-    The arcs of a state are a dict of byte to (arcs of the next state, tokens emitted); under the key -1
-    it has the tokens that are right if the piece ends there, under -2 the state itself.
+    """Bytes to tokens, over lazily determinised states.
+
+    A state is the set of open token starts, as the trie nodes their bytes have reached: the longest first, and last
+    the root, for a token that starts here. It is made from a state and a byte when these first meet; its first
+    node names it, so there are no more states than nodes, and about ``most`` arcs and pairs are kept. With a state come the
+    tokens that end there. One of them alone is the last token of the bytes so far, that which fits the last token
+    before its start; going back from the end by last tokens gives the encoding. A token is emitted as soon as all
+    open starts agree on it.
     """
 
-    START = ((0, -1, ()),)
-
-    def __init__(self, merges: Merges, most: int = 250_000):
+    def __init__(self, merges: Merges, most: int = 600_000):
         self.m, self.most = merges, most
+        self.sizes = {t: len(b) for t, b in merges.bytes_of.items()}
         self._reset()
 
     def _reset(self) -> None:
-        self.start: dict = {-1: (), -2: self.START}
-        self.known = {self.START: self.start}
-
-    def _step(self, arcs: dict, byte: int) -> tuple[dict, tuple[int, ...]]:
-        m, live, ended = self.m, [], None
-        kids, token_at, pairs = m.kids, m.token_at, m._pairs
-        for node, last, undecided in arcs[-2]:
-            nxt = kids[node].get(byte)
-            if nxt is None:
-                continue
-            if ended is None and (token := token_at[nxt]) >= 0:
-                if last < 0:
-                    ended = (0, token, (token,))
-                else:
-                    ok = pairs.get(last << 32 | token)
-                    if m.fits(last, token) if ok is None else ok:
-                        ended = (0, token, (*undecided, token))
-            if kids[nxt]:
-                live.append((nxt, last, undecided))
-        live.append(ended)
-        tokens = live[0][2]
-        common = len(tokens)
-        for h in live:
-            other = h[2]
-            i = 0
-            while i < common and i < len(other) and other[i] == tokens[i]:
-                i += 1
-            common = i
-            if not common:
-                break
-        state = tuple([(n, t, u[common:]) for n, t, u in live]) if common else tuple(live)
-        if (to := self.known.get(state)) is None:
-            to = self.known[state] = {-1: state[-1][2], -2: state}
-        arc = arcs[byte] = to, tokens[:common]
-        return arc
+        self.n_arcs = 0
+        self.start: tuple = {}, (), (0,)  # arcs; of the tokens that end: what fits before, token, length; nodes
+        self.known = {0: self.start}
+        self.before: dict[int, dict[int, bool]] = {}  # token to what is known to fit before it, -1 being the start
+
+    def _arc(self, state: tuple, byte: int) -> tuple:
+        kids, token_at = self.m.kids, self.m.token_at
+        nodes = [to for node in state[2] if (to := kids[node].get(byte)) is not None]
+        open_ = tuple([n for n in nodes if kids[n]]) + (0,)
+        ends = tuple([(self.before.setdefault(t, {-1: True}), t, self.sizes[t]) for n in nodes if (t := token_at[n]) >= 0])
+        key = nodes[0] if nodes else 0
+        if (to := self.known.get(key)) is None:
+            to = self.known[key] = {}, ends, open_
+        self.n_arcs += 1
+        state[0][byte] = to
+        return to
+
+    def _settled(self, last: list[int], depth: int) -> int:
+        """The end of what all starts open in the last ``depth`` bytes agree on."""
+        open_ = set(range(len(last) - 1 - depth, len(last)))
+        while len(open_) > 1:
+            top = max(open_)
+            open_.remove(top)
+            open_.add(top - self.sizes[last[top]])
+        return open_.pop()
+
+    def _back(self, last: list[int], end: int) -> list[int]:
+        out = []
+        while end:
+            token = last[end]
+            out.append(token)
+            end -= self.sizes[token]
+        out.reverse()
+        return out
 
-    def encode(self, piece: bytes) -> list[int]:
+    def encode(self, piece: bytes, lookahead: int = 1 << 14) -> list[int]:
         if (whole := self.m.ranks.get(piece)) is not None:
             return [whole]
-        if len(self.known) > self.most:
+        if self.n_arcs > self.most:
             self._reset()
-        at, out = self.start, []
+        state, last, out, n = self.start, [-1], [], 0
         for byte in piece:
-            arc = at.get(byte)
-            if arc is None:
-                arc = self._step(at, byte)
-                if len(self.known) > 2 * self.most:  # one very long piece: go on from this state alone
-                    self._reset()
-                    self.known[arc[0][-2]] = to = {-1: arc[0][-1], -2: arc[0][-2]}
-                    arc = to, arc[1]
-            at, emitted = arc
-            if emitted:
-                out += emitted
-        out += at[-1]
-        return out
+            state = state[0].get(byte) or self._arc(state, byte)
+            n += 1
+            for fits, token, size in state[1]:
+                before = last[n - size]
+                if (ok := fits.get(before)) is None:
+                    ok = fits[before] = self.m.stay_apart(before, token)
+                    self.n_arcs += 1
+                if ok:
+                    break
+            last.append(token)
+            if n >= lookahead:  # one very long piece: emit what is settled, go on with the rest
+                end = self._settled(last, min(n, self.m.longest))
+                out += self._back(last, end)
+                last = last[end:]
+                n -= end
+                lookahead = n + (1 << 14)
+        return out + self._back(last, n)
 
 
 #: Bytes that must follow a lead byte; -1 marks bytes that cannot lead.
@@ -185,25 +183,40 @@ class Utf8Stream:
         return rest.decode("utf-8", "replace")
 
 
-class Pieces(dict):
-    """Piece of text to its ids as little-endian unsigned 32-bit integers; at most ``most`` are kept."""
+class Recent(dict):
+    """Texts to their ids as little-endian unsigned 32-bit integers: those of the last ``most`` to twice as many.
 
-    def __init__(self, transducer: Transducer, most: int = 150_000):
-        self.transducer, self.most = transducer, most
+    Values are made by ``make``; when ``most`` are held they become the old ones, and an old one that is asked for
+    comes back, so frequent texts outlive rare ones. Texts of over 64 characters are not held.
+    """
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        ids = self.transducer.encode(piece.encode())
-        out = self[piece] = pack(f"<{len(ids)}I", *ids)
-        return out
+    def __init__(self, make: Callable, most: int):
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes | None:
+        value = self.old.pop(key, False)
+        if value is False:
+            value = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.most:
+                self.old = self.copy()
+                self.clear()
+            self[key] = value
+        return value
 
 
 _CODECS: dict = {}
 
 
 class Codec:
-    def __init__(self, vocabulary: str):
+    """Encoder and decoder of one vocabulary.
+
+    The pattern never matches across a space that stands between two characters other than whitespace, so a text
+    is cut there first; what lies between is looked up as a whole, split by the pattern when it is new, and its
+    new pieces go through the transducer.
+    """
+
+    def __init__(self, vocabulary: str, most: int = 200_000):
         import public_tokenizers
         import regex
 
@@ -211,21 +224,66 @@ class Codec:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.merges = Merges(ranks)
-        self.pieces = Pieces(Transducer(self.merges))
-        self.bytes_of = self.merges.bytes_of
+        self.transducer = Transducer(self.merges)
+        self.pieces, self.spaced = Recent(self._piece, most), Recent(self._spaced, most)
+        self.sizes = np.zeros(max(self.merges.bytes_of) + 1, np.int64)
+        for token, b in self.merges.bytes_of.items():
+            self.sizes[token] = len(b)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.data = np.frombuffer(b"".join(self.merges.bytes_of.get(t, b"") for t in range(len(self.sizes))), np.uint8)
 
     def forget(self) -> None:
-        self.pieces.clear()
-        self.pieces.transducer._reset()
-        self.merges._pairs.clear()
+        for held in (self.pieces, self.spaced):
+            held.clear()
+            held.old.clear()
+        self.transducer._reset()
 
-    def encode(self, text: str) -> bytes:
+    def _piece(self, piece: str) -> bytes:
+        ids = self.transducer.encode(piece.encode())
+        return pack(f"<{len(ids)}I", *ids)
+
+    def _spaced(self, word: str) -> bytes | None:
+        """Ids of a space and ``word``; None if the space may belong to other whitespace."""
+        if not word or word[0].isspace() or word[-1].isspace():
+            return None
+        if word.isascii() and word.isalpha():
+            return self._piece(" " + word)
+        if word[-1] in ".,;:!?" and word.isascii() and word[:-1].isalpha():
+            return self.spaced[word[:-1]] + self.pieces[word[-1]]
+        first, *rest = self.split(" " + word)
+        if not rest:
+            return self._piece(first)
+        return b"".join([self.spaced[first[1:]] or self._piece(first), *map(self.pieces.__getitem__, rest)])
+
+    def _whole(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
+    def encode(self, text: str) -> bytes:
+        first, *words = text.split(" ")
+        ids = [*map(self.spaced.__getitem__, words)]
+        if None not in ids and first and not first[-1].isspace():
+            return b"".join([self._whole(first), *ids])
+        out, waiting, open_ = [], first, not first or first[-1].isspace()
+        for word, own in zip(words, ids, strict=True):
+            if open_ or own is None:
+                waiting = f"{waiting} {word}" if waiting is not None else " " + word
+                open_ = not word or word[-1].isspace()
+                continue
+            if waiting is not None:
+                out.append(self._whole(waiting))
+                waiting = None
+            out.append(own)
+        if waiting is not None:
+            out.append(self._whole(waiting))
+        return b"".join(out)
+
     def decode(self, ids: bytes, chunk: int = 1 << 16):
-        """Bytes of the ids, chunk by chunk."""
+        """Bytes of the ids, chunk by chunk: a gather over the bytes of the whole vocabulary."""
         for i in range(0, len(ids), 4 * chunk):
-            yield b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids[i : i + 4 * chunk], "<u4").tolist()))
+            t = np.frombuffer(ids[i : i + 4 * chunk], "<u4")
+            sizes = self.sizes[t]
+            ends = np.cumsum(sizes)
+            yield self.data[np.repeat(self.starts[t] - ends + sizes, sizes) + np.arange(ends[-1])].tobytes()
 
 
 def codec(vocabulary: str) -> Codec:

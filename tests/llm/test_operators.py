@@ -76,7 +76,7 @@ def test_transducer_on_arbitrary_bytes_and_few_states():
     small = byte_bpe.Transducer(c.merges, most=20)
     for _ in range(300):
         piece = b"".join(c.bytes_of[rng.randrange(50256)] for _ in range(rng.randint(1, 5)))
-        ids = c.pieces.transducer.encode(piece)
+        ids = c.transducer.encode(piece)
         assert b"".join(c.bytes_of[i] for i in ids) == piece
         assert small.encode(piece) == ids
 
