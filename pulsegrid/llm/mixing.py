@@ -87,29 +87,31 @@ def plan(keyed: DataFrame, weights: DataFrame | None, fraction: float, epochs: i
     """Leaf keys, whole epochs and the greatest seeded place (_pg_last) that the part of one more epoch takes."""
     rows = cut(keyed.select(*KEYS, "_pg_tokens", "_pg_base"))
     leaves = cut(budgets(rows.groupBy(*KEYS).agg(F.sum("_pg_tokens").alias("tokens")), weights, fraction, epochs, smoothing))
-    leaves = leaves.withColumn("full", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("int"))
-    leaves = leaves.withColumn("rest", F.col("budget") - F.col("full") * F.col("tokens")).select(*KEYS, "full", "rest")
+    leaves = leaves.withColumn("_pg_full", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("int"))
+    leaves = leaves.withColumn("_pg_rest", F.col("budget") - F.col("_pg_full") * F.col("tokens")).select(*KEYS, "_pg_full", "_pg_rest")
     placed = rows.join(leaves, KEYS).withColumn("_pg_place", place()).withColumn("_pg_range", F.pmod(F.shiftright("_pg_place", 52), F.lit(RANGES)).cast("int"))
-    sums = placed.groupBy(*KEYS, "_pg_range").agg(F.sum("_pg_tokens").alias("n"), F.first("rest").alias("rest"))
+    sums = placed.groupBy(*KEYS, "_pg_range").agg(F.sum("_pg_tokens").alias("n"), F.first("_pg_rest").alias("_pg_rest"))
     by_leaf = Window.partitionBy(*KEYS).orderBy("_pg_range").rowsBetween(Window.unboundedPreceding, 0)
     sums = sums.withColumn("through", F.sum("n").over(by_leaf))
-    split = cut(sums.where("through > rest").groupBy(*KEYS).agg(F.min(F.struct("_pg_range", (F.col("through") - F.col("n")).alias("before"))).alias("s")).select(*KEYS, "s.*"))
+    split = cut(sums.where("through > _pg_rest").groupBy(*KEYS).agg(F.min(F.struct("_pg_range", (F.col("through") - F.col("n")).alias("before"))).alias("s")).select(*KEYS, "s.*"))
     inside = placed.join(split, [*KEYS, "_pg_range"])
     fine = inside.withColumn("through", F.col("before") + F.sum("_pg_tokens").over(Window.partitionBy(*KEYS, "_pg_range").orderBy("_pg_place")))
-    fits = fine.groupBy(*KEYS).agg(F.max(F.when(F.col("through") <= F.col("rest"), F.col("_pg_place"))).alias("in_range"))
+    fits = fine.groupBy(*KEYS).agg(F.max(F.when(F.col("through") <= F.col("_pg_rest"), F.col("_pg_place"))).alias("in_range"))
     cuts = leaves.join(split, KEYS, "left").join(fits, KEYS, "left")
     first = F.shiftleft(F.col("_pg_range").cast("long"), 52)
-    return cut(cuts.select(*KEYS, "full", F.when(F.col("_pg_range").isNull(), F.lit(2**63 - 1)).otherwise(F.coalesce("in_range", first - 1)).alias("_pg_last"), F.col("_pg_range").isNull().alias("_pg_whole")))
+    return cut(cuts.select(*KEYS, "_pg_full", F.when(F.col("_pg_range").isNull(), F.lit(2**63 - 1)).otherwise(F.coalesce("in_range", first - 1)).alias("_pg_last"), F.col("_pg_range").isNull().alias("_pg_whole")))
 
 
 def place() -> Column:
     """Place of a row in the seeded order of the epoch after its leaf's whole ones: 0 to 2 ** 63 - 1."""
-    return F.xxhash64("_pg_base", "full").bitwiseAND(F.lit(2**63 - 1))
+    return F.xxhash64("_pg_base", "_pg_full").bitwiseAND(F.lit(2**63 - 1))
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, fraction: float = 0.9, epochs: int = 2, smoothing: float = 0.85, seed: int = 42, domain: Column | None = None) -> DataFrame:
     """Rows of ``docs`` for each epoch that takes them, with _pg_epoch and the leaf keys.
 
+    Columns of ``docs`` under any other name pass through unchanged; names that start with _pg_ are taken.
+
     ``fraction`` of all tokens is the budget. Rows with equal id and text are taken together. A null
     language or source is a leaf named by the empty string; a row without words goes with any epoch that
     reaches its place. An empty table gives an empty result.
@@ -117,7 +119,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, fraction: float = 0.9
     keyed = _keyed(docs, domain, seed)
     leaves = plan(keyed, weights, fraction, epochs, smoothing)
     rows = keyed.join(leaves, KEYS)
-    n = F.col("full") + F.when((F.col("full") < epochs) & ~F.col("_pg_whole") & (place() <= F.col("_pg_last")), 1).otherwise(0)
+    n = F.col("_pg_full") + F.when((F.col("_pg_full") < epochs) & ~F.col("_pg_whole") & (place() <= F.col("_pg_last")), 1).otherwise(0)
     return rows.withColumn("_pg_n", n).where("_pg_n > 0").withColumn("_pg_epoch", F.explode(F.sequence(F.lit(0), F.col("_pg_n") - 1)))
 
 

@@ -75,12 +75,31 @@ def test_transducer_on_arbitrary_bytes_and_few_states():
     rng = random.Random(3)
     small = byte_bpe.Transducer(c.merges, most=20)
     for _ in range(300):
-        piece = b"".join(c.bytes_of[rng.randrange(50256)] for _ in range(rng.randint(1, 5)))
+        piece = b"".join(c.merges.bytes_of[rng.randrange(50256)] for _ in range(rng.randint(1, 5)))
         ids = c.transducer.encode(piece)
-        assert b"".join(c.bytes_of[i] for i in ids) == piece
+        assert b"".join(c.merges.bytes_of[i] for i in ids) == piece
         assert small.encode(piece) == ids
 
 
+def test_cuts_at_spaces_and_early_emission_change_nothing():
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path(VOCABULARY), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    c, rng = byte_bpe.codec(VOCABULARY), random.Random(1)
+    odd = [" ", "  ", "\n", "\t", " \n", "\xa0", "\x1c", "a", "bc", "é", "'s", "1", "!", "<|", "日", "🎉", "'", ",", "word"]
+    for _ in range(5000):
+        text = "".join(rng.choice(odd) for _ in range(rng.randint(0, 14)))
+        ids = library.encode_ordinary(text)
+        assert c.encode(text) == np.array(ids, "<u4").tobytes(), repr(text)
+        assert b"".join(c.decode(np.array(ids, "<u4").tobytes(), 3)).decode() == text
+    for letters in ("abcdefgh", "ab", "thesingou"):
+        piece = "".join(rng.choice(letters) for _ in range(3000)).encode()
+        assert c.transducer.encode(piece, 300) == c.transducer.encode(piece) == library.encode_ordinary(piece.decode())
+
+
 def test_utf8_stream_at_every_cut():
     data = "aé日🎉z".encode()
     for a in range(len(data) + 1):
@@ -273,6 +292,85 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert out.columns == ["doc_id", "text", "lang", "source", "n_words"] and out.count() == 300
 
 
+def plain_mcd(rows, core=0.75, least_rows=50):
+    """Kept rows of (group, statistics) by the estimate computed with numpy, row by row, from the same starts."""
+    from math import floor, log2
+
+    grid, floors = quality_rules.GRID, np.diag(np.square(quality_rules.LEAST_DEVIATION))
+    vectors = {}
+    for i, (group, (n, chars, symbols, dup, repeat, lines)) in rows.items():
+        vectors[i] = group, np.array([np.log((chars + 300) / (n + 50)), np.sqrt(symbols / (chars + 50)), np.sqrt(dup / (lines + 10)), np.sqrt(repeat / (n + 20))])
+    groups = {}
+    for group, v in vectors.values():
+        for g in (group, (group[0], None)):
+            groups.setdefault(g, []).append(np.floor(v * grid + 0.5) / grid)
+    found = {}
+    for g, xs in groups.items():
+        if len(xs) < least_rows and g[1] is not None:
+            continue
+        xs = np.array(xs)
+        low = lambda c: np.sort(c, axis=0)[(len(c) - 1) // 2]
+        middle = low(xs)
+        starts = [(middle, np.diag((1.4826 * low(np.abs(xs - middle))) ** 2) + floors), (xs.mean(0), np.cov(xs.T, bias=True) + floors)]
+        best = None
+        for centre, cov in starts:
+            for _ in range(8):
+                d = [floor(log2(y @ y + quality_rules.NEAR) * quality_rules.BINS) for y in (np.linalg.solve(np.linalg.cholesky(cov), x - centre) for x in xs)]
+                limit = sorted(d)[int(np.ceil(core * len(d))) - 1]
+                near = xs[np.array(d) <= limit]
+                centre, cov = near.mean(0), np.cov(near.T, bias=True) * quality_rules.CONSISTENCY + floors
+            key = np.linalg.slogdet(cov)[1]
+            if best is None or key < best[0] - 1e-6:
+                best = key, centre, cov
+        found[g] = best
+    out = set()
+    for i, (group, v) in vectors.items():
+        _, centre, cov = found.get(group) or found[group[0], None]
+        y = np.linalg.solve(np.linalg.cholesky(cov), v - centre)
+        if y @ y <= quality_rules.CUTOFF:
+            out.add(i)
+    return out
+
+
+def test_quality_verdicts_equal_a_plain_estimate(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(600):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(25, 200))]
+        for _ in range(rng.randint(0, 12) if i % 4 == 0 else 0):
+            words[rng.randrange(len(words))] += rng.choice(["#", "$$", "***"])
+        if i % 7 == 0:
+            words += words[:10]
+        if i % 50 == 0:
+            words = [w * 6 for w in words]
+        rows.append((i, rng.choice([" ", "\n"]).join(words), "en" if i % 3 else "de", "hot" if i % 2 else f"s{i % 16}"))
+    got = quality_rules.verdicts(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
+    stats = {}
+    for i, t, lang, source in rows:
+        n, chars, symbols, dup, repeat, failed = brute.quality(t)
+        if not failed:
+            stats[i] = (lang, source), (n, chars, symbols, dup, repeat, len([x for x in t.split("\n") if x.strip()]))
+    want = plain_mcd(stats)
+    kept = {r.doc_id for r in got if r.kept}
+    assert 0 < len(stats) - len(want) < 200
+    assert len(kept ^ want) <= 2
+
+
+def test_stages_leave_clashing_columns_alone(spark):
+    rows = [(i, " ".join(f"word{i}x{j}" for j in range(40)), "en", "s") for i in range(60)]
+    names = ["full", "rest", "kept", "base_failed", "distance2", "n_words", "m0", "n", "start", "bin", "tokens", "budget", "weight", "fp", "node", "root", "key", "_id", "_hash", "bucket", "block", "ids"]
+    wide = spark.createDataFrame(rows, SCHEMA).select("*", *[F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names])
+    for stage in (quality_rules.keep_good, simhash.keep_one, mixing.mix_rows):
+        out = stage(wide)
+        assert out.columns == wide.columns
+        assert all(r[n] == f"{n}{r.doc_id}" for r in out.collect() for n in names), stage
+    assert quality_rules.keep_good(wide).count() == 60
+    for op, column in ((byte_bpe.round_trip, "n_tokens"), (token_counts.count_tokens, "over_limit"), (media_jpeg.store_and_read, "width"), (license_scan.scan, "labels")):
+        assert op(wide.withColumn(column, F.lit("mine"))).count() == 60
+    model = language_id.learn(wide.withColumn("bucket", F.lit(1)))
+    assert language_id.predict(wide.withColumn("score", F.lit("mine")), model).count() == 60
+
+
 def fill(budget, children):
     """Plain water filling of {name: (weight, supply)}."""
     out, open_ = dict.fromkeys(children, 0.0), dict(children)
