@@ -10,9 +10,14 @@ Two operators share these passes. Documents are dealt to blocks of bounded size
    the group of its anchor, which is the prefix that splits the suffixes into groups. An anchor with more
    than ``hot`` different fragments gets a longer prefix instead: each of its windows is sent by itself,
    to the group of its full L units.
-4. A group sorts its suffixes and scans common-prefix intervals of depth L and more; each holds all
-   occurrences of a repeat. The reply tells each block which windows of its fragments are repeats.
-5. The blocks mark what repeated windows cover.
+4. A group takes each different fragment once and finds the maximal repeats of L units or more in it, each with
+   all its places: one operator by suffix trees, the other by a suffix array. The reply tells each block which
+   windows of its fragments are covered by a maximal repeat, and by what least document id.
+5. The blocks mark what repeated windows cover; or list the maximal repeats with all their places.
+
+A fragment has at most 2 L - k units, so a maximal repeat that is longer is found in overlapping parts of that length,
+one a group. ``hot`` is a switch by size: beyond it each window of an anchor is a fragment of its own, and the parts
+have L units. Rows and digests do not depend on it (the tests run with ``hot`` 3).
 
 Hashes have 64 bits and are of the units themselves; nothing is sampled, capped or left out.
 """
@@ -334,8 +339,100 @@ def fragments(kind: Kind, n: int) -> Callable:
     return run
 
 
-#: A group's work: units, suffix starts, smallest id and count of each suffix -> smallest id and count of its repeat.
-Resolver = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]]
+@dataclass
+class Repeats:
+    """Maximal repeats of a group: depth of each, and its members, order[first:last], as suffix numbers."""
+
+    depth: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    order: np.ndarray
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The repeat and the suffix of every place."""
+        n = self.last - self.first
+        at = np.repeat(self.first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(np.arange(len(n)), n), self.order[at]
+
+
+#: A group's work: units, start of each suffix, end and start of its fragment, window length -> its maximal repeats.
+Resolver = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int], Repeats]
+
+
+def left_diverse(units: np.ndarray, start: np.ndarray, begin: np.ndarray, found: Repeats) -> Repeats:
+    """The repeats whose places do not all follow the same unit; what precedes a fragment is taken as different."""
+    if not len(found.depth):
+        return found
+    inside = start > begin
+    new = np.ones(len(found.order), bool)
+    o = found.order
+    new[1:] = ~(inside[o[1:]] & inside[o[:-1]] & (units[start[o[1:]] - 1] == units[start[o[:-1]] - 1]))
+    changes = np.cumsum(new)
+    keep = (changes[found.last - 1] > changes[found.first]) | ~inside[o[found.first]]
+    return Repeats(found.depth[keep], found.first[keep], found.last[keep], o)
+
+
+def by_repeats(found: Repeats, least: np.ndarray, count: np.ndarray, owned: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window: whether a maximal repeat covers it, and the least id among that repeat's places.
+
+    A fragment that has several places itself is a repeat as a whole.
+    """
+    several = count > 1
+    said, low = np.repeat(several, owned), np.repeat(np.where(several, least, NULL_ID), owned)
+    owner = np.repeat(np.arange(len(owned)), owned)
+    repeat, suffix = found.pairs()
+    if len(repeat):
+        value = np.minimum.reduceat(least[owner[suffix]], np.cumsum(found.last - found.first) - (found.last - found.first))[repeat]
+        reach = found.depth[repeat] - length
+        k = 0
+        while len(suffix):
+            said[suffix + k] = True
+            np.minimum.at(low, suffix + k, value)
+            k += 1
+            on = reach >= k
+            suffix, value, reach = suffix[on], value[on], reach[on]
+    return said, low
+
+
+def word_starts(data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of fragments that begin at ``start`` and have one space between words."""
+    space = data == 32
+    edge = np.zeros(len(data) + 1, bool)
+    edge[start] = True
+    edge[1:][space] = True
+    edge[-1] = False
+    w_start = np.flatnonzero(edge)
+    w_end = np.concatenate([w_start[1:], [len(data)]])
+    w_end -= space[w_end - 1]
+    w_end[:-1] -= space[w_start[1:] - 1] & (w_end[:-1] == w_start[1:])
+    return w_start, w_end
+
+
+class Group:
+    """The different fragments of a bucket, with their windows numbered through, and their maximal repeats."""
+
+    def __init__(self, kind: Kind, resolver: Resolver, parts: list):
+        h, owned, lo, self.hi, size, lengths = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:6])
+        self.h, self.sent_owned = h, owned
+        order, first, _ = by_hash(h)
+        self.of = np.empty(len(h), np.int64)
+        self.of[order] = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(h)]])))
+        one = order[first]
+        self.owned, lengths = owned[one].astype(np.int64), lengths.astype(np.int64)
+        self.least, self.count = np.minimum.reduceat(lo[order], first), np.add.reduceat(size[order].astype(np.int64), first)
+        raw, ends = b"".join(p[6] for p in parts), np.cumsum(lengths)
+        data = np.frombuffer(b"".join([raw[a:b] for a, b in zip((ends - lengths)[one].tolist(), ends[one].tolist(), strict=True)]), np.uint8)
+        begin = np.concatenate([[0], np.cumsum(lengths[one])[:-1]])
+        if kind.words:
+            w_start, w_end = word_starts(data, begin)
+            units, begin = span_hash(prefix_sums(data), w_start, w_end), np.searchsorted(w_start, begin)
+        else:
+            units = data
+        stop = begin + self.owned + kind.length - 1
+        self.at = np.cumsum(self.owned) - self.owned
+        start = np.repeat(begin - self.at, self.owned) + np.arange(self.owned.sum())
+        self.units, self.start = units, start
+        self.repeats = resolver(units, start, np.repeat(stop, self.owned), np.repeat(begin, self.owned), kind.length)
 
 
 def resolve(kind: Kind, resolver: Resolver) -> Callable:
@@ -343,66 +440,93 @@ def resolve(kind: Kind, resolver: Resolver) -> Callable:
 
     def run(table: pa.Table) -> pa.Table:
         parts = [unpack(x, "<u8", "<i4", "<i8", "<i8", "u1", "<i4", "raw", "<u8") for x in table.column("sent").to_pylist()]
-        h, owned, lo, hi, size, lengths = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:6])
-        data = np.frombuffer(b"".join(p[6] for p in parts), np.uint8)
-        start = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)[:-1]])
-        if kind.words:
-            space = data == 32
-            edge = np.zeros(len(data) + 1, bool)
-            edge[start] = True
-            edge[1:][space] = True
-            edge[-1] = False
-            w_start = np.flatnonzero(edge)
-            w_end = np.concatenate([w_start[1:], [len(data)]])
-            w_end -= space[w_end - 1]
-            w_end[:-1] -= space[w_start[1:] - 1] & (w_end[:-1] == w_start[1:])
-            units = span_hash(prefix_sums(data), w_start, w_end)
-            start = np.searchsorted(w_start, start)
-        else:
-            units = data
-        owner = np.repeat(np.arange(len(h), dtype=np.int32), owned)
-        ends = np.cumsum(owned)
-        inner = (np.arange(ends[-1]) - np.repeat(ends - owned, owned)).astype(np.int32)
-        least, count = resolver(units, start[owner] + inner, lo[owner], size[owner].astype(np.int32), kind.length)
-        said = least < hi[owner] if kind.smaller_doc else count > 1
-        at = np.flatnonzero(said)
+        g = Group(kind, resolver, parts)
+        repeated, low = by_repeats(g.repeats, g.least, g.count, g.owned, kind.length)
         if not kind.smaller_doc:
-            least = np.zeros(len(least), np.int64)
-        breaks = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (owner[at][1:] != owner[at][:-1]) | (least[at][1:] != least[at][:-1])]) if len(at) else np.zeros(0, bool)
-        a = np.flatnonzero(breaks)
-        z = np.concatenate([a[1:], [len(at)]])[: len(a)] - 1
-        run_owner, run_first, run_last, run_least = owner[at[a]], inner[at[a]], inner[at[z]], least[at[a]]
+            low = np.where(repeated, 0, 1)
+        elif not repeated.any():
+            return pa.Table.from_batches([batch_of([], REPLY)])
+        # runs of windows of one fragment with the same verdict, as each block is to get them
+        new = np.ones(len(low), bool)
+        new[1:] = (low[1:] != low[:-1]) | (repeated[1:] != repeated[:-1])
+        new[g.at] = True
+        run_at = np.flatnonzero(new)
+        run_end = np.concatenate([run_at[1:], [len(low)]]) - 1
+        yes = repeated[run_at]
+        run_at, run_end = run_at[yes], run_end[yes]
+        run_of = np.searchsorted(g.at, run_at, "right") - 1
+        each = np.searchsorted(run_of, np.arange(len(g.at) + 1))
+        n = np.diff(each)[g.of]
+        sent = np.repeat(np.arange(len(g.h)), n)
+        r = np.repeat(each[g.of], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        if kind.smaller_doc:
+            ok = low[run_at[r]] < g.hi[sent]
+            sent, r = sent[ok], r[ok]
+        first = (run_at[r] - g.at[run_of[r]]).astype("<i4")
+        last = (run_end[r] - g.at[run_of[r]]).astype("<i4")
         rows, i = [], 0
         for block, p in zip(table.column("block").to_pylist(), parts, strict=True):
-            x, y = np.searchsorted(run_owner, [i, i + len(p[0])])
+            x, y = np.searchsorted(sent, [i, i + len(p[0])])
             i += len(p[0])
             if x < y:
-                rows.append((block, pack(h[run_owner[x:y]], run_first[x:y].astype("<i4"), run_last[x:y].astype("<i4"), run_least[x:y].astype("<i8"), p[7])))
+                rows.append((block, pack(g.h[sent[x:y]], first[x:y], last[x:y], low[run_at[r[x:y]]].astype("<i8"), p[7])))
         return pa.Table.from_batches([batch_of(rows, REPLY)])
 
     return run
 
 
-def covered(kind: Kind, piece: Piece, own: np.ndarray, reply: list[np.ndarray]) -> np.ndarray:
-    """Which units of a piece lie in a repeated window."""
-    marks = np.zeros(len(piece.units) + 1, np.int32)
+def listed(kind: Kind, resolver: Resolver) -> Callable:
+    """Pass 4 of a listing: to each block, name, depth and place of every maximal repeat in its fragments."""
 
-    def mark(h, first, doc):
+    def run(table: pa.Table) -> pa.Table:
+        parts = [unpack(x, "<u8", "<i4", "<i8", "<i8", "u1", "<i4", "raw", "<u8") for x in table.column("sent").to_pylist()]
+        g = Group(kind, resolver, parts)
+        repeat, suffix = g.repeats.pairs()
+        whole = np.flatnonzero(g.count > 1)
+        depth = np.concatenate([g.repeats.depth[repeat], g.owned[whole] + kind.length - 1])
+        suffix = np.concatenate([suffix, g.at[whole]])
+        name = span_hash(prefix_sums(g.units), g.start[suffix], g.start[suffix] + depth)
+        turn = np.lexsort((name, suffix))
+        same = (suffix[turn][1:] == suffix[turn][:-1]) & (name[turn][1:] == name[turn][:-1])
+        turn = turn[np.concatenate([np.ones(min(1, len(turn)), bool), ~same])]
+        depth, suffix, name = depth[turn], suffix[turn], name[turn]
+        of = np.searchsorted(g.at, suffix, "right") - 1
+        each = np.searchsorted(of, np.arange(len(g.at) + 1))
+        rows, i = [], 0
+        for block, p in zip(table.column("block").to_pylist(), parts, strict=True):
+            own = g.of[i : i + len(p[0])]
+            n = np.diff(each)[own]
+            r = np.repeat(each[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            if len(r):
+                rows.append((block, pack(np.repeat(p[0], n), (suffix[r] - g.at[of[r]]).astype("<i4"), depth[r].astype("<i4"), name[r], p[7])))
+            i += len(p[0])
+        return pa.Table.from_batches([batch_of(rows, REPLY)])
+
+    return run
+
+
+def matches(kind: Kind, piece: Piece, reply: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(first window, document, line of the reply) of each fragment of a piece and each line that is about it."""
+    if not len(reply[0]):
+        return
+    w, run = windows_of(piece, np.flatnonzero(np.isin(piece.hash, reply[4])))
+    for h, first, doc in ((piece.fragment_hashes(), piece.first, piece.doc), (span_hash(piece.sums, w, w + kind.length), w, piece.doc[run])):
         lo, hi = np.searchsorted(reply[0], h, "left"), np.searchsorted(reply[0], h, "right")
         i = np.flatnonzero(hi > lo)
         n = (hi - lo)[i]
         which = np.repeat(i, n)
-        r = np.repeat(lo[i], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        yield first[which], doc[which], np.repeat(lo[i], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def covered(kind: Kind, piece: Piece, own: np.ndarray, reply: list[np.ndarray]) -> np.ndarray:
+    """Which units of a piece lie in a repeated window."""
+    marks = np.zeros(len(piece.units) + 1, np.int32)
+    for first, doc, r in matches(kind, piece, reply):
         if kind.smaller_doc:
-            ok = reply[3][r] < doc[which]
-            which, r = which[ok], r[ok]
-        np.add.at(marks, first[which] + reply[1][r], 1)
-        np.add.at(marks, first[which] + reply[2][r] + kind.length, -1)
-
-    if len(reply[0]):
-        mark(piece.fragment_hashes(), piece.first, own[piece.doc])
-        w, run = windows_of(piece, np.flatnonzero(np.isin(piece.hash, reply[4])))
-        mark(span_hash(piece.sums, w, w + kind.length), w, own[piece.doc[run]])
+            ok = reply[3][r] < own[doc]
+            first, r = first[ok], r[ok]
+        np.add.at(marks, first + reply[1][r], 1)
+        np.add.at(marks, first + reply[2][r] + kind.length, -1)
     return np.cumsum(marks[:-1]) > 0
 
 
@@ -412,16 +536,21 @@ def schema_table(schema) -> pa.Table:
     return to_arrow_schema(schema).empty_table()
 
 
+def _sent(docs: DataFrame, kind: Kind, hot: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Documents dealt to blocks, and the fragments that these send to the groups (passes 1 to 3)."""
+    spark = docs.sparkSession
+    n = pieces(text_bytes(docs), block_bytes, spark)
+    dealt = docs.withColumn("_pg_block", F.expr(f"cast(pmod(xxhash64(doc_id, text), {n}) as int)")).repartition(n, "_pg_block")
+    repeated = dealt.mapInArrow(anchors(kind, n), SENT).groupBy("bucket").applyInArrow(repeated_anchors(hot), REPLY)
+    return dealt, dealt.groupBy("_pg_block").cogroup(repeated.groupBy("block")).applyInArrow(fragments(kind, n), SENT)
+
+
 def remove_repeats(docs: DataFrame, kind: Kind, resolver: Resolver, finish: Callable, schema: StructType, hot: int = 20_000, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Run the five passes over ``docs`` (doc_id, text and any others) and finish each piece.
 
     finish(rows as an Arrow table, piece, covered units) gives an Arrow table of ``schema``.
     """
-    spark = docs.sparkSession
-    n = pieces(text_bytes(docs), block_bytes, spark)
-    dealt = docs.withColumn("_pg_block", F.expr(f"cast(pmod(xxhash64(doc_id, text), {n}) as int)")).repartition(n, "_pg_block")
-    repeated = dealt.mapInArrow(anchors(kind, n), SENT).groupBy("bucket").applyInArrow(repeated_anchors(hot), REPLY)
-    sent = dealt.groupBy("_pg_block").cogroup(repeated.groupBy("block")).applyInArrow(fragments(kind, n), SENT)
+    dealt, sent = _sent(docs, kind, hot, block_bytes)
     found = sent.groupBy("bucket").applyInArrow(resolve(kind, resolver), REPLY)
 
     def last(rows: pa.Table, replies: pa.Table) -> pa.Table:
@@ -434,3 +563,27 @@ def remove_repeats(docs: DataFrame, kind: Kind, resolver: Resolver, finish: Call
         return pa.concat_tables(out) if out else schema_table(schema)
 
     return dealt.groupBy("_pg_block").cogroup(found.groupBy("block")).applyInArrow(last, schema)
+
+
+PLACES = "repeat long, length int, doc_id long, start long"
+
+
+def list_repeats(docs: DataFrame, kind: Kind, resolver: Resolver, hot: int = 20_000, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Every place of every maximal repeat: the repeat's name (a hash of its units), its length in units, the
+    document and the unit at which it starts there. One row a place, places in one document included."""
+    given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    dealt, sent = _sent(given, kind, hot, block_bytes)
+    found = sent.groupBy("bucket").applyInArrow(listed(kind, resolver), REPLY)
+
+    def last(rows: pa.Table, replies: pa.Table) -> pa.Table:
+        out = [schema_table(StructType.fromDDL(PLACES))]
+        reply = sorted_replies(replies, "<u8", "<i4", "<i4", "<u8", "<u8")
+        rows = rows.combine_chunks()
+        for _, piece, at in cut_pieces(kind, ids_of(rows.column("doc_id")), rows.column("text").to_pylist()):
+            ids = rows.column("doc_id").slice(at.start, at.stop - at.start)
+            for first, doc, r in matches(kind, piece, reply):
+                start = first + reply[1][r] - piece.start[doc]
+                out.append(pa.table([pa.array(reply[3][r].view(np.int64)), pa.array(reply[2][r].astype(np.int32)), ids.take(pa.array(doc)), pa.array(start.astype(np.int64))], schema=out[0].schema))
+        return pa.concat_tables(out)
+
+    return dealt.groupBy("_pg_block").cogroup(found.groupBy("block")).applyInArrow(last, PLACES).distinct()

@@ -1,10 +1,10 @@
 """Suffix-array dedup over bytes: the common-prefix interval tree of an enhanced suffix array.
 
-The passes in repeats.py bring all suffixes that may share 50 bytes into one group. A group orders its
-suffixes, finds the common prefix of neighbours and scans for the intervals of depth 50 and more. An
-interval holds all places of a repeat, not just neighbours; it is a maximal repeat if the bytes before
-its places differ. Shallower intervals are of no use here, so the order within a group is by a hash of
-the first 50 bytes, which keeps every deep interval together.
+The passes in repeats.py bring all suffixes that may share 50 bytes into one group. A group puts the suffixes
+that share 50 bytes with another in lexicographic order, up to the end of their fragments, with the length of the
+common prefix of each two neighbours. A stack scan over these gives the intervals of 50 bytes and more; an interval
+holds all places of a repeat, not just neighbours, and is a maximal repeat if the bytes before its places differ.
+What maximal repeats cover is removed.
 """
 
 from __future__ import annotations
@@ -17,66 +17,94 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .repeats import Kind, Piece, prefix_sums, remove_repeats, span_hash
+from .repeats import Kind, Piece, Repeats, U, left_diverse, list_repeats, prefix_sums, remove_repeats, span_hash
 from .shared import documents
 
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def enhanced_suffix_array(units: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in an order that keeps those with ``length`` equal units together, and for each whether it
-    shares that much with the one before (what a stack scan needs of the common-prefix array)."""
-    h = span_hash(prefix_sums(units), start, start + length)
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    return order, np.concatenate([[False], s[1:] == s[:-1]])
+WORD = 8
 
 
-def intervals(deep: np.ndarray) -> np.ndarray:
-    """Where the scan opens an interval: each place whose common prefix with the one before is too short."""
-    return np.flatnonzero(~deep)
+def big_endian(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as one number that sorts as they do; zeros beyond the end."""
+    padded = np.concatenate([data, np.zeros(WORD, np.uint8)])
+    return np.lib.stride_tricks.sliding_window_view(padded, WORD)[: len(data)].copy().view(">u8").ravel().astype(U)
 
 
-def left_diverse(units: np.ndarray, start: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Whether the units before an interval's places differ; a place at the very start differs from all."""
-    before = np.where(start > 0, units[start - 1].astype(np.int64), -1 - np.arange(len(start)))[order]
-    return np.minimum.reduceat(before, first) != np.maximum.reduceat(before, first)
+def words_from(packed: np.ndarray, at: np.ndarray, left: np.ndarray, n: int) -> list[np.ndarray]:
+    """``n`` numbers of eight bytes each from place ``at``, zeros after ``left`` bytes."""
+    out = []
+    for j in range(n):
+        have = np.clip(left - WORD * j, 0, WORD)
+        w = packed[np.minimum(at + WORD * j, len(packed) - 1)]
+        shift = (64 - 8 * have).clip(max=63).astype(U)
+        out.append(np.where(have > 0, w >> shift << shift, U(0)))
+    return out
 
 
-def maximal_repeats(data: bytes, length: int) -> list[tuple[int, list[int]]]:
-    """(length, places) of the maximal repeats of one text that have ``length`` bytes or more, for small inputs.
+def common_bytes(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many leading bytes two sequences of numbers share."""
+    total, going = np.zeros(len(a[0]) if a else 0, np.int64), True
+    for x, y in zip(a, b, strict=True):
+        d = x ^ y
+        same = sum(((d < U(1 << 8 * k)).astype(np.int64) for k in range(1, 8)), (d == 0).astype(np.int64))
+        total += np.where(going, same, 0)
+        going = going & (d == 0)
+    return total
 
-    A stack scan over the full suffix array: an interval is reported when it closes, if its left bytes differ.
-    """
-    order = sorted(range(len(data)), key=lambda i: data[i:])
-    lcp = [0]
-    for a, b in zip(order, order[1:], strict=False):
-        n = 0
-        while a + n < len(data) and b + n < len(data) and data[a + n] == data[b + n]:
-            n += 1
-        lcp.append(n)
-    stack, out = [(0, 0)], []
-    for i, depth in enumerate([*lcp[1:], 0], 1):
-        lo = i - 1
-        while stack[-1][0] > depth:
-            d, lo = stack.pop()
-            places = order[lo:i]
-            if d >= length and len({data[p - 1] if p else -1 for p in places}) > 1:
-                out.append((d, sorted(places)))
-        if stack[-1][0] < depth:
-            stack.append((depth, lo))
-    return out
 
+def enhanced_suffix_array(units: np.ndarray, start: np.ndarray, end: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes start..end that share ``length`` units with another, in lexicographic order, and the common
+    prefix of each with the one before (0 where it is shorter than ``length``).
 
-def interval_tree(units: np.ndarray, start: np.ndarray, least: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least id and number of places of the interval that holds each suffix."""
-    order, deep = enhanced_suffix_array(units, start, length)
-    first = intervals(deep)
+    Hashes only leave out suffixes that share too little with any other; the order is of the bytes.
+    """
+    h = span_hash(prefix_sums(units), start, start + length)
+    order = np.argsort(h, kind="stable")
+    new = np.concatenate([[True], h[order[1:]] != h[order[:-1]]])
+    first = np.flatnonzero(new)
     size = np.diff(np.concatenate([first, [len(order)]]))
-    lo, places = np.empty_like(least), np.empty_like(count)
-    lo[order] = np.repeat(np.minimum.reduceat(least[order], first), size)
-    places[order] = np.repeat(np.add.reduceat(count[order], first), size)
-    return lo, places
+    many = size > 1
+    suffix, group = order[np.repeat(many, size)], np.repeat(np.arange(many.sum()), size[many])
+    if not len(suffix):
+        return suffix, np.zeros(0, np.int64)
+    packed, head = big_endian(units), start[order[first[many]]]
+    rank = np.empty(len(head), np.int64)
+    rank[np.lexsort(words_from(packed, head, np.full(len(head), length), -(-length // WORD))[::-1])] = np.arange(len(head))
+    left = end[suffix] - start[suffix] - length
+    tail = words_from(packed, start[suffix] + length, left, -(-int(left.max()) // WORD))
+    turn = np.lexsort((left, *tail[::-1], rank[group]))
+    suffix, group, left, tail = suffix[turn], group[turn], left[turn], [t[turn] for t in tail]
+    common = length + np.minimum(common_bytes([t[1:] for t in tail], [t[:-1] for t in tail]) if tail else 0, np.minimum(left[1:], left[:-1]))
+    return suffix, np.concatenate([[0], np.where(group[1:] == group[:-1], common, 0)])
+
+
+def scan(common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Depth, first and one past the last place of each interval; a stack holds the intervals that are open.
+
+    Where neighbours' common prefixes stay the same nothing opens or closes, so only changes are looked at.
+    """
+    at = np.flatnonzero(np.concatenate([[True], common[1:] != common[:-1]])) if len(common) else np.zeros(0, np.int64)
+    depths, firsts, lasts = [], [], []
+    open_depth, open_first = [0], [0]
+    for i, depth in zip([*at.tolist(), len(common)], [*common[at].tolist(), 0], strict=True):
+        first = i - 1
+        while open_depth[-1] > depth:
+            depths.append(open_depth.pop())
+            first = open_first.pop()
+            firsts.append(first)
+            lasts.append(i)
+        if open_depth[-1] < depth:
+            open_depth.append(depth)
+            open_first.append(first)
+    return np.array(depths, np.int64), np.array(firsts, np.int64), np.array(lasts, np.int64)
+
+
+def interval_tree(units: np.ndarray, start: np.ndarray, end: np.ndarray, begin: np.ndarray, length: int) -> Repeats:
+    """The maximal repeats of a group, with all their places."""
+    order, common = enhanced_suffix_array(units, start, end, length)
+    return left_diverse(units, start, begin, Repeats(*scan(common), order))
 
 
 def _kind(window: int) -> Kind:
@@ -107,5 +135,15 @@ def removal_digests(docs: DataFrame, window: int = 50, **how) -> DataFrame:
     return remove_repeats(given, _kind(window), interval_tree, finish, StructType.fromDDL(DIGEST), **how)
 
 
+def maximal_repeats(docs: DataFrame, window: int = 50, **how) -> DataFrame:
+    """repeat, length, doc_id and start of every place of every maximal repeat of ``window`` bytes or more.
+
+    A repeat longer than a fragment comes in overlapping parts (see repeats.py). A null text counts as empty,
+    repeated rows are places like any other (equal rows of the result stand once), an empty table gives an empty
+    result.
+    """
+    return list_repeats(docs, _kind(window), interval_tree, **how)
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digests(documents(spark, sf_dir))
