@@ -575,15 +575,17 @@ def list_repeats(docs: DataFrame, kind: Kind, resolver: Resolver, hot: int = 20_
     dealt, sent = _sent(given, kind, hot, block_bytes)
     found = sent.groupBy("bucket").applyInArrow(listed(kind, resolver), REPLY)
 
+    none = schema_table(StructType.fromDDL(PLACES))
+
     def last(rows: pa.Table, replies: pa.Table) -> pa.Table:
-        out = [schema_table(StructType.fromDDL(PLACES))]
+        out = [none]
         reply = sorted_replies(replies, "<u8", "<i4", "<i4", "<u8", "<u8")
         rows = rows.combine_chunks()
         for _, piece, at in cut_pieces(kind, ids_of(rows.column("doc_id")), rows.column("text").to_pylist()):
             ids = rows.column("doc_id").slice(at.start, at.stop - at.start)
             for first, doc, r in matches(kind, piece, reply):
                 start = first + reply[1][r] - piece.start[doc]
-                out.append(pa.table([pa.array(reply[3][r].view(np.int64)), pa.array(reply[2][r].astype(np.int32)), ids.take(pa.array(doc)), pa.array(start.astype(np.int64))], schema=out[0].schema))
+                out.append(pa.table([pa.array(reply[3][r].view(np.int64)), pa.array(reply[2][r].astype(np.int32)), ids.take(pa.array(doc)), pa.array(start.astype(np.int64))], schema=none.schema))
         return pa.concat_tables(out)
 
     return dealt.groupBy("_pg_block").cogroup(found.groupBy("block")).applyInArrow(last, PLACES).distinct()
