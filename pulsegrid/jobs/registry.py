@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import rhythm, scores, signals, texts
+from . import edges, rhythm, scores, signals, texts
 
-QUERIES: dict = rhythm.QUERIES | scores.QUERIES | signals.QUERIES | texts.QUERIES
-SQL: dict[str, str] = rhythm.SQL | scores.SQL | signals.SQL | texts.SQL
+QUERIES: dict = rhythm.QUERIES | scores.QUERIES | signals.QUERIES | texts.QUERIES | edges.QUERIES
+SQL: dict[str, str] = rhythm.SQL | scores.SQL | signals.SQL | texts.SQL | edges.SQL

@@ -191,16 +191,16 @@ def a14(s, d):
     return A.periodicity_quality(frames_of(s, d), 16, 43).select("track_id", r6("qmax").alias("qmax"), r6("qpar").alias("qpar"), F.round("qkur", 4).alias("qkur"))
 
 
-@query(
-    "a12_autocorr_bpm",
-    f"""with {T.USER_SQL}, {AC.format(8, 86)}, s as (select b.track_id, b.lag, b.ac + 0.5 * coalesce(h.ac, 0) + 0.5 * coalesce(e.ac, 0) score
-      from ac b left join ac h on h.track_id = b.track_id and h.lag = b.lag // 2 left join ac e on e.track_id = b.track_id and e.lag = b.lag * 2 where b.lag between 16 and 43),
-    n as (select *, lag(score) over w p, lead(score) over w q from s window w as (partition by track_id order by lag)),
-    t as (select *, row_number() over (partition by track_id order by round(score, 9) desc, lag) r from n)
-    select track_id, round(case when score > 0 then 60.0 * {FPS} / (lag + coalesce(case when abs(p - 2 * score + q) > 1e-9 then greatest(-0.5, least(0.5, 0.5 * (p - q) / (p - 2 * score + q))) end, 0)) else 0 end, 4) bpm from t where r = 1""",
-)
+A12_SQL = AC.format(16, 43) + """, s as (select b.track_id, b.lag, b.ac, b.ac + case when b.lag // 2 >= 16 then 0.5::double * h.ac else 0 end + case when b.lag * 2 <= 43 then 0.5::double * e.ac else 0 end score
+      from ac b left join ac h on h.track_id = b.track_id and h.lag = b.lag // 2 left join ac e on e.track_id = b.track_id and e.lag = b.lag * 2),
+    n as (select *, lag(ac) over w p, lead(ac) over w q from s window w as (partition by track_id order by lag)),
+    t as (select *, row_number() over (partition by track_id order by round(score, 9) desc, lag) r from n),
+    auto as (select track_id, case when score > 0 then 60.0::double * 50 / (lag + coalesce(case when abs(p - 2 * ac + q) > 1e-9 then 0.5::double * (p - q) / (p - 2 * ac + q) end, 0)) else 0 end bpm from t where r = 1)"""
+
+
+@query("a12_autocorr_bpm", f"with {T.USER_SQL}, {A12_SQL} select track_id, round(bpm, 4) bpm from auto")
 def a12(s, d):
-    return A.autocorr_bpm(frames_of(s, d), FPS, 16, 43).select("track_id", F.round("bpm", 4).alias("bpm"))
+    return A.autocorr_bpm(frames_of(s, d), FPS, 70.0, 187.5).select("track_id", F.round("bpm", 4).alias("bpm"))
 
 
 @query(
@@ -217,16 +217,19 @@ def a13(s, d):
 LOW, HIGH = 60.0, 1500.0
 
 
-@query(
-    "a11_bpm_histogram",
-    f"""with {PEAKS}, pr as (select a.track_id, 60.0 * {FPS} / ((b.frame - a.frame) / (b.i - a.i)) bpm, 0.5::double * (a.beat + b.beat) w from idx a join idx b on a.track_id = b.track_id and b.i - a.i between 1 and 4
+def a11_sql(low: float, high: float) -> str:
+    """Every bin of the range, dense: its own mass and half that of the bins of half and double its edge."""
+    return f"""pr as (select a.track_id, 60.0::double * {FPS} / ((b.frame - a.frame) / (b.i - a.i)) bpm, 0.5::double * (a.beat + b.beat) w from idx a join idx b on a.track_id = b.track_id and b.i - a.i between 1 and 4
       where a.track_id in (select track_id from peaks group by 1 having count(*) >= 4)),
-    h as (select track_id, cast(floor((bpm - {LOW}::double) / 0.05::double) as bigint) bin, sum(w) w, sum(w * bpm) wb from pr where bpm between {LOW}::double and {HIGH} group by 1, 2),
-    e as (select track_id, bin, w s, true own from h union all select track_id, cast(floor((({LOW}::double + (bin + 0.5::double) * 0.05::double) * 2 - {LOW}::double) / 0.05::double) as bigint), w / 2, false from h
-      union all select track_id, cast(floor((({LOW}::double + (bin + 0.5::double) * 0.05::double) / 2 - {LOW}::double) / 0.05::double) as bigint), w / 2, false from h),
-    sc as (select track_id, bin, sum(s) s, bool_or(own) own from e group by 1, 2), b as (select track_id, bin best, row_number() over (partition by track_id order by round(s, 9) desc, bin) r from sc where own)
-    select h.track_id, round(sum(wb) / sum(w), 6) bpm from h join b on b.track_id = h.track_id and r = 1 and abs(bin - best) <= 2 group by 1""",
-)
+    h as (select track_id, cast(floor((bpm - {low!r}::double) / 0.05::double) as bigint) bin, sum(w) w from pr where bpm between {low!r}::double and {high!r}::double group by 1, 2),
+    bins as (select range i, {low!r}::double + range * 0.05::double e from range(cast(floor(({high!r}::double - {low!r}::double) / 0.05::double) as bigint) + 1)),
+    looks as (select i, i j, 1.0::double f from bins union all select i, cast(floor((e * 0.5::double - {low!r}::double) / 0.05::double) as bigint), 0.5::double from bins where e * 0.5::double >= {low!r}::double
+      union all select i, cast(floor((e * 2 - {low!r}::double) / 0.05::double) as bigint), 0.5::double from bins where e * 2 <= {high!r}::double),
+    sc as (select track_id, i, sum(w * f) s from h join looks on j = bin group by 1, 2), b as (select track_id, i best, row_number() over (partition by track_id order by round(s, 9) desc, i) r from sc),
+    hist as (select b.track_id, coalesce(sum(case when abs(bin - best) <= 2 then ({low!r}::double + bin * 0.05::double) * w end) / sum(case when abs(bin - best) <= 2 then w end), {low!r}::double + any_value(best) * 0.05::double) bpm from b join h using (track_id) where r = 1 group by 1)"""
+
+
+@query("a11_bpm_histogram", f"with {PEAKS}, {a11_sql(LOW, HIGH)} select track_id, round(bpm, 6) bpm from hist")
 def a11(s, d):
     return rounded(A.bpm_histogram(peaks_of(s, d), FPS, LOW, HIGH), "bpm")
 
@@ -244,14 +247,29 @@ def j11(s, d):
     return A.tempo_sweep(frames_of(s, d), FPS, TEMPI).select("track_id", "bpm", r6("strength").alias("strength"))
 
 
-@query("c1_tempo_by_user")
+@query(
+    "c1_tempo_by_user",
+    f"""with recursive {PEAKS}, {a11_sql(70.0, 187.5)}, {A12_SQL}, cp0 as (select track_id, frame, greatest(beat - avg(beat) over (partition by track_id), 0) x from frames),
+    cp as (select a.track_id, b.frame - a.frame lag, sum(a.x * b.x) ac from cp0 a join cp0 b on a.track_id = b.track_id and b.frame - a.frame between 16 and 43 group by 1, 2),
+    cs as (select l.track_id, l.lag, sum(m.ac / k.k) s from cp l cross join (select range k from range(1, 5)) k join cp m on m.track_id = l.track_id and m.lag = l.lag * k.k group by 1, 2),
+    ct as (select *, row_number() over (partition by track_id order by round(s, 9) desc, lag) r from cs), comb as (select track_id, case when s > 0 then 60.0::double * {FPS} / lag else 0 end bpm from ct where r = 1),
+    bg as (select track_id, frame, frame - lag(frame, 4) over w bar, frame - lag(frame) over w gap from peaks window w as (partition by track_id order by frame)),
+    bn as (select *, count(gap) over (partition by track_id) n, row_number() over (partition by track_id order by gap asc nulls last) r from bg), bt as (select *, case when n > 20 then n // 10 else 0 end tr from bn),
+    bars as (select track_id, case when count(bar) >= 3 then 240.0::double * {FPS} / {UM.format('bar')} else coalesce(60.0::double * {FPS} / avg(case when gap is not null and r > tr and r <= n - tr then gap end), 0) end x from bt group by 1),
+    nb(track_id, v, x, k) as (select track_id, x, x, 0 from bars union all select track_id, v, case when x < 70 and x * 2 <= 187.5 then x * 2 when x > 187.5 and x / 2 >= 70 then x / 2 else x end, k + 1 from nb where k < 8),
+    beats as (select track_id, case when v > 0 then greatest(70, least(187.5, x)) else v end bpm from nb where k = 8),
+    j as (select t.track_id, coalesce(h.bpm, 0) p, coalesce(c.bpm, 0) c, coalesce(a.bpm, 0) a, coalesce(b.bpm, 0) b from (select distinct track_id from frames) t left join hist h using (track_id) left join comb c using (track_id) left join auto a using (track_id) left join beats b using (track_id))
+    select track_id, round(p, 4) peaks, round(c, 4) comb, round(a, 4) autocorr, round(b, 4) beats,
+    round(case when p > 0 and c > 0 and abs(p - c) / p <= 0.02 then (p + c) / 2 when p > 0 and a > 0 and abs(p - a) / p <= 0.02 then (p + a) / 2 when c > 0 and a > 0 and abs(c - a) / c <= 0.02 then (c + a) / 2
+      when p > 0 then p when c > 0 then c when a > 0 then a else b end, 4) bpm from j""",
+)
 def c1(s, d):
-    f, p = frames_of(s, d), peaks_of(s, d)
-    low, high = 60 * FPS / 43, 60 * FPS / 16
+    f = frames_of(s, d)
+    p = P.local_peaks(f, "beat", FLOOR).select("track_id", "frame", "beat")
+    low, high = 70.0, 187.5
     one = lambda df, n: df.select("track_id", F.col("bpm").alias(n))
-    tracks = f.select("track_id").distinct()
-    est = tracks.join(one(A.bpm_histogram(p, FPS, low, high), "peaks"), "track_id", "left")
-    for df, n in ((A.autocorr_bpm(f, FPS, 16, 43), "autocorr"), (A.comb_bpm(f, FPS, 16, 43), "comb"), (K.bar_bpm(p, FPS), "beats")):
+    est = f.select("track_id").distinct()
+    for df, n in ((A.bpm_histogram(p, FPS, low, high), "peaks"), (A.autocorr_bpm(f, FPS, low, high), "autocorr"), (A.comb_bpm(f, FPS, 16, 43), "comb"), (K.bar_bpm(p, FPS), "beats")):
         est = est.join(one(df, n), "track_id", "left")
     est = est.fillna(0.0)
     est = est.withColumn("beats", S.normalize_bpm("beats", low, high))
@@ -285,7 +303,7 @@ def w10(s, d):
 
 @query(
     "a5_activation_stats",
-    f"""with {PEAKS} select track_id, count(*) n, round(min(beat), 6) low, round(max(beat), 6) high, round(avg(beat), 6) mean, count(case when beat >= {FLOOR} then 1 end) n_above,
+    f"""with {PEAKS} select track_id, count(*) n, round(min(beat), 6) low, round(max(beat), 6) high, round(sum(cast(round(beat * 4294967296) as bigint)) / 4294967296::double / count(*), 6) mean, count(case when beat >= {FLOOR} then 1 end) n_above,
     min(case when beat >= {FLOOR} and beat >= p and beat >= n then frame end) first_peak, round(max(case when frame < 100 then beat end), 6) high_start from lag1 group by 1""",
 )
 def a5(s, d):
@@ -364,8 +382,8 @@ def j7(s, d):
 
 @query(
     "j8_bpb_phase",
-    f"""with {PEAKS}, dn as (select track_id, frame from frames where downbeat >= 0.1), h as (select i.track_id, i.i from idx i join dn using (track_id, frame)), f as (select *, min(i) over (partition by track_id) f0 from h),
-    c as (select track_id, any_value(f0) f0, count(case when i % 3 = f0 % 3 then 1 end) h3, count(case when i % 4 = f0 % 4 then 1 end) h4 from f group by 1),
+    f"""with {PEAKS}, dn as (select track_id, frame from frames where downbeat >= 0.1), h as (select d.track_id, d.frame, i.i from dn d left join idx i using (track_id, frame)), f as (select *, coalesce(first_value(i) over (partition by track_id order by frame), 0) f0 from h),
+    c as (select track_id, any_value(f0) f0, count(case when i % 3 = f0 % 3 then 1 end) h3, count(case when i % 4 = f0 % 4 then 1 end) h4 from f where i is not null group by 1),
     o as (select t.track_id, coalesce(f0, 0) f0, coalesce(h3, 0) h3, coalesce(h4, 0) h4 from (select distinct track_id from peaks) t left join c using (track_id)),
     b as (select *, case when h3 > h4 and (h4 = 0 or h3 >= 1.5 * h4) then 3 else 4 end bpb from o) select track_id, bpb, cast(f0 % bpb as integer) phase, h3 hits3, h4 hits4 from b""",
 )

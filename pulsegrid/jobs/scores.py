@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -112,8 +113,6 @@ WIN = """win as (select user_id track_id, row_number() over (partition by user_i
 
 
 def windows_of(s, d) -> DataFrame:
-    from pyspark.sql import Window as W
-
     win = F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1
     return values_of(s, d).select(F.col("user_id").alias("track_id"), win.alias("win"), (win * 10.0).alias("start"), (win * 10.0 + 15).alias("end"), ((F.col("event_id") % 100) / 100.0).alias("score"), (F.col("v") > 20).alias("usable"))
 
@@ -162,8 +161,6 @@ PR = "pr as (select user_id track_id, row_number() over (partition by user_id or
 
 
 def probes_of(s, d) -> DataFrame:
-    from pyspark.sql import Window as W
-
     i, v = F.col("event_id"), F.col("v")
     n = F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1
     p = values_of(s, d).select(F.col("user_id").alias("track_id"), n.alias("probe"), (90 + v / 10).alias("bpm"), (0.5 + (i % 50) / 100.0).alias("confidence"), ((i % 9) / 100.0).alias("mode_error"), F.when(i % 6 > 0, v).alias("phase_ms"), F.when(i % 5 > 0, v * 1.5).alias("odd_even_ms"))
@@ -182,9 +179,9 @@ def k8(s, d):
 
 @query(
     "k7_probe_consensus",
-    f"""with {PR}, m as (select track_id, probe, confidence, bpm * f bpm, pen from p cross join (values (0.5::double, 1.9::double), (1.0::double, 1.0::double), (2.0::double, 1.15::double)) q(f, pen) where bpm * f between 60 and 200),
-    e as (select a.track_id, a.bpm, a.pen, b.probe p2, b.confidence c2, min(abs(b.bpm - a.bpm) / a.bpm * b.pen) e, min(abs(b.bpm - a.bpm) / a.bpm) r from (select distinct track_id, bpm, pen from m) a join m b using (track_id) group by 1, 2, 3, 4, 5),
-    c as (select track_id, bpm, pen, sum(e / c2) e, sum(case when r <= 0.02 then c2 else 0 end) su from e group by 1, 2, 3), s as (select track_id, bpm, round(e * pen / (1 + 0.8::double * su), 9) score from c),
+    f"""with {PR}, m as (select track_id, probe, confidence, bpm * f bpm, pen from p cross join (values (0.5::double, 1.15::double), (1.0::double, 1.0::double), (2.0::double, 1.15::double)) q(f, pen) where bpm * f between 60 and 200),
+    e as (select a.track_id, a.bpm, a.pen, b.probe p2, b.confidence c2, min(abs(b.bpm - a.bpm) / ((a.bpm + b.bpm) / 2) * b.pen) e from (select distinct track_id, bpm, pen from m) a join m b using (track_id) group by 1, 2, 3, 4, 5),
+    c as (select track_id, bpm, pen, sum(e / c2) e, sum(case when e <= 0.02 then c2 else 0 end) su from e group by 1, 2, 3), s as (select track_id, bpm, round(e * pen / (1 + 0.8::double * su), 9) score from c),
     r as (select *, row_number() over (partition by track_id order by score, bpm) k from s) select track_id, round(bpm, 6) bpm, round(score, 6) score from r where k = 1""",
 )
 def k7(s, d):
@@ -232,17 +229,56 @@ def x4(s, d):
 SQL["x4_pad_and_mask"] = SQL["x4_pad_and_mask"].replace("list_sum(l) total", "round(list_sum(l), 4) total")
 
 
-@query("q5_gate_report", f"""with {PEAKS}, r as (select *, row_number() over (partition by track_id order by frame) a, row_number() over (partition by track_id order by frame desc) z from gaps),
-    e as (select track_id, 60.0::double * {FPS} / {UM.format('case when a <= 16 then gap end')} a, 60.0::double * {FPS} / {UM.format('case when z <= 16 then gap end')} z from r group by 1),
-    f as (select track_id, case when count(*) >= 4 and regr_slope(frame, i) > 0 then 60.0::double * {FPS} / regr_slope(frame, i) else 0 end bpm from idx group by 1),
-    c as (select track_id, concat_ws(',', case when bpm < 150 + track_id % 100 then 'bpm_low' end, case when track_id % 3 > 0 and bpm > 180 + track_id % 100 then 'bpm_high' end, case when abs(z - a) > 200 then 'edge_tempo' end) failed from e join f using (track_id))
-    select track_id, failed, failed = '' passed from c""")
+OFFSETS = f"""o as (select i.track_id, i.i beat_index, cast(i.frame - (f0 + i.i * 5) as double) x from idx i join (select track_id, min(frame) f0 from peaks group by 1) z using (track_id)), r as (select *, row_number() over (partition by track_id order by beat_index) a, row_number() over (partition by track_id order by beat_index desc) z from o)"""
+
+
+@query(
+    "q5_gate_report",
+    f"""with {PEAKS}, {OFFSETS},
+    al as (select track_id, count(*) n, {UM.format('case when a <= 16 then x end')} st, {UM.format('case when a <= 16 then abs(x) end')} ab, {UM.format('case when z <= 16 then x end')} en, {UM.format('case when a <= 24 and beat_index % 2 = 1 then x end')} od, {UM.format('case when a <= 24 and beat_index % 2 = 0 then x end')} ev from r group by 1),
+    gr as (select *, row_number() over (partition by track_id order by frame) a, row_number() over (partition by track_id order by frame desc) z from gaps), ed as (select track_id, 60.0::double * {FPS} / {UM.format('case when a <= 16 then gap end')} a, 60.0::double * {FPS} / {UM.format('case when z <= 16 then gap end')} z from gr group by 1),
+    ft as (select track_id, case when count(*) >= 4 and regr_slope(frame, i) > 0 then 60.0::double * {FPS} / regr_slope(frame, i) else 0 end bpm from idx group by 1),
+    md as (select track_id, {UM.format('x')} m from o group by 1), dv as (select o.*, abs(x - m) y from o join md using (track_id)), mk as (select track_id, greatest(1, 1.4826::double * {UM.format('y')}) mad from dv group by 1), zk as (select dv.*, y <= least(greatest(3 * mad, 12), 30) ok from dv join mk using (track_id)),
+    sl as (select track_id, coalesce(case when count(case when ok then 1 end) >= 2 then regr_slope(case when ok then x end, beat_index) end, regr_slope(x, beat_index), 0) slope from zk group by 1),
+    db as (select i.track_id, i.i, i.frame from idx i join frames f using (track_id, frame) where f.downbeat >= 0.1), dg as (select *, i - lag(i) over w gap, row_number() over w k from db window w as (partition by track_id order by i)),
+    br as (select track_id, count(*) n, min(frame) first, coalesce(bool_and(gap = 4), true) regular, (min(i) <= 1 and coalesce(max(case when k = 2 then gap end) = 4, false)) whole from dg group by 1),
+    wi as (select o.track_id, x, f.l, row_number() over (partition by o.track_id, f.l order by beat_index) - 1 i, count(*) over (partition by o.track_id, f.l) n, f.f from o cross join (values ('early', 0.1::double), ('late', 0.9::double)) f(l, f)),
+    wm as (select track_id, l, {UM.format('abs(x)')} m from wi where i >= greatest(0, least(round(f * n) - 6, n - 12)) and i < greatest(0, least(round(f * n) - 6, n - 12)) + 12 group by 1, 2),
+    wf as (select track_id, string_agg('window_' || l, ',' order by l) w from wm where m > case when l = 'early' then 20 else 1000 end group by 1),
+    c as (select f.track_id, concat_ws(',', case when not bpm > 0 then 'no_bpm' end, case when al.n < 60 then 'beat_count_low' end, case when coalesce(br.n, 0) < 10 then 'downbeat_count_low' end, case when f.track_id % 3 > 0 and bpm < 150 + f.track_id % 100 then 'bpm_low' end,
+      case when f.track_id % 7 = 0 and al.n <> 70 then 'beat_count' end, case when f.track_id % 5 = 0 and coalesce(br.n, 0) <> 15 then 'downbeat_count' end, case when f.track_id % 3 = 0 and abs(bpm - 250) > 60 then 'bpm_target' end, case when f.track_id % 2 = 0 and coalesce(abs(first - 40) > 30, true) then 'first_downbeat' end,
+      case when f.track_id % 4 = 0 and not coalesce(whole, false) then 'first_bar' end, case when f.track_id % 4 = 1 and not coalesce(regular, false) then 'bars_of_four' end, case when f.track_id % 3 > 0 and bpm > 180 + f.track_id % 100 then 'bpm_high' end, case when coalesce(ab > 25, true) then 'intro_median' end,
+      case when coalesce(abs(slope) > 4, true) then 'slope' end, case when coalesce(abs(en - st) > 400, true) then 'start_end_ms' end, case when coalesce(abs((en - st) / 5) > 60, true) then 'start_end_beats' end, case when coalesce(abs(od - ev) > 3, true) then 'odd_even' end,
+      case when coalesce(abs(z - a) > 200, true) then 'edge_tempo' end, w) failed
+      from ft f join al using (track_id) join ed using (track_id) join sl using (track_id) left join br using (track_id) left join wf using (track_id))
+    select track_id, failed, failed = '' passed from c""",
+)
 def q5(s, d):
-    p = peaks_of(s, d)
-    m = A.linear_fit_bpm(p, FPS).join(K.edge_tempo(p, FPS, 16), "track_id").withColumn("slope", F.lit(0.0))
+    from ..operators.joins import strength_lookup
+    from .rhythm import numbered
+
+    f, p = frames_of(s, d), peaks_of(s, d)
+    b = numbered(p)
+    off = b.withColumn("offset_ms", (F.col("frame") - F.min("frame").over(W.partitionBy("track_id")) - F.col("beat_index") * 5).cast("double"))
+    first = F.row_number().over(W.partitionBy("track_id").orderBy("beat_index"))
+    intro = off.withColumn("_r", first).where("_r <= 16").groupBy("track_id").agg(S.upper_median(F.abs("offset_ms")).alias("intro_abs_ms"))
+    down = strength_lookup(b.drop("beat"), f, "downbeat").where("strength >= 0.1")
+    bars = K.bar_regularity(down.select("track_id", "frame", "beat_index")).select("track_id", F.col("regular").alias("bars_regular"), F.col("whole_first").alias("first_bar_whole"))
+    downs = down.groupBy("track_id").agg(F.count("*").alias("n_downbeats"), F.min("frame").alias("first_downbeat"))
+    m = A.linear_fit_bpm(p, FPS).join(K.edge_tempo(p, FPS, 16), "track_id").join(K.robust_slope(off).select("track_id", "slope"), "track_id").join(K.alignment_report(off, 5.0, 16), "track_id").join(intro, "track_id")
+    m = m.join(b.groupBy("track_id").agg(F.count("*").alias("n_beats")), "track_id").join(downs, "track_id", "left").join(bars, "track_id", "left").fillna(0, ["n_downbeats"])
     t = F.col("track_id")
-    limits = m.select("track_id", (150.0 + t % 100).alias("min_bpm"), F.when(t % 3 > 0, 180.0 + t % 100).alias("max_bpm"), F.lit(None).cast("double").alias("max_slope"), F.lit(200.0).alias("max_delta_bpm"))
-    return K.gate_report(m, limits)
+    on = lambda c, v: F.when(c, F.lit(v))
+    limits = m.select(
+        "track_id", F.lit(60).alias("min_beats"), F.lit(10).alias("min_downbeats"), on(t % 7 == 0, 70).alias("beats"), on(t % 5 == 0, 15).alias("downbeats"),
+        on(t % 3 == 0, 250.0).alias("target_bpm"), F.lit(60.0).alias("bpm_tolerance"), on(t % 2 == 0, 40).alias("downbeat_frame"), F.lit(30).alias("downbeat_tolerance"),
+        (t % 4 == 0).alias("need_first_bar"), (t % 4 == 1).alias("need_regular_bars"), (150.0 + t % 100).alias("min_bpm"), (180.0 + t % 100).alias("max_bpm"),
+        F.lit(25.0).alias("max_intro_ms"), F.lit(4.0).alias("max_slope"), F.lit(400.0).alias("max_delta_ms"), F.lit(60.0).alias("max_delta_beats"), F.lit(3.0).alias("max_odd_even_ms"), F.lit(200.0).alias("max_delta_bpm"),
+    )
+    name = F.when(F.col("fraction") == 0.1, "early").otherwise("late")
+    windows = K.local_windows(off, [0.1, 0.9], 12).select("track_id", name.alias("label"), "abs_ms")
+    window_limits = m.select("track_id", F.explode(F.array(F.struct(F.lit("early").alias("label"), F.lit(20.0).alias("max_ms")), F.struct(F.lit("late").alias("label"), F.lit(1000.0).alias("max_ms")))).alias("l")).select("track_id", "l.*")
+    return K.gate_report(m, limits, windows, window_limits)
 
 
 @query("q7_tempo_without_grid", f"""with {PEAKS}, m as (select track_id, {UM.format('gap')} m from gaps group by 1), g as (select user_id track_id, count(*) n from events where event_type = 'signup' and value > 60 group by 1)

@@ -11,6 +11,7 @@ from ..operators import joins as J
 from ..operators import select as K
 from ..operators import stats as A
 from ..sources import tables as T
+from ..sources import text as X
 from .rhythm import FPS, PEAKS, UM, frames_of, peaks_of, rounded
 
 QUERIES: dict = {}
@@ -29,8 +30,7 @@ def query(name: str, sql: str | None = None):
 
 @query("s1_slice_pcm", f"with {T.PCM_SQL} select track_id, sample, round(x, 6) x from samples where sample >= 640 and sample < 1280")
 def s1(s, d):
-    pcm = T.pcm_from_vectors(s, d).where("start_sample + 64 > 640 and start_sample < 1280")
-    return rounded(T.samples(pcm).where("sample >= 640 and sample < 1280"), "x")
+    return rounded(X.slice_pcm(T.pcm_from_vectors(s, d), 10.0, 10.0, 64.0), "x")
 
 
 @query("a1_block_rms", f"with {T.PCM_SQL} select track_id, sample // 256 \"block\", round(sqrt(avg(x * x)), 6) rms, max(sample) last_sample from samples group by 1, 2")
@@ -55,12 +55,13 @@ def x3(s, d):
     return rounded(K.resample_linear(T.samples(T.pcm_from_vectors(s, d)), 0.6), "x")
 
 
-BEATS = """bt as (select t.track_id, cast(k.k as bigint) beat_index, cast(40 + 37 * k.k as bigint) c from (select distinct track_id from vec) t cross join (select range k from range(60)) k)"""
+BEATS = """bt as (select track_id, cast(k as bigint) beat_index, cast(40 + 37 * k as bigint) c from (select track_id, unnest(range(cast((max(sample) - 40) // 37 + 1 as bigint))) k from samples group by 1))"""
 
 
 def clicks(s, d) -> DataFrame:
-    t = T.pcm_from_vectors(s, d).select("track_id").distinct()
-    return t.select("track_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(59).cast("long"))).alias("beat_index")).withColumn("sample_frame", 40 + 37 * F.col("beat_index"))
+    """A beat every 37 samples, from sample 40 to each track's last."""
+    t = T.pcm_from_vectors(s, d).groupBy("track_id").agg(F.max(F.col("start_sample") + F.size("pcm") - 1).alias("z"))
+    return t.select("track_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("z") - 40) / 37))).alias("beat_index")).withColumn("sample_frame", 40 + 37 * F.col("beat_index"))
 
 
 OFF = f"""{T.PCM_SQL}, {BEATS}, mg as (select track_id, sample, abs(x) a, lag(abs(x)) over w l, lead(abs(x)) over w r from samples window w as (partition by track_id order by sample)),
@@ -124,14 +125,14 @@ def a3b(s, d):
 
 
 WINKEY = """k as (select track_id, frame // 90 win, frame, beat env from frames), o as (select *, greatest(coalesce(env - lag(env) over (partition by track_id, win order by frame), 0), 0) onv from k),
-s1 as (select *, max(env) over y top, max(onv) over y mon, avg(onv) over y mu, lag(onv) over w p, lead(onv) over w n from o window y as (partition by track_id, win), w as (partition by track_id, win order by frame)),
-s2 as (select *, onv - mu c, coalesce(onv >= greatest(1e-6, 0.25::double * mon) and onv >= p and onv >= n, false) pk from s1),
+s1 as (select *, max(env) over y top, max(onv) over y mon, lag(onv) over w p, lead(onv) over w n from o window y as (partition by track_id, win), w as (partition by track_id, win order by frame)),
+s2 as (select *, onv c, coalesce(onv >= greatest(1e-6, 0.25::double * mon) and onv >= p and onv >= n, false) pk from s1),
 pg as (select track_id, win, frame - lag(frame) over (partition by track_id, win order by frame) gap from s2 where pk), cv as (select track_id, win, stddev_pop(gap) / avg(gap) cv from pg group by 1, 2),
 lg as (select a.track_id, a.win, b.frame - a.frame lag, sum(a.c * b.c) ac from s2 a join s2 b on a.track_id = b.track_id and a.win = b.win and b.frame - a.frame between 4 and 12 group by 1, 2, 3), mx as (select track_id, win, greatest(max(ac), 0) ac from lg group by 1, 2),
-ag as (select track_id, win, count(*) n, avg(case when env <= greatest(1e-4, 0.08::double * top) then 1.0 else 0.0 end) si, count(case when pk then 1 end) pk, max(onv) / nullif(avg(env), 0) / 4 tr, sum(c * c) pw from s2 group by 1, 2)"""
+ag as (select track_id, win, count(*) n, avg(case when env <= greatest(1e-4, 0.08::double * top) then 1.0 else 0.0 end) si, count(case when pk then 1 end) pk, max(onv) / greatest(1e-6::double, avg(env)) / 4 tr, sum(c * c) pw from s2 group by 1, 2)"""
 
 
-@query("a15_usability_features", f"""with {T.USER_SQL}, {WINKEY} select track_id, win, round(least(1, greatest(0, si)), 6) silence_ratio, round(least(1, greatest(0, pk / (n / 2.0::double) / 3)), 6) onset_density, round(least(1, greatest(0, case when pw > 0 then coalesce(ac, 0) / pw else 0 end)), 6) periodicity,
+@query("a15_usability_features", f"""with {T.USER_SQL}, {WINKEY} select track_id, win, round(least(1, greatest(0, si)), 6) silence_ratio, round(least(1, greatest(0, pk / (n / 2.0::double) / 3)), 6) onset_density, round(least(1, greatest(0, case when pw > 1e-12 then coalesce(ac, 0) / pw else 0 end)), 6) periodicity,
     round(least(1, greatest(0, coalesce(tr, 0))), 6) transient_strength, round(case when pk >= 3 then least(1, greatest(0, coalesce(cv, 1))) else 1 end, 6) instability from ag left join mx using (track_id, win) left join cv using (track_id, win)""")
 def a15(s, d):
     u = A.usability_features(frames_of(s, d), 90, 2.0, 4, 12)
@@ -164,17 +165,22 @@ def v4(s, d):
 
 @query("v5_constant_regions")
 def v5(s, d):
-    return rounded(D.regions(peaks_of(s, d), 2.0, 8.0, 1.0), "interval")
+    return rounded(D.regions(peaks_of(s, d), 2.0, 8.0), "interval")
 
 
 @query("v6_constant_bpm")
 def v6(s, d):
-    return rounded(D.constant_bpm(peaks_of(s, d), FPS, 2.0, 8.0, 1.0), "interval", "bpm")
+    return rounded(D.constant_bpm(peaks_of(s, d), FPS, 2.0, 8.0, 3), "interval", "bpm")
 
 
 @query("v7_fill_grid")
 def v7(s, d):
-    return D.fill_grid(frames_of(s, d), peaks_of(s, d), 8)
+    return D.fill_grid(frames_of(s, d), peaks_of(s, d), 8, last=A.active_span(frames_of(s, d)))
+
+
+@query("v7_fill_gaps")
+def v7b(s, d):
+    return D.fill_grid(frames_of(s, d), peaks_of(s, d), 8, last=A.active_span(frames_of(s, d)), only_gaps=True)
 
 
 @query("v8_unwrap_offsets")

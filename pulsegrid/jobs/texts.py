@@ -12,6 +12,7 @@ from ..operators import select as K
 from ..operators import stats as A
 from ..sources import tables as T
 from ..sources import text as X
+from . import signals as G
 from .rhythm import FPS, PEAKS, UM, frames_of, numbered, peaks_of, rounded
 
 QUERIES: dict = {}
@@ -62,38 +63,71 @@ def s4(s, d):
 
 
 def log_lines(s, d) -> DataFrame:
+    """Logs of an analyzer, one a user, with lines that are not for all and second lines that do not count."""
     e = T.table(s, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.max("value").alias("top"), F.min("value").alias("low"))
-    u = F.col("user_id")
+    u, low, top = F.col("user_id"), F.col("low"), F.col("top")
+    frame = lambda x: F.round(x * 44100).cast("long")
+    pair = lambda x: F.format_string("%d(%.2f)", frame(x), x)
+    only = lambda c, x: F.when(c, x).otherwise("nothing here")
     lines = F.array(
-        F.format_string("BPM: %.3f", 100 + F.col("low")),
-        F.when(u % 2 == 0, F.format_string("dbn quality qpar=%.3f qkur=%.3f gate=%s", F.col("top"), F.col("low"), F.when(u % 4 == 0, "open").otherwise("closed"))).otherwise("nothing here"),
-        F.when(u % 3 == 0, F.format_string("First downbeat at %.2f s", F.col("low"))).otherwise(""),
-        F.format_string("BPM: %.3f", 100 + F.col("top")),
-        F.format_string("beat list: %.2f, %.2f, %.2f", F.col("low"), F.col("top"), F.col("top") + 1),
+        F.lit("start of the log, BPM: 77"),
+        F.format_string("Estimated BPM: %.3f", 100 + low),
+        only(u % 2 == 0, F.format_string("Tempo anchor: peaks=%.2f  autocorr=%.2f comb=%.2f beats=%.2f chosen=%.2f", 100 + low, 100 + low + u % 3, 100 + top, 100 + low + u % 4 * 0.25, 100 + low)),
+        only(u % 5 > 0, F.format_string("BPM debug: peak_median_bpm=%.2f", 100 + top)),
+        only(u % 7 > 0, F.format_string("BPM debug: peak_hist_top=%d:%d ", u % 7, F.col("n"))),
+        only(u % 3 > 0, F.format_string("BPM debug: peak_hist_dom top1_bpm=%.2f top1_w=%.2f top2_bpm=%.2f top2_w=%.2f top1_ratio=%.2f top_gap=%.1f top_range_bpm=%.2f", 90 + low, top, 91 + low, low, 0.25 + u % 5 * 0.125, u % 11 * 50.0, u % 9 * 0.5)),
+        only(u % 3 == 1, F.format_string("BPM debug: comb_dom top1_bpm=%.2f top1_w=%.2f top2_bpm=%.2f top2_w=%.2f top1_ratio=%.2f top_gap=%.1f", 80 + low, top, 81 + low, low, u % 8 * 0.125, u % 11 * 5.0)),
+        only(u % 2 == 1, F.format_string("DBN quality: qpar=%.3f  qmax=%.3e qkur=-%.3f", top, low, low)),
+        only(u % 4 == 0, F.format_string("DBN quality gate: low=1 drop_ref=%d drop_global=0 drop_fit=%d downbeat_ok=1 downbeat_cv=%.3f downbeat_count=%d used=%s pre_override=fit_b pre_bpm=%.2f", u % 3, u % 5, low, F.col("n"), F.when(u % 8 == 0, "downbeats_override").otherwise("peaks"), 100 + top)),
+        only(u % 3 == 0, F.concat(F.format_string("First downbeat feature_frame: 123 (s %.2f)", low), F.when(u % 2 == 0, F.format_string(" (sample_frame %d)", frame(low + 1))).otherwise(""))),
+        F.format_string("Estimated BPM: %.3f", top),
+        only(u % 6 > 0, F.concat_ws(" ", F.lit("Beats (all sample frames):"), pair(low), pair(low + 0.5), pair(low + 1.25))),
+        only(u % 4 > 0, F.concat_ws(" ", F.lit("Downbeats (all sample frames):"), pair(low), pair(low + 2), pair(low + 4))),
+        only(u % 2 == 0, F.format_string("first beat peak: value=0.5 sample_frame=%d (s %.2f)", frame(low), low)),
+        only(u % 3 == 0, F.format_string("first beat floor: value=0.1 sample_frame=%d (s %.2f)", frame(low), low)),
+        F.format_string("max beat activation (first 2s): %.2f", top),
     )
     return e.select(F.concat(F.lit("run"), u.cast("string")).alias("stem"), F.posexplode(lines).alias("line_no", "line"))
 
 
-LOGS = "e as (select user_id, max(value) top, min(value) low from events group by 1)"
+LOGS = """e as (select user_id u, count(*) n, max(value) top, min(value) low from events group by 1),
+lg as (select 'run' || u stem, u, n, top, low, round(100 + low, 3) bpm, case when u % 2 = 0 then round(100 + low, 2) end anchor_peaks, case when u % 2 = 0 then round(100 + low + u % 3, 2) end anchor_autocorr, case when u % 2 = 0 then round(100 + top, 2) end anchor_comb, case when u % 2 = 0 then round(100 + low + u % 4 * 0.25::double, 2) end anchor_beats, case when u % 2 = 0 then round(100 + low, 2) end anchor_chosen,
+  case when u % 5 > 0 then round(100 + top, 2) end peak_median_bpm, case when u % 7 > 0 then (u % 7) || ':' || n else '' end peak_hist_top, case when u % 3 > 0 then round(90 + low, 2) end peak_top1_bpm, case when u % 3 > 0 then round(top, 2) end peak_top1_w, case when u % 3 > 0 then round(91 + low, 2) end peak_top2_bpm, case when u % 3 > 0 then round(low, 2) end peak_top2_w,
+  case when u % 3 > 0 then round(0.25::double + u % 5 * 0.125::double + 1e-9::double, 2) end peak_top1_ratio, case when u % 3 > 0 then u % 11 * 50.0::double end peak_top_gap, case when u % 3 > 0 then u % 9 * 0.5::double end peak_top_range_bpm,
+  case when u % 3 = 1 then round(80 + low, 2) end comb_top1_bpm, case when u % 3 = 1 then round(top, 2) end comb_top1_w, case when u % 3 = 1 then round(81 + low, 2) end comb_top2_bpm, case when u % 3 = 1 then round(low, 2) end comb_top2_w, case when u % 3 = 1 then round(u % 8 * 0.125::double + 1e-9::double, 2) end comb_top1_ratio, case when u % 3 = 1 then u % 11 * 5.0::double end comb_top_gap,
+  case when u % 2 = 1 then round(top, 3) end qpar, case when u % 2 = 1 then -round(low, 3) end qkur, case when u % 4 = 0 then 1 else 0 end gate_low, case when u % 4 = 0 then u % 3 else 0 end gate_drop_ref, 0 gate_drop_global, case when u % 4 = 0 then u % 5 else 0 end gate_drop_fit, case when u % 4 = 0 then 1 else 0 end gate_downbeat_ok,
+  case when u % 4 = 0 then n else 0 end gate_downbeat_count, case when u % 4 = 0 then round(low, 3) end gate_downbeat_cv, case when u % 8 = 0 then 'downbeats_override' when u % 4 = 0 then 'peaks' else '' end gate_used, case when u % 4 = 0 then 'fit_b' else '' end gate_pre_override, case when u % 4 = 0 then round(100 + top, 2) end gate_pre_bpm,
+  case when u % 2 = 0 then round(low, 2) end first_beat_peak_s, case when u % 3 = 0 then round(low, 2) end first_beat_floor_s, round(top, 2) max_beat_first2s, case when u % 6 = 0 then cast(round((low + 1) * 44100) as bigint) / 44100.0::double when u % 3 = 0 then round(low, 2) end first_downbeat_s, case when u % 8 = 0 then 1 else 0 end gate_override from e),
+li as (select stem, kind, i, cast(round((low + o) * 44100) as bigint) sample_frame, round(low + o, 2) time_s from lg join (values ('beats', 0, 0.0::double), ('beats', 1, 0.5::double), ('beats', 2, 1.25::double), ('downbeats', 0, 0.0::double), ('downbeats', 1, 2.0::double), ('downbeats', 2, 4.0::double)) k(kind, i, o) on case when kind = 'beats' then u % 6 > 0 else u % 4 > 0 end)"""
 
 
-@query("s5_parse_run_logs", f"with {LOGS} select 'run' || user_id stem, round(100 + top, 3) bpm, case when user_id % 3 = 0 then round(low, 2) end first_downbeat_s, case when user_id % 2 = 0 then round(top, 3) end qpar, case when user_id % 2 = 0 then round(low, 3) end qkur, case when user_id % 4 = 0 then 'open' when user_id % 2 = 0 then 'closed' else '' end gate from e")
+@query("s5_parse_run_logs", f"with {LOGS} select * exclude (u, n, top, low, first_downbeat_s), round(first_downbeat_s, 6) first_downbeat_s from lg")
 def s5(s, d):
-    return X.run_logs(log_lines(s, d))
+    return rounded(X.run_logs(log_lines(s, d)).drop("qmax"), "first_downbeat_s")
 
 
-@query("s5_log_beats", f"with {LOGS} select 'run' || user_id stem, i, round(case i when 0 then low when 1 then top else top + 1 end, 2) time_s from e cross join (values (0), (1), (2)) k(i)")
+@query("s5_log_beats", f"with {LOGS} select * from li")
 def s5b(s, d):
     return X.log_beats(log_lines(s, d))
 
 
-@query("q6_corpus_benchmark", f"""with {LOGS}, t as (select *, 100 + top bpm, 90.0::double + user_id % 40 truth, case when user_id % 3 = 0 then low end db, (user_id % 7) / 2.0::double onset, (user_id % 7) / 2.0::double + 0.5 peak from e)
-    select 'run' || user_id stem, round(abs(round(bpm, 3) - truth), 6) bpm_error, round(case when round(db, 2) < onset then onset - round(db, 2) when round(db, 2) > peak then round(db, 2) - peak else case when db is not null then 0 end end, 6) downbeat_error,
-    round(abs(round(bpm, 3) - truth) + 10 * coalesce(case when round(db, 2) < onset then onset - round(db, 2) when round(db, 2) > peak then round(db, 2) - peak else 0 end, 0), 6) score from t""")
+@query("q6_corpus_benchmark", f"""with {LOGS}, t as (select *, 90.0::double + u % 40 truth, (u % 7) / 2.0::double onset, (u % 7) / 2.0::double + 0.5 peak from lg),
+    le as (select li.*, case when time_s < onset then onset - time_s when time_s > peak then time_s - peak else 0 end e from li join t using (stem)),
+    ld as (select stem, arg_min(time_s, struct_pack(e := e, i := i)) best, arg_min(time_s, i) first_s, arg_min(e, i) first_e, count(*) n from le where kind = 'downbeats' group by 1),
+    lb as (select stem, arg_min(e, i) first_e, count(*) n from le where kind = 'beats' group by 1),
+    lq as (select stem, time_s - lag(time_s) over (partition by stem order by i) gap from li where kind = 'beats'), lm as (select stem, {UM.format('gap')} gap from lq where gap > 0 group by 1),
+    b as (select t.*, coalesce(best, first_downbeat_s) est, first_s, ld.first_e fde, lb.first_e fbe, coalesce(ld.n, 0) nd, coalesce(lb.n, 0) nb, 60.0::double / gap bb from t left join ld using (stem) left join lb using (stem) left join lm using (stem)),
+    c as (select *, abs(bpm - truth) be, case when est < onset then onset - est when est > peak then est - peak when est is not null then 0 end de,
+      case when anchor_peaks is null or anchor_beats is null then 'insufficient' when coalesce(peak_top1_ratio >= 0.55 and peak_top_gap >= 200, false) then 'peaks_dom' when coalesce(peak_top1_ratio < 0.40, false) or coalesce(peak_top_range_bpm >= 4, false) then case when anchor_autocorr is not null then 'autocorr' else 'peaks_fallback' end
+        when abs(anchor_peaks - anchor_beats) <= 0.5 then 'peaks_consensus' when coalesce(abs(anchor_autocorr - anchor_beats) <= 0.5, false) then 'autocorr_consensus' else 'median' end rule from b)
+    select stem, round(be, 6) bpm_error, round(est, 6) downbeat_s, round(de, 6) downbeat_error, round(abs(est - onset - round((est - onset) / (240 / bpm)) * (240 / bpm)), 6) phase_error, round(first_s, 6) first_downbeat_listed_s, round(fde, 6) first_downbeat_error, round(fbe, 6) first_beat_error, nd n_downbeats, nb n_beats, round(bb, 6) beat_median_bpm, rule,
+    round(case when rule in ('autocorr', 'autocorr_consensus') then anchor_autocorr when rule = 'median' then list_sort(list_filter([anchor_peaks, anchor_autocorr, anchor_beats], lambda x: x is not null))[2] else anchor_peaks end, 6) rule_bpm, round(be + 10 * coalesce(de, 0), 6) score from c""")
 def q6(s, d):
     u = F.regexp_extract("stem", r"(\d+)$", 1).cast("long")
-    truth = X.run_logs(log_lines(s, d)).select("stem", (90.0 + u % 40).alias("truth"), ((u % 7) / 2.0).alias("onset"), ((u % 7) / 2.0 + 0.5).alias("peak"))
-    return rounded(K.corpus_benchmark(X.run_logs(log_lines(s, d)), truth), "bpm_error", "downbeat_error", "score")
+    logs = log_lines(s, d)
+    runs = X.run_logs(logs)
+    truth = runs.select("stem", (90.0 + u % 40).alias("truth"), ((u % 7) / 2.0).alias("onset"), ((u % 7) / 2.0 + 0.5).alias("peak"))
+    return rounded(K.corpus_benchmark(runs, X.log_beats(logs), truth), "bpm_error", "downbeat_s", "downbeat_error", "phase_error", "first_downbeat_listed_s", "first_downbeat_error", "first_beat_error", "beat_median_bpm", "rule_bpm", "score")
 
 
 @query("s6_events_csv", f"with {PEAKS}, n as (select *, count(*) over (partition by track_id) n from idx) select track_id, i || ',' || frame || ',' || printf('%.6f', 120.0) || ',' || printf('%.6f', beat) || ',' || printf('%.6f', beat / 2) || ',' || (5 + case when i % 4 = 0 then 2 else 0 end) line from n")
@@ -188,7 +222,9 @@ def c7(s, d):
     return rounded(grids.refine_constant(frames_of(s, d), peaks_of(s, d), FPS), "bpm", "coverage")
 
 
-@query("c8_scan_usability")
+@query("c8_scan_usability", f"""with {T.USER_SQL}, {G.WINKEY}, f as (select track_id, win, least(1, greatest(0, si)) si, least(1, greatest(0, pk / (n / 2.0::double) / 3)) od, least(1, greatest(0, case when pw > 1e-12 then coalesce(ac, 0) / pw else 0 end)) pe,
+    least(1, greatest(0, coalesce(tr, 0))) tr, case when pk >= 3 then least(1, greatest(0, coalesce(cv, 1))) else 1 end ins from ag left join mx using (track_id, win) left join cv using (track_id, win))
+    select track_id, win, win * 90.0::double start, round(0.30 * od + 0.40 * pe + 0.30 * tr - (0.20 * si + 0.35 * ins), 6) score, not (si >= 0.98 and pe < 0.50) and pe >= 0.35 and tr >= 0.25 and ins <= 0.70 usable from f""")
 def c8(s, d):
     u = A.usability_features(frames_of(s, d), 90, 2.0, 4, 12)
     w = u.select("track_id", "win", (F.col("win") * 90.0).alias("start"), S.usability_score("onset_density", "periodicity", "transient_strength", "silence_ratio", "instability").alias("score"), S.is_usable("periodicity", "transient_strength", "silence_ratio", "instability").alias("usable"))
@@ -225,5 +261,6 @@ def c10(s, d):
     from . import grids
 
     beats = grids.consensus_grid(frames_of(s, d), FPS, 70.0, 187.0)
-    probes = frames_of(s, d).where("frame in (120, 360, 600)").select("track_id", "frame", (0.5 + F.col("frame") / 1440.0).alias("confidence"))
+    tracks = frames_of(s, d).groupBy("track_id").agg((F.max("frame") + 1).alias("n"))
+    probes = grids.probes_of(peaks_of(s, d), tracks, FPS, 180, 60, 70.0, 180.0).select("track_id", (F.col("start") + 90).alias("frame"), "confidence")
     return rounded(grids.anchor_refit(beats, probes), "ratio")

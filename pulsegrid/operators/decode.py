@@ -1,6 +1,7 @@
-"""Sequential decoders on one track or window at a time: NumPy inside applyInPandas, keyed by track and window.
+"""Sequential decoders: NumPy inside applyInPandas, keyed by track.
 
-Each group is one capped window of frames, or the beats of one track; nothing larger is ever gathered.
+V1, V2 and V7 take the frames of a whole track (two hours at 50 a second are 360,000 rows of two numbers), V3, V5, V6
+and V8 its candidates or beats. Samples are never gathered by track: V4 and A4 work chunk by chunk.
 """
 
 from __future__ import annotations
@@ -11,10 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def viterbi_frames(activation: np.ndarray, low: int, high: int, floor: float) -> list[int]:
-    """V1: best path of beats low..high frames apart by the sum of log activations; the first best end."""
+def viterbi_frames(activation: np.ndarray, low: int, high: int, floor: float, gain: bool = False) -> list[int]:
+    """V1: best path of beats low..high frames apart by the sum of log activations; the first best end.
+
+    Logs of activations of 1 or less are never positive, so no link pays and the path is the greatest frame alone;
+    with ``gain`` a frame counts by its log above the floor's, and paths are as long as activations last.
+    """
     n = len(activation)
-    obs = np.log(np.maximum(activation, floor))
+    obs = np.log(np.maximum(activation, floor)) - (np.log(floor) if gain else 0.0)
     score, link = obs.copy(), np.full(n, -1)
     for i in range(1, n):
         a, z = max(0, i - high), i - low
@@ -30,12 +35,12 @@ def viterbi_frames(activation: np.ndarray, low: int, high: int, floor: float) ->
     return path[::-1]
 
 
-def viterbi_beats(frames: DataFrame, low: int, high: int, floor: float = 0.05, value: str = "beat") -> DataFrame:
-    """V1: decoded beat frames of each track."""
+def viterbi_beats(frames: DataFrame, low: int, high: int, floor: float = 0.05, value: str = "beat", gain: bool = True) -> DataFrame:
+    """V1: decoded beat frames of each track; ``gain`` as in viterbi_frames."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame")
-        at = viterbi_frames(pdf["v"].to_numpy(), low, high, floor)
+        at = viterbi_frames(pdf["v"].to_numpy(), low, high, floor, gain)
         return pd.DataFrame({"track_id": pdf["track_id"].iloc[at], "frame": pdf["frame"].iloc[at]})
 
     rows = frames.select("track_id", "frame", F.col(value).alias("v"))
@@ -47,11 +52,12 @@ def decode_states(beat: np.ndarray, down: np.ndarray, gaps: np.ndarray, bpb: int
 
     A beat at frame i with gap g follows one at i - g whose gap is g or a neighbour of it in the list, at a
     cost of ``change`` per step; ties go to the earlier choice. All curves of a batch move together: only the
-    frame loop is Python.
+    frame loop is Python. Scores are kept for the longest gap alone, links (a byte each) for all frames.
     """
     m, n = beat.shape
-    k = len(gaps)
-    score, link = np.full((n, m, k, bpb), -np.inf), np.full((n, m, k, bpb), 9, np.int8)
+    k, span = len(gaps), int(gaps.max()) + 1
+    score, link = np.full((span, m, k, bpb), -np.inf), np.full((n, m, k, bpb), 9, np.int8)
+    best_total, best_end = np.full(m, -np.inf), np.zeros((m, 3), int)
     gain = -np.log(floor)
     off_beat, on_beat = np.log(np.maximum(beat - down, floor)) + gain, np.log(np.maximum(down, floor)) + gain
     rows = np.arange(k)
@@ -63,20 +69,24 @@ def decode_states(beat: np.ndarray, down: np.ndarray, gaps: np.ndarray, bpb: int
         for step in (-1, 0, 1):
             to = ok[(ok + step >= 0) & (ok + step < k)]
             if len(to):
-                before = np.roll(score[i - gaps[to], :, to + step].transpose(1, 0, 2), 1, axis=2) - change * abs(step)
+                before = np.roll(score[(i - gaps[to]) % span, :, to + step].transpose(1, 0, 2), 1, axis=2) - change * abs(step)
                 better = before > best[:, to]
                 best[:, to] = np.where(better, before, best[:, to])
                 link[i][:, to] = np.where(better, step, link[i][:, to])
         best = best + place[:, None]
         start = np.broadcast_to(place[:, None], best.shape) if i < gaps.max() else np.full_like(best, -np.inf)
         fresh = start > best
-        score[i] = np.where(fresh, start, best)
+        score[i % span] = now = np.where(fresh, start, best)
         link[i][fresh] = 9
+        flat = now.reshape(m, -1)
+        at = flat.argmax(1)
+        top = flat[np.arange(m), at]
+        for t in np.flatnonzero(top > best_total):
+            best_total[t], best_end[t] = top[t], (i, *np.unravel_index(at[t], (k, bpb)))
     out = []
     for t in range(m):
-        own = score[:, t]
-        i, g, p = (int(x) for x in np.unravel_index(int(np.argmax(own)), own.shape))
-        total, path = float(own[i, g, p]), []
+        i, g, p = (int(x) for x in best_end[t])
+        total, path = float(best_total[t]), []
         while True:
             path.append((i, p))
             step = int(link[i, t, g, p])
@@ -115,31 +125,45 @@ def decode_tempo_phase(frames: DataFrame, low: int, high: int, floor: float = 0.
     return dealt.groupBy("_group").applyInPandas(run, schema)
 
 
-def constant_regions(frames: np.ndarray, one: float, total: float, border: float) -> list[tuple[int, int]]:
-    """V5: greedy runs of beats that a constant interval fits: each but one beat within ``one``, the sum of
-    errors within ``total``, the first and last interval within ``border``; (first, last) indexes."""
+def fits(frames: np.ndarray, start: int, end: int, one: float, total: float, outliers: int, part: int = 64) -> bool:
+    """Whether a constant interval from start to end fits the beats between, looked at part by part."""
+    gap, drift, wrong = (frames[end] - frames[start]) / (end - start), 0.0, 0
+    for lo in range(start + 1, end + 1, part):
+        k = np.arange(lo, min(lo + part, end + 1))
+        error = frames[start] + gap * (k - start) - frames[k]
+        run = drift + np.cumsum(error)
+        far = np.abs(error) > one
+        wrong += int(far.sum())
+        if np.abs(run).max() > total or wrong > outliers or lo == start + 1 and far[0]:
+            return False
+        drift = run[-1]
+    border = abs(frames[start + 1] - frames[start] + frames[end] - frames[end - 1] - 2 * gap) if end > start + 2 else 0.0
+    return border <= one / 2
+
+
+def constant_regions(frames: np.ndarray, one: float, total: float, outliers: int = 1) -> list[tuple[int, int]]:
+    """V5: greedy runs of beats that a constant interval fits, as (first, last) indexes.
+
+    From each start the longest run: every beat but ``outliers`` within ``one`` (the first always), the running sum of
+    errors never beyond ``total``, and, in runs of over three beats, first and last interval together within
+    half of ``one`` of twice the mean. The next run starts where it ends.
+    """
     out, start, n = [], 0, len(frames)
     while start < n - 1:
         end = n - 1
-        while end > start + 1:
-            gap = (frames[end] - frames[start]) / (end - start)
-            errors = frames[start : end + 1] - (frames[start] + gap * np.arange(end - start + 1))
-            wrong = np.flatnonzero(np.abs(errors) > one)
-            ok = len(wrong) <= 1 and (not len(wrong) or wrong[0] != 1) and abs(errors.sum()) <= total
-            if ok and abs(frames[start + 1] - frames[start] - gap) <= border and abs(frames[end] - frames[end - 1] - gap) <= border:
-                break
+        while not fits(frames, start, end, one, total, outliers):
             end -= 1
         out.append((start, end))
         start = end
     return out
 
 
-def regions(beats: DataFrame, one: float, total: float, border: float) -> DataFrame:
+def regions(beats: DataFrame, one: float, total: float) -> DataFrame:
     """V5: constant regions of each track's beats, with their interval."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.sort(pdf["frame"].to_numpy(float))
-        found = constant_regions(x, one, total, border)
+        found = constant_regions(x, one, total)
         first, last = (np.array(c, int) for c in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int))
         return pd.DataFrame({"track_id": [pdf["track_id"].iloc[0]] * len(found), "region": range(len(found)), "first_beat": first, "last_beat": last, "interval": (x[last] - x[first]) / np.maximum(last - first, 1)})
 
@@ -147,44 +171,111 @@ def regions(beats: DataFrame, one: float, total: float, border: float) -> DataFr
     return rows.groupBy("track_id").applyInPandas(run, f"track_id {dict(rows.dtypes)['track_id']}, region int, first_beat int, last_beat int, interval double")
 
 
-def constant_bpm(beats: DataFrame, fps: float, one: float, total: float, border: float) -> DataFrame:
-    """V6: tempo of each track's longest constant region (the first of equals), snapped by M7 to its error band."""
-    from ..functions.scalars import round_bpm
-    from .select import argbest
+def constant_tempo(edges: np.ndarray, beat: np.ndarray, one: float, least: int) -> tuple[float, int, float, float, float] | None:
+    """V6: (start, beats, interval, its lower and upper bound) of the longest region (edges[i]..edges[i + 1]) joined with
+    the farthest compatible region on its left, then on its right.
+
+    A region of ``least`` beats is compatible if its bounds hold the interval so far, the whole span has one possible
+    number of beats within both bounds, and the interval over the span stays within the bounds.
+    """
+    count = ((edges[1:] - edges[:-1]) / beat + 0.5).astype(int)
+    if not len(count) or count.max() <= 0:
+        return None
+    mid = int(count.argmax())
+    start, n, gap = mid, int(count[mid]), float(beat[mid])
+    low, high = gap - one / n, gap + one / n
+
+    def joined(i: int, span: float) -> tuple[int, float] | None:
+        own_low, own_high = beat[i] - one / count[i], beat[i] + one / count[i]
+        if not own_low < gap < own_high:
+            return None
+        most, fewest = (int(np.floor(span / x + 0.5)) for x in (max(low, own_low), min(high, own_high)))
+        return (fewest, span / fewest) if most == fewest and low < span / fewest < high else None
+
+    for i in range(mid):
+        if count[i] >= least and (found := joined(i, edges[mid + 1] - edges[i])):
+            start, (n, gap) = i, found
+            low, high = gap - one / n, gap + one / n
+            break
+    for i in range(len(count) - 1, mid, -1):
+        if count[i] >= least and (found := joined(i, edges[i + 1] - edges[start])):
+            n, gap = found
+            break
+    return float(edges[start]), n, gap, low, high
+
 
-    r = regions(beats, one, total, border).withColumn("n", F.col("last_beat") - F.col("first_beat"))
-    best = argbest(r, "n", "region").join(r.drop("n"), ["track_id", "region"])
-    slack = border / F.greatest("n", F.lit(1))
-    low, mid, high = 60 * fps / (F.col("interval") + slack), 60 * fps / F.col("interval"), 60 * fps / (F.col("interval") - slack)
-    return best.where("n > 0").select("track_id", "n", "interval", round_bpm(low, mid, high).alias("bpm"))
+def constant_bpm(beats: DataFrame, fps: float, one: float, total: float, least: int = 10, silence: float = 0.0) -> DataFrame:
+    """V6: tempo of each track's joined constant regions, snapped by M7 to its error band, and its first beat: the start
+    wrapped into one interval (below 0 where less than a quarter is missing), moved past whole intervals of silence."""
+    from ..functions.scalars import llround, round_bpm
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.sort(pdf["frame"].to_numpy(float))
+        found = constant_regions(x, one, total)
+        at = np.array([a for a, _ in found] + [z for _, z in found[-1:]], int)
+        best = constant_tempo(x[at], np.diff(x[at]) / np.maximum(np.diff(at), 1), one, least) if found else None
+        return pd.DataFrame([(pdf["track_id"].iloc[0], *best)] if best else [], columns=["track_id", "start", "n", "interval", "low", "high"])
 
-def fill_positions(peaks: np.ndarray, values: np.ndarray, start: int, gap: float, n: int, floor: float) -> list[int]:
-    """V7: walk by a gap from a start, each step moved to the strongest frame within a quarter of it."""
-    out, at = [start], float(start)
-    while at + gap < n:
-        at += gap
-        a, z = max(0, int(round(at - gap / 4))), min(n - 1, int(round(at + gap / 4)))
-        best = a + int(np.argmax(values[a : z + 1]))
-        frame = best if values[best] >= floor and best - out[-1] >= gap / 2 else int(np.floor(at + 0.5))
+    rows = beats.select("track_id", "frame")
+    got = rows.groupBy("track_id").applyInPandas(run, f"track_id {dict(rows.dtypes)['track_id']}, start double, n int, interval double, low double, high double")
+    bpm = got.withColumn("bpm", round_bpm(60 * fps / F.col("high"), 60 * fps / F.col("interval"), 60 * fps / F.col("low")))
+    length = 60 * fps / F.col("bpm")
+    into = F.col("start") % length
+    first = F.when(length - into < length / 4, into - length).otherwise(into) + F.floor(F.lit(silence) / length) * length
+    return bpm.select("track_id", "n", "interval", "bpm", llround(first).alias("first_beat"))
+
+
+def fill_positions(values: np.ndarray, start: int, gap: float, last: int, floor: float) -> list[int]:
+    """V7: a cursor walks by the gap from a start to the last active frame; at each stop the strongest frame within a
+    quarter of the gap is taken, or the stop itself where that is below the floor or too near the frame before."""
+    n = len(values)
+    if not n or gap <= 1 or last <= start:
+        return [start] if start < n else []
+    out, reach = [start], int(max(1.0, np.floor(gap * 0.25 + 0.5)))
+    for k in range(1, int((min(last, n - 1) - start) / gap) + 2):
+        cursor = start + k * gap
+        if cursor > min(last, n - 1):
+            break
+        stop = int(np.floor(cursor + 0.5))
+        a = max(0, stop - reach)
+        best = a + int(np.argmax(values[a : min(n, stop + reach + 1)]))
+        frame = best if values[best] >= floor and best - out[-1] >= gap / 2 else stop
         if frame > out[-1]:
             out.append(frame)
-            at = float(frame)
     return out
 
 
-def fill_grid(frames: DataFrame, beats: DataFrame, gap: int, floor: float = 0.1) -> DataFrame:
-    """V7: grid of each track from its first beat on."""
-    first = beats.groupBy("track_id").agg(F.min("frame").alias("start"))
-    rows = frames.select("track_id", "frame", "beat").join(first, "track_id")
+def fill_gaps(values: np.ndarray, peaks: np.ndarray, gap: float, last: int, floor: float, tolerance: float = 0.35) -> list[int]:
+    """V7: peaks, with frames put in only where two are further apart than the gap allows, and after the last one."""
+    out: list[int] = []
+    ends = [*peaks[1:].tolist(), None]
+    for here, there in zip(peaks.tolist(), ends, strict=True):
+        out.append(here)
+        if there is None:
+            out += fill_positions(values, here, gap, last, floor)[1:]
+        elif there - here > (1 + tolerance) * gap:
+            out += [f for f in fill_positions(values, here, gap, there, floor)[1:] if there - f >= gap / 2]
+    return out
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        v = pdf["beat"].to_numpy()
-        grid = fill_positions(pdf["frame"].to_numpy(), v, int(pdf["start"].iloc[0]), float(gap), len(v), floor)
-        return pd.DataFrame({"track_id": [pdf["track_id"].iloc[0]] * len(grid), "frame": grid})
 
-    return rows.groupBy("track_id").applyInPandas(run, f"track_id {dict(rows.dtypes)['track_id']}, frame long")
+def fill_grid(frames: DataFrame, beats: DataFrame, gap: int, floor: float = 0.1, last: DataFrame | None = None, only_gaps: bool = False) -> DataFrame:
+    """V7: grid of each track from its first beat on (or, only_gaps, all its beats with the gaps between them filled), up
+    to column ``last`` of a row a track; to the end without it."""
+    first = beats.groupBy("track_id").agg(F.sort_array(F.collect_list("frame")).alias("beats")) if only_gaps else beats.groupBy("track_id").agg(F.array(F.min("frame")).alias("beats"))
+    ends = first if last is None else first.join(last.select("track_id", "last"), "track_id", "left")
+    rows = frames.select("track_id", F.struct("frame", "beat").alias("v")).groupBy("track_id").agg(F.transform(F.sort_array(F.collect_list("v")), lambda v: v["beat"]).alias("vs"))
+    rows = rows.join(ends, "track_id").select("track_id", "vs", "beats", (F.lit(2**62) if last is None else F.coalesce("last", F.lit(2**62))).alias("last"))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for track, vs, at, end in pdf.itertuples(index=False):
+                v = np.asarray(vs, float)
+                grid = fill_gaps(v, np.asarray(at), float(gap), int(min(end, len(v))), floor) if only_gaps else fill_positions(v, int(at[0]), float(gap), int(min(end, len(v))), floor)
+                out += [(track, f) for f in grid]
+            yield pd.DataFrame(out, columns=["track_id", "frame"])
+
+    return rows.mapInPandas(run, f"track_id {dict(rows.dtypes)['track_id']}, frame long")
 
 
 def unwrap(x: np.ndarray, period: float, rounds: int = 8) -> np.ndarray:
@@ -251,18 +342,46 @@ def mel_spectrogram(pcm: DataFrame, frame: int, hop: int, n_mels: int, rate: flo
 
 
 def phase_energy(pcm: DataFrame, hop: int, rate: float, cutoff: float) -> DataFrame:
-    """A4: one-pole low-pass over each track's samples, then the root mean square of each whole hop."""
+    """A4: one-pole low-pass over each track's samples, then the root mean square of each whole hop.
+
+    The filter is an affine step: over a chunk of n samples the state s becomes decay ** n * s + b. So b is found for
+    each chunk from rest, one fold over these pairs gives the state before each chunk (two numbers a chunk, not
+    its samples), and the chunks are filtered apart. Hops that chunks share are summed.
+    """
     alpha = (1 / rate) / (1 / (2 * np.pi * cutoff) + 1 / rate)
+    track = dict(pcm.dtypes)["track_id"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.concatenate([np.asarray(p, float) for p in pdf.sort_values("start_sample")["pcm"]])
-        y, _ = low_pass(x, alpha, 0.0)
-        n = len(y) // hop
-        rms = np.sqrt((y[: n * hop].reshape(n, hop) ** 2).mean(1))
-        return pd.DataFrame({"track_id": [pdf["track_id"].iloc[0]] * n, "frame": np.arange(n), "energy": rms})
-
-    rows = pcm.select("track_id", "start_sample", "pcm")
-    return rows.groupBy("track_id").applyInPandas(run, f"track_id {dict(rows.dtypes)['track_id']}, frame long, energy double")
+    def at_end(batches):
+        for pdf in batches:
+            ends = [low_pass(np.asarray(x, float), alpha, 0.0)[1] for x in pdf["pcm"]]
+            yield pd.DataFrame({"track_id": pdf["track_id"], "start_sample": pdf["start_sample"], "n": [len(x) for x in pdf["pcm"]], "b": ends})
+
+    rows = pcm.select("track_id", "start_sample", "pcm").where(F.size("pcm") > 0)
+    ends = rows.mapInPandas(at_end, f"track_id {track}, start_sample long, n long, b double")
+
+    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, state, before = pdf.sort_values("start_sample"), 0.0, []
+        for n, b in zip(pdf["n"].tolist(), pdf["b"].tolist(), strict=True):
+            before.append(state)
+            state = (1 - alpha) ** n * state + b
+        return pdf.assign(state=before)[["track_id", "start_sample", "state"]]
+
+    states = ends.groupBy("track_id").applyInPandas(carry, f"track_id {track}, start_sample long, state double")
+
+    def energies(batches):
+        for pdf in batches:
+            out = []
+            for t, start, x, state in pdf.itertuples(index=False):
+                y, _ = low_pass(np.asarray(x, float), alpha, state)
+                frame = (start + np.arange(len(y))) // hop
+                first = np.flatnonzero(np.concatenate([[True], frame[1:] != frame[:-1]]))
+                sizes = np.diff(np.concatenate([first, [len(y)]]))
+                out += [(t, int(f), float(e), int(k)) for f, e, k in zip(frame[first], np.add.reduceat(y**2, first), sizes, strict=True)]
+            yield pd.DataFrame(out, columns=["track_id", "frame", "e", "k"])
+
+    parts = rows.join(states, ["track_id", "start_sample"]).mapInPandas(energies, f"track_id {track}, frame long, e double, k long")
+    whole = parts.groupBy("track_id", "frame").agg(F.sum("e").alias("e"), F.sum("k").alias("k")).where(F.col("k") == hop)
+    return whole.select("track_id", "frame", F.sqrt(F.col("e") / hop).alias("energy"))
 
 
 def low_pass(x: np.ndarray, alpha: float, state: float, block: int = 256) -> tuple[np.ndarray, float]:

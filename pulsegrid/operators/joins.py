@@ -86,10 +86,11 @@ def shifted_energy(beats: DataFrame, frames: DataFrame, half: int, value: str =
 
 
 def bpb_phase(beats: DataFrame, downbeats: DataFrame) -> DataFrame:
-    """Beats a bar (4, or 3 with half as many hits again) and the phase of the first matched downbeat."""
-    hit = beats.join(downbeats.select("track_id", "frame"), ["track_id", "frame"]).select("track_id", "beat_index")
-    first = F.min("beat_index").over(W.partitionBy("track_id"))
-    hit = hit.withColumn("_first", first)
+    """Beats a bar (4, or 3 with half as many hits again) and the phase: the index of the beat at the first downbeat,
+    0 if there is none."""
+    both = downbeats.select("track_id", "frame").distinct().join(beats.select("track_id", "frame", "beat_index"), ["track_id", "frame"], "left")
+    at_first = F.min(F.struct("frame", "beat_index")).over(W.partitionBy("track_id"))["beat_index"]
+    hit = both.withColumn("_first", F.coalesce(at_first, F.lit(0))).where("beat_index is not null")
     count = lambda b: F.count(F.when(F.pmod("beat_index", F.lit(b)) == F.pmod("_first", F.lit(b)), 1))
     by = hit.groupBy("track_id").agg(F.first("_first").alias("_first"), count(3).alias("hits3"), count(4).alias("hits4"))
     out = beats.select("track_id").distinct().join(by, "track_id", "left").fillna(0, ["hits3", "hits4", "_first"])

@@ -162,23 +162,41 @@ def probe_decision(probes: DataFrame) -> DataFrame:
     return s.where("_r = 1").select("track_id", "probe", "score", "margin", low.alias("low_confidence"))
 
 
+def relative_diff(a: Column, b: Column) -> Column:
+    """Distance over the mean of the two; 1 where that is not positive."""
+    mean = (a + b) / 2
+    return F.when(mean > 0, F.abs(a - b) / mean).otherwise(1.0)
+
+
+def mode_penalty(factor: Column) -> Column:
+    return F.when(factor == 1.0, 1.0).otherwise(1.15)
+
+
 def probe_consensus(probes: DataFrame, low: float, high: float) -> DataFrame:
-    """K7: the tempo mode that the probes agree on best, by relative error, mode penalty, confidence and support."""
+    """K7: the tempo mode that the probes agree on best. A probe's error is the least penalised relative difference of its
+    modes; errors are weighted by 1 / confidence, and probes within 2 % of error, penalty included, support a mode."""
     from ..functions.scalars import PROBE_FACTORS, expand_modes
 
-    penalty = F.when(F.col("m.factor") == 1.0, 1.0).when(F.col("m.factor") == 2.0, 1.15).otherwise(1.9)
     m = probes.select("track_id", "probe", "confidence", F.explode(expand_modes("bpm", "confidence", low, high, PROBE_FACTORS)).alias("m"))
-    m = m.select("track_id", "probe", "confidence", F.col("m.bpm").alias("bpm"), penalty.alias("penalty"))
+    m = m.select("track_id", "probe", "confidence", F.col("m.bpm").alias("bpm"), mode_penalty(F.col("m.factor")).alias("penalty"))
     other = m.select("track_id", F.col("probe").alias("p2"), F.col("confidence").alias("c2"), F.col("bpm").alias("b2"), F.col("penalty").alias("pen2"))
-    rel = F.abs(F.col("b2") - F.col("bpm")) / F.col("bpm")
-    pairs = m.join(other, "track_id").withColumn("rel", rel)
-    each = pairs.groupBy("track_id", "bpm", "penalty", "p2", "c2").agg(F.min(F.col("rel") * F.col("pen2")).alias("e"), F.min("rel").alias("r"))
-    cost = each.groupBy("track_id", "bpm", "penalty").agg(F.sum(F.col("e") / F.col("c2")).alias("e"), F.sum(F.when(F.col("r") <= 0.02, F.col("c2")).otherwise(0.0)).alias("support"))
+    pairs = m.select("track_id", "bpm", "penalty").distinct().join(other, "track_id")
+    each = pairs.groupBy("track_id", "bpm", "penalty", "p2", "c2").agg(F.min(relative_diff(F.col("b2"), F.col("bpm")) * F.col("pen2")).alias("e"))
+    cost = each.groupBy("track_id", "bpm", "penalty").agg(F.sum(F.col("e") / F.greatest(F.lit(1e-6), F.col("c2"))).alias("e"), F.sum(F.when(F.col("e") <= 0.02, F.col("c2")).otherwise(0.0)).alias("support"))
     score = cost.withColumn("score", F.round(F.col("e") * F.col("penalty") / (1 + 0.8 * F.col("support")), 9))
     best = score.groupBy("track_id").agg(F.min(F.struct("score", "bpm")).alias("b"))
     return best.select("track_id", F.col("b.bpm").alias("bpm"), F.col("b.score").alias("score"))
 
 
+def mode_error(bpm: Column, confidence: Column, agreed: Column, low: float, high: float) -> Column:
+    """Least penalised relative difference of a probe's modes in the range from the agreed tempo; 1 without one, 0
+    without an agreed tempo."""
+    from ..functions.scalars import PROBE_FACTORS, expand_modes
+
+    errors = F.transform(expand_modes(bpm, confidence, low, high, PROBE_FACTORS), lambda m: relative_diff(agreed, m["bpm"]) * mode_penalty(m["factor"]))
+    return F.when(F.coalesce(agreed, F.lit(0.0)) > 0, F.least(F.lit(1.0), F.coalesce(F.array_min(errors), F.lit(1.0)))).otherwise(0.0)
+
+
 def plan_windows(tracks: DataFrame, length: int, hop: int, whole: bool = False) -> DataFrame:
     """Windows of a fixed length every hop until one reaches the end (or, whole, while they fit; one at least)."""
     last = F.floor(F.greatest(F.col("n") - length, F.lit(0)) / hop)
@@ -240,19 +258,54 @@ def local_windows(offsets: DataFrame, fractions: list[float], beats_each: int) -
     return rows.groupBy("track_id", "fraction").agg(F.count("*").alias("n"), upper_median("offset_ms").alias("signed_ms"), upper_median(F.abs("offset_ms")).alias("abs_ms"))
 
 
-def gate_report(metrics: DataFrame, limits: DataFrame) -> DataFrame:
-    """Q5: all checks that a track fails; a null limit is no check. Limits are one row a track: an equi-join."""
+#: Q5: check, its measure, the column of its limit. A check fails where the measure lies beyond a limit that is not null.
+CHECKS_ABOVE = [
+    ("bpm_high", "bpm", "max_bpm"),
+    ("intro_median", "intro_abs_ms", "max_intro_ms"),
+    ("slope", "slope", "max_slope"),
+    ("start_end_ms", "delta_ms", "max_delta_ms"),
+    ("start_end_beats", "delta_beats", "max_delta_beats"),
+    ("odd_even", "odd_even_ms", "max_odd_even_ms"),
+    ("edge_tempo", "delta_bpm", "max_delta_bpm"),
+    ("unwrapped_slope", "unwrapped_slope", "max_unwrapped_slope"),
+    ("unwrapped_beats", "unwrapped_beats", "max_unwrapped_beats"),
+    ("seed_bpm", "seed_bpm_delta", "max_seed_bpm_delta"),
+    ("seed_grid", "seed_grid_delta", "max_seed_grid_delta"),
+]
+CHECKS_BELOW = [("beat_count_low", "n_beats", "min_beats"), ("downbeat_count_low", "n_downbeats", "min_downbeats"), ("offsets_few", "n_offsets", "min_offsets"), ("bpm_low", "bpm", "min_bpm")]
+CHECKS_EQUAL = [("beat_count", "n_beats", "beats"), ("downbeat_count", "n_downbeats", "downbeats"), ("seed_count", "seed_beats", "n_beats")]
+#: Measure and limit lie apart by a tolerance at most.
+CHECKS_NEAR = [("bpm_target", "bpm", "target_bpm", "bpm_tolerance"), ("first_downbeat", "first_downbeat", "downbeat_frame", "downbeat_tolerance"), ("first_downbeat_sample", "first_downbeat_sample", "downbeat_sample", "downbeat_sample_tolerance")]
+#: Fails where the limit column is true and the measure is not as it should be.
+CHECKS_RULE = [("first_bar", "first_bar_whole", "need_first_bar", False), ("bars_of_four", "bars_regular", "need_regular_bars", False), ("one_beat_drift", "one_beat_linear", "reject_one_beat", True), ("wrapped_middle", "wrapped_middle", "reject_wrapped", True)]
+
+
+def gate_report(metrics: DataFrame, limits: DataFrame, windows: DataFrame | None = None, window_limits: DataFrame | None = None) -> DataFrame:
+    """Q5: all checks that a track fails, in a fixed order, and whether it passes.
+
+    Limits are one row a track, joined by it; a limit that is null or not given is no check, a measure that is null or not
+    given fails each check that has a limit. Where a target tempo stands, the tempo range is not checked.
+    ``windows`` (track_id, label, abs_ms) and their limits (track_id, label, max_ms) add local windows of beats or bars.
+    """
     r = metrics.join(limits, "track_id")
-    check = lambda name, bad: F.when(bad, F.lit(name))
-    failed = F.array_compact(
-        F.array(
-            check("bpm_low", F.col("bpm") < F.col("min_bpm")),
-            check("bpm_high", F.col("bpm") > F.col("max_bpm")),
-            check("slope", F.abs("slope") > F.col("max_slope")),
-            check("edge_tempo", F.abs("delta_bpm") > F.col("max_delta_bpm")),
-        )
-    )
-    return r.select("track_id", F.array_join(failed, ",").alias("failed"), (F.size(failed) == 0).alias("passed"))
+    has = lambda c: F.col(c).isNotNull() if c in r.columns else F.lit(False)
+    of = lambda c: F.col(c) if c in r.columns else F.lit(None)
+    plain = lambda c: (F.coalesce(of(c).cast("boolean"), F.lit(False)))
+    fails = lambda bad: F.coalesce(bad, F.lit(True))
+    target = has("target_bpm")
+    rules = [("no_bpm", ~F.coalesce(F.col("bpm") > 0, F.lit(False)))]
+    rules += [(n, has(lim) & fails(of(m) < of(lim)) & (~target if m == "bpm" else F.lit(True))) for n, m, lim in CHECKS_BELOW]
+    rules += [(n, has(lim) & (F.lit(n != "seed_count") | has(m)) & fails(of(m) != of(lim))) for n, m, lim in CHECKS_EQUAL]
+    rules += [(n, has(lim) & fails(F.abs(of(m) - of(lim)) > F.coalesce(of(t), F.lit(0)))) for n, m, lim, t in CHECKS_NEAR]
+    rules += [(n, plain(lim) & (F.coalesce(of(m).cast("boolean"), F.lit(not bad)) == F.lit(bad))) for n, m, lim, bad in CHECKS_RULE]
+    rules += [(n, has(lim) & fails(F.abs(of(m)) > of(lim)) & (~target if m == "bpm" else F.lit(True))) for n, m, lim in CHECKS_ABOVE]
+    failed = F.array_compact(F.array(*[F.when(bad, F.lit(n)) for n, bad in rules]))
+    out = r.select("track_id", failed.alias("_f"))
+    if windows is not None:
+        local = window_limits.join(windows, ["track_id", "label"], "left").where(F.coalesce(F.col("abs_ms") > F.col("max_ms"), F.lit(True)))
+        local = local.groupBy("track_id").agg(F.sort_array(F.collect_list(F.concat(F.lit("window_"), F.col("label")))).alias("_w"))
+        out = out.join(local, "track_id", "left").select("track_id", F.concat("_f", F.coalesce("_w", F.array().cast("array<string>"))).alias("_f"))
+    return out.select("track_id", F.array_join("_f", ",").alias("failed"), (F.size("_f") == 0).alias("passed"))
 
 
 def tempo_without_grid(tempi: DataFrame, grids: DataFrame) -> DataFrame:
@@ -262,13 +315,65 @@ def tempo_without_grid(tempi: DataFrame, grids: DataFrame) -> DataFrame:
     return r.select("track_id", "bpm", "n_grid", ((F.col("bpm") > 0) & (F.col("n_grid") == 0)).alias("violation"))
 
 
-def corpus_benchmark(runs: DataFrame, truth: DataFrame) -> DataFrame:
-    """Q6: tempo error, distance of the first downbeat from its true span, and both in one score."""
-    r = runs.join(truth, "stem")
-    t = F.col("first_downbeat_s")
-    out = F.when(t < F.col("onset"), F.col("onset") - t).when(t > F.col("peak"), t - F.col("peak")).when(t.isNotNull(), 0.0)
+def span_error(t: Column, onset: Column, peak: Column) -> Column:
+    """Distance of a time from the span between onset and peak (either alone if the other is null), 0 inside."""
+    lo, hi = F.least(onset, peak), F.greatest(onset, peak)
+    return F.when(t < lo, lo - t).when(t > hi, t - hi).when(t.isNotNull() & lo.isNotNull(), 0.0)
+
+
+def tempo_rule(peaks: Column, autocorr: Column, beats: Column, ratio: Column, gap: Column, reach: Column) -> tuple[Column, Column]:
+    """Which estimate the peak histogram speaks for, and its tempo; null measures never pass a comparison."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    weak = yes(ratio < 0.40) | yes(reach >= 4.0)
+    rule = (
+        F.when(peaks.isNull() | beats.isNull(), "insufficient")
+        .when(yes(ratio >= 0.55) & yes(gap >= 200.0), "peaks_dom")
+        .when(weak & autocorr.isNotNull(), "autocorr")
+        .when(weak, "peaks_fallback")
+        .when(F.abs(peaks - beats) <= 0.5, "peaks_consensus")
+        .when(yes(F.abs(autocorr - beats) <= 0.5), "autocorr_consensus")
+        .otherwise("median")
+    )
+    known = F.sort_array(F.array_compact(F.array(peaks, autocorr, beats)))
+    middle = F.get(known, F.floor(F.size(known) / 2).cast("int"))
+    return rule, F.when(rule.isin("autocorr", "autocorr_consensus"), autocorr).when(rule == "median", middle).otherwise(peaks)
+
+
+def corpus_benchmark(runs: DataFrame, listed: DataFrame, truth: DataFrame) -> DataFrame:
+    """Q6: of each run: tempo error; the downbeat nearest to its true span (the first of equals), else the logged first
+    one, with its error and its distance from the onset less whole bars; first downbeat and beat; median tempo of the listed beats; the
+    tempo that the peak histogram speaks for; and the score, tempo error plus ten times the downbeat error.
+
+    ``listed`` (stem, kind, i, time_s) are the listed beats and downbeats of S5.
+    """
+    truth = truth.select("stem", "truth", "onset", "peak")
+    at = listed.join(truth, "stem").withColumn("e", span_error(F.col("time_s"), F.col("onset"), F.col("peak")))
+    down, beat = F.col("kind") == "downbeats", F.col("kind") == "beats"
+    order = W.partitionBy("stem", "kind").orderBy("i")
+    at = at.withColumn("gap", F.col("time_s") - F.lag("time_s").over(order))
+    by = at.groupBy("stem").agg(
+        F.min(F.when(down, F.struct(F.coalesce("e", F.lit(0.0)).alias("e"), "i", "time_s"))).alias("best"),
+        F.min(F.when(down, F.struct("i", "time_s", "e"))).alias("first_down"),
+        F.min(F.when(beat, F.struct("i", "time_s", "e"))).alias("first_beat"),
+        F.count(F.when(down, 1)).alias("n_downbeats"),
+        F.count(F.when(beat, 1)).alias("n_beats"),
+        upper_median(F.when(beat & (F.col("gap") > 0), F.col("gap"))).alias("gap"),
+    )
+    r = runs.join(truth, "stem").join(by, "stem", "left")
+    est = F.coalesce(F.col("best.time_s"), F.col("first_downbeat_s"))
+    error = span_error(est, F.col("onset"), F.col("peak"))
+    bar = F.when(F.col("bpm") > 0, 240.0 / F.col("bpm"))
+    away = est - F.col("onset")
+    phase = F.abs(away - F.round(away / bar) * bar)
     bpm = F.abs(F.col("bpm") - F.col("truth"))
-    return r.select("stem", bpm.alias("bpm_error"), out.alias("downbeat_error"), (bpm + 10 * F.coalesce(out, F.lit(0.0))).alias("score"))
+    beats = 60.0 / F.col("gap")
+    rule, value = tempo_rule(F.col("anchor_peaks"), F.col("anchor_autocorr"), F.col("anchor_beats"), F.col("peak_top1_ratio"), F.col("peak_top_gap"), F.col("peak_top_range_bpm"))
+    return r.select(
+        "stem", bpm.alias("bpm_error"), est.alias("downbeat_s"), error.alias("downbeat_error"), phase.alias("phase_error"),
+        F.col("first_down.time_s").alias("first_downbeat_listed_s"), F.col("first_down.e").alias("first_downbeat_error"), F.col("first_beat.e").alias("first_beat_error"),
+        F.coalesce("n_downbeats", F.lit(0)).alias("n_downbeats"), F.coalesce("n_beats", F.lit(0)).alias("n_beats"),
+        beats.alias("beat_median_bpm"), rule.alias("rule"), value.alias("rule_bpm"), (bpm + 10 * F.coalesce(error, F.lit(0.0))).alias("score"),
+    )
 
 
 def alignment_report(offsets: DataFrame, beat_ms: float, n_edge: int) -> DataFrame:
@@ -297,3 +402,24 @@ def best_window(frames: DataFrame, length: int, hop: int, total: int, value: str
     best = argbest(means, "score", "win")
     silent = F.col("score") <= 1e-9
     return best.select("track_id", F.when(silent, 0).otherwise(F.col("win") * hop).alias("start"), F.when(silent, total).otherwise(F.col("win") * hop + length).alias("end"), "score")
+
+
+def best_tempo_window(frames: DataFrame, length: int, hop: int, total: int, low: float, min_gap: int, value: str = "beat") -> DataFrame:
+    """K6: the sliding window whose peaks keep time best: their number over 1 + deviation / median of their gaps (median
+    deviation; 0 with fewer than four peaks or a median of 1 or less); the first of equals, the whole track where
+    none scores above 1e-6 or the window is not shorter than it."""
+    from .joins import rows_in_windows
+    from .peaks import local_peaks
+
+    last = max((total - length) // hop, 0)
+    windows = frames.select("track_id").distinct().select("track_id", F.posexplode(F.sequence(F.lit(0), F.lit(last * hop), F.lit(hop))).alias("win", "start")).withColumn("end", F.col("start") + length)
+    peaks = local_peaks(frames, value, low).select("track_id", "frame")
+    o = W.partitionBy("track_id", "win").orderBy("frame")
+    inside = rows_in_windows(peaks, windows, "frame", length).withColumn("gap", F.col("frame") - F.lag("frame").over(o))
+    by = inside.where(F.col("gap").isNull() | (F.col("gap") >= min_gap)).groupBy("track_id", "win").agg(F.count("*").alias("n"), upper_median("gap").alias("m"), F.collect_list("gap").alias("gaps"))
+    away = F.sort_array(F.transform("gaps", lambda g: F.abs(g - F.col("m"))))
+    mad = F.get(away, F.floor(F.size(away) / 2).cast("int"))
+    scored = by.select("track_id", "win", F.round(F.when((F.col("n") >= 4) & (F.col("m") > 1), F.col("n") / (1 + mad / F.col("m"))).otherwise(0.0), 9).alias("score"))
+    best = frames.select("track_id").distinct().join(argbest(scored, "score", "win"), "track_id", "left").fillna(0, ["win"]).fillna(0.0, ["score"])
+    whole = (F.col("score") <= 1e-6) | F.lit(length >= total)
+    return best.select("track_id", F.when(whole, 0).otherwise(F.col("win") * hop).alias("start"), F.when(whole, total).otherwise(F.col("win") * hop + length).alias("end"), "score")

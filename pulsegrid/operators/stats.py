@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +13,10 @@ from pyspark.sql import functions as F
 from ..functions.scalars import clamp01, upper_median
 
 
+#: Steps a unit of sums that must not depend on their order.
+FIXED = 1 << 32
+
+
 def track():
     return W.partitionBy("track_id").orderBy("frame")
 
@@ -43,7 +49,10 @@ def merge_windows(windows: DataFrame, border: int = 0, first_wins: bool = False)
 
 
 def activation_stats(frames: DataFrame, floor: float = 0.1, fps: float = 1.0) -> DataFrame:
-    """A5: count, extremes and mean of the curve, frames at or above the floor, first peak, greatest of the first two seconds."""
+    """A5: count, extremes and mean of the curve, frames at or above the floor, first peak, greatest of the first two seconds.
+
+    The mean is of values in steps of 1 / FIXED, summed as whole numbers: the same in any order.
+    """
     v = F.col("beat")
     rows = frames.withColumns({"_p": F.lag("beat").over(track()), "_n": F.lead("beat").over(track())})
     top = (v >= floor) & (v >= F.col("_p")) & (v >= F.col("_n"))
@@ -51,7 +60,7 @@ def activation_stats(frames: DataFrame, floor: float = 0.1, fps: float = 1.0) ->
         F.count("*").alias("n"),
         F.min(v).alias("low"),
         F.max(v).alias("high"),
-        F.avg(v).alias("mean"),
+        (F.sum(F.round(v * FIXED).cast("long")) / FIXED / F.count(v)).alias("mean"),
         F.count(F.when(v >= floor, 1)).alias("n_above"),
         F.min(F.when(top, F.col("frame"))).alias("first_peak"),
         F.max(F.when(F.col("frame") < 2 * fps, v)).alias("high_start"),
@@ -110,9 +119,11 @@ def tempo_confidence(beats: DataFrame, fps: float) -> DataFrame:
 
 
 def bpm_histogram(peaks: DataFrame, fps: float, low: float, high: float, width: float = 0.05, value: str = "beat") -> DataFrame:
-    """Weighted tempo histogram over pairs of peaks up to four apart, with half and double tempo at half weight.
+    """Weighted tempo histogram over pairs of peaks up to four apart.
 
-    The first best bin, refined by the weighted mean of two bins either way; 0 with fewer than four peaks.
+    Every bin of the range, with mass of its own or not, scores its mass and half that of the bins which hold half and
+    double the tempo of its lower edge; only bins that some mass reaches are made. The first best bin, refined by the
+    weighted mean of the lower edges two bins either way; no row with fewer than four peaks.
     """
     ahead = {f"_{c}{k}": F.lead(c, k).over(track()) for k in range(1, 5) for c in ("frame", value)}
     wide = peaks.withColumns(ahead | {"n": F.count("*").over(W.partitionBy("track_id"))})
@@ -120,35 +131,41 @@ def bpm_histogram(peaks: DataFrame, fps: float, low: float, high: float, width:
     pairs = wide.select("track_id", "n", F.array(*each).alias("ps")).select("track_id", "n", F.explode("ps").alias("p"))
     bpm = 60.0 * fps / F.col("p.gap")
     bins = pairs.where((F.col("n") >= 4) & F.col("p.gap").isNotNull() & (F.col("p.gap") > 0)).withColumn("bpm", bpm).where((F.col("bpm") >= low) & (F.col("bpm") <= high))
-    hist = bins.groupBy("track_id", F.floor((F.col("bpm") - low) / width).alias("bin")).agg(F.sum("p.w").alias("w"), F.sum(F.col("p.w") * F.col("bpm")).alias("wb"))
-    centre = low + (F.col("bin") + 0.5) * width
-    spread = hist.select(
-        "track_id",
-        F.explode(
-            F.array(
-                F.struct(F.col("bin").alias("bin"), F.col("w").alias("s"), F.lit(True).alias("own")),
-                F.struct(F.floor((centre * 2 - low) / width).alias("bin"), (F.col("w") / 2).alias("s"), F.lit(False).alias("own")),
-                F.struct(F.floor((centre / 2 - low) / width).alias("bin"), (F.col("w") / 2).alias("s"), F.lit(False).alias("own")),
-            )
-        ).alias("e"),
-    )
-    score = spread.groupBy("track_id", "e.bin").agg(F.sum("e.s").alias("score"), F.max("e.own").alias("own")).where("own")
+    last = math.floor((high - low) / width)
+    hist = bins.groupBy("track_id", F.floor((F.col("bpm") - low) / width).alias("bin")).agg(F.sum("p.w").alias("w"))
+    edge = lambda b: low + b * width
+    of = lambda x: F.floor((x - low) / width)
+
+    def asking(guess: Column, reach: range, hits: Callable[[Column], Column]) -> Column:
+        """Bins near a guess that look this bin up."""
+        near = F.array(*[guess.cast("long") + k for k in reach])
+        return F.transform(F.filter(near, lambda i: (i >= 0) & (i <= last) & hits(i)), lambda i: F.struct(i.alias("bin"), (F.col("w") / 2).alias("s")))
+
+    j = F.col("bin")
+    halves = asking(F.floor(2 * j + low / width), range(-2, 4), lambda i: (edge(i) * 0.5 >= low) & (of(edge(i) * 0.5) == j))
+    doubles = asking(F.floor((j - low / width) / 2), range(-2, 4), lambda i: (edge(i) * 2.0 <= high) & (of(edge(i) * 2.0) == j))
+    own = F.array(F.struct(j.alias("bin"), F.col("w").alias("s")))
+    spread = hist.select("track_id", F.inline(F.concat(own, halves, doubles)))
+    score = spread.groupBy("track_id", "bin").agg(F.sum("s").alias("score"))
     best = score.groupBy("track_id").agg((-F.max(F.struct(F.round("score", 9), (-F.col("bin")).alias("b")))["b"]).alias("best"))
-    near = hist.join(best, "track_id").where(F.abs(F.col("bin") - F.col("best")) <= 2)
-    return near.groupBy("track_id").agg((F.sum("wb") / F.sum("w")).alias("bpm"))
+    near = best.join(hist, "track_id", "left")
+    close = F.abs(F.col("bin") - F.col("best")) <= 2
+    at = edge(F.col("bin").cast("double"))
+    return near.groupBy("track_id", "best").agg(F.sum(F.when(close, at * F.col("w"))).alias("wb"), F.sum(F.when(close, F.col("w"))).alias("w")).select("track_id", F.coalesce(F.col("wb") / F.col("w"), edge(F.col("best").cast("double"))).alias("bpm"))
 
 
-def lag_products(frames: DataFrame, low: int, high: int) -> DataFrame:
+def lag_products(frames: DataFrame, low: int, high: int, by: list[str] | None = None) -> DataFrame:
     """n and ac, the array of sum of beat[t] * beat[t + lag] for lag low..high: leads over one sort, summed at once."""
-    ahead = frames.select("track_id", "beat", F.array(*[F.lead("beat", k).over(track()) for k in range(low, high + 1)]).alias("_a"))
+    by = ["track_id", *(by or [])]
+    ahead = frames.select(*by, "beat", F.array(*[F.lead("beat", k).over(track()) for k in range(low, high + 1)]).alias("_a"))
     sums = [F.coalesce(F.sum(F.col("beat") * F.get("_a", F.lit(i))), F.lit(0.0)) for i in range(high - low + 1)]
-    return ahead.groupBy("track_id").agg(F.count("*").alias("n"), F.array(*sums).alias("ac"))
+    return ahead.groupBy(*by).agg(F.count("*").alias("n"), F.array(*sums).alias("ac"))
 
 
-def centred(frames: DataFrame, positive: bool = False) -> DataFrame:
+def centred(frames: DataFrame, positive: bool = False, keep: list[str] | None = None) -> DataFrame:
     mean = F.avg("beat").over(W.partitionBy("track_id"))
     x = F.col("beat") - mean
-    return frames.select("track_id", "frame", (F.greatest(x, F.lit(0.0)) if positive else x).alias("beat"))
+    return frames.select("track_id", "frame", (F.greatest(x, F.lit(0.0)) if positive else x).alias("beat"), *(keep or []))
 
 
 def _best_lag(scores: DataFrame, low: int) -> DataFrame:
@@ -157,16 +174,32 @@ def _best_lag(scores: DataFrame, low: int) -> DataFrame:
     return ranked.select("track_id", (F.col("_i") + low).alias("lag"), F.get("s", F.col("_i")).alias("at"), F.get("s", F.col("_i") - 1).alias("prev"), F.get("s", F.col("_i") + 1).alias("next"))
 
 
-def autocorr_bpm(frames: DataFrame, fps: float, low: int, high: int) -> DataFrame:
-    """Lag with the greatest autocorrelation plus half of that at half and twice the lag, refined by a parabola."""
-    least = max(1, low // 2)
-    ac = lag_products(centred(frames), least, high * 2)
-    of = lambda lag: F.coalesce(F.get("ac", (lag - least).cast("int")), F.lit(0.0))
-    s = ac.withColumn("s", F.transform(F.sequence(F.lit(low), F.lit(high)), lambda k: of(k) + 0.5 * of(F.floor(k / 2)) + 0.5 * of(k * 2)))
-    best = _best_lag(s, low)
-    bend = F.col("prev") - 2 * F.col("at") + F.col("next")
-    shift = F.coalesce(F.when(F.abs(bend) > 1e-9, F.greatest(F.lit(-0.5), F.least(F.lit(0.5), 0.5 * (F.col("prev") - F.col("next")) / bend))), F.lit(0.0))
-    return best.select("track_id", F.when(F.col("at") > 0, 60.0 * fps / (F.col("lag") + shift)).otherwise(0.0).alias("bpm"))
+def _harmonic_scores(ac: str, low: Column | int, high: Column | int) -> Column:
+    """Of each lag low..high: its product sum plus half of those at half and twice the lag where these are in the range."""
+    low, high = (F.lit(x) if isinstance(x, int) else x for x in (low, high))
+    of = lambda k: F.get(ac, (k - low).cast("int"))
+    return F.transform(F.sequence(low, high), lambda k: of(k) + F.when(F.floor(k / 2) >= low, 0.5 * of(F.floor(k / 2))).otherwise(0.0) + F.when(k * 2 <= high, 0.5 * of(k * 2)).otherwise(0.0))
+
+
+def autocorr_bpm(frames: DataFrame, fps: float, min_bpm: float, max_bpm: float, target: int = 3000) -> DataFrame:
+    """Lag with the greatest autocorrelation plus half of that at half and twice the lag, refined by a parabola.
+
+    A track of n frames is thinned to every max(1, n // target)-th; lags run over the tempo range and no further.
+    """
+    n = F.count("*").over(W.partitionBy("track_id"))
+    thin = frames.withColumn("stride", F.greatest(F.lit(1), F.floor(n / target))).where(F.col("frame") % F.col("stride") == 0)
+    longest = math.ceil(60.0 * fps / min_bpm)
+    ac = lag_products(centred(thin, keep=["stride"]), 1, longest, ["stride"]).where("n >= 8")
+    low = F.greatest(F.lit(1), F.floor(60.0 * fps / F.col("stride") / max_bpm)).cast("int")
+    high = F.least(F.col("n") - 1, F.ceil(60.0 * fps / F.col("stride") / min_bpm)).cast("int")
+    ac = ac.withColumns({"low": low, "high": high}).where("high > low").withColumn("ac", F.slice("ac", F.col("low"), F.col("high") - F.col("low") + 1))
+    s = ac.withColumn("s", _harmonic_scores("ac", F.col("low"), F.col("high")))
+    i = (F.array_position(F.transform("s", lambda x: F.round(x, 9)), F.round(F.array_max("s"), 9)) - 1).cast("int")
+    best = s.withColumn("i", i)
+    before, at, after = (F.get("ac", F.col("i") + k) for k in (-1, 0, 1))
+    bend = before - 2 * at + after
+    shift = F.coalesce(F.when((F.col("i") > 0) & (F.abs(bend) > 1e-9), 0.5 * (before - after) / bend), F.lit(0.0))
+    return best.select("track_id", F.when(F.array_max("s") > 0, 60.0 * fps / F.col("stride") / (F.col("low") + F.col("i") + shift)).otherwise(0.0).alias("bpm"))
 
 
 def comb_bpm(frames: DataFrame, fps: float, low: int, high: int, teeth: int = 4) -> DataFrame:
@@ -190,27 +223,28 @@ def periodicity_quality(frames: DataFrame, low: int, high: int) -> DataFrame:
 def usability_features(frames: DataFrame, window: int, fps: float, low: int, high: int, value: str = "beat") -> DataFrame:
     """A15 with M9: silence, onset density, periodicity, transients and instability of each window of frames.
 
-    The onset curve, its peaks and lag products stay inside the window; defaults stand with fewer than 8 frames.
+    The onset curve, its peaks and lag products stay inside the window; defaults stand with fewer than 8 frames. The
+    periodicity is the greatest lag product of the onset curve itself over its power.
     """
     keyed = frames.select("track_id", F.floor(F.col("frame") / window).alias("win"), "frame", F.col(value).alias("env"))
     by = W.partitionBy("track_id", "win")
     order = by.orderBy("frame")
     rows = keyed.withColumn("on", F.greatest(F.coalesce(F.col("env") - F.lag("env").over(order), F.lit(0.0)), F.lit(0.0)))
-    rows = rows.withColumns({"_top": F.max("env").over(by), "_mon": F.max("on").over(by), "_p": F.lag("on").over(order), "_n": F.lead("on").over(order), "_mean": F.avg("on").over(by)})
+    rows = rows.withColumns({"_top": F.max("env").over(by), "_mon": F.max("on").over(by), "_p": F.lag("on").over(order), "_n": F.lead("on").over(order)})
     peak = (F.col("on") >= F.greatest(F.lit(1e-6), 0.25 * F.col("_mon"))) & (F.col("on") >= F.col("_p")) & (F.col("on") >= F.col("_n"))
-    rows = rows.withColumn("_peak", F.coalesce(peak, F.lit(False))).withColumn("c", F.col("on") - F.col("_mean"))
+    rows = rows.withColumn("_peak", F.coalesce(peak, F.lit(False)))
     last = F.last(F.when(F.col("_peak"), F.col("frame")), True).over(order.rowsBetween(W.unboundedPreceding, -1))
-    rows = rows.withColumns({"gap": F.when(F.col("_peak"), F.col("frame") - last), **{f"p{k}": F.col("c") * F.lead("c", k).over(order) for k in range(low, high + 1)}})
+    rows = rows.withColumns({"gap": F.when(F.col("_peak"), F.col("frame") - last), **{f"p{k}": F.col("on") * F.lead("on", k).over(order) for k in range(low, high + 1)}})
     s = rows.groupBy("track_id", "win").agg(
         F.count("*").alias("n"),
         F.avg(F.when(F.col("env") <= F.greatest(F.lit(1e-4), 0.08 * F.col("_top")), 1.0).otherwise(0.0)).alias("silence"),
         F.count(F.when(F.col("_peak"), 1)).alias("peaks"),
-        (F.max("on") / F.avg("env") / 4).alias("transient"),
+        (F.max("on") / F.greatest(F.lit(1e-6), F.avg("env")) / 4).alias("transient"),
         (F.stddev_pop("gap") / F.avg("gap")).alias("cv"),
-        F.sum(F.col("c") * F.col("c")).alias("power"),
+        F.sum(F.col("on") * F.col("on")).alias("power"),
         *[F.sum(f"p{k}").alias(f"p{k}") for k in range(low, high + 1)],
     )
-    period = F.when(F.col("power") > 0, F.greatest(*[F.coalesce(f"p{k}", F.lit(0.0)) for k in range(low, high + 1)], F.lit(0.0)) / F.col("power")).otherwise(0.0)
+    period = F.when(F.col("power") > 1e-12, F.greatest(*[F.coalesce(f"p{k}", F.lit(0.0)) for k in range(low, high + 1)], F.lit(0.0)) / F.col("power")).otherwise(0.0)
     full = F.col("n") >= 8
     pick = lambda x, default: F.when(full, clamp01(F.coalesce(x, F.lit(default)))).otherwise(default)
     return s.select(
@@ -325,9 +359,30 @@ def tempo_sweep(frames: DataFrame, fps: float, tempi: list[float], value: str =
     return best.select("track_id", "b.bpm", F.col("b.strength").alias("strength"), F.when(phase < 0, phase + period).otherwise(phase).alias("phase"))
 
 
+def fine_tempo_sweep(frames: DataFrame, fps: float, low: float, high: float, width: float = 0.05, together: int = 64, value: str = "beat") -> DataFrame:
+    """J11 over low..high in steps of ``width``: vector strength of each tempo, the first best and its phase.
+
+    Tempi are cut into blocks of ``together``; a frame with weight goes to each block once and adds to the block's
+    sums in one partial aggregate, so the plan does not grow with the number of tempi.
+    """
+    n = math.floor((high - low) / width) + 1
+    blocks = -(-n // together)
+    rows = frames.where(F.col(value) > 0).select("track_id", "frame", F.col(value).alias("w"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    bpm = lambda i: F.lit(low) + (F.col("block") * together + i) * F.lit(width)
+    angle = lambda i: F.col("frame") * (2 * math.pi * bpm(i) / 60.0 / fps)
+    sums = [x for i in range(together) for x in (F.sum(F.col("w") * F.cos(angle(i))).alias(f"c{i}"), F.sum(F.col("w") * F.sin(angle(i))).alias(f"s{i}"))]
+    by = rows.groupBy("track_id", "block").agg(F.sum("w").alias("w"), *sums)
+    each = F.array(*[F.struct(F.when(bpm(i) <= high + 1e-9, F.round(F.hypot(f"c{i}", f"s{i}") / F.col("w"), 9)).alias("strength"), (-(F.col("block") * together + i)).alias("i"), bpm(i).alias("bpm"), F.atan2(f"s{i}", f"c{i}").alias("angle")) for i in range(together)])
+    best = by.select("track_id", F.array_max(each).alias("b")).groupBy("track_id").agg(F.max("b").alias("b"))
+    period = 60.0 * fps / F.col("b.bpm")
+    phase = F.col("b.angle") / (2 * math.pi) * period
+    return best.select("track_id", F.col("b.bpm").alias("bpm"), F.col("b.strength").alias("strength"), F.when(phase < 0, phase + period).otherwise(phase).alias("phase"))
+
+
 def choose_bpm(estimates: DataFrame, tolerance: float = 0.02) -> DataFrame:
-    """Mean of the first pair of peaks, comb and autocorr estimates that agree, else the first positive one."""
-    agree = lambda a, b: (F.col(a) > 0) & (F.col(b) > 0) & (F.abs(F.col(a) - F.col(b)) / F.greatest(a, b) <= tolerance)
+    """Mean of the first pair of peaks, comb and autocorr estimates that agree, relative to the first of the pair;
+    else the first positive one."""
+    agree = lambda a, b: (F.col(a) > 0) & (F.col(b) > 0) & (F.abs(F.col(a) - F.col(b)) / F.greatest(F.col(a), F.lit(1e-6)) <= tolerance)
     mean = lambda a, b: (F.col(a) + F.col(b)) / 2
     pairs = [("peaks", "comb"), ("peaks", "autocorr"), ("comb", "autocorr")]
     single = reduce(lambda c, name: c.when(F.col(name) > 0, F.col(name)), ["comb", "autocorr", "beats"], F.when(F.col("peaks") > 0, F.col("peaks")))

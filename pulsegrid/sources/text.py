@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,28 +37,69 @@ def tracker_output(rows: DataFrame) -> DataFrame:
     return last.select("stem", "label", times.alias("i", "t")).select("stem", "label", "i", F.col("t").cast("double").alias("time_s"))
 
 
-#: Fields of analyzer logs and where they stand in a line.
-LOG_FIELDS = {
-    "bpm": r"(?i)\bBPM:\s*([0-9.]+)",
-    "first_downbeat_s": r"(?i)first downbeat[^0-9]*([0-9.]+)",
-    "qpar": r"\bqpar=([0-9.]+)",
-    "qkur": r"\bqkur=([0-9.]+)",
-    "gate": r"\bgate=(\w+)",
-}
-
-
-def run_logs(rows: DataFrame) -> DataFrame:
-    """One row a log with its last value of each field, null where it is absent."""
-    found = [F.max(F.when(F.col("line").rlike(p), F.struct(F.col("line_no"), F.regexp_extract("line", p, 1).alias("v"))))["v"].alias(n) for n, p in LOG_FIELDS.items()]
+NUMBER, SIGNED = "([0-9.]+)", "([0-9.eE+-]+)"
+#: Lines of analyzer logs with their fields in order; (type, name) of each.
+LOG_LINES = [
+    (rf"Estimated BPM:\s*{NUMBER}", ["bpm"]),
+    (rf"Tempo anchor:\s*peaks={NUMBER}\s+autocorr={NUMBER}\s+comb={NUMBER}\s+beats={NUMBER}\s+chosen={NUMBER}", ["anchor_peaks", "anchor_autocorr", "anchor_comb", "anchor_beats", "anchor_chosen"]),
+    (rf"BPM debug: peak_median_bpm={NUMBER}", ["peak_median_bpm"]),
+    (r"BPM debug: peak_hist_top=(.+)", ["peak_hist_top"]),
+    (
+        rf"BPM debug: peak_hist_dom top1_bpm={NUMBER} top1_w={NUMBER} top2_bpm={NUMBER} top2_w={NUMBER} top1_ratio={NUMBER} top_gap={NUMBER} top_range_bpm={NUMBER}",
+        ["peak_top1_bpm", "peak_top1_w", "peak_top2_bpm", "peak_top2_w", "peak_top1_ratio", "peak_top_gap", "peak_top_range_bpm"],
+    ),
+    (rf"BPM debug: comb_dom top1_bpm={NUMBER} top1_w={NUMBER} top2_bpm={NUMBER} top2_w={NUMBER} top1_ratio={NUMBER} top_gap={NUMBER}", ["comb_top1_bpm", "comb_top1_w", "comb_top2_bpm", "comb_top2_w", "comb_top1_ratio", "comb_top_gap"]),
+    (rf"DBN quality:\s*qpar={SIGNED}\s+qmax={SIGNED}\s+qkur={SIGNED}", ["qpar", "qmax", "qkur"]),
+    (
+        rf"DBN quality gate:\s*low=(\d+)\s+drop_ref=(\d+)\s+drop_global=(\d+)\s+drop_fit=(\d+)\s+downbeat_ok=(\d+)\s+downbeat_cv={SIGNED}\s+downbeat_count=(\d+)\s+used=([a-z_]+)\s+pre_override=([a-z_]+)\s+pre_bpm={SIGNED}",
+        ["gate_low", "gate_drop_ref", "gate_drop_global", "gate_drop_fit", "gate_downbeat_ok", "gate_downbeat_cv", "gate_downbeat_count", "gate_used", "gate_pre_override", "gate_pre_bpm"],
+    ),
+    (r"First downbeat feature_frame:\s*(\d+)\s*\(s ([0-9.]+)\)(?:\s*\(sample_frame ([0-9]+)\))?", ["downbeat_frame", "downbeat_s", "downbeat_sample"]),
+    (r"first beat peak: .*sample_frame=(\d+)\s*\(s ([0-9.]+)\)", ["beat_peak_sample", "first_beat_peak_s"]),
+    (r"first beat floor: .*sample_frame=(\d+)\s*\(s ([0-9.]+)\)", ["beat_floor_sample", "first_beat_floor_s"]),
+    (rf"max beat activation \(first 2s\):\s*{NUMBER}", ["max_beat_first2s"]),
+]
+TEXT_FIELDS = ["peak_hist_top", "gate_used", "gate_pre_override"]
+COUNT_FIELDS = ["gate_low", "gate_drop_ref", "gate_drop_global", "gate_drop_fit", "gate_downbeat_ok", "gate_downbeat_count"]
+HELPERS = ["downbeat_frame", "downbeat_s", "downbeat_sample", "beat_peak_sample", "beat_floor_sample"]
+
+
+def run_logs(rows: DataFrame, sample_rate: float = 44100.0) -> DataFrame:
+    """One row a log with the fields of the first line of each kind, and gate_override.
+
+    What is absent is null; counts of the gate are 0 and its names and the histogram text '' then. The first downbeat is
+    its sample over the rate where the line has one, else its seconds.
+    """
+    found = [F.min(F.when(F.col("line").rlike(p), F.struct(F.col("line_no"), F.array(*[F.regexp_extract("line", p, i + 1) for i in range(len(names))]).alias("v"))))["v"].alias(names[0]) for p, names in LOG_LINES]
     got = rows.groupBy("stem").agg(*found)
-    return got.select("stem", *[F.col(n).cast("double").alias(n) for n in LOG_FIELDS if n != "gate"], F.coalesce("gate", F.lit("")).alias("gate"))
+    fields = {n: F.get(names[0], F.lit(i)) for _, names in LOG_LINES for i, n in enumerate(names)}
+    text = {n: F.coalesce(F.trim(fields[n]), F.lit("")) for n in TEXT_FIELDS}
+    counts = {n: F.coalesce(fields[n].try_cast("long"), F.lit(0).cast("long")) for n in COUNT_FIELDS}
+    numbers = {n: c.try_cast("double") for n, c in fields.items() if n not in (*TEXT_FIELDS, *COUNT_FIELDS)}
+    first = F.coalesce(numbers["downbeat_sample"] / sample_rate, numbers["downbeat_s"])
+    override = (text["gate_used"] == "downbeats_override").cast("int")
+    return got.select("stem", *[c.alias(n) for n, c in (numbers | counts | text).items() if n not in HELPERS], first.alias("first_downbeat_s"), override.alias("gate_override"))
 
 
 def log_beats(rows: DataFrame) -> DataFrame:
-    """Beat times of lines that list them."""
-    listed = rows.where(F.col("line").rlike(r"(?i)^\s*beat list:"))
-    times = F.posexplode(F.regexp_extract_all("line", F.lit(r"([0-9]+\.[0-9]+)"), F.lit(1)))
-    return listed.select("stem", times.alias("i", "t")).select("stem", "i", F.col("t").cast("double").alias("time_s"))
+    """(stem, kind, i, sample_frame, time_s) of the first line that lists all beats, and of that for downbeats."""
+    pair = r"(\d+)\(([0-9.]+)\)"
+    kind = F.regexp_extract("line", r"^(Beats|Downbeats) \(all sample frames\):", 1)
+    listed = rows.select("stem", "line_no", F.lower(kind).alias("kind"), F.col("line")).where("kind <> ''")
+    first = listed.groupBy("stem", "kind").agg(F.min(F.struct("line_no", "line"))["line"].alias("line"))
+    rest = F.regexp_extract("line", r"^[^:]*:(.*)$", 1)
+    both = F.arrays_zip(F.regexp_extract_all(rest, F.lit(pair), F.lit(1)).alias("f"), F.regexp_extract_all(rest, F.lit(pair), F.lit(2)).alias("t"))
+    return first.select("stem", "kind", F.posexplode(both).alias("i", "p")).select("stem", "kind", "i", F.col("p")["f"].cast("long").alias("sample_frame"), F.col("p")["t"].cast("double").alias("time_s"))
+
+
+def slice_pcm(pcm: DataFrame, start_s: float, duration_s: float, rate: float) -> DataFrame:
+    """Samples floor(start * rate) to ceil((start + duration) * rate), the end left out, of chunks (track_id,
+    start_sample, pcm). Start and duration count as 0 where negative; a track that is shorter gives what it has."""
+    start = max(start_s, 0.0)
+    first, last = math.floor(start * rate), math.ceil((start + max(duration_s, 0.0)) * rate)
+    near = pcm.where((F.col("start_sample") + F.size("pcm") > first) & (F.col("start_sample") < last))
+    flat = near.select("track_id", "start_sample", F.posexplode("pcm").alias("i", "x")).select("track_id", (F.col("start_sample") + F.col("i")).alias("sample"), F.col("x").cast("double").alias("x"))
+    return flat.where((F.col("sample") >= first) & (F.col("sample") < last))
 
 
 EVENT_COLUMNS = ["index", "frame", "bpm", "energy", "peak", "style"]
@@ -68,10 +111,12 @@ def events_csv(events: DataFrame) -> DataFrame:
     return events.select("track_id", F.concat_ws(",", F.col("index").cast("string"), F.col("frame").cast("string"), six("bpm"), six("energy"), six("peak"), F.col("style").cast("string")).alias("line"))
 
 
-def write_events(events: DataFrame, path: str) -> None:
-    """CSV files by track."""
+def write_events(events: DataFrame, path: str, buckets: int = 256) -> None:
+    """CSV files, in folders by a hash of the track; files of a folder hold whole tracks, in order."""
     six = {c: F.format_string("%.6f", F.col(c).cast("double")) for c in ("bpm", "energy", "peak")}
-    events.select("track_id", *EVENT_COLUMNS).withColumns(six).write.partitionBy("track_id").option("header", True).option("maxRecordsPerFile", 1_000_000).csv(path)
+    bucket = F.pmod(F.xxhash64("track_id"), F.lit(buckets)).alias("bucket")
+    rows = events.select(bucket, "track_id", *EVENT_COLUMNS).withColumns(six).repartition("bucket").sortWithinPartitions("bucket", "track_id", "index")
+    rows.write.partitionBy("bucket").option("header", True).csv(path)
 
 
 def activation_window(frames: DataFrame, start: int, end: int, fps: float, floor: float = 0.05, most: int | None = None) -> DataFrame:

@@ -50,7 +50,8 @@ def _run(pcm: DataFrame, step, empty: tuple, schema: str) -> DataFrame:
             out += rows
         _keep(state, nxt, list(own), waiting)
         names = [c.split()[0] for c in schema.split(", ")][1:]
-        yield pd.DataFrame([(key[0], *r) for r in out], columns=["track_id", *names])
+        if out:
+            yield pd.DataFrame([(key[0], *r) for r in out], columns=["track_id", *names])
 
     return pcm.select("track_id", "chunk_no", "pcm").groupBy("track_id").applyInPandasWithState(each, schema, STATE, "append", GroupStateTimeout.NoTimeout)
 

@@ -123,7 +123,7 @@ def test_unwrap_and_regions():
     jumps = line + 100.0 * np.isin(np.arange(40), [7, 20, 31]) - 100.0 * np.isin(np.arange(40), [3, 33])
     assert np.allclose(D.unwrap(jumps, 100.0), line)
     x = np.concatenate([np.arange(0, 200, 10), 190 + np.arange(1, 15) * 13])
-    found = D.constant_regions(x.astype(float), 1.0, 8.0, 1.0)
+    found = D.constant_regions(x.astype(float), 1.0, 8.0)
     assert found[0] == (0, 19) and found[1][0] == 19
 
 
