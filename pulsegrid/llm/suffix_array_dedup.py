@@ -10,6 +10,7 @@ What maximal repeats cover is removed.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -142,7 +143,7 @@ def maximal_repeats(docs: DataFrame, window: int = 50, **how) -> DataFrame:
     repeated rows are places like any other (equal rows of the result stand once), an empty table gives an empty
     result.
     """
-    return list_repeats(docs, _kind(window), interval_tree, **how)
+    return list_repeats(docs, replace(_kind(window), smaller_doc=False), interval_tree, **how)
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -270,9 +270,43 @@ def test_license_rules_suppress_what_lies_inside(spark):
         assert set(out[i].labels.split(",")) == set(labels.split(",")), (text, out[i].labels)
     assert out[4].labels == "" and out[4].score == 0.0
     assert len(license_scan.rules()) > 200
+    kept = license_scan.scan(spark.createDataFrame(list(enumerate(t for t, _ in cases)), "doc_id long, text string")).where("n_detections > 0 and labels like '%mit%'")
+    assert [r.doc_id for r in kept.collect()] == [2]
     assert all(any(w in pattern or w in keyword for w in license_scan.GATE) for keyword, _, _, _, pattern in license_scan.rules())
 
 
+def plain_detections(text):
+    """Rules that stay, by loops over all pairs of detections."""
+    import re
+
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    norm, spans = f" {' '.join(words)} ", []
+    for i, (keyword, _, priority, _, pattern) in enumerate(license_scan.rules()):
+        if f" {keyword}" in norm:
+            spans += [(m.start(), m.end(), priority, i) for m in re.finditer(f" {pattern}(?= )", norm)]
+    inside = lambda s, t: t[0] <= s[0] and t[1] >= s[1] and t[3] != s[3] and (t[2], t[1] - t[0], -t[3]) > (s[2], s[1] - s[0], -s[3])
+    return [s[3] for s in spans if not any(inside(s, t) for t in spans)]
+
+
+def test_license_scan_equals_a_plain_loop(spark):
+    rng = random.Random(6)
+    optional, table = __import__("re").compile(r"\([^()]*\)\?"), license_scan.rules()
+    texts = []
+    for _ in range(250):
+        parts = []
+        for _ in range(rng.randint(1, 9)):
+            pattern = table[rng.randrange(len(table))][4]
+            pattern = optional.sub("", optional.sub("", pattern)).replace("licen[sc]e", rng.choice(["license", "licence"])).replace("[ds]?", "").replace("d?", "").replace("s?", "").replace(" ?", " ")
+            parts += [pattern.replace("(", "").split("|")[0].replace(")", ""), rng.choice(["and", "the GNU", "Version 2.0", "of", "\n\n", "apache license", "(c) 2001-2004"])]
+        texts.append(rng.choice([" ", " - ", "\n"]).join(parts))
+    texts += ["mit license " * 700 + "apache license version 2 0 " * 300, None, "", "copyright 1999 " * 600]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        want = plain_detections(t)
+        labels = {table[k][1] for k in want} | {x for x in brute.licenses(t)[4].split(",") if x}
+        assert got[i].n_detections == len(want) and got[i].labels == ",".join(sorted(labels)), (t, got[i], [table[k] for k in want])
+
+
 def test_quality_statistics(docs, wide, rows):
     want = [(i, *brute.quality(t)) for i, t, _, _ in rows]
     for given in (docs, wide):
