@@ -4,6 +4,9 @@ Each 64 bytes of payload are one 8x8 block: byte minus 128 is the coefficient at
 entropy coding loses nothing. Every block is a restart interval of its own, which lets numpy decode all
 blocks of many files in step: one Huffman symbol of each block at a time. The DC coefficients alone give
 a luminance thumbnail with one pixel a block.
+
+read_media() reads ordinary baseline files too: any sampling, any restart interval or none, DC prediction, one scan
+for all components or one each. There the restart intervals of a batch of files are decoded in step.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from .shared import documents
 
@@ -300,10 +304,194 @@ def thumbnail(head: dict, coefs: np.ndarray) -> np.ndarray:
 
 
 def thumbnail_hash(pixels: np.ndarray) -> str:
-    """64 bits, from an 8x8 sampling of the thumbnail: which pixels exceed their mean."""
-    high, wide = pixels.shape
-    small = pixels[np.ix_(np.arange(8) * high // 8, np.arange(8) * wide // 8)]
-    return np.packbits(small > small.mean()).tobytes().hex()
+    """64 bits, from the means of 8x8 areas of the thumbnail: which exceed their own mean."""
+    sums = np.pad(pixels.astype(np.int64), ((1, 0), (1, 0))).cumsum(0).cumsum(1)
+    edges = []
+    for n in pixels.shape:
+        lo = np.arange(8) * n // 8
+        edges.append((lo, np.maximum((np.arange(8) + 1) * n // 8, lo + 1)))
+    (top, low), (left, right) = edges
+    area = sums[np.ix_(low, right)] - sums[np.ix_(top, right)] - sums[np.ix_(low, left)] + sums[np.ix_(top, left)]
+    means = area / ((low - top)[:, None] * (right - left)[None])
+    return np.packbits(means > means.mean()).tobytes().hex()
+
+
+def luminance_scan(file: bytes) -> dict:
+    """Frame, tables and entropy-coded bytes of the scan that holds the first component of a baseline file."""
+    if file[:2] != b"\xff\xd8":
+        raise ValueError("not a JPEG file")
+    at, dht, dqt, interval, frame = 2, {}, {}, 0, None
+    while True:
+        while at + 1 < len(file) and file[at] == 255 and file[at + 1] == 255:  # fill bytes
+            at += 1
+        if at + 4 > len(file) or file[at] != 255:
+            raise ValueError("no scan of luminance")
+        marker, length = file[at + 1], int.from_bytes(file[at + 2 : at + 4], "big")
+        body = file[at + 4 : at + 2 + length]
+        at += 2 + length
+        if marker == 0xDB:
+            while body:
+                wide = body[0] >> 4
+                size = 128 if wide else 64
+                dqt[body[0] & 15] = int.from_bytes(body[1 : 2 + (1 if wide else 0)], "big")
+                body = body[1 + size :]
+        elif marker in (0xC0, 0xC1):
+            high, across, n = struct.unpack(">HHB", body[1:6])
+            if body[0] != 8 or not high or not across:
+                raise ValueError("only 8-bit frames of known size are read")
+            frame = {"high": high, "wide": across, "parts": {body[6 + 3 * i]: (body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)}, "first": body[6]}
+        elif marker == 0xC4:
+            while body:
+                n = 17 + sum(body[1:17])
+                dht[body[0]], body = bytes(body[1:n]), body[n:]
+        elif marker == 0xDD:
+            interval = int.from_bytes(body, "big")
+        elif marker == 0xDA:
+            d = np.frombuffer(file, np.uint8, len(file) - at, at)
+            ff = np.flatnonzero(d[:-1] == 255)
+            ends = ff[(d[ff + 1] != 0) & ((d[ff + 1] < 0xD0) | (d[ff + 1] > 0xD7)) & (d[ff + 1] != 255)]
+            stop = at + int(ends[0]) if len(ends) else len(file)
+            ids = [(body[1 + 2 * i], body[2 + 2 * i]) for i in range(body[0])]
+            if frame is None:
+                raise ValueError("a scan before its frame")
+            if frame["first"] in [c for c, _ in ids]:
+                return frame | {"scan": [(frame["parts"][c][:2], dht[t >> 4], dht[16 | t & 15]) for c, t in ids], "luminance": [c for c, _ in ids].index(frame["first"]), "step": dqt[frame["parts"][frame["first"]][2]], "interval": interval, "data": file[at:stop]}
+            at = stop
+        elif marker == 0xD9 or 0xC2 <= marker <= 0xCF and marker != 0xCC and marker != 0xC8:
+            raise ValueError("not a baseline file")
+
+
+class Lanes:
+    """The restart intervals of some files, each a lane that is decoded on its own, all in step."""
+
+    def __init__(self, scans: list[dict]):
+        tables: dict[bytes, int] = {}
+        rows, chunks, self.sizes, base, out = [], [], [], 0, 0
+        for f, s in enumerate(scans):
+            one = len(s["scan"]) == 1
+            (h, v), most_h, most_v = s["scan"][s["luminance"]][0], max(x[0] for x in s["parts"].values()), max(x[1] for x in s["parts"].values())
+            if one:  # a scan of one component has its blocks in rows, without padding to whole units
+                h = v = 1
+                own_h, own_v = s["parts"][s["first"]][:2]
+                across, down = -(-s["wide"] * own_h // (8 * most_h)), -(-s["high"] * own_v // (8 * most_v))
+                pattern = [0]
+            else:
+                across, down = -(-s["wide"] // (8 * most_h)), -(-s["high"] // (8 * most_v))
+                pattern = [c for c, (hv, _, _) in enumerate(s["scan"]) for _ in range(hv[0] * hv[1])]
+            self.sizes.append((across, down, h, v))
+            data, starts = _intervals(s["data"] + b"\xff\xd9", 0)
+            each, total = s["interval"] or across * down, across * down
+            own = [[tables.setdefault(t, len(tables)) for t in x[1:]] for x in s["scan"]]
+            own += [[0, 0]] * (4 - len(own))
+            n = -(-total // each)
+            ends = [*starts[1:], len(data)]
+            for i in range(n):
+                here = i < len(starts)
+                rows.append((f, base + int(starts[i]) if here else base, base + int(ends[i]) if here else base, min(each, total - i * each), out + i * each * h * v, len(pattern), pattern + [0] * (10 - len(pattern)), own, s["luminance"], pattern.index(s["luminance"])))
+            chunks.append(data)
+            base += len(data)
+            out += total * h * v
+        self.n_out = out
+        data = np.concatenate([*chunks, np.full(8, 255, np.uint8)]).astype(np.int64)
+        self.ahead = data[:-4] << 32 | data[1:-3] << 24 | data[2:-2] << 16 | data[3:-1] << 8 | data[4:]
+        self.luts = np.stack([_lookup(t) for t in tables])
+        cols = list(zip(*rows, strict=True))
+        self.file, start, self.end, self.units, self.out, self.length = (np.array(c) for c in cols[:6])
+        self.at, self.pattern, self.tables, self.luminance, self.first = start * 8, np.array(cols[6]), np.array(cols[7]), np.array(cols[8]), np.array(cols[9])
+
+    def decode(self) -> tuple[np.ndarray, set[int]]:
+        """Luminance DC coefficients of all files in scan order, and the files that are damaged."""
+        n = len(self.file)
+        dc, bad = np.zeros(self.n_out, np.int64), np.zeros(n, bool)
+        at, block, done, k, before = self.at.copy(), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((n, 4), np.int64)
+        lum = (self.pattern == self.luminance[:, None]) & (np.arange(10) < self.length[:, None])
+        per_unit = lum.sum(1)
+        lane = np.arange(n)
+        while len(lane):
+            a, kk, c = at[lane], k[lane], self.pattern[lane, block[lane]]
+            over = (a >> 3) > self.end[lane]
+            a = np.minimum(a, 8 * (len(self.ahead) - 1))
+            window = self.ahead[a >> 3] << (a & 7) & 0xFFFFFFFFFF
+            found = self.luts[self.tables[lane, c, (kk > 0).astype(np.int64)], window >> 24]
+            length, symbol = found >> 8, found & 255
+            size = symbol & 15
+            wrong = (found < 0) | over
+            value = window >> np.maximum(40 - length - size, 0) & (1 << size) - 1
+            value = np.where(value < (1 << size >> 1), value - (1 << size) + 1, value)
+            is_dc = kk == 0
+            d = np.flatnonzero(is_dc & ~wrong)
+            before[lane[d], c[d]] += value[d]
+            y = d[c[d] == self.luminance[lane[d]]]
+            ly = lane[y]
+            dc[self.out[ly] + done[ly] * per_unit[ly] + block[ly] - self.first[ly]] = before[ly, c[y]]
+            nxt = np.where(is_dc, 1, np.where(symbol == 0, 64, np.where(symbol == 0xF0, kk + 16, kk + (symbol >> 4) + 1)))
+            wrong |= nxt > 64
+            at[lane], k[lane] = a + length + size, nxt
+            bad[lane[wrong]] = True
+            e = lane[(nxt >= 64) & ~wrong]
+            k[e] = 0
+            block[e] += 1
+            e = e[block[e] == self.length[e]]
+            block[e] = 0
+            done[e] += 1
+            lane = lane[~wrong & (done[lane] < self.units[lane])]
+        return dc, set(self.file[bad].tolist())
+
+
+def read_thumbnails(files: list[bytes | None]) -> list[tuple[int, int, str] | None]:
+    """Width, height and thumbnail hash of each file, None for what is no whole baseline JPEG file."""
+    scans, which = [], []
+    for i, f in enumerate(files):
+        try:
+            scans.append(luminance_scan(f or b""))
+            which.append(i)
+        except (ValueError, KeyError, IndexError, struct.error):
+            continue
+    out: list = [None] * len(files)
+    if not scans:
+        return out
+    lanes = Lanes(scans)
+    dc, damaged = lanes.decode()
+    at = 0
+    for j, (i, s, (across, down, h, v)) in enumerate(zip(which, scans, lanes.sizes, strict=True)):
+        own = dc[at : at + across * down * h * v]
+        at += len(own)
+        if j in damaged:
+            continue
+        grid = own.reshape(down, across, v, h).transpose(0, 2, 1, 3).reshape(down * v, across * h)
+        pixels = np.clip(grid * s["step"] // 8 + 128, 0, 255).astype(np.uint8)
+        most_h, most_v = (max(x[k] for x in s["parts"].values()) for k in (0, 1))
+        own_h, own_v = s["parts"][s["first"]][:2]
+        pixels = pixels[: -(-s["high"] * own_v // (8 * most_v)), : -(-s["wide"] * own_h // (8 * most_h))]
+        out[i] = s["wide"], s["high"], thumbnail_hash(pixels)
+    return out
+
+
+def read_media(rows: DataFrame, column: str = "media", batch_bytes: int = 1 << 20) -> DataFrame:
+    """``rows`` with media_width, media_height and media_hash of the JPEG files in a binary column.
+
+    Null where the file is null, not a baseline JPEG or damaged. Repeated rows each give a row, columns of other names pass
+    unchanged, an empty table gives an empty result; a batch is decoded about ``batch_bytes`` at a time.
+    """
+    made = [("media_width", pa.int32()), ("media_height", pa.int32()), ("media_hash", pa.string())]
+    kept = rows.drop(*[n for n, _ in made])
+
+    def run(batches):
+        for batch in batches:
+            files = batch.column(batch.schema.get_field_index(column)).to_pylist()
+            found, now, size = [], [], 0
+            for f in files:
+                now.append(f)
+                size += len(f or b"")
+                if size >= batch_bytes:
+                    found += read_thumbnails(now)
+                    now, size = [], 0
+            found += read_thumbnails(now)
+            cols = [pa.array([x and x[i] for x in found], t) for i, (_, t) in enumerate(made)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, *[n for n, _ in made]])
+
+    schema = StructType([*kept.schema.fields, StructField("media_width", IntegerType()), StructField("media_height", IntegerType()), StructField("media_hash", StringType())])
+    return kept.mapInArrow(run, schema)
 
 
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int"

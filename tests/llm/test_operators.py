@@ -139,6 +139,98 @@ def test_jpeg_of_hard_payloads():
         assert media_jpeg.thumbnail(head, coefs).ravel()[0] == p[0]
 
 
+def plain_jpeg(rng, wide, high, parts, interval, together=True):
+    """A baseline file with random coefficients, bit by bit, and the luminance DC values of its blocks in rows.
+
+    parts: (h, v) of each component. Huffman codes of eight bits for every symbol but one.
+    """
+    import struct
+
+    segment = lambda m, b: struct.pack(">BBH", 255, m, len(b) + 2) + b
+    dc_symbols, ac_symbols = list(range(12)), [r << 4 | z for r in range(16) for z in range(1, 11)] + [0, 0xF0]
+    rng.shuffle(ac_symbols)
+    table = lambda symbols: bytes([len(symbols) if k == 8 else 0 for k in range(1, 17)]) + bytes(symbols)
+    codes = [{x: i for i, x in enumerate(symbols)} for symbols in (dc_symbols, ac_symbols)]
+    most_h, most_v = max(h for h, _ in parts), max(v for _, v in parts)
+    units_x, units_y = -(-wide // (8 * most_h)), -(-high // (8 * most_v))
+    blocks = {}
+
+    def put(bits, n, value):
+        bits += f"{value:0{n}b}" if n else ""
+        return bits
+
+    def number(v):
+        size = abs(v).bit_length()
+        return size, v if v > 0 else v + (1 << size) - 1
+
+    def coded(c, x, y, before):
+        dc = rng.randint(-200, 200)
+        blocks[c, x, y] = dc
+        size, raw = number(dc - before[c])
+        before[c] = dc
+        bits = put(put("", 8, codes[0][size]), size, raw)
+        k = 1
+        while k < 64 and rng.random() < 0.8:
+            run = rng.choice([0, 0, 1, 3, 17, 20])
+            if k + run > 63:
+                break
+            while run >= 16:
+                bits, run, k = put(bits, 8, codes[1][0xF0]), run - 16, k + 16
+            size, raw = number(rng.choice([-1, 1]) * rng.randint(1, 500))
+            bits = put(put(bits, 8, codes[1][run << 4 | size]), size, raw)
+            k += run + 1
+        return bits if k == 64 else put(bits, 8, codes[1][0])
+
+    def scan(components):
+        if len(components) == 1:
+            h, v = parts[components[0]]
+            order = [[(components[0], x, y)] for y in range(-(-high * v // (8 * most_v))) for x in range(-(-wide * h // (8 * most_h)))]
+        else:
+            order = [[(c, ux * parts[c][0] + x, uy * parts[c][1] + y) for c in components for y in range(parts[c][1]) for x in range(parts[c][0])] for uy in range(units_y) for ux in range(units_x)]
+        out, bits, before = b"", "", [0] * len(parts)
+        for i, unit in enumerate(order):
+            if interval and i and i % interval == 0:
+                bits += "1" * (-len(bits) % 8)
+                out += bytes(int(bits[j : j + 8], 2) for j in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0") + bytes([255, 0xD0 + (i // interval - 1) % 8])
+                bits, before = "", [0] * len(parts)
+            for c, bx, by in unit:
+                bits += coded(c, bx, by, before)
+        bits += "1" * (-len(bits) % 8)
+        out += bytes(int(bits[j : j + 8], 2) for j in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0")
+        head = bytes([len(components)]) + b"".join(bytes([c + 1, 0]) for c in components) + b"\0\x3f\0"
+        return segment(0xDA, head) + out
+
+    file = b"\xff\xd8" + segment(0xFE, b"a comment") + segment(0xDB, b"\0" + bytes([6]) + bytes([1]) * 63)
+    file += b"\xff" + segment(0xC0, struct.pack(">BHHB", 8, high, wide, len(parts)) + b"".join(bytes([c + 1, h << 4 | v, 0]) for c, (h, v) in enumerate(parts)))
+    file += segment(0xC4, b"\0" + table(dc_symbols) + b"\x10" + table(ac_symbols)) + (segment(0xDD, struct.pack(">H", interval)) if interval else b"")
+    order = list(range(len(parts)))
+    for components in [order] if together else [[c] for c in reversed(order)]:
+        file += scan(components)
+    h, v = parts[0]
+    rows = -(-high * v // (8 * most_v)), -(-wide * h // (8 * most_h))
+    return file + b"\xff\xd9", np.array([[np.clip(blocks[0, x, y] * 6 // 8 + 128, 0, 255) for x in range(rows[1])] for y in range(rows[0])], np.uint8)
+
+
+def test_ordinary_jpeg_files(spark):
+    rng = random.Random(9)
+    kinds = [([(1, 1)], 0, True), ([(1, 1)], 3, True), ([(2, 2), (1, 1), (1, 1)], 0, True), ([(2, 1), (1, 1), (1, 1)], 5, True), ([(1, 1)] * 3, 1, True), ([(2, 2), (1, 1), (1, 1)], 4, False), ([(1, 2), (1, 1), (1, 1)], 0, True)]
+    rows, want = [], {}
+    for i, (parts, interval, together) in enumerate(kinds):
+        wide, high = rng.randint(9, 150), rng.randint(9, 150)
+        file, pixels = plain_jpeg(rng, wide, high, parts, interval, together)
+        rows.append((i, file))
+        want[i] = (wide, high, media_jpeg.thumbnail_hash(pixels))
+    progressive = rows[2][1].replace(b"\xff\xc0", b"\xff\xc2", 1)
+    rows += [(20, None), (21, b""), (22, b"GIF89a"), (23, rows[2][1][:120]), (24, rows[2][1][: len(rows[2][1]) // 2]), (25, progressive), (26, media_jpeg.encode_files([bytes(range(64)) * 40])[0])]
+    df = spark.createDataFrame(rows, "doc_id long, media binary").withColumn("width", F.lit("mine"))
+    got = {r.doc_id: (r.media_width, r.media_height, r.media_hash) for r in media_jpeg.read_media(df).collect()}
+    assert {i: got[i] for i in want} == want
+    assert all(got[i] == (None, None, None) for i in range(20, 26))
+    (head, coefs), = media_jpeg.decode_files([rows[-1][1]])
+    assert got[26] == (head["wide"], head["high"], media_jpeg.thumbnail_hash(media_jpeg.thumbnail(head, coefs)))
+    assert media_jpeg.read_media(df.where("false")).count() == 0
+
+
 def test_simhash_equals_brute_force(docs, wide, rows):
     want = brute.classes([(i, t) for i, t, _, _ in rows])
     same(simhash.near_duplicates(docs).collect(), want)
