@@ -107,7 +107,8 @@ class Model:
 def learn(labelled: DataFrame, most_languages: int = 512) -> Model:
     """A model from rows of text and lang; null texts and labels are left out.
 
-    Labels beyond ``most_languages``, a bound on what the driver holds, are an error.
+    Labels beyond ``most_languages``, a bound on what the driver holds, are an error. Long texts are counted whole, a
+    chunk at a time; repeated rows count each; other columns are not read; an empty table gives a model of no language.
     """
 
     def count(batches):

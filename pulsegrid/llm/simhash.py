@@ -3,9 +3,10 @@
 Equal fingerprints are one node. Two fingerprints that differ in r bits or fewer agree on one of r + 1 parts
 of their bits, and on one of r + 1 parts of what remains; each fingerprint goes to the shard of each of
 its (r + 1) ** 2 such keys, so that no link is lost and no shard is collected at the driver. A shard of any size
-splits on in the same way until few remain; these stand in a BK-tree whose children are keyed by their distance
-to the parent, and a search follows only edges within the radius. A shard sends the edges of a spanning
-forest of its links. Components come from alternating star steps on these edges.
+splits on in the same way until LEAF or fewer remain (a switch by size that loses no link: the tests hold shards of
+hundreds against all pairs); these stand in a BK-tree whose children are keyed by their distance to the parent, and
+a search follows only edges within the radius. A shard sends the edges of a spanning forest of its links. Components
+come from alternating star steps on these edges.
 
 The pipeline's stage links texts by a Jaccard similarity of 0.8 of their shingles, some 10 of 64 bits and up to 16,
 where a search of a BK-tree visits nearly all of it. There the shards are bands of least hashes, the fingerprints
@@ -227,6 +228,19 @@ def classes(prints: DataFrame, radius: int) -> DataFrame:
     return nodes.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
 
 
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, counts: DataFrame, how: str = "inner", share: int = 1000) -> DataFrame:
+    """``rows`` with the columns of ``facts`` (one row a key) by column ``key`` of both; counts (key, n) are rows a key.
+
+    A key that holds over one in ``share`` of all rows would land in one task: there are fewer than ``share`` such keys,
+    so their facts are broadcast; the other rows are dealt by key.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    popular = counts.where(F.col("n") * share > total).select(key)
+    few = F.broadcast(facts.join(popular, key))
+    often = rows.join(F.broadcast(popular), key, "left_semi").join(few, key, how)
+    return often.unionByName(rows.join(F.broadcast(popular), key, "left_anti").join(facts, key, how))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fingerprint and component_id of each row.
 
@@ -236,7 +250,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     """
     given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     prints = cut(with_fingerprints(given, shingle).select("doc_id", "_pg_fp"))
-    out = prints.join(classes(prints, radius), prints["_pg_fp"] == F.col("fp"))
+    counts = cut(prints.groupBy("_pg_fp").agg(F.count("*").alias("n")))
+    out = spread_join(prints, cut(classes(prints, radius).withColumnRenamed("fp", "_pg_fp")), "_pg_fp", counts)
     return out.select("doc_id", F.lower(F.lpad(F.hex("_pg_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -356,7 +371,8 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     found = prints.select("_pg_id", "_pg_text", "_pg_node")
     root = F.col("_pg_node")
     if roots is not None:
-        found, root = found.join(roots, F.col("_pg_node") == F.col("node"), "left"), F.coalesce("root", "_pg_node")
+        counts = cut(prints.groupBy("_pg_node").agg(F.count("*").alias("n")))
+        found, root = spread_join(found, roots.withColumnRenamed("node", "_pg_node"), "_pg_node", counts, "left"), F.coalesce("root", "_pg_node")
     first = found.groupBy(root.alias("root")).agg(F.min(F.struct(F.col("_pg_id").isNull().alias("n"), "_pg_id", "_pg_text")).alias("w"))
     winners = first.select(F.col("w._pg_id").alias("_id"), F.col("w._pg_text").alias("_hash"))
     same = F.col("_id").eqNullSafe(F.col("_pg_id")) & (F.col("_hash") == F.col("_pg_text"))

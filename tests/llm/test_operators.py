@@ -271,6 +271,14 @@ def test_bk_tree_search():
         assert sorted(tree.search(q, 2)) == sorted({v for v in values if (v ^ q).bit_count() <= 2})
 
 
+def test_spread_join_of_popular_keys(spark):
+    rows = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(3000)] + [(None, -1)], "k long, i long")
+    facts = spark.createDataFrame([(i, f"f{i}") for i in range(0, 3000, 2)] + [(1, "one")], "k long, f string")
+    counts = rows.groupBy("k").agg(F.count("*").alias("n"))
+    for how in ("inner", "left"):
+        same(simhash.spread_join(rows, facts, "k", counts, how).select("k", "i", "f").collect(), rows.join(facts, "k", how).select("k", "i", "f").collect())
+
+
 def test_near_dedup_keeps_one(spark):
     text = " ".join(f"word{i}" for i in range(400))
     near = text.replace("word200", "changed")
@@ -560,6 +568,38 @@ def test_language_id_held_out(spark):
     assert {r.lang_pred for r in language_id.predict(df, nothing).collect()} == {"und"}
 
 
+def test_language_decoding_equals_a_plain_loop():
+    from math import log, log1p, exp
+
+    rng = random.Random(3)
+    langs = ["aa", "bb", "cc", "dd"]
+    text = lambda k: " ".join("".join(rng.choice(["xyz", "pqr", "uvw", "klm"][k] + "ab") for _ in range(5)) for _ in range(30))
+    counts = np.zeros((4, language_id.BUCKETS))
+    for k in range(4):
+        for _, h in language_id.trigrams([text(k) for _ in range(20)]):
+            np.add.at(counts[k], h, 1)
+    model = language_id.Model(langs, counts)
+    given = [text(k) for k in range(4)] + [text(0) + " " + text(1), "é" * 700, "a", "xyz"]
+    best, lead = model.decode(model.margins(given))
+    share = [[(counts[k][b] + 0.5) / sum(counts[k] + 0.5) for b in range(language_id.BUCKETS)] for k in range(4)]
+    for i, t in enumerate(given):
+        data = f" {t.lower()} ".encode()
+        hashes = [int((data[j] * 0x9E3779B1 + data[j + 1] * 0x85EBCA77 + data[j + 2] * 0xC2B2AE3D) % 2**32 >> 19) for j in range(len(data) - 2)]
+        losses = []
+        for k in range(4):
+            loss = 0.0
+            for b in range(model.code.shape[1]):
+                ones, others = [m for m in range(4) if model.code[m, b] > 0], [m for m in range(4) if model.code[m, b] < 0]
+                weight = {h: log(sum(share[m][h] for m in ones) / len(ones)) - log(sum(share[m][h] for m in others) / len(others)) for h in set(hashes)}
+                margin = sum(weight[h] for h in hashes) / len(hashes)
+                loss += model.bit_weight[b] * log1p(exp(-2.0 * margin * model.code[k, b]))
+            losses.append(loss)
+        order = sorted(losses)
+        assert losses.index(order[0]) == best[i] or order[1] - order[0] < 1e-6
+        assert abs(lead[i] - (1 - order[0] / order[1])) < 1e-4
+    assert lead[4] < min(lead[:4])  # a text of two languages is the less sure
+
+
 def test_codewords_are_apart():
     for n in (2, 3, 5, 9, 40):
         code = language_id.codewords(n)
