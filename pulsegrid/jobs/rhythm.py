@@ -114,12 +114,24 @@ def d2(s, d):
     return P.pick_peaks(peaks_of(s, d), 6)
 
 
-@query("d3_pick_peaks_replace")
+@query(
+    "d3_pick_peaks_replace",
+    f"""with recursive {PEAKS}, seq as (select *, row_number() over (partition by track_id order by frame) k from peaks),
+    w(track_id, k, f, v, c) as (select track_id, k, frame, beat, 0 from seq where k = 1 union all
+      select w.track_id, q.k, case when q.frame - w.f >= 6 or q.beat > w.v then q.frame else w.f end, case when q.frame - w.f >= 6 or q.beat > w.v then q.beat else w.v end, case when q.frame - w.f >= 6 then w.c + 1 else w.c end from w join seq q on q.track_id = w.track_id and q.k = w.k + 1)
+    select track_id, arg_max(f, k) frame, round(arg_max(v, k), 6) beat from w group by track_id, c""",
+)
 def d3(s, d):
     return rounded(P.pick_peaks_replace(peaks_of(s, d), 6), "beat")
 
 
-@query("w4_minimal_peaks")
+@query(
+    "w4_minimal_peaks",
+    f"""with recursive {T.USER_SQL}, tp as (select *, max(beat) over (partition by track_id order by frame rows between 3 preceding and 3 following) t from frames), seq as (select track_id, frame, row_number() over (partition by track_id order by frame) k from tp where beat > 0.5 and beat >= t),
+    w(track_id, k, m, n, c) as (select track_id, k, cast(frame as double), 1, 0 from seq where k = 1 union all
+      select w.track_id, q.k, case when q.frame - w.m <= 1 then w.m + (q.frame - w.m) / (w.n + 1) else q.frame end, case when q.frame - w.m <= 1 then w.n + 1 else 1 end, case when q.frame - w.m <= 1 then w.c else w.c + 1 end from w join seq q on q.track_id = w.track_id and q.k = w.k + 1)
+    select track_id, cast(round(arg_max(m, k)) as bigint) frame from w group by track_id, c""",
+)
 def w4(s, d):
     return P.minimal_peaks(frames_of(s, d), "beat", 0.5)
 

@@ -198,7 +198,13 @@ def k9(s, d):
     return rounded(K.match_modes(side(0), side(1)), "intro_bpm", "outro_bpm", "bpm")
 
 
-@query("d6_dedupe_probes")
+@query(
+    "d6_dedupe_probes",
+    f"""with recursive {PR}, seq as (select track_id, bpm - 90 s, confidence q, row_number() over (partition by track_id order by bpm - 90, confidence) k from p),
+    w(track_id, k, s, q, c) as (select track_id, k, s, q, 0 from seq where k = 1 union all
+      select w.track_id, n.k, case when abs(n.s - w.s) >= 1 or n.q > w.q then n.s else w.s end, case when abs(n.s - w.s) >= 1 or n.q > w.q then n.q else w.q end, case when abs(n.s - w.s) >= 1 then w.c + 1 else w.c end from w join seq n on n.track_id = w.track_id and n.k = w.k + 1)
+    select track_id, round(arg_max(s, k), 6) start, round(arg_max(q, k), 6) quality from w group by track_id, c""",
+)
 def d6(s, d):
     p = probes_of(s, d).select("track_id", (F.col("bpm") - 90).alias("start"), F.col("confidence").alias("quality"))
     return rounded(K.dedupe_probes(p), "start", "quality")

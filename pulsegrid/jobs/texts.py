@@ -201,7 +201,15 @@ def c6(s, d):
     return grids.consensus_grid(frames_of(s, d), FPS, 70.0, 187.0)
 
 
-@query("c2_grid_tempo_decision")
+@query(
+    "c2_grid_tempo_decision",
+    f"""with {PEAKS}, ft as (select track_id, case when count(*) >= 4 and regr_slope(frame, i) > 0 then 60.0::double * {FPS} / regr_slope(frame, i) else 0 end fit from idx group by 1),
+    md as (select track_id, {UM.format('gap')} m from gaps group by 1), ac as (select a.track_id, sum(a.beat * b.beat) / (720 - (b.frame - a.frame)) q from frames a join frames b on a.track_id = b.track_id and b.frame - a.frame between 16 and 43 group by a.track_id, b.frame - a.frame),
+    mo as (select track_id, avg(q) mu, var_pop(q) v from ac group by 1), ku as (select ac.track_id, case when any_value(v) > 0 then avg(pow(q - mu, 4)) / (any_value(v) * any_value(v)) else 0 end qkur from ac join mo using (track_id) group by 1),
+    t as (select f.track_id, coalesce(fit, 0) fit, coalesce(case when m > 1 then 60.0::double * {FPS} / m end, 0) med, coalesce(qkur, 0) qkur from (select distinct track_id from frames) f left join ft using (track_id) left join md using (track_id) left join ku using (track_id)),
+    s as (select *, case when fit > 0 and abs(med - fit) <= 0.08::double * fit then 'global_fit' when qkur >= 3.6 and fit > 0 then 'fit' when med > 0 then 'peaks_median' when fit > 0 then 'fit' else 'none' end source from t)
+    select track_id, round(case when source in ('global_fit', 'fit') then fit when source = 'peaks_median' then med else 0 end, 6) bpm, source from s""",
+)
 def c2(s, d):
     from . import grids
 

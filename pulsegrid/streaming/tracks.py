@@ -1,7 +1,9 @@
 """Streams of pcm chunks and activations: stateful operators with the same results as the batch ones.
 
-Chunks of a track may come late or out of order within a run: each operator holds what is ahead of the next
-chunk it needs and works on the gapless part.
+Chunks of a track may come late or out of order: each operator holds what is ahead of the next chunk it needs and works
+on the gapless part. A chunk that never comes does not stop its track: when more than ``most_held`` wait, the gap is closed
+and the operator goes on with the first of them, so a state is bounded. (A timeout would keep a run over what is there
+from ending.)
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.decode import low_pass
 
 
-def _in_order(state: GroupState, frames: Iterator[pd.DataFrame], empty: tuple) -> tuple[list[tuple[int, np.ndarray]], int, tuple, list]:
+def _in_order(state: GroupState, frames: Iterator[pd.DataFrame], empty: tuple, most_held: int) -> tuple[list[tuple[int, np.ndarray]], int, tuple, list]:
     """Chunks ready in order, the next number, the operator's own state, and what still waits."""
     if state.exists:
         nxt, own, numbers, data = state.get
@@ -26,9 +28,11 @@ def _in_order(state: GroupState, frames: Iterator[pd.DataFrame], empty: tuple) -
         nxt, own, held = 0, list(empty), {}
     for pdf in frames:
         for n, x in zip(pdf["chunk_no"], pdf["pcm"], strict=True):
-            held[int(n)] = [float(v) for v in x]
+            if n >= nxt:  # what comes after its gap was closed is left out
+                held[int(n)] = [float(v) for v in x]
     ready = []
-    while nxt in held:
+    while held and (nxt in held or len(held) > most_held):
+        nxt = min(held)
         ready.append((nxt, np.array(held.pop(nxt))))
         nxt += 1
     return ready, nxt, tuple(own), sorted(held.items())
@@ -41,9 +45,9 @@ def _keep(state: GroupState, nxt: int, own: list[float], waiting: list) -> None:
 STATE = "next long, own array<double>, numbers array<long>, data array<array<double>>"
 
 
-def _run(pcm: DataFrame, step, empty: tuple, schema: str) -> DataFrame:
+def _run(pcm: DataFrame, step, empty: tuple, schema: str, most_held: int = 1024) -> DataFrame:
     def each(key, frames, state: GroupState):
-        ready, nxt, own, waiting = _in_order(state, frames, empty)
+        ready, nxt, own, waiting = _in_order(state, frames, empty, most_held)
         out = []
         for _, x in ready:
             rows, own = step(own, x)
@@ -56,7 +60,7 @@ def _run(pcm: DataFrame, step, empty: tuple, schema: str) -> DataFrame:
     return pcm.select("track_id", "chunk_no", "pcm").groupBy("track_id").applyInPandasWithState(each, schema, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_phase_energy(pcm: DataFrame, hop: int, rate: float, cutoff: float) -> DataFrame:
+def stream_phase_energy(pcm: DataFrame, hop: int, rate: float, cutoff: float, **how) -> DataFrame:
     """Low-passed energy of each hop, whatever the chunks' sizes."""
     alpha = (1 / rate) / (1 / (2 * np.pi * cutoff) + 1 / rate)
 
@@ -68,10 +72,10 @@ def stream_phase_energy(pcm: DataFrame, hop: int, rate: float, cutoff: float) ->
         rms = np.sqrt((y[: n * hop].reshape(n, hop) ** 2).mean(1)) if n else []
         return [(frame + i, float(e)) for i, e in enumerate(rms)], (last, frame + n, *y[n * hop :])
 
-    return _run(pcm, step, (0.0, 0.0), "track_id int, frame long, energy double")
+    return _run(pcm, step, (0.0, 0.0), "track_id int, frame long, energy double", **how)
 
 
-def stream_resample(pcm: DataFrame, ratio: float) -> DataFrame:
+def stream_resample(pcm: DataFrame, ratio: float, **how) -> DataFrame:
     """Linear resampling with one sample of state; the last sample of the stream waits for a next."""
 
     def step(own, x):
@@ -86,10 +90,10 @@ def stream_resample(pcm: DataFrame, ratio: float) -> DataFrame:
             made += 1
         return out, (made, seen + len(x), float(data[-1]))
 
-    return _run(pcm, step, (0.0, 0.0), "track_id int, i long, x double")
+    return _run(pcm, step, (0.0, 0.0), "track_id int, i long, x double", **how)
 
 
-def stream_admission(pcm: DataFrame, skip: int, most: int, floor: float) -> DataFrame:
+def stream_admission(pcm: DataFrame, skip: int, most: int, floor: float, **how) -> DataFrame:
     """R2: samples after the first ``skip``, at most ``most``, as one row a chunk with its last active sample."""
 
     def step(own, x):
@@ -99,10 +103,10 @@ def stream_admission(pcm: DataFrame, skip: int, most: int, floor: float) -> Data
         rows = [(taken, len(part), taken + len(part) - 1 if active else -1)] if len(part) else []
         return rows, (seen + len(x), taken + len(part))
 
-    return _run(pcm, step, (0.0, 0.0), "track_id int, start long, n int, last_active long")
+    return _run(pcm, step, (0.0, 0.0), "track_id int, start long, n int, last_active long", **how)
 
 
-def stream_tempo_anchor(candidates: DataFrame, near: float = 0.02) -> DataFrame:
+def stream_tempo_anchor(candidates: DataFrame, near: float = 0.02, **how) -> DataFrame:
     """Candidate tempi (track_id, chunk_no, pcm = [bpm]) to a reference tempo that blends, switches or holds.
 
     Within ``near`` of the reference it moves three tenths of the way; two agreeing candidates in a row switch it.
@@ -124,7 +128,7 @@ def stream_tempo_anchor(candidates: DataFrame, near: float = 0.02) -> DataFrame:
             n += 1
         return out, (ref, last, agree, n)
 
-    return _run(candidates, step, (0.0, 0.0, 0.0, 0.0), "track_id int, step long, reference double, action string")
+    return _run(candidates, step, (0.0, 0.0, 0.0, 0.0), "track_id int, step long, reference double, action string", **how)
 
 
 def stream_windows(frames: DataFrame, length: str, hop: str, late: str) -> DataFrame:

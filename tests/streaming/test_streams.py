@@ -53,6 +53,12 @@ def test_admission(spark, tmp_path):
     assert {t: sum(r.n for r in got if r.track_id == t) for t in (1, 2)} == {1: 150, 2: 150}
 
 
+def test_a_lost_chunk_does_not_stop_its_track(spark, tmp_path):
+    df = spark.createDataFrame(chunked(40), PCM).where("not (track_id = 1 and chunk_no = 3)")
+    got = run(spark, df, lambda s: R.stream_admission(s, 0, 10_000, 0.01, most_held=5), tmp_path)
+    assert {t: sum(r.n for r in got if r.track_id == t) for t in (1, 2)} == {1: 360, 2: 400}
+
+
 def test_tempo_anchor(spark, tmp_path):
     bpm = [120.0, 121.0, 150.0, 90.0, 91.0, 91.5, 91.0]
     df = spark.createDataFrame([(1, i, i, [b]) for i, b in enumerate(bpm)], PCM)
