@@ -21,7 +21,7 @@ from random import Random
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
@@ -323,13 +323,49 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(enough).select("a", "b")
 
 
+def shared_items(sets: DataFrame) -> DataFrame:
+    """(node, n, m): the size of each set and how many of its items some other set holds too."""
+    each = sets.select("node", F.explode("items").alias("item"))
+    alone = each.groupBy("item").agg(F.count("*").alias("df"), F.min("node").alias("node")).where("df = 1").groupBy("node").agg(F.count("*").alias("u"))
+    return sets.select("node", F.size("items").alias("n")).join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("m"))
+
+
+def possible(n1: str, m1: str, n2: str, m2: str) -> Column:
+    """Whether two sets may have a similarity of 0.8: they share no more than the lesser m, so it is at most
+    m / (n1 + n2 - m)."""
+    return 9 * F.least(m1, m2) >= 4 * (F.col(n1) + F.col(n2))
+
+
+BITS = ["b0", "b1", "b2", "b3"]
+
+
+def missing_items(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, hub) with c, how many items of the hub's set the node's has not, and their bits in four words of 64."""
+    both = pairs.join(sets.toDF("node", "_x").hint("merge"), "node").join(sets.toDF("hub", "_h").hint("merge"), "hub")
+    both = both.select("node", "hub", F.array_except("_h", "_x").alias("gone"))
+    word = lambda k: F.aggregate(F.filter("gone", lambda i: F.shiftrightunsigned(i, 6).bitwiseAND(F.lit(3)) == k), F.lit(0).cast("long"), lambda acc, i: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i.bitwiseAND(F.lit(63)).cast("int"))))
+    return both.select("node", "hub", F.size("gone").alias("c"), *[word(k).alias(b) for k, b in enumerate(BITS)])
+
+
+def close_enough() -> Column:
+    """Whether two sets of one shard may have a similarity of 0.8, by what each alone has and what of their hub each
+    has not: all of this lies between the two sets, but for the items that both miss, at most those of each whose bit
+    the other has as well. They may differ by a ninth of their sizes."""
+    only = lambda i, j: sum((F.bit_count(F.col(f"{b}{i}").bitwiseAND(F.bitwise_not(F.col(f"{b}{j}")))) for b in BITS), F.lit(0))
+    both = F.least(F.col("c1") - only(1, 2), F.col("c2") - only(2, 1))
+    return 9 * (F.col("n1") - F.col("m1") + F.col("n2") - F.col("m2") + F.col("c1") + F.col("c2") - 2 * both) <= F.col("n1") + F.col("n2")
+
+
 def similar_roots(docs: DataFrame, prints: DataFrame, shingle: int) -> DataFrame | None:
     """(node, root) of every shingle set with a similar one, None if there is none.
 
     Candidates share a band of least hashes and differ by FAR bits of their fingerprints at most. First each set
-    of a band's shard is held against one of its members, by another choice in each band; then, among the
-    sets that these links leave in different components, each against each. So a large group of copies
-    gives a row a member, and no candidate whose link would join two components is left out.
+    of a band's shard is held against one of its members, by another choice in each band. For the sets of shards
+    that these links leave in different components it is counted how many of their shingles no other of them
+    has: in near copies these are the changed places. Then each is held against the member with the fewest, nearest to
+    what all were copied from, and last, among the sets still in different components, each against each,
+    but for pairs that their own shingles or their changed places rule out (see possible and close_enough). So a large group of copies gives a row a member and
+    pass, and no candidate whose link would join two components is left out.
     """
     nodes = prints.where(F.size("_pg_keys") > 0).groupBy(F.col("_pg_node").alias("node")).agg(
         F.min(F.struct("_pg_fp", "_pg_keys")).alias("x"), F.min(F.struct(F.col("_pg_id").isNull().alias("n"), "_pg_id", "_pg_text")).alias("w"))
@@ -347,13 +383,30 @@ def similar_roots(docs: DataFrame, prints: DataFrame, shingle: int) -> DataFrame
     sets = cut(shingle_sets(texts.dropDuplicates(["node"]).select("node", F.col("text").cast("string").alias("text")), shingle))
     edges = cut(alike(first, sets))
     rooted = None if edges.isEmpty() else cut(components(edges))
-    left = shards.where("m > 2").select("key", "node", "fp")
-    left = left.withColumn("root", F.col("node")) if rooted is None else left.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = left.withColumns({"lo": F.min("root").over(shard), "hi": F.max("root").over(shard)}).where("lo <> hi").select("key", "node", "fp", "root")
-    mixed = cut(mixed)
-    x, y = mixed.toDF("key", "a", "fa", "ra"), mixed.toDF("key", "b", "fb", "rb")
-    again = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & ~far("fa", "fb")).select("a", "b").distinct()
-    more = cut(alike(again.join(first, ["a", "b"], "left_anti"), sets))
+
+    def apart(rows: DataFrame, rooted: DataFrame | None) -> DataFrame:
+        """The rows of shards that hold several components, with their roots."""
+        rows = rows.withColumn("root", F.col("node")) if rooted is None else rows.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        return rows.withColumns({"lo": F.min("root").over(shard), "hi": F.max("root").over(shard)}).where("lo <> hi").drop("lo", "hi")
+
+    mixed = cut(apart(shards.where("m > 2").select("key", "node", "fp"), rooted))
+    sizes = cut(shared_items(sets.join(mixed.select("node").distinct(), "node", "left_semi")))
+    mixed = mixed.join(sizes, "node").where("5 * m >= 4 * n")
+    core = F.min(F.struct(((F.col("n") - F.col("m")) / F.col("n")).alias("own"), "node", "fp", "root", "n", "m")).over(shard)
+    mixed = cut(mixed.withColumn("core", core).withColumn("hub", F.col("core.node")))
+    near = ~far("fp", "core.fp") & possible("n", "m", "core.n", "core.m")
+    second = cut(mixed.where((F.col("root") != F.col("core.root")) & near).select(*ordered("node", "core.node")).distinct())
+    found = cut(alike(second, sets))
+    if not found.isEmpty():
+        edges = cut(edges.union(found))
+        rooted = cut(components(edges))
+    rest = cut(apart(mixed.drop("root", "core"), rooted))
+    rest = cut(rest.join(missing_items(rest.select("node", "hub").distinct(), sets), ["node", "hub"]))
+    fields = ["node", "fp", "n", "m", "root", "c", *BITS]
+    x, y = (rest.select("key", *[F.col(c).alias(f"{c}{i}") for c in fields]) for i in (1, 2))
+    again = x.join(y, "key").where((F.col("node1") < F.col("node2")) & (F.col("root1") != F.col("root2")) & ~far("fp1", "fp2") & possible("n1", "m1", "n2", "m2") & close_enough())
+    again = again.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
+    more = cut(alike(cut(again).join(first.union(second), ["a", "b"], "left_anti"), sets))
     if more.isEmpty():
         return rooted
     return cut(components(edges.union(more)))
