@@ -243,10 +243,13 @@ def c8(s, d):
 def q4(s, d):
     from . import grids
 
-    b = numbered(peaks_of(s, d))
-    first = F.min("frame").over(W.partitionBy("track_id"))
-    off = b.withColumn("offset_ms", (F.col("frame") - first - F.col("beat_index") * 5).cast("double"))
-    return rounded(grids.drift_signatures(off, 5.0, 16), "drift_beats")
+    # A third of the tracks drift by one beat of 500 ms, half before and half behind; a third are late in the middle; a third keep time.
+    b = numbered(peaks_of(s, d)).withColumn("n", F.count("*").over(W.partitionBy("track_id")))
+    i, n, t = F.col("beat_index"), F.col("n"), F.col("track_id")
+    away = 500.0 * i / (n - 1)
+    x = F.when(t % 3 == 0, away - 250).when((t % 3 == 1) & (4 * i > n) & (4 * i < 3 * n), 200.0).otherwise(0.0)
+    off = b.withColumn("offset_ms", x + F.pmod(F.col("frame") * 7, F.lit(11)) - 5)
+    return rounded(grids.drift_signatures(off, 500.0, 8), "drift_beats")
 
 
 @query("v3_decode_candidates")

@@ -170,3 +170,10 @@ def test_fine_sweep_finds_a_tempo_between_coarse_steps(spark):
     frames = [(1, f, 1.0 if min(f * bpm / 60 / fps % 1, 1 - f * bpm / 60 / fps % 1) < 0.02 else 0.0) for f in range(4000)]
     got = A.fine_tempo_sweep(spark.createDataFrame(frames, "track_id int, frame long, beat double"), fps, 100.0, 150.0).first()
     assert abs(got.bpm - bpm) < 0.051 and got.strength > 0.95
+
+
+def test_drift_signatures_tell_tracks_apart(spark):
+    from pulsegrid.jobs import registry
+
+    got = {r.track_id: (r.one_beat_linear, r.wrapped_middle) for r in registry.QUERIES["q4_drift_signatures"](spark, "/root/testdata/sf0.001").collect()}
+    assert got and all(found == (t % 3 == 0, t % 3 == 1) for t, found in got.items())
