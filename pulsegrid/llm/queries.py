@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from . import filter_audit
 from .byte_bpe import op4_byte_bpe
+from .filter_audit import op11_filter_audit
 from .language_id import op7_language_id
 from .license_scan import op3_license_scan
 from .media_jpeg import op8_media_jpeg
@@ -24,7 +26,8 @@ QUERIES = {
     "op8_media_jpeg": op8_media_jpeg,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
+    "op11_filter_audit": op11_filter_audit,
 }
 
-#: None of these has SQL: suffix structures, BK-trees, tokenizers, files, trained models and robust estimates are beyond it.
-SQL: dict[str, str] = {}
+#: The others have no SQL: suffix structures, BK-trees, tokenizers, files, trained models and robust estimates are beyond it.
+SQL: dict[str, str] = {"op11_filter_audit": filter_audit.SQL}
