@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import filter_audit
 from .byte_bpe import op4_byte_bpe
+from .conversation_repair import op12_conversation_repair
 from .filter_audit import op11_filter_audit
 from .language_id import op7_language_id
 from .license_scan import op3_license_scan
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
     "op11_filter_audit": op11_filter_audit,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 #: The others have no SQL: suffix structures, BK-trees, tokenizers, files, trained models and robust estimates are beyond it.
