@@ -412,5 +412,67 @@ def report(conversations: DataFrame) -> DataFrame:
     return out.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256"))
 
 
+def _sql() -> str:
+    """The same rows by a backward program over whole strings, one recursive step a row."""
+    put = lambda row, cost, letter, line: f"{{'c': ({row}).c + {cost}, 'a': '{letter}' || ({row}).a, 't': " + (f"list_prepend({line}, ({row}).t)" if line else f"({row}).t") + "}"
+    step = {0: 2, 1: 2, 2: 3, 3: 2}
+    keeps = {0: [("s", 1), ("u", 2)], 1: [("u", 2)], 2: [("a", 3)], 3: [("u", 2)]}
+    base = []
+    for q in range(4):
+        options = [put(f"q{q}", DELETE, "D", None)]
+        options += [f"CASE WHEN stays AND kind = '{k}' THEN {put(f'q{to}', 'more', 'K', 'line')} END" for k, to in keeps[q]]
+        options.append(f"CASE WHEN stays THEN {put(f'q{step[q]}', f'{REROLE} + more', 'R', f"'{ROLE[step[q]]}:' || text")} END")
+        base.append(f"least({', '.join(options)}) AS b{q}")
+    insert = lambda q, of: f"least(b{q}, {put(of, INSERT, 'I', f"'{ROLE[step[q]]}:'")}) AS "
+    return f"""
+WITH RECURSIVE tab AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i::BIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+      lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+      string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS d
+  FROM conversations, tab),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN d = 1 THEN '' WHEN d = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE WHEN d = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM given WHERE d <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i FROM hurt),
+judged AS (
+  SELECT *, left(role, 1) AS kind, role || ':' || text AS line, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS prev,
+    CASE WHEN body = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+      WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault
+  FROM (SELECT *, regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g') AS body FROM placed)),
+back AS (
+  SELECT conv_id, max(i) AS i, {{'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]}} AS q0,
+    {{'c': 6::BIGINT, 'a': 'II', 't': ['user:', 'assistant:']}} AS q1, {{'c': 3::BIGINT, 'a': 'I', 't': ['assistant:']}} AS q2,
+    {{'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]}} AS q3
+  FROM judged GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, i - 1, {insert(0, 'x2')}q0, {insert(1, 'x2')}q1, x2, {insert(3, 'b2')}q3 FROM (
+    SELECT *, {insert(2, 'b3')}x2 FROM (
+      SELECT conv_id, i, {', '.join(base)} FROM (
+        SELECT b.*, j.kind, j.text, j.line, j.fault IN ('', 't') AS stays, CASE WHEN j.fault = 't' THEN {STAYS} ELSE 0 END AS more
+        FROM back b JOIN judged j ON j.conv_id IS NOT DISTINCT FROM b.conv_id AND j.i = b.i)))),
+best AS (SELECT conv_id, q0 FROM back WHERE i = 0),
+facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated,
+    count(*) FILTER (WHERE i > 1 AND prev || kind NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(q0.c, 0)::BIGINT AS cost,
+  coalesce(q0.a, '') AS audit, sha256(coalesce(array_to_string(q0.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+  LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+SQL = _sql()
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))

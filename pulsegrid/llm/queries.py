@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import filter_audit
+from . import conversation_repair, filter_audit
 from .byte_bpe import op4_byte_bpe
 from .conversation_repair import op12_conversation_repair
 from .filter_audit import op11_filter_audit
@@ -32,4 +32,4 @@ QUERIES = {
 }
 
 #: The others have no SQL: suffix structures, BK-trees, tokenizers, files, trained models and robust estimates are beyond it.
-SQL: dict[str, str] = {"op11_filter_audit": filter_audit.SQL}
+SQL: dict[str, str] = {"op11_filter_audit": filter_audit.SQL, "op12_conversation_repair": conversation_repair.SQL}
