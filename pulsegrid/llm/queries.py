@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import conversation_repair, filter_audit
 from .byte_bpe import op4_byte_bpe
+from .chosen_path import op13_chosen_path
 from .conversation_repair import op12_conversation_repair
 from .filter_audit import op11_filter_audit
 from .language_id import op7_language_id
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op11_filter_audit": op11_filter_audit,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_chosen_path": op13_chosen_path,
 }
 
 #: The others have no SQL: suffix structures, BK-trees, tokenizers, files, trained models and robust estimates are beyond it.

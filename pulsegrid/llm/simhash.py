@@ -15,6 +15,7 @@ rule out chance members, and every candidate is checked on its shingles.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import accumulate
 from random import Random
 
@@ -22,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
@@ -315,11 +315,11 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, items array<long>")
 
 
-def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of 0.8 or more, counted exactly."""
+def alike(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of ``percent`` or more, counted exactly."""
     left, right = sets.toDF("a", "_a"), sets.toDF("b", "_b")
     both = F.size(F.array_intersect("_a", "_b"))
-    enough = 5 * both >= 4 * (F.size("_a") + F.size("_b") - both)
+    enough = 100 * both >= percent * (F.size("_a") + F.size("_b") - both)
     return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(enough).select("a", "b")
 
 
@@ -330,10 +330,10 @@ def shared_items(sets: DataFrame) -> DataFrame:
     return sets.select("node", F.size("items").alias("n")).join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("m"))
 
 
-def possible(n1: str, m1: str, n2: str, m2: str) -> Column:
-    """Whether two sets may have a similarity of 0.8: they share no more than the lesser m, so it is at most
+def possible(n1: str, m1: str, n2: str, m2: str, percent: int = 80) -> Column:
+    """Whether two sets may have a similarity of ``percent``: they share no more than the lesser m, so it is at most
     m / (n1 + n2 - m)."""
-    return 9 * F.least(m1, m2) >= 4 * (F.col(n1) + F.col(n2))
+    return (100 + percent) * F.least(m1, m2) >= percent * (F.col(n1) + F.col(n2))
 
 
 BITS = ["b0", "b1", "b2", "b3"]
@@ -347,66 +347,85 @@ def missing_items(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("node", "hub", F.size("gone").alias("c"), *[word(k).alias(b) for k, b in enumerate(BITS)])
 
 
-def close_enough() -> Column:
-    """Whether two sets of one shard may have a similarity of 0.8, by what each alone has and what of their hub each
+def close_enough(percent: int = 80) -> Column:
+    """Whether two sets of one shard may have a similarity of ``percent``, by what each alone has and what of their hub each
     has not: all of this lies between the two sets, but for the items that both miss, at most those of each whose bit
-    the other has as well. They may differ by a ninth of their sizes."""
+    the other has as well. At 80 they may differ by a ninth of their sizes."""
     only = lambda i, j: sum((F.bit_count(F.col(f"{b}{i}").bitwiseAND(F.bitwise_not(F.col(f"{b}{j}")))) for b in BITS), F.lit(0))
     both = F.least(F.col("c1") - only(1, 2), F.col("c2") - only(2, 1))
-    return 9 * (F.col("n1") - F.col("m1") + F.col("n2") - F.col("m2") + F.col("c1") + F.col("c2") - 2 * both) <= F.col("n1") + F.col("n2")
+    differ = F.col("n1") - F.col("m1") + F.col("n2") - F.col("m2") + F.col("c1") + F.col("c2") - 2 * both
+    return (100 + percent) * differ <= (100 - percent) * (F.col("n1") + F.col("n2"))
+
+
+def by_fingerprint(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """Whether two rows with an fp may be candidates."""
+    return F.bit_count(a("fp").bitwiseXOR(b("fp"))) <= FAR
 
 
 def similar_roots(docs: DataFrame, prints: DataFrame, shingle: int) -> DataFrame | None:
-    """(node, root) of every shingle set with a similar one, None if there is none.
+    """(node, root) of every shingle set with a similar one, None if there is none. Candidates share a band of least
+    hashes and differ by FAR bits of their fingerprints at most."""
+    nodes = prints.where(F.size("_pg_keys") > 0).groupBy(F.col("_pg_node").alias("node")).agg(
+        F.min(F.struct("_pg_fp", "_pg_keys")).alias("x"), F.min(F.struct(F.col("_pg_id").isNull().alias("n"), "_pg_id", "_pg_text")).alias("w"))
+    shards = nodes.select("node", F.col("x._pg_fp").alias("fp"), F.explode("x._pg_keys").alias("key"))
+    return joined_roots(docs, nodes.select("node", "w._pg_id", "w._pg_text"), shards, ["fp"], by_fingerprint, shingle)
 
-    Candidates share a band of least hashes and differ by FAR bits of their fingerprints at most. First each set
-    of a band's shard is held against one of its members, by another choice in each band. For the sets of shards
+
+def joined_roots(docs: DataFrame, named: DataFrame, shards: DataFrame, fields: list[str], near: Callable, shingle: int, percent: int = 80, alone: bool = False) -> DataFrame | None:
+    """(node, root) of every node of ``shards`` (key, node, fields) linked to another, None if there is none: two sets
+    of a shard that ``near`` allows are linked if their Jaccard similarity is ``percent`` or more. ``named`` has the id
+    and text hash of one row of each node. With ``alone``, sets are made only of nodes with a near one in some shard.
+
+    First each set of a shard is held against one of its members, by another choice in each shard. For the sets of shards
     that these links leave in different components it is counted how many of their shingles no other of them
     has: in near copies these are the changed places. Then each is held against the member with the fewest, nearest to
     what all were copied from, and last, among the sets still in different components, each against each,
     but for pairs that their own shingles or their changed places rule out (see possible and close_enough). So a large group of copies gives a row a member and
-    pass, and no candidate whose link would join two components is left out.
+    pass, and no candidate whose link would join two components is left out. What a shard has in common is summed
+    first and joined back, so that Spark can split a large shard.
     """
-    nodes = prints.where(F.size("_pg_keys") > 0).groupBy(F.col("_pg_node").alias("node")).agg(
-        F.min(F.struct("_pg_fp", "_pg_keys")).alias("x"), F.min(F.struct(F.col("_pg_id").isNull().alias("n"), "_pg_id", "_pg_text")).alias("w"))
-    dealt = nodes.select("node", F.col("x._pg_fp").alias("fp"), F.explode("x._pg_keys").alias("key"))
-    shard = W.partitionBy("key")
-    shards = dealt.withColumn("m", F.count("*").over(shard)).where("m > 1")
-    shards = cut(shards.withColumn("one", F.min(F.struct(F.xxhash64("node", "key").alias("turn"), "node", "fp")).over(shard)))
-    far = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) > FAR
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    first = cut(shards.where((F.col("node") != F.col("one.node")) & ~far("fp", "one.fp")).select(*ordered("node", "one.node")).distinct())
-    ids = shards.select("node").distinct()
-    named = nodes.join(ids, "node").select("node", "w._pg_id", "w._pg_text")
+    own, of = F.col, lambda hub: lambda c: F.col(f"{hub}.{c}")
+    one = F.min(F.struct(F.xxhash64("node", "key").alias("turn"), "node", *fields)).alias("one")
+    groups = shards.groupBy("key").agg(F.count("*").alias("shard_size"), one).where("shard_size > 1")
+    shards = cut(shards.join(groups, "key"))
+    first = cut(shards.where((F.col("node") != F.col("one.node")) & near(own, of("one"))).select(*ordered("node", "one.node")).distinct())
+    if alone:
+        x, y = shards.select("key", "node", *fields).alias("x"), shards.select("key", "node", *fields).alias("y")
+        ids = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & near(of("x"), of("y")), "left_semi").select("node").distinct()
+    else:
+        ids = shards.select("node").distinct()
+    named = named.join(ids, "node")
     # Texts are dealt by id, as below; rows of one id and text have one set.
     texts = docs.select("doc_id", "text").join(named.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_pg_id")) & (F.xxhash64("text") == F.col("_pg_text")))
     sets = cut(shingle_sets(texts.dropDuplicates(["node"]).select("node", F.col("text").cast("string").alias("text")), shingle))
-    edges = cut(alike(first, sets))
+    edges = cut(alike(first, sets, percent))
     rooted = None if edges.isEmpty() else cut(components(edges))
 
     def apart(rows: DataFrame, rooted: DataFrame | None) -> DataFrame:
         """The rows of shards that hold several components, with their roots."""
         rows = rows.withColumn("root", F.col("node")) if rooted is None else rows.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        return rows.withColumns({"lo": F.min("root").over(shard), "hi": F.max("root").over(shard)}).where("lo <> hi").drop("lo", "hi")
+        spans = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        return rows.join(spans.hint("merge"), "key")
 
-    mixed = cut(apart(shards.where("m > 2").select("key", "node", "fp"), rooted))
+    mixed = cut(apart(shards.where("shard_size > 2").select("key", "node", *fields), rooted))
     sizes = cut(shared_items(sets.join(mixed.select("node").distinct(), "node", "left_semi")))
-    mixed = mixed.join(sizes, "node").where("5 * m >= 4 * n")
-    core = F.min(F.struct(((F.col("n") - F.col("m")) / F.col("n")).alias("own"), "node", "fp", "root", "n", "m")).over(shard)
-    mixed = cut(mixed.withColumn("core", core).withColumn("hub", F.col("core.node")))
-    near = ~far("fp", "core.fp") & possible("n", "m", "core.n", "core.m")
-    second = cut(mixed.where((F.col("root") != F.col("core.root")) & near).select(*ordered("node", "core.node")).distinct())
-    found = cut(alike(second, sets))
+    mixed = cut(mixed.join(sizes, "node").where(100 * F.col("m") >= percent * F.col("n")))
+    core = F.min(F.struct(((F.col("n") - F.col("m")) / F.col("n")).alias("own"), "node", *fields, "root", "n", "m")).alias("core")
+    mixed = cut(mixed.join(mixed.groupBy("key").agg(core).hint("merge"), "key").withColumn("hub", F.col("core.node")))
+    second = cut(mixed.where((F.col("root") != F.col("core.root")) & near(own, of("core")) & possible("n", "m", "core.n", "core.m", percent)).select(*ordered("node", "core.node")).distinct())
+    found = cut(alike(second, sets, percent))
     if not found.isEmpty():
         edges = cut(edges.union(found))
         rooted = cut(components(edges))
     rest = cut(apart(mixed.drop("root", "core"), rooted))
     rest = cut(rest.join(missing_items(rest.select("node", "hub").distinct(), sets), ["node", "hub"]))
-    fields = ["node", "fp", "n", "m", "root", "c", *BITS]
-    x, y = (rest.select("key", *[F.col(c).alias(f"{c}{i}") for c in fields]) for i in (1, 2))
-    again = x.join(y, "key").where((F.col("node1") < F.col("node2")) & (F.col("root1") != F.col("root2")) & ~far("fp1", "fp2") & possible("n1", "m1", "n2", "m2") & close_enough())
+    held = ["node", *fields, "n", "m", "root", "c", *BITS]
+    x, y = (rest.select("key", *[F.col(c).alias(f"{c}{i}") for c in held]) for i in (1, 2))
+    side = lambda i: lambda c: F.col(f"{c}{i}")
+    again = x.join(y, "key").where((F.col("node1") < F.col("node2")) & (F.col("root1") != F.col("root2")) & near(side(1), side(2)) & possible("n1", "m1", "n2", "m2", percent) & close_enough(percent))
     again = again.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
-    more = cut(alike(cut(again).join(first.union(second), ["a", "b"], "left_anti"), sets))
+    more = cut(alike(cut(again).join(first.union(second), ["a", "b"], "left_anti"), sets, percent))
     if more.isEmpty():
         return rooted
     return cut(components(edges.union(more)))
