@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import decode as D
 from ..operators import joins as J
+from ..operators import joint as V
 from ..operators import select as K
 from ..operators import stats as A
 from ..sources import tables as T
@@ -154,7 +155,7 @@ def v1(s, d):
 
 @query("v2_decode_tempo_phase")
 def v2(s, d):
-    return D.decode_tempo_phase(frames_of(s, d), 6, 10)
+    return rounded(V.decode_tempo_phase(frames_of(s, d), FPS, 300.0, 500.0, 10.0), "bpm")
 
 
 @query("v4_mel_spectrogram")

@@ -254,9 +254,9 @@ def q4(s, d):
 
 @query("v3_decode_candidates")
 def v3(s, d):
-    from ..operators import decode as D
+    from ..operators import joint
 
-    return D.decode_candidates(frames_of(s, d), 200, 4, 12)
+    return rounded(joint.decode_candidates(frames_of(s, d), 50.0, 300.0, 500.0, 4096, 0.1, 10.0, tolerance=0.1, reward=3.0), "bpm")
 
 
 @query("c9_select_probe")

@@ -1,7 +1,7 @@
 """Sequential decoders: NumPy inside applyInPandas, keyed by track.
 
-V1, V2 and V7 take the frames of a whole track (two hours at 50 a second are 360,000 rows of two numbers), V3, V5, V6
-and V8 its candidates or beats. Samples are never gathered by track: V4 and A4 work chunk by chunk.
+V1 and V7 take the frames of a whole track (two hours at 50 a second are 360,000 rows of two numbers), V5, V6
+and V8 its beats; V2 and V3 are in joint.py. Samples are never gathered by track: V4 and A4 work chunk by chunk.
 """
 
 from __future__ import annotations
@@ -47,84 +47,6 @@ def viterbi_beats(frames: DataFrame, low: int, high: int, floor: float = 0.05, v
     return rows.groupBy("track_id").applyInPandas(run, rows.select("track_id", "frame").schema)
 
 
-def decode_states(beat: np.ndarray, down: np.ndarray, gaps: np.ndarray, bpb: int, floor: float, change: float) -> list[tuple[float, list[tuple[int, int]]]]:
-    """Joint best path over frame, gap and place in the bar of each row of curves: (score, [(frame, place)]).
-
-    A beat at frame i with gap g follows one at i - g whose gap is g or a neighbour of it in the list, at a
-    cost of ``change`` per step; ties go to the earlier choice. All curves of a batch move together: only the
-    frame loop is Python. Scores are kept for the longest gap alone, links (a byte each) for all frames.
-    """
-    m, n = beat.shape
-    k, span = len(gaps), int(gaps.max()) + 1
-    score, link = np.full((span, m, k, bpb), -np.inf), np.full((n, m, k, bpb), 9, np.int8)
-    best_total, best_end = np.full(m, -np.inf), np.zeros((m, 3), int)
-    gain = -np.log(floor)
-    off_beat, on_beat = np.log(np.maximum(beat - down, floor)) + gain, np.log(np.maximum(down, floor)) + gain
-    rows = np.arange(k)
-    for i in range(n):
-        place = np.repeat(off_beat[:, i, None], bpb, axis=1)
-        place[:, 0] = on_beat[:, i]
-        ok = rows[i - gaps >= 0]
-        best = np.full((m, k, bpb), -np.inf)
-        for step in (-1, 0, 1):
-            to = ok[(ok + step >= 0) & (ok + step < k)]
-            if len(to):
-                before = np.roll(score[(i - gaps[to]) % span, :, to + step].transpose(1, 0, 2), 1, axis=2) - change * abs(step)
-                better = before > best[:, to]
-                best[:, to] = np.where(better, before, best[:, to])
-                link[i][:, to] = np.where(better, step, link[i][:, to])
-        best = best + place[:, None]
-        start = np.broadcast_to(place[:, None], best.shape) if i < gaps.max() else np.full_like(best, -np.inf)
-        fresh = start > best
-        score[i % span] = now = np.where(fresh, start, best)
-        link[i][fresh] = 9
-        flat = now.reshape(m, -1)
-        at = flat.argmax(1)
-        top = flat[np.arange(m), at]
-        for t in np.flatnonzero(top > best_total):
-            best_total[t], best_end[t] = top[t], (i, *np.unravel_index(at[t], (k, bpb)))
-    out = []
-    for t in range(m):
-        i, g, p = (int(x) for x in best_end[t])
-        total, path = float(best_total[t]), []
-        while True:
-            path.append((i, p))
-            step = int(link[i, t, g, p])
-            if step == 9:
-                break
-            i, g, p = i - int(gaps[g]), g + step, (p - 1) % bpb
-        out.append((total, path[::-1]))
-    return out
-
-
-def decode_tempo_phase(frames: DataFrame, low: int, high: int, floor: float = 0.05, change: float = 1.0, together: int = 16) -> DataFrame:
-    """V2: beats and downbeats of each track by the better of three and four beats a bar (four at a tie).
-
-    About ``together`` tracks share a group; within it curves of one length are decoded as one batch.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        by_length: dict[int, list] = {}
-        for _, one in pdf.sort_values("frame").groupby("track_id", sort=True):
-            by_length.setdefault(len(one), []).append(one)
-        out, gaps = [], np.arange(low, high + 1)
-        for same in by_length.values():
-            beat, down = (np.stack([x[c].to_numpy() for x in same]) for c in ("beat", "downbeat"))
-            options = [(b, decode_states(beat, down, gaps, b, floor, change)) for b in (4, 3)]
-            for t, one in enumerate(same):
-                bpb, (_, path) = max(((b, found[t]) for b, found in options), key=lambda o: o[1][0])
-                at = [i for i, _ in path]
-                out.append(pd.DataFrame({"track_id": one["track_id"].iloc[at], "frame": one["frame"].iloc[at], "is_downbeat": [p == 0 for _, p in path], "bpb": bpb}))
-        return pd.concat(out)
-
-    rows = frames.select("track_id", "frame", "beat", "downbeat")
-    groups = F.greatest(F.ceil(F.approx_count_distinct("track_id") / together), F.lit(1))
-    n = rows.agg(groups.alias("n"))
-    dealt = rows.join(F.broadcast(n)).withColumn("_group", F.pmod(F.xxhash64("track_id"), F.col("n"))).drop("n")
-    schema = f"track_id {dict(rows.dtypes)['track_id']}, frame long, is_downbeat boolean, bpb int"
-    return dealt.groupBy("_group").applyInPandas(run, schema)
-
-
 def fits(frames: np.ndarray, start: int, end: int, one: float, total: float, outliers: int, part: int = 64) -> bool:
     """Whether a constant interval from start to end fits the beats between, looked at part by part."""
     gap, drift, wrong = (frames[end] - frames[start]) / (end - start), 0.0, 0
@@ -396,39 +318,3 @@ def low_pass(x: np.ndarray, alpha: float, state: float, block: int = 256) -> tup
         out[lo : lo + k] = kernel[:k, :k] @ b + state * decay ** (i[:k] + 1)
         state = out[lo + k - 1]
     return out, state
-
-
-def decode_list(frames: np.ndarray, obs: np.ndarray, low: int, high: int, penalty: float) -> list[int]:
-    """V3: best path over a sorted list of candidate frames; a link's gap lies in low..high, at a cost for its
-    distance from the middle of that range; the first best end."""
-    n, mid = len(frames), (low + high) / 2
-    score, link = obs.astype(float).copy(), np.full(n, -1)
-    first = np.searchsorted(frames, frames - high, "left")
-    last = np.searchsorted(frames, frames - low, "right")
-    for i in range(n):
-        if first[i] < last[i]:
-            gaps = frames[i] - frames[first[i] : last[i]]
-            cand = score[first[i] : last[i]] - penalty * np.abs(gaps - mid) / mid
-            j = int(np.argmax(cand))
-            if cand[j] > 0:
-                score[i], link[i] = obs[i] + cand[j], first[i] + j
-    at, path = int(np.argmax(score)) if n else -1, []
-    while at >= 0:
-        path.append(at)
-        at = link[at]
-    return path[::-1]
-
-
-def decode_candidates(frames: DataFrame, most: int, low: int, high: int, floor: float = 0.05, weight: float = 0.5, penalty: float = 1.0) -> DataFrame:
-    """V3 with K3: beats among the strongest candidates of each track; reward of a beat by its and its downbeat's log."""
-    from .select import top_candidates
-
-    gain = -np.log(floor)
-    rows = top_candidates(frames, most, floor).select("track_id", "frame", (F.log("beat") + gain + weight * (F.log(F.greatest("downbeat", F.lit(floor))) + gain)).alias("obs"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        at = decode_list(pdf["frame"].to_numpy(), pdf["obs"].to_numpy(), low, high, penalty)
-        return pd.DataFrame({"track_id": pdf["track_id"].iloc[at], "frame": pdf["frame"].iloc[at]})
-
-    return rows.groupBy("track_id").applyInPandas(run, rows.select("track_id", "frame").schema)

@@ -82,29 +82,6 @@ def test_viterbi_with_gain_follows_a_pulse():
     assert len(D.viterbi_frames(v, 5, 11, 0.05)) == 1
 
 
-def test_rolling_decoder_equals_a_plain_search():
-    rng = np.random.default_rng(2)
-    beat = rng.random((2, 40))
-    down = beat * rng.random((2, 40))
-    gaps, floor = np.arange(4, 7), 0.05
-    for t, (total, path) in enumerate(D.decode_states(beat, down, gaps, 3, floor, 1.0)):
-        gain = -math.log(floor)
-        value = lambda i, p, t=t, g=gain: math.log(max(down[t, i] if p == 0 else beat[t, i] - down[t, i], floor)) + g
-        best = {}
-        for i in range(40):
-            for g in range(3):
-                for p in range(3):
-                    options = [value(i, p)] if i < gaps.max() else []
-                    for s in (-1, 0, 1):
-                        before = best.get((i - gaps[g], g + s, (p - 1) % 3))
-                        if before is not None:
-                            options.append(before - abs(s) + value(i, p))
-                    if options:
-                        best[i, g, p] = max(options)
-        assert abs(total - max(best.values())) < 1e-9
-        assert all(4 <= b - a <= 6 for (a, _), (b, _) in zip(path, path[1:], strict=False))
-
-
 def test_phase_energy_by_chunks_equals_one_filter(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=500)

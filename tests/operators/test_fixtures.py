@@ -23,13 +23,6 @@ def listed(df, *cols):
     return sorted(tuple(r[c] for c in cols) if len(cols) > 1 else r[cols[0]] for r in df.collect())
 
 
-def test_spikes_decode_to_every_beat(spark):
-    f = curve(spark, 500, set(range(0, 500, 50)), set(range(0, 500, 200)))
-    got = D.decode_tempo_phase(f, 49, 51).collect()
-    assert sorted(r.frame for r in got) == list(range(0, 500, 50))
-    assert sorted(r.frame for r in got if r.is_downbeat) in ([0, 200, 400], [0, 150, 300, 450])
-
-
 def test_one_spike_is_one_beat(spark):
     assert len(D.viterbi_beats(curve(spark, 200, {50}), 40, 60).collect()) == 1
 
