@@ -4,8 +4,9 @@ The set of a document is that of its five-word shingles; equal sets are one node
 at a tree node of path p each member goes on to BRANCH children, child j being named by p, j and the member's least
 hash at a position that p and j choose. So two sets of similarity J go on together BRANCH * J times on average: at 0.85 a
 pair is lost in a tree with probability 0.031 at the most (the root of q = (1 - J + J q) ** 2), in all TREES with 3e-8,
-while a pair of 0.4 or less dies out. A tree node of LEAF members or fewer is a leaf; so is a dense one, where
-half of the members are near one of them (going on would not part them), and any that is left after LEVELS levels. In a leaf
+while a pair of 0.4 or less dies out. A tree node of LEAF members or fewer is a leaf; so is a dense one, whose
+members are as similar as 1 / BRANCH to one of them on average (going on would give as many rows again and part
+little), and any that is left after LEVELS levels. In a leaf
 members are near if 128 one-bit minwise hashes differ in at most NEAR bits (9.6 on average at 0.85, with a
 deviation of 3; the chance of over 30 is 1e-8) and their sizes allow the similarity. Links are counted exactly on full sets;
 how the sets of a leaf are held against each other, without all pairs of a group, is told in simhash.joined_roots.
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import cut, documents
-from .simhash import _runs_of, joined_roots, shingle_hashes, signed, spread_join
+from .simhash import _runs_of, joined_roots, shingle_hashes, signed, slices, spread_join
 
 SHINGLE, PERCENT = 5, 85
 TREES, BRANCH, LEVELS, LEAF = 5, 2, 5, 24
@@ -49,7 +50,7 @@ def sketched(docs: DataFrame, shingle: int) -> DataFrame:
     names = ["_pg_id", "_pg_text", "node", "items", "sig", "s0", "s1"]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = [np.unique(shingle_hashes(t, shingle)) for t in batch.column(2).to_pylist()]
             has = [len(x) > 0 for x in sets]
             node = [signed(xxhash.xxh64_intdigest(x.tobytes(), 7)) if h else None for x, h in zip(sets, has, strict=True)]
@@ -63,10 +64,14 @@ def sketched(docs: DataFrame, shingle: int) -> DataFrame:
     return given.mapInArrow(run, "_pg_id long, _pg_text long, node long, items long, sig array<int>, s0 long, s1 long")
 
 
+def differing(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """In how many one-bit hashes two members differ: POSITIONS * (1 - J) / 2 on average."""
+    return sum((F.bit_count(a(s).bitwiseXOR(b(s))) for s in ("s0", "s1")), F.lit(0))
+
+
 def near(a: Callable[[str], Column], b: Callable[[str], Column], percent: int = PERCENT) -> Column:
     """Whether two members of a leaf may be linked, by their one-bit hashes and sizes."""
-    bits = sum((F.bit_count(a(s).bitwiseXOR(b(s))) for s in ("s0", "s1")), F.lit(0))
-    return (bits <= NEAR) & (100 * F.least(a("items"), b("items")) >= percent * F.greatest(a("items"), b("items")))
+    return (differing(a, b) <= NEAR) & (100 * F.least(a("items"), b("items")) >= percent * F.greatest(a("items"), b("items")))
 
 
 def branched(rows: DataFrame) -> DataFrame:
@@ -90,7 +95,8 @@ def leaves(nodes: DataFrame) -> DataFrame:
         if level == LEVELS - 1:
             out.append(large)
             break
-        dense = cut(large.groupBy("key").agg(F.avg(near(own, of("hub")).cast("int")).alias("share")).where("share >= 0.5").select("key"))
+        far = F.avg(differing(own, of("hub"))) > POSITIONS * (1 - 1 / BRANCH) / 2
+        dense = cut(large.groupBy("key").agg(far.alias("far")).where("not far").select("key"))
         out.append(large.join(dense, "key", "left_semi"))
         going = cut(large.join(dense, "key", "left_anti").select(F.col("key").alias("path"), "node"))
         if going.isEmpty():

@@ -15,7 +15,7 @@ rule out chance members, and every candidate is checked on its shingles.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate
 from random import Random
 
@@ -295,18 +295,25 @@ def with_sketches(docs: DataFrame, shingle: int) -> DataFrame:
     schema = StructType([*given.schema.fields[:2], StructField("_pg_node", LongType()), StructField("_pg_fp", LongType()), StructField("_pg_keys", ArrayType(LongType()))])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             node, prints, keys = sketches(batch.column(2).to_pylist(), shingle)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=schema.names)
 
     return given.mapInArrow(run, schema)
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of some rows: their Python objects are held a part at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     """(node, items) of ``texts`` (node, text): the set of its shingles as longs."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in batch.column(1).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
             items = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
