@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from ..sources import tables as T
 from ..sources.lineage import shared_folder
 from ..streaming import tracks as R
 from .rhythm import FPS, PEAKS, UM, frames_of, numbered, peaks_of, rounded
+from .signals import X3_SQL
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -162,23 +164,41 @@ def streamed(s: SparkSession, rows: DataFrame, make: Callable[[DataFrame], DataF
     made = make(stream)
     run = made.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
+    for used in ("in", "state"):
+        folder = s._jvm.org.apache.hadoop.fs.Path(f"{path}/{used}")
+        folder.getFileSystem(s._jsc.hadoopConfiguration()).delete(folder, True)
     return s.read.schema(made.schema).parquet(f"{path}/out")
 
 
 def chunks(s, d) -> DataFrame:
-    return T.pcm_from_vectors(s, d).select(F.col("track_id").cast("int").alias("track_id"), F.col("chunk_no").cast("long").alias("chunk_no"), "pcm", F.col("chunk_no").alias("part"))
+    last = F.lead("chunk_no").over(W.partitionBy("track_id").orderBy("chunk_no")).isNull()
+    return T.pcm_from_vectors(s, d).select(F.col("track_id").cast("int").alias("track_id"), F.col("chunk_no").cast("long").alias("chunk_no"), "pcm", last.alias("is_last"), F.col("chunk_no").alias("part"))
 
 
-@query("r1_stream_resample", f"""with {T.PCM_SQL}, n as (select track_id, max(sample) + 1 n from samples group by 1), o as (select track_id, n, unnest(range(n)) i from n), p as (select track_id, i, i / 0.6::double pos, cast(floor(i / 0.6::double) as bigint) k from o where i / 0.6::double < n - 1),
-    x as (select track_id, sample, x, lead(x) over (partition by track_id order by sample) nx from samples) select p.track_id, i, round(x * (1 - (pos - k)) + nx * (pos - k), 6) x from p join x on x.track_id = p.track_id and x.sample = p.k""")
+@query("r1_stream_resample", X3_SQL)
 def r1(s, d):
+    """The rows of x3_resample_linear, from chunks of a stream."""
     return rounded(streamed(s, chunks(s, d), lambda c: R.stream_resample(c, 0.6)), "x")
 
 
 @query("r2_stream_admission", f"""with {T.PCM_SQL}, c as (select track_id, chunk_no, greatest(64 * chunk_no, 100) a, least(64 * chunk_no + 64, 100 + 1500) z from vec), p as (select track_id, chunk_no, a, z from c where z > a), e as (select p.track_id, a, z, sqrt(avg(x * x)) rms from p join samples s on s.track_id = p.track_id and s.sample >= a and s.sample < z group by 1, 2, 3)
-    select track_id, a - 100 start, z - a n, case when rms >= 0.125 then z - 101 else -1 end last_active from e""")
+    select track_id, 'signal' kind, a - 100 + 32 start, z - a n, coalesce(max(case when rms >= 0.125 then z - 101 end) over (partition by track_id order by a), -1) last_active from e union all select distinct track_id, 'silence', 0, 32, -1 from e""")
 def r2(s, d):
-    return streamed(s, chunks(s, d), lambda c: R.stream_admission(c, 100, 1500, 0.125))
+    return streamed(s, chunks(s, d), lambda c: R.stream_admission(c, 100, 1500, 0.125, 32))
+
+
+def tapered(x: np.ndarray) -> np.ndarray:
+    """Mean magnitude of each 16 samples of a window, less towards its ends."""
+    env = np.abs(x).reshape(-1, 16).mean(1)
+    i = np.arange(len(env))
+    return env * (1 + np.minimum(i, len(env) - 1 - i)) / (len(env) / 2)
+
+
+@query("r4_window_merge", f"""with {T.PCM_SQL}, n as (select track_id, max(sample) + 1 n from samples group by 1), w as (select track_id, n, unnest(range(greatest((n - 128) // 64 + 2, 1))) k from n), o as (select track_id, n, 64 * k o, 64 * k + 128 > n padded from w where 64 * k < n),
+    e as (select track_id, sample // 16 f, sum(abs(x)) / 16.0::double env from samples group by 1, 2), v as (select o.track_id, o.o // 16 + i.i frame, case when padded or i.i between 1 and 6 then coalesce(env, 0) * (1 + least(i.i, 7 - i.i)) / 4.0::double else 0 end x from o cross join (select range i from range(8)) i left join e on e.track_id = o.track_id and e.f = o.o // 16 + i.i)
+    select track_id, cast(frame as bigint) frame, round(max(x), 6) "value" from v group by 1, 2""")
+def r4_merge(s, d):
+    return rounded(streamed(s, chunks(s, d), lambda c: R.stream_window_merge(c, 128, 64, 16, tapered, 1)), "value")
 
 
 @query("r3_stream_phase_energy")
@@ -199,13 +219,30 @@ def r4(s, d):
     return w.select("track_id", F.unix_timestamp("start").cast("double").alias("start_s"), F.round("value", 6).alias("value"), "n")
 
 
-@query("r5_stream_tempo_anchor")
+ESTIMATES = ["peaks", "autocorr", "comb", "beats"]
+
+
+def estimates(s, d) -> DataFrame:
+    """Four tempi of every five events of a user, from the gaps between them; a gap that seven divides gives none."""
+    b = T.beats_from_events(s, d).select(F.col("track_id").cast("int").alias("track_id"), "beat_index", (F.col("sample_frame") - F.lag("sample_frame").over(W.partitionBy("track_id").orderBy("beat_index"))).alias("gap"))
+    bpm = F.when(F.col("gap") % 7 != 0, 100.0 + F.pmod("gap", F.lit(240)) / 20.0)
+    by = b.groupBy("track_id", F.floor(F.col("beat_index") / 5).alias("chunk_no")).agg(*[F.max(F.when(F.col("beat_index") % 5 == i + 1, bpm)).alias(c) for i, c in enumerate(ESTIMATES)])
+    return by.withColumns({"is_last": F.lead("chunk_no").over(W.partitionBy("track_id").orderBy("chunk_no")).isNull(), "part": F.col("chunk_no")})
+
+
+@query("r5_stream_tempo_anchor", f"""with recursive {T.beats_sql()}, g as (select *, sample_frame - lag(sample_frame) over (partition by track_id order by beat_index) gap from beats), v as (select *, case when gap % 7 <> 0 then 100.0::double + (gap % 240) / 20.0::double else 0 end bpm from g),
+    e as (select track_id, beat_index // 5 step, {', '.join(f"coalesce(max(case when beat_index % 5 = {i + 1} then bpm end), 0) {c}" for i, c in enumerate(ESTIMATES))} from v group by 1, 2),
+    c as (select *, case when peaks > 0 and comb > 0 and abs(peaks - comb) / peaks <= 0.02::double then (peaks + comb) / 2 when peaks > 0 and autocorr > 0 and abs(peaks - autocorr) / peaks <= 0.02::double then (peaks + autocorr) / 2
+      when comb > 0 and autocorr > 0 and abs(comb - autocorr) / comb <= 0.02::double then (comb + autocorr) / 2 when peaks > 0 then peaks when comb > 0 then comb when autocorr > 0 then autocorr else beats end candidate from e),
+    k as (select *, {' + '.join(f"(case when candidate > 0 and {c} > 0 and abs({c} - candidate) / candidate <= 0.02::double then 1 else 0 end)" for c in ESTIMATES)} support from c),
+    r as (select track_id, cast(-1 as bigint) step, 0.0::double prior, 0.0::double reference, 0.0::double candidate, 0 support, '' action from (select distinct track_id from k)
+      union all select track_id, step, case when reference > 0 then reference else prior end, reference, candidate, support, action from (select k.track_id, k.step, r.prior, k.candidate, k.support,
+        case when not (k.candidate > 0 and r.prior > 0) then k.candidate when abs(k.candidate - r.prior) / r.prior <= 0.02::double then 0.7::double * r.prior + 0.3::double * k.candidate when abs(k.candidate - r.prior) / r.prior <= 0.05::double or k.support >= 2 then k.candidate else r.prior end reference,
+        case when not (k.candidate > 0 and r.prior > 0) then 'init' when abs(k.candidate - r.prior) / r.prior <= 0.02::double then 'blend' when abs(k.candidate - r.prior) / r.prior <= 0.05::double or k.support >= 2 then 'switch' else 'hold' end action
+        from r join k on k.track_id = r.track_id and k.step = r.step + 1))
+    select cast(track_id as integer) track_id, step, round(candidate, 6) candidate, support, round(reference, 6) reference, action from r where step >= 0""")
 def r5(s, d):
-    b = T.beats_from_events(s, d).select(F.col("track_id").cast("int").alias("track_id"), "beat_index", "sample_frame")
-    gap = F.col("sample_frame") - F.lag("sample_frame").over(W.partitionBy("track_id").orderBy("beat_index"))
-    bpm = F.round(80.0 + F.pmod(gap, F.lit(1000)) / 10.0, 3)
-    given = b.withColumn("bpm", bpm).where("bpm is not null").select("track_id", (F.col("beat_index") - 1).alias("chunk_no"), F.array("bpm").alias("pcm"), F.col("beat_index").alias("part"))
-    return rounded(streamed(s, given, R.stream_tempo_anchor), "reference")
+    return rounded(streamed(s, estimates(s, d), R.stream_tempo_anchor), "candidate", "reference")
 
 
 @query("r6_stream_envelope", """with w as (select user_id track_id, value, floor(epoch(ts) / 21600) * 21600.0::double start_s from events)

@@ -49,9 +49,12 @@ def a2(s, d):
     return rounded(A.envelope(T.samples(T.pcm_from_vectors(s, d)), 16), "env")
 
 
-@query("x3_resample_linear", f"""with {T.PCM_SQL}, n as (select track_id, max(sample) + 1 n from samples group by 1), o as (select track_id, n, unnest(range(cast(round(n * 0.6::double) as bigint))) i from n),
+X3_SQL = f"""with {T.PCM_SQL}, n as (select track_id, max(sample) + 1 n from samples group by 1), o as (select track_id, n, unnest(range(cast(round(n * 0.6::double) as bigint))) i from n),
     p as (select track_id, i, i / 0.6::double pos, least(cast(floor(i / 0.6::double) as bigint), n - 1) k from o), x as (select track_id, sample, x, coalesce(lead(x) over (partition by track_id order by sample), x) nx from samples)
-    select p.track_id, i, round(x * (1 - least(pos - k, 1)) + nx * least(pos - k, 1), 6) x from p join x on x.track_id = p.track_id and x.sample = p.k""")
+    select p.track_id, i, round(x * (1 - least(pos - k, 1)) + nx * least(pos - k, 1), 6) x from p join x on x.track_id = p.track_id and x.sample = p.k"""
+
+
+@query("x3_resample_linear", X3_SQL)
 def x3(s, d):
     return rounded(K.resample_linear(T.samples(T.pcm_from_vectors(s, d)), 0.6), "x")
 

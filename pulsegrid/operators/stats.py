@@ -379,15 +379,20 @@ def fine_tempo_sweep(frames: DataFrame, fps: float, low: float, high: float, wid
     return best.select("track_id", F.col("b.bpm").alias("bpm"), F.col("b.strength").alias("strength"), F.when(phase < 0, phase + period).otherwise(phase).alias("phase"))
 
 
-def choose_bpm(estimates: DataFrame, tolerance: float = 0.02) -> DataFrame:
-    """Mean of the first pair of peaks, comb and autocorr estimates that agree, relative to the first of the pair;
-    else the first positive one."""
+def candidate_bpm(tolerance: float = 0.02) -> Column:
+    """C1's choice among columns peaks, comb, autocorr and beats: the mean of the first pair of the first three that agree,
+    relative to the first of the pair; else the first positive one, 0 without."""
     agree = lambda a, b: (F.col(a) > 0) & (F.col(b) > 0) & (F.abs(F.col(a) - F.col(b)) / F.greatest(F.col(a), F.lit(1e-6)) <= tolerance)
     mean = lambda a, b: (F.col(a) + F.col(b)) / 2
     pairs = [("peaks", "comb"), ("peaks", "autocorr"), ("comb", "autocorr")]
     single = reduce(lambda c, name: c.when(F.col(name) > 0, F.col(name)), ["comb", "autocorr", "beats"], F.when(F.col("peaks") > 0, F.col("peaks")))
     chain = reduce(lambda c, p: c.when(agree(*p), mean(*p)), pairs[1:], F.when(agree(*pairs[0]), mean(*pairs[0])))
-    return estimates.select("track_id", "peaks", "comb", "autocorr", "beats", chain.otherwise(single.otherwise(0.0)).alias("bpm"))
+    return chain.otherwise(single.otherwise(0.0))
+
+
+def choose_bpm(estimates: DataFrame, tolerance: float = 0.02) -> DataFrame:
+    """See candidate_bpm."""
+    return estimates.select("track_id", "peaks", "comb", "autocorr", "beats", candidate_bpm(tolerance).alias("bpm"))
 
 
 def downmix(pcm: DataFrame, channels: int) -> DataFrame:
