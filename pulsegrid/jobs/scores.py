@@ -188,13 +188,13 @@ def k7(s, d):
     return rounded(K.probe_consensus(probes_of(s, d), 60.0, 200.0), "bpm", "score")
 
 
-@query("k9_match_modes", f"""with {PR}, x as (select track_id, probe, confidence c, bpm * f bpm from p cross join (values (0.5::double), (1::double), (2::double), (3::double), (2::double / 3), (1.5::double)) m(f) where probe < 2 and bpm * f between 60 and 200),
-    j as (select a.track_id, a.bpm ba, b.bpm bb, a.c ca, b.c cb, abs(a.bpm - b.bpm) / greatest(a.bpm, b.bpm) rel from x a join x b on a.track_id = b.track_id and a.probe = 0 and b.probe = 1),
-    r as (select *, row_number() over (partition by track_id order by round(rel / (ca * cb), 9), ba, bb) k from j)
+@query("k9_match_modes", f"""with {PR}, x as (select track_id, probe, confidence c, r, bpm * f bpm from p cross join (values (0, 0.5::double), (1, 1::double), (2, 2::double), (3, 3::double), (4, 2::double / 3), (5, 1.5::double)) m(r, f) where probe < 2 and bpm * f between 60 and 200),
+    j as (select a.track_id, a.r ra, b.r rb, a.bpm ba, b.bpm bb, a.c ca, b.c cb, abs(a.bpm - b.bpm) / (0.5::double * (a.bpm + b.bpm)) rel from x a join x b on a.track_id = b.track_id and a.probe = 0 and b.probe = 1),
+    r as (select *, row_number() over (partition by track_id order by round(rel / greatest(1e-6::double, ca * cb), 9), ra, rb) k from j)
     select track_id, round(ba, 6) intro_bpm, round(bb, 6) outro_bpm, round(case when rel <= 0.025 then (ba * ca + bb * cb) / (ca + cb) end, 6) bpm from r where k = 1""")
 def k9(s, d):
     p = probes_of(s, d)
-    side = lambda n: p.where(F.col("probe") == n).select("track_id", "confidence", F.explode(S.expand_modes("bpm", "confidence", 60.0, 200.0, S.FUSION_FACTORS)).alias("m")).select("track_id", "m.bpm", "confidence")
+    side = lambda n: p.where(F.col("probe") == n).select("track_id", "confidence", F.posexplode(S.expand_modes("bpm", "confidence", 60.0, 200.0, S.FUSION_FACTORS)).alias("rank", "m")).select("track_id", "rank", "m.bpm", "confidence")
     return rounded(K.match_modes(side(0), side(1)), "intro_bpm", "outro_bpm", "bpm")
 
 

@@ -12,8 +12,9 @@ from ..operators import select as K
 from ..operators import stats as A
 from ..sources import tables as T
 from ..sources import text as X
+from ..sources.lineage import settled
 from . import signals as G
-from .rhythm import FPS, PEAKS, UM, frames_of, numbered, peaks_of, rounded
+from .rhythm import FLOOR, FPS, PEAKS, UM, frames_of, numbered, peaks_of, rounded
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -198,29 +199,76 @@ def k6(s, d):
 def c6(s, d):
     from . import grids
 
-    return grids.consensus_grid(frames_of(s, d), FPS, 70.0, 187.0)
-
-
-@query(
-    "c2_grid_tempo_decision",
-    f"""with {PEAKS}, ft as (select track_id, case when count(*) >= 4 and regr_slope(frame, i) > 0 then 60.0::double * {FPS} / regr_slope(frame, i) else 0 end fit from idx group by 1),
-    md as (select track_id, {UM.format('gap')} m from gaps group by 1), ac as (select a.track_id, sum(a.beat * b.beat) / (720 - (b.frame - a.frame)) q from frames a join frames b on a.track_id = b.track_id and b.frame - a.frame between 16 and 43 group by a.track_id, b.frame - a.frame),
-    mo as (select track_id, avg(q) mu, var_pop(q) v from ac group by 1), ku as (select ac.track_id, case when any_value(v) > 0 then avg(pow(q - mu, 4)) / (any_value(v) * any_value(v)) else 0 end qkur from ac join mo using (track_id) group by 1),
-    t as (select f.track_id, coalesce(fit, 0) fit, coalesce(case when m > 1 then 60.0::double * {FPS} / m end, 0) med, coalesce(qkur, 0) qkur from (select distinct track_id from frames) f left join ft using (track_id) left join md using (track_id) left join ku using (track_id)),
-    s as (select *, case when fit > 0 and abs(med - fit) <= 0.08::double * fit then 'global_fit' when qkur >= 3.6 and fit > 0 then 'fit' when med > 0 then 'peaks_median' when fit > 0 then 'fit' else 'none' end source from t)
-    select track_id, round(case when source in ('global_fit', 'fit') then fit when source = 'peaks_median' then med else 0 end, 6) bpm, source from s""",
-)
+    return grids.consensus_grid(frames_of(s, d), FPS, 70.0, 187.0, signal="energy")
+
+
+def decision_inputs(s, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Frames, beats, downbeats, and per track a range (wide or narrow), a reference for some, the fit of both ends, a quality."""
+    from . import decision
+
+    f = settled(frames_of(s, d))  # read by a dozen estimates
+    p = settled(P.local_peaks(f, "beat", FLOOR).select("track_id", "frame", "beat"))
+    t = F.col("track_id")
+    tracks = f.groupBy("track_id").agg((F.max("frame") + 1).alias("n"), F.min(F.lit(0)).alias("z")).select("track_id", "n", F.when(t % 2 == 0, 70.0).otherwise(118.0).alias("low"), F.when(t % 2 == 0, 187.0).otherwise(122.0).alias("high"))
+    fit = decision.global_fit(p, tracks, FPS, 180, 20, 20, 240)
+    quality = A.periodicity_quality(f, 16, 43).select("track_id", F.round("qkur", 9).alias("qkur"))
+    given = tracks.select("track_id", "low", "high", F.when(t % 3 != 0, 119.0 + (t % 7) / 4).alias("reference"), F.when(t % 5 == 4, 110.0).alias("decoded")).join(fit, "track_id", "left").join(quality.where("track_id % 4 <> 3"), "track_id", "left")
+    return f, p, f.where("downbeat >= 0.1").select("track_id", "frame"), given
+
+
+def _sql_c2() -> str:
+    greedy = lambda name, src, gap: f"{name}(track_id, frame) as (select track_id, min(frame) from {src} group by 1 union all select w.track_id, min(p.frame) from {name} w join {src} p on p.track_id = w.track_id join ap on ap.track_id = w.track_id where p.frame >= w.frame + ap.{gap} group by w.track_id)"
+    stats = lambda name, picked, curve: f"""{name}_x as (select l.track_id, l.frame + case when abs(p - 2 * v + n) > 1e-9 then greatest(-0.5::double, least(0.5::double, 0.5::double * (p - n) / (p - 2 * v + n))) else 0 end x from {curve} l join {picked} using (track_id, frame)),
+    {name}_g as (select *, row_number() over (partition by track_id order by x) - 1 i, x - lag(x) over (partition by track_id order by x) gap from {name}_x),
+    {name} as (select track_id, count(*) n, count(gap) gaps, stddev_pop(gap) / avg(gap) spread, {UM.format('gap')} med, regr_slope(x, i) slope from {name}_g group by 1)"""
+    pick = lambda med, reg: f"case when {reg} > 0 and ({med} <= 0 or abs({reg} - {med}) <= 0.02::double * {med}) then {reg} else {med} end"
+    return f"""with recursive {PEAKS}, tr as (select distinct track_id, case when track_id % 2 = 0 then 70.0::double else 118.0::double end low, case when track_id % 2 = 0 then 187.0::double else 122.0::double end high, case when track_id % 3 <> 0 then 119.0::double + (track_id % 7) / 4.0::double else 0 end ref, case when track_id % 5 = 4 then 110.0::double else 0 end decoded from frames),
+    ap0 as (select *, greatest(1, 60.0::double * {FPS} / high * 0.5::double) short, greatest(1, floor(60.0::double * {FPS} / high)) per_beat from tr),
+    kept_ap as (select *, short gap from ap0), {greedy('kept', 'peaks', 'short').replace('join ap on', 'join ap0 ap on')},
+    ki as (select *, row_number() over (partition by track_id order by frame) - 1 i from kept),
+    dn0 as (select track_id, frame from frames where downbeat >= 0.1), dn1 as (select l.track_id, l.frame, arg_min(r.frame, struct_pack(d := abs(r.frame - l.frame), t := r.frame)) nearest from dn0 l left join kept r using (track_id) group by 1, 2), dn as (select distinct track_id, coalesce(nearest, frame) frame from dn1),
+    h as (select d.track_id, d.frame, i.i from dn d left join ki i using (track_id, frame)), hf as (select *, coalesce(first_value(i) over (partition by track_id order by frame), 0) f0 from h),
+    hc as (select track_id, any_value(f0) f0, count(case when i % 3 = f0 % 3 then 1 end) h3, count(case when i % 4 = f0 % 4 then 1 end) h4 from hf where i is not null group by 1),
+    bb as (select t.track_id, case when coalesce(h3, 0) > coalesce(h4, 0) and (coalesce(h4, 0) = 0 or h3 >= 1.5 * h4) then 3 else 4 end bpb, coalesce(f0, 0) f0 from (select distinct track_id from kept) t left join hc using (track_id)),
+    ap as (select ap0.*, bpb, f0, greatest(1, floor(60.0::double * {FPS} / greatest(greatest(1, low / bpb) + 1, high / bpb))) per_bar from ap0 join bb using (track_id)),
+    kg as (select track_id, {UM.format('g')} base from (select track_id, frame - lag(frame) over (partition by track_id order by frame) g from kept) where g > 0 group by 1),
+    ft as (select track_id, case when count(*) >= 4 and regr_slope(frame, i) > 0 then 60.0::double * {FPS} / regr_slope(frame, i) else 0 end fit from ki group by 1),
+    bl as (select track_id, frame, beat v, p, n from lag1), dl as (select track_id, frame, downbeat v, lag(downbeat) over w p, lead(downbeat) over w n from frames window w as (partition by track_id order by frame)),
+    dpk as (select * from dl where v >= 0.1 and v >= p and v >= n), {greedy('pb', 'peaks', 'per_beat')}, {greedy('pd', 'dpk', 'per_bar')}, {stats('sb', 'pb', 'bl')}, {stats('sd', 'pd', 'dl')},
+    wb as (select track_id, frame, case when frame >= 20 and frame < 200 then 0 else 1 end side from peaks where frame >= 20 and frame < 200 or frame >= 520 and frame < 700),
+    wg as (select *, frame - lag(frame) over (partition by track_id, side order by frame) gap from wb), wa as (select track_id, side, count(*) nb, count(gap) n, {UM.format('gap')} m, 1 / (1 + stddev_pop(gap) / avg(gap)) * least(1.0::double, count(gap) / 32.0::double) conf from wg group by 1, 2),
+    wm as (select w.track_id, side, rk, conf, 60.0::double * {FPS} / m * f bpm from wa w join tr using (track_id) cross join (values (0, 0.5::double), (1, 1::double), (2, 2::double), (3, 3::double), (4, 2::double / 3), (5, 1.5::double)) k(rk, f) where nb >= 8 and n >= 4 and conf > 0 and 60.0::double * {FPS} / m * f between low and high),
+    wj as (select a.track_id, a.rk ra, b.rk rb, a.bpm ba, b.bpm bb, a.conf ca, b.conf cb, abs(a.bpm - b.bpm) / (0.5::double * (a.bpm + b.bpm)) rel from wm a join wm b on a.track_id = b.track_id and a.side = 0 and b.side = 1),
+    wr as (select *, row_number() over (partition by track_id order by round(rel / greatest(1e-6::double, ca * cb), 9), ra, rb) k from wj), gf as (select track_id, (ba * ca + bb * cb) / (ca + cb) g from wr where k = 1 and rel <= 0.025::double),
+    ac as (select a.track_id, sum(a.beat * b.beat) / (720 - (b.frame - a.frame)) q from frames a join frames b on a.track_id = b.track_id and b.frame - a.frame between 16 and 43 group by a.track_id, b.frame - a.frame), mo as (select track_id, avg(q) mu, var_pop(q) vv from ac group by 1),
+    ku as (select ac.track_id, round(case when any_value(vv) > 0 then avg(pow(q - mu, 4)) / (any_value(vv) * any_value(vv)) else 0 end, 9) qkur from ac join mo using (track_id) where ac.track_id % 4 <> 3 group by 1),
+    e0 as (select ap.*, coalesce(base, 0) base, coalesce(fit, 0) fit, g, coalesce(qkur < 3.6, false) poor, coalesce(case when sb.n >= 2 and sb.med > 0 then 60.0::double * {FPS} / sb.med end, 0) pm, coalesce(case when sb.n >= 2 and sb.slope > 0 then 60.0::double * {FPS} / sb.slope end, 0) pr,
+      coalesce(case when sd.n >= 2 and sd.med > 0 then 60.0::double * {FPS} / sd.med * bpb end, 0) dm, coalesce(case when sd.n >= 2 and sd.slope > 0 then 60.0::double * {FPS} / sd.slope * bpb end, 0) dr, coalesce(sd.gaps, 0) ng, coalesce(sd.spread, 0) spread
+      from ap left join kg using (track_id) left join ft using (track_id) left join gf using (track_id) left join ku using (track_id) left join sb using (track_id) left join sd using (track_id)),
+    e1 as (select *, {pick('pm', 'pr')} pk, {pick('dm', 'dr')} dw from e0), e2 as (select *, not poor and ng >= 6 and spread <= 0.25 and dw > 0 sure, ref > 0 and high - low <= greatest(2, 0.05::double * ref) allowed from e1),
+    e3 as (select *, case when g > 0 and fit > 0 and abs(g - fit) <= 0.08::double * fit then 'global_fit' when allowed and not poor and not (sure and abs(ref - dw) > 0.005::double * dw) then 'reference' when sure and fit > 0 then 'fit_primary' when sure then 'downbeats_primary'
+      when not poor and pr > 0 then 'peaks_reg_full' when not poor and fit > 0 then 'fit' when pm > 0 then 'peaks_median' when pk > 0 then 'peaks' when allowed then 'reference_fallback' else 'none' end s from e2),
+    e4 as (select *, case s when 'global_fit' then g when 'reference' then ref when 'fit_primary' then fit when 'downbeats_primary' then dw when 'peaks_reg_full' then pr when 'fit' then fit when 'peaks_median' then pm when 'peaks' then pk when 'reference_fallback' then ref else 0 end b from e3),
+    e5 as (select *, case when sure and b > 0 and s not in ('peaks_reg_full', 'downbeats_primary', 'fit_primary') and abs(dw - b) <= 0.005::double * b then 'downbeats_override' when b <= 0 and decoded > 0 then 'decoded' when b <= 0 and base > 0 then 'base_interval' else s end source from e4)
+    select track_id, source, round(case source when 'downbeats_override' then dw when 'decoded' then decoded when 'base_interval' then 60.0::double * {FPS} / base else b end, 6) bpm, bpb, cast(f0 % bpb as integer) phase, cast(base as double) base_interval, round(fit, 6) fit, round(coalesce(g, 0), 6) global_fit, round(pk, 6) peaks, round(pm, 6) peaks_median, round(pr, 6) peaks_reg, round(dw, 6) downbeats, sure downbeats_sure from e5"""
+
+
+@query("c2_grid_tempo_decision", _sql_c2())
 def c2(s, d):
-    from . import grids
+    from . import decision
 
-    return rounded(grids.grid_tempo(frames_of(s, d), peaks_of(s, d), FPS), "bpm")
+    out = decision.grid_tempo(*decision_inputs(s, d), FPS).drop("step").withColumn("base_interval", F.col("base_interval").cast("double"))
+    return rounded(out, "bpm", "fit", "global_fit", "peaks", "peaks_median", "peaks_reg", "downbeats")
 
 
 @query("c5_synthesize_grid")
 def c5(s, d):
-    from . import grids
+    from . import decision, grids
 
-    return grids.synthesize_grid(frames_of(s, d), peaks_of(s, d), FPS)
+    f, p, down, given = decision_inputs(s, d)
+    tempo = settled(decision.grid_tempo(f, p, down, given, FPS).select("track_id", "step", "bpb", "phase"))
+    beats = p.select("track_id", "frame").join(down.withColumn("is_downbeat", F.lit(True)), ["track_id", "frame"], "left").fillna(False, ["is_downbeat"])
+    return grids.synthesize_grid(f, beats, tempo, FPS)
 
 
 @query("c7_refine_constant")
@@ -267,11 +315,45 @@ def c9(s, d):
     return rounded(grids.select_probe(peaks_of(s, d), tracks, FPS, 180, 60, 70.0, 180.0), "score", "margin", "bpm", "agreed")
 
 
-@query("c10_anchor_refit")
+@query("a24_fractional_phase", f"""with {PEAKS}, st as (select distinct track_id, 16.5::double + (track_id % 9) * 0.37::double step from frames), ph as (select track_id, step, unnest(range(cast(ceil(step) as bigint))) phase from st),
+    g as (select track_id, phase, cast(floor(phase + k.k * step + 0.5) as bigint) frame from ph cross join (select range k from range(64)) k where floor(phase + k.k * step + 0.5) < 720), v as (select g.track_id, phase, avg(coalesce(p.beat, 0)) s from g left join peaks p using (track_id, frame) group by 1, 2),
+    r as (select *, row_number() over (partition by track_id order by round(s, 9) desc, phase) k from v) select track_id, cast(phase as integer) phase, round(round(s, 9), 6) score from r where k = 1""")
+def a24f(s, d):
+    """A24 at steps that are not whole."""
+    tracks = frames_of(s, d).groupBy("track_id").agg((F.max("frame") + 1).alias("n")).withColumn("step", 16.5 + (F.col("track_id") % 9) * 0.37)
+    return rounded(A.fractional_phase_search(peaks_of(s, d), tracks), "score")
+
+
+@query("a24_half_step", f"""with {T.USER_SQL}, st as (select distinct track_id, 16.5::double + (track_id % 9) * 0.37::double step, 40.0::double + track_id % 13 start from frames), f3 as (select track_id, frame, max(beat) over (partition by track_id order by frame rows between 1 preceding and 1 following) v from frames),
+    c as (select track_id, s.s, fmod(start + s.s * step, step) + k.k * step pos from st cross join (values (0.0::double), (0.5::double)) s(s) cross join (select range k from range(128)) k), h as (select c.track_id, s, v from c join f3 on f3.track_id = c.track_id and f3.frame = cast(floor(pos + 0.5) as bigint) where pos < 720),
+    m as (select track_id, avg(case when s = 0 then v end) b, avg(case when s > 0 then v end) m from h group by 1) select track_id, round(start + case when round(m, 9) > round(b, 9) then step / 2 else 0 end, 6) start, round(b, 6) base, round(m, 6) moved from st left join m using (track_id)""")
+def a24h(s, d):
+    t = F.col("track_id")
+    tracks = frames_of(s, d).groupBy("track_id").agg((F.max("frame") + 1).alias("n")).select("track_id", "n", (16.5 + (t % 9) * 0.37).alias("step"), (40.0 + t % 13).alias("start"))
+    return rounded(A.half_step_start(frames_of(s, d), tracks), "start", "base", "moved")
+
+
+def anchors_of(s, d) -> tuple[DataFrame, DataFrame]:
+    """A grid of each track whose steps jitter, and four probes on it."""
+    t = F.col("track_id")
+    tracks = frames_of(s, d).select("track_id").distinct()
+    k = tracks.select("track_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(400).cast("long"))).alias("k"))
+    beats = k.select("track_id", (5 + t % 7 + F.col("k") * 1000 + F.pmod(F.col("k") * (t % 5), F.lit(3)) + F.floor(F.col("k") * F.col("k") * (t % 2) / 400)).alias("frame")).where("pmod(k + track_id, 61) <> 0 or track_id % 3 = 0")
+    probes = tracks.select("track_id", F.explode(F.sequence(F.lit(0), F.when(t % 6 == 1, 0).otherwise(3))).alias("p")).select("track_id", (40000 + F.col("p") * 100000).cast("long").alias("frame"), ((F.col("p") + 1) / 3.0).alias("confidence"))
+    return beats, probes
+
+
+@query("c10_anchor_refit", f"""with {T.USER_SQL}, tr as (select distinct track_id from frames), k as (select track_id, unnest(range(401)) k from tr),
+    b as (select track_id, cast(5 + track_id % 7 + k * 1000 + (k * (track_id % 5)) % 3 + floor(k * k * (track_id % 2) / 400.0) as bigint) frame from k where (k + track_id) % 61 <> 0 or track_id % 3 = 0),
+    r as (select track_id, frame, row_number() over w - 1 i, frame - lag(frame) over w gap from b window w as (partition by track_id order by frame)), bs as (select track_id, cast({UM.format('gap')} as double) base, min(frame) anchor from (select track_id, frame, case when gap > 0 then gap end gap from r) group by 1),
+    pr as (select track_id, cast(40000 + p * 100000 as bigint) frame, (p + 1) / 3.0::double conf from (select track_id, unnest(range(case when track_id % 6 = 1 then 1 else 4 end)) p from tr)),
+    nb as (select pr.track_id, pr.frame, conf, arg_min(r.i, struct_pack(d := abs(r.frame - pr.frame), t := -r.frame)) c from pr join r using (track_id) group by 1, 2, 3),
+    ls as (select nb.track_id, nb.frame, conf, cast({UM.format('gap')} as double) own, count(gap) n from nb left join r on r.track_id = nb.track_id and r.i between greatest(c - 12, 1) and c + 12 and gap > 0 group by 1, 2, 3),
+    sp as (select ls.*, base, anchor, case when n >= 4 then own else base end s0 from ls join bs using (track_id)), sh as (select track_id, frame, conf, base, anchor, arg_min(s0 * h.h, struct_pack(d := round(abs(s0 * h.h - base), 9), k := h.k)) s from sp cross join (values (0, 0.5::double), (1, 1.0::double), (2, 2.0::double), (3, 1.5::double), (4, 2.0::double / 3), (5, 3.0::double)) h(k, h) group by 1, 2, 3, 4, 5),
+    ag as (select track_id, base, anchor, count(*) np, sum(s * greatest(0.15::double, least(1.0::double, conf))) / sum(greatest(0.15::double, least(1.0::double, conf))) m, max(s) hi, min(s) lo from sh group by 1, 2, 3),
+    fi as (select *, greatest(1 - 3e-4::double, least(1 + 3e-4::double, m / base)) ratio from ag), ok as (select *, np >= 2 and hi - lo <= 0.004::double * base and abs(ratio - 1) >= 1e-5::double ok from fi)
+    select r.track_id, case when ok then cast(floor(anchor + i * (base * ratio) + 0.5) as bigint) else frame end frame, round(case when ok then ratio else 1 end, 6) ratio from r left join ok using (track_id)""")
 def c10(s, d):
     from . import grids
 
-    beats = grids.consensus_grid(frames_of(s, d), FPS, 70.0, 187.0)
-    tracks = frames_of(s, d).groupBy("track_id").agg((F.max("frame") + 1).alias("n"))
-    probes = grids.probes_of(peaks_of(s, d), tracks, FPS, 180, 60, 70.0, 180.0).select("track_id", (F.col("start") + 90).alias("frame"), "confidence")
-    return rounded(grids.anchor_refit(beats, probes), "ratio")
+    return rounded(grids.anchor_refit(*anchors_of(s, d)), "ratio")

@@ -138,15 +138,15 @@ def dedupe_probes(probes: DataFrame, apart: float = 1.0) -> DataFrame:
 
 
 def match_modes(intro: DataFrame, outro: DataFrame, most: float = 0.025) -> DataFrame:
-    """K9: the pair of tempo modes of intro and outro with least relative error over confidence; fused if near.
+    """K9: the pair of tempo modes (track_id, rank, bpm, confidence) of intro and outro with least difference, relative to their mean,
+    over confidence, the first ranks of equals; fused by confidence where the difference is ``most`` or less.
 
     Both sides have at most six modes a track, so the pairs of a track stay few.
     """
-    a = intro.select("track_id", F.col("bpm").alias("ba"), F.col("confidence").alias("ca"))
-    b = outro.select("track_id", F.col("bpm").alias("bb"), F.col("confidence").alias("cb"))
-    rel = F.abs(F.col("ba") - F.col("bb")) / F.greatest("ba", "bb")
-    pairs = a.join(b, "track_id").withColumn("rel", rel).withColumn("cost", F.round(rel / (F.col("ca") * F.col("cb")), 9))
-    best = pairs.groupBy("track_id").agg(F.min(F.struct("cost", "ba", "bb", "ca", "cb", "rel")).alias("m"))
+    side = lambda rows, x: rows.select("track_id", F.col("rank").alias(f"r{x}"), F.col("bpm").alias(f"b{x}"), F.col("confidence").alias(f"c{x}"))
+    rel = F.abs(F.col("ba") - F.col("bb")) / (0.5 * (F.col("ba") + F.col("bb")))
+    pairs = side(intro, "a").join(side(outro, "b"), "track_id").withColumn("rel", rel).withColumn("cost", F.round(rel / F.greatest(F.lit(1e-6), F.col("ca") * F.col("cb")), 9))
+    best = pairs.groupBy("track_id").agg(F.min(F.struct("cost", "ra", "rb", "ba", "bb", "ca", "cb", "rel")).alias("m"))
     fused = (F.col("m.ba") * F.col("m.ca") + F.col("m.bb") * F.col("m.cb")) / (F.col("m.ca") + F.col("m.cb"))
     return best.select("track_id", F.col("m.ba").alias("intro_bpm"), F.col("m.bb").alias("outro_bpm"), F.when(F.col("m.rel") <= most, fused).alias("bpm"))
 

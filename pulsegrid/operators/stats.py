@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clamp01, upper_median
+from ..functions.scalars import clamp01, llround, upper_median
 
 
 #: Steps a unit of sums that must not depend on their order.
@@ -343,6 +343,36 @@ def phase_search(frames: DataFrame, step: int, value: str = "beat") -> DataFrame
     return best.select("track_id", (-F.col("b.p")).alias("phase"), F.col("b.s").alias("score"))
 
 
+def fractional_phase_search(points: DataFrame, tracks: DataFrame, value: str = "beat") -> DataFrame:
+    """A24 for a step that need not be whole: ``tracks`` (track_id, step >= 1, n frames), ``points`` the frames of the curve that
+    are not 0. Of the whole phases below the step the first with the best mean over the grid frames
+    llround(phase + k * step) below n.
+
+    A point adds to the phases whose grid meets it, some step of them; the grids themselves are never laid out.
+    """
+    phase = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil("step").cast("int") - 1, F.lit(0))))
+    at = points.select("track_id", "frame", F.col(value).cast("double").alias("v")).join(tracks, "track_id").where(F.col("frame") < F.col("n")).withColumn("phase", phase)
+    k = F.greatest(llround((F.col("frame") - F.col("phase")) / F.col("step")), F.lit(0))
+    met = at.where(llround(F.col("phase") + k * F.col("step")) == F.col("frame"))
+    hits = F.ceil((F.col("n") - 0.5 - F.col("phase")) / F.col("step"))
+    by = met.groupBy("track_id", "phase", "step", "n").agg(F.sum("v").alias("v")).select("track_id", "phase", (F.col("v") / hits).alias("score"))
+    best = by.where("score > 0").groupBy("track_id").agg(F.max(F.struct(F.round("score", 9).alias("s"), (-F.col("phase")).alias("p"))).alias("b"))
+    return tracks.select("track_id").join(best, "track_id", "left").select("track_id", F.coalesce(-F.col("b.p"), F.lit(0)).alias("phase"), F.coalesce("b.s", F.lit(0.0)).alias("score"))
+
+
+def half_step_start(frames: DataFrame, tracks: DataFrame, value: str = "beat", most: int = 128) -> DataFrame:
+    """A24's half-step test: ``tracks`` (track_id, start >= 0, step >= 1, n) to the start, or the start half a step later if the
+    curve is greater there: the mean of the greatest of three frames around each of the first ``most`` grid frames."""
+    around = track().rowsBetween(-1, 1)
+    top = frames.select("track_id", "frame", F.max(value).over(around).alias("v"))
+    shifts = tracks.withColumn("shift", F.explode(F.array(F.lit(0.0), F.lit(0.5)))).withColumn("first", (F.col("start") + F.col("shift") * F.col("step")) % F.col("step"))
+    cursor = shifts.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn("at", F.col("first") + F.col("k") * F.col("step")).where("at < n")
+    hit = cursor.select("track_id", "shift", llround(F.col("at")).alias("frame")).join(top, ["track_id", "frame"])
+    by = hit.groupBy("track_id").agg(F.avg(F.when(F.col("shift") == 0, F.col("v"))).alias("base"), F.avg(F.when(F.col("shift") > 0, F.col("v"))).alias("moved"))
+    later = F.round("moved", 9) > F.round("base", 9)
+    return tracks.join(by, "track_id", "left").select("track_id", (F.col("start") + F.when(later, F.col("step") / 2).otherwise(0.0)).alias("start"), "base", "moved")
+
+
 def tempo_sweep(frames: DataFrame, fps: float, tempi: list[float], value: str = "beat") -> DataFrame:
     """Vector strength of the frames with weight at each tempo of the list; the first best and its phase.
 

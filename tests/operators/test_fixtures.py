@@ -30,7 +30,8 @@ def test_one_spike_is_one_beat(spark):
 def test_jittered_beats_give_a_uniform_grid(spark):
     f = curve(spark, 160, set(range(10, 160, 10)))
     beats = spark.createDataFrame([(1, x, 1.0) for x in (10, 21, 31, 40, 50, 60, 70, 80, 90, 100, 110, 120, 130, 140, 150)], "track_id int, frame long, beat double")
-    grid = listed(grids.synthesize_grid(f, beats, 10.0), "frame")
+    tempo = spark.createDataFrame([(1, 10.0, 4, 0)], "track_id int, step double, bpb int, phase int")
+    grid = listed(grids.synthesize_grid(f, beats.withColumn("is_downbeat", F.lit(False)), tempo, 10.0), "frame")
     assert set(np.diff(grid)) == {10}
     assert set(np.diff(listed(K.project_downbeats(spark.createDataFrame([(1, g) for g in grid], "track_id int, frame long"), 4, 2), "frame"))) == {40}
 
