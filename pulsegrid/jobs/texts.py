@@ -309,10 +309,12 @@ def v3(s, d):
 
 @query("c9_select_probe")
 def c9(s, d):
-    from . import grids
+    from . import probes
 
-    tracks = frames_of(s, d).groupBy("track_id").agg((F.max("frame") + 1).alias("n"))
-    return rounded(grids.select_probe(peaks_of(s, d), tracks, FPS, 180, 60, 70.0, 180.0), "score", "margin", "bpm", "agreed")
+    f = settled(frames_of(s, d))
+    beats = P.parabolic_position(f).select("track_id", "frame", "position").join(P.local_peaks(f, "beat", FLOOR).select("track_id", "frame"), ["track_id", "frame"])
+    tracks = f.groupBy("track_id").agg((F.max("frame") + 1).alias("n"))
+    return rounded(probes.select_probe(settled(beats), tracks, 10.0, 180, 70.0, 180.0, 3.0), "bpm", "agreed", "score", "margin")
 
 
 @query("a24_fractional_phase", f"""with {PEAKS}, st as (select distinct track_id, 16.5::double + (track_id % 9) * 0.37::double step from frames), ph as (select track_id, step, unnest(range(cast(ceil(step) as bigint))) phase from st),
