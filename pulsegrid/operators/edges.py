@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import accept_opening_guard, llround, phase_limits, upper_median
 from ..sources.lineage import settled
-from .joins import beat_to_peak_offsets
+from .joins import beat_to_peak_offsets, rows_in_windows
 
 #: Windows of a track whose phase is measured, by the column of their start in seconds.
 WINDOWS = ["first", "last", "between", "middle"]
@@ -30,9 +30,7 @@ class Waveform:
         of the first and last 32 beats (intro, outro) and of those of the first and last window (first_edge, last_edge);
         and number, medians, shares beyond the phase limits and odd-even gap of each window."""
         keys = ["track_id", *(by or [])]
-        places = beats.select("track_id", "sample_frame").distinct().withColumn("beat_index", F.col("sample_frame"))
-        off = beat_to_peak_offsets(places, self.samples, self.radius, self.rate).select("track_id", F.col("beat_index").alias("sample_frame"), F.col("offset_ms").alias("o"))
-        rows = beats.select(*keys, "beat_index", "sample_frame").join(off, ["track_id", "sample_frame"], "left").join(self.spots, "track_id")
+        rows = beats.select(*keys, "beat_index", "sample_frame").join(self.spots, "track_id")
         group = W.partitionBy(*keys)
         order = group.orderBy("beat_index")
         rows = rows.withColumns({"i": F.row_number().over(order), "n": F.count("*").over(group), "gap": F.col("sample_frame") - F.lag("sample_frame").over(order)})
@@ -42,6 +40,9 @@ class Waveform:
             inside[w] = (F.col("sample_frame") >= llround(start * self.rate)) & (F.col("sample_frame") <= llround((start + self.duration) * self.rate))
         rows = rows.withColumns({f"_{w}": F.when(c, F.col("i")) for w, c in inside.items()})
         rows = rows.withColumns({"_a": F.min("_first").over(group), "_z": F.max("_last").over(group), "_na": F.count("_first").over(group), "_nz": F.count("_last").over(group)})
+        # Only beats at the ends and in the windows are held against the sound.
+        asked = (F.col("i") <= 32) | (F.col("i") > F.col("n") - 32) | F.coalesce(*[F.col(f"_{w}") for w in WINDOWS]).isNotNull()
+        rows = rows.join(self.offsets(rows.where(asked)), ["track_id", "sample_frame"], "left")
         many = F.col("n") >= 16
         edges = {
             "intro": many & (F.col("i") <= 32),
@@ -65,6 +66,54 @@ class Waveform:
         spread = [self._deviation(e).alias(f"{e}_mad") for e in edges]
         return got.select(*keys, F.struct(*plain, *spread).alias("m"))
 
+    def offsets(self, beats: DataFrame) -> DataFrame:
+        """track_id, sample_frame and o, the measured offset, of each place where a beat lies."""
+        places = beats.select("track_id", "sample_frame").distinct().withColumn("beat_index", F.col("sample_frame"))
+        return beat_to_peak_offsets(places, self.samples, self.radius, self.rate).select("track_id", F.col("beat_index").alias("sample_frame"), F.col("offset_ms").alias("o"))
+
+    def near(self, beats: DataFrame, drift: float = 4e-3) -> Waveform:
+        """The same, its samples cut once to what grids like ``beats`` can reach: the first and last 32 beats and the windows, with
+        room for a stretch of ``drift``, two steps and the radius."""
+        group = W.partitionBy("track_id")
+        rows = beats.withColumns({"i": F.row_number().over(group.orderBy("beat_index")), "n": F.count("*").over(group), "gap": F.col("sample_frame") - F.lag("sample_frame").over(group.orderBy("beat_index"))})
+        at = F.col("sample_frame")
+        ends = rows.groupBy("track_id").agg(F.min(at).alias("a"), F.max(F.when(F.col("i") <= 32, at)).alias("b"), F.min(F.when(F.col("i") > F.col("n") - 32, at)).alias("c"), F.max(at).alias("d"), upper_median("gap").alias("step"))
+        ends = ends.join(self.spots, "track_id")
+        room = F.ceil(drift * F.col("d") + 2 * F.coalesce("step", F.lit(0)) + self.radius + 2)
+        spans = [F.struct((F.col(x) - room).alias("lo"), (F.col(y) + room).alias("hi")) for x, y in (("a", "b"), ("c", "d"))]
+        spans += [F.struct((llround(F.col(f"{w}_s") * self.rate) - room).alias("lo"), (llround((F.col(f"{w}_s") + self.duration) * self.rate) + room).alias("hi")) for w in WINDOWS]
+        kept = self.samples.join(ends.select("track_id", F.array(*spans).alias("_spans")), "track_id").where(F.exists("_spans", lambda s: (F.col("sample") >= s["lo"]) & (F.col("sample") <= s["hi"])))
+        return Waveform(settled(kept.select("track_id", "sample", "x")), self.spots, self.duration, self.radius, self.rate)
+
+    def inwards(self, beats: DataFrame, rounds: int = 6) -> Waveform:
+        """The same with first_s and last_s of each track moved inwards while its window there is poor.
+
+        A window is usable with ten offsets or more in its first (last) 32 beats and a median deviation of 120 ms at most. In
+        each of ``rounds`` a poor one moves by a quarter of the duration (5 to 20 seconds), never past the other's first
+        place, until both are usable, none can move, or they come nearer than such a step. All places are measured in one pass.
+        """
+        step = min(20.0, max(5.0, 0.25 * self.duration))
+        k = F.sequence(F.lit(0), F.lit(rounds))
+        span = lambda c, sign: F.transform(k, lambda i: F.least(F.greatest(F.col(c) + sign * i * step, F.col("first_s")), F.col("last_s")))
+        places = self.spots.select("track_id", F.explode(F.array(F.struct(F.lit("first").alias("side"), span("first_s", 1).alias("at")), F.struct(F.lit("last").alias("side"), span("last_s", -1).alias("at")))).alias("p"))
+        places = places.select("track_id", "p.side", F.posexplode("p.at").alias("k", "at")).withColumns({"start": llround(F.greatest("at", F.lit(0.0)) * self.rate), "end": llround((F.greatest("at", F.lit(0.0)) + self.duration) * self.rate) + 1})
+        keyed = rows_in_windows(beats.select("track_id", F.col("sample_frame")), places.select("track_id", "side", "k", "start", "end"), "sample_frame", max(1, int(self.duration * self.rate)))
+        group = W.partitionBy("track_id", "side", "k")
+        keyed = keyed.withColumns({"i": F.row_number().over(group.orderBy("sample_frame")), "n": F.count("*").over(group)})
+        keyed = keyed.where("n >= 16").where((F.col("side") == "first") & (F.col("i") <= 32) | (F.col("side") == "last") & (F.col("i") > F.col("n") - 32))
+        keyed = keyed.join(self.offsets(keyed), ["track_id", "sample_frame"]).where("o is not null")
+        by = keyed.groupBy("track_id", "side", "k").agg(F.count("*").alias("count"), upper_median("o").alias("x_ms"), F.collect_list("o").alias("x_os"))  # 32 at most
+        by = by.select("track_id", "side", "k", ((F.col("count") >= 10) & (self._deviation("x") <= 120)).alias("ok"))
+        listed = places.select("track_id", "side", "k", "at").join(by, ["track_id", "side", "k"], "left").groupBy("track_id", "side").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "at", F.coalesce("ok", F.lit(False)).alias("ok")))), lambda x: F.struct(x["at"].alias("at"), x["ok"].alias("ok"))).alias("w"))
+        both = listed.groupBy("track_id").agg(F.max(F.when(F.col("side") == "first", F.col("w"))).alias("f"), F.max(F.when(F.col("side") == "last", F.col("w"))).alias("l"))
+        walk = f"""aggregate(sequence(1, {rounds}), named_struct('i', 0, 'j', 0, 'done', false), (s, r) -> if(s.done or (f[s.i].ok and l[s.j].ok), named_struct('i', s.i, 'j', s.j, 'done', true),
+            named_struct('i', s.i + if(not f[s.i].ok and f[s.i + 1].at > f[s.i].at + 0.5D, 1, 0), 'j', s.j + if(not l[s.j].ok and l[s.j + 1].at + 0.5D < l[s.j].at, 1, 0),
+              'done', (f[s.i].ok or f[s.i + 1].at <= f[s.i].at + 0.5D) and (l[s.j].ok or l[s.j + 1].at + 0.5D >= l[s.j].at)
+                or l[s.j + if(not l[s.j].ok and l[s.j + 1].at + 0.5D < l[s.j].at, 1, 0)].at - f[s.i + if(not f[s.i].ok and f[s.i + 1].at > f[s.i].at + 0.5D, 1, 0)].at < greatest(1.0D, {step}D))))"""
+        moved = both.select("track_id", "f", "l", F.expr(walk).alias("s")).select("track_id", F.expr("f[s.i].at").alias("_f"), F.expr("l[s.j].at").alias("_l"))
+        spots = self.spots.join(moved, "track_id", "left").withColumns({"first_s": F.coalesce("_f", "first_s"), "last_s": F.coalesce("_l", "last_s")}).drop("_f", "_l")
+        return Waveform(self.samples, settled(spots), self.duration, self.radius, self.rate)
+
     @staticmethod
     def _deviation(edge: str) -> Column:
         away = F.sort_array(F.transform(f"{edge}_os", lambda x: F.abs(x - F.col(f"{edge}_ms"))))
@@ -173,15 +222,17 @@ def edge_refit(beats: DataFrame, wave: Waveform) -> DataFrame:
     Passes in order: stretch by the drift between the first and last window (5 in 10,000 at most), again (3 in 10,000)
     if that is better, a common shift of both windows, two guards on the drift of the whole grid, a common shift of its
     ends, C11, a stretch around the last beat that mends a bad opening, and a last common shift. Tracks of
-    fewer than 64 beats, without both windows, or without a first drift stay as they are. The windows are those given;
-    they are not moved inwards where they are poor.
+    fewer than 64 beats, whose windows start within a second of each other, without both windows, or without a first drift
+    stay as they are. Poor windows are moved inwards first; then the samples are cut to what the passes can reach.
     """
     rate = wave.rate
     beats = settled(beats.select("track_id", "beat_index", "sample_frame"))
+    wave = wave.inwards(beats).near(beats)
     m = settled(wave.measure(beats))
     ratio = _within(_ratio("first_edge", "last_edge", rate), 5e-4, 1e-5)
     usable = (F.col("m.n") >= 64) & _valid("m", "first_edge", "last_edge") & (ratio != 1.0)
-    active = settled(m.where(usable).select("track_id"))
+    apart = wave.spots.where(F.abs(F.col("last_s") - F.col("first_s")) >= 1).select("track_id")
+    active = settled(m.where(usable).join(apart, "track_id", "left_semi").select("track_id"))
     rest = beats.join(active, "track_id", "left_anti")
     beats, m = beats.join(active, "track_id", "left_semi"), m.join(active, "track_id", "left_semi")
     changed = active.select("track_id", F.lit(0).alias("changes"))
