@@ -151,7 +151,12 @@ def a4(s, d):
     return rounded(D.phase_energy(T.pcm_from_vectors(s, d), 16, 64.0, 4.0), "energy")
 
 
-@query("v1_viterbi_beats")
+@query("v1_viterbi_beats", f"""with recursive {T.USER_SQL}, o as (select track_id, frame, ln(greatest(beat, 0.05::double)) - ln(0.05::double) v from frames),
+    w as (select track_id, frame, [{{'s': v, 'p': [frame]}}] h, {{'s': v, 'p': [frame]}} top from o where frame = 0
+      union all select track_id, frame, list_append(h[-11:], now), case when now.s > top.s then now else top end from (
+        select track_id, frame, h, top, case when best.s + v > v then {{'s': best.s + v, 'p': list_append(best.p, frame)}} else {{'s': v, 'p': [frame]}} end now from (
+          select w.track_id, o.frame, h, top, v, list_reduce(list_prepend({{'s': -1e300::double, 'p': []::bigint[]}}, h[:greatest(len(h) - 3, 0)]), lambda a, b: case when b.s > a.s then b else a end) best from w join o on o.track_id = w.track_id and o.frame = w.frame + 1)))
+    select track_id, unnest(top.p) frame from w where frame = 719""")
 def v1(s, d):
     return D.viterbi_beats(frames_of(s, d), 4, 12)
 
@@ -187,7 +192,9 @@ def v7b(s, d):
     return D.fill_grid(frames_of(s, d), peaks_of(s, d), 8, last=A.active_span(frames_of(s, d)), only_gaps=True)
 
 
-@query("v8_unwrap_offsets")
+@query("v8_unwrap_offsets", f"""with recursive {OFF}, z as (select track_id, beat_index, row_number() over (partition by track_id order by beat_index) - 1 i, offset_ms y from offs),
+    u as (select *, 0 r from z union all select track_id, beat_index, i, case when n < 2 then y else y + floor((b + m * i - y) / 578.125::double + 0.5::double) * 578.125::double end, r + 1 from (select *, regr_slope(y, i) over p m, regr_intercept(y, i) over p b, count(*) over p n from u window p as (partition by track_id)) where r < 8)
+    select track_id, beat_index, round(y, 6) offset_ms from u where r = 8""")
 def v8(s, d):
     return rounded(D.unwrap_offsets(offsets_of(s, d), 578.125), "offset_ms")
 
