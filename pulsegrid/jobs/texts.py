@@ -287,7 +287,11 @@ def c8(s, d):
     return rounded(w, "score")
 
 
-@query("q4_drift_signatures")
+@query("q4_drift_signatures", f"""with recursive {PEAKS}, b as (select *, count(*) over (partition by track_id) n from idx), off as (select track_id, i, cast(case when track_id % 3 = 0 then 500.0::double * i / (n - 1) - 250 when track_id % 3 = 1 and 4 * i > n and 4 * i < 3 * n then 200 else 0 end as double) + (frame * 7) % 11 - 5 x from b),
+    u as (select track_id, i, x, x y, 0 r from off union all select track_id, i, x, case when n < 2 then y else y + floor((c + m * i - y) / 500.0::double + 0.5::double) * 500.0::double end, r + 1 from (select *, regr_slope(y, i) over p m, regr_intercept(y, i) over p c, count(*) over p n from u window p as (partition by track_id)) where r < 8),
+    k as (select *, row_number() over (partition by track_id order by i) a, row_number() over (partition by track_id order by i desc) z from u where r = 8),
+    q as (select track_id, {UM.format('case when a <= 8 then x end')} st, {UM.format('case when z <= 8 then x end')} en, {UM.format('case when a > 8 and z > 8 then x end')} mi, abs({UM.format('case when z <= 8 then y end')} - {UM.format('case when a <= 8 then y end')}) / 500.0::double beats from k group by 1)
+    select track_id, round(beats, 6) drift_beats, beats > 0.70 and beats < 1.30 one_beat_linear, coalesce(abs(st) <= 55 and abs(en) <= 55 and abs(mi) > 110, false) wrapped_middle from q""")
 def q4(s, d):
     from . import grids
 
