@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .joins import by_frame
 from .peaks import track
 
 
@@ -13,12 +14,11 @@ def onset_frames(peaks: DataFrame, frames: DataFrame, value: str, share: float,
     """``peaks`` (track_id, frame, ...) with column onset: the frame after the last one, less than ``back`` frames before the
     peak, that lies below ``share`` of it; ``back`` frames before it without one; the peak where it is not positive."""
     top = frames.select("track_id", "frame", F.col(value).alias("top"))
-    p = peaks.select("track_id", F.col("frame").alias("peak")).distinct()
-    at = p.withColumn("frame", F.explode(F.sequence(F.greatest(F.col("peak") - (back - 1), F.lit(1)), F.greatest(F.col("peak"), F.lit(1)))))
-    pair = at.join(top.withColumnRenamed("top", "v"), ["track_id", "frame"]).join(top.select("track_id", F.col("frame").alias("peak"), "top"), ["track_id", "peak"])
-    low = pair.groupBy("track_id", "peak").agg(F.max(F.when((F.col("frame") < F.col("peak")) & (F.col("v") < share * F.col("top")), F.col("frame") + 1)).alias("f"), F.max("top").alias("top"))
-    found = low.select("track_id", F.col("peak").alias("frame"), F.when(F.col("top") > 0, F.coalesce("f", F.greatest(F.col("peak") - back, F.lit(0)))).otherwise(F.col("peak")).alias("onset"))
-    return peaks.join(found, ["track_id", "frame"], "left").withColumn("onset", F.coalesce("onset", "frame"))
+    before = F.collect_list(F.struct("frame", F.col("top").alias("v"))).over(track().rangeBetween(-(back - 1), -1))
+    low = F.array_max(F.transform(F.filter("_b", lambda b: (b["frame"] >= 1) & (b["v"] < share * F.col("top"))), lambda b: b["frame"] + 1))
+    onset = F.when(F.col("top") > 0, F.coalesce(low, F.greatest(F.col("frame") - back, F.lit(0)))).otherwise(F.col("frame"))
+    found = top.withColumn("_b", before).select("track_id", "frame", onset.alias("onset"))
+    return by_frame(peaks, found, ["track_id", "frame"], "left").withColumn("onset", F.coalesce("onset", "frame"))
 
 
 def select_downbeat_phase(beats: DataFrame, frames: DataFrame, tracks: DataFrame, window: int, delay: int, ratio: float = 0.25, share: float = 0.35) -> DataFrame:
@@ -37,16 +37,17 @@ def select_downbeat_phase(beats: DataFrame, frames: DataFrame, tracks: DataFrame
     info = tracks.join(top, "track_id", "left").fillna(0.0, ["top_beat", "top_down"]).withColumn("top_down", F.when(F.col("by_downbeat"), F.col("top_down")).otherwise(0.0))
     clear = F.greatest(F.lit(1e-6), 0.01 * F.col("top_beat"))
     v = F.col("beat")
-    peaks = early.join(info.select("track_id", "top_beat"), "track_id").where((F.col("top_beat") > 0) & (F.col("frame") > 0) & (v >= ratio * F.col("top_beat")) & (v >= F.col("_p") + clear) & (v >= F.col("_n") + clear))
+    peaks = by_frame(early, info.select("track_id", "top_beat"), ["track_id"]).where((F.col("top_beat") > 0) & (F.col("frame") > 0) & (v >= ratio * F.col("top_beat")) & (v >= F.col("_p") + clear) & (v >= F.col("_n") + clear))
     mask = onset_frames(peaks.select("track_id", "frame"), frames, "beat", share, delay).select("track_id", F.col("onset").alias("at"), F.lit(True).alias("masked")).distinct()
     info = info.join(peaks.select("track_id").distinct().withColumn("has_peaks", F.lit(True)), "track_id", "left").fillna(False, ["has_peaks"])
 
-    rows = beats.join(info.select("track_id", "bpb", "by_downbeat"), "track_id").withColumn("phase", F.pmod("beat_index", "bpb").cast("int"))
+    rows = by_frame(beats, info.select("track_id", "bpb", "by_downbeat"), ["track_id"]).withColumn("phase", F.pmod("beat_index", "bpb").cast("int"))
     by_down = onset_frames(rows.where("by_downbeat"), frames, "downbeat", share, delay)
     by_beat = onset_frames(rows.where("not by_downbeat"), frames, "beat", share, delay)
     at = by_down.unionByName(by_beat).select("track_id", "phase", F.col("onset").alias("at")).distinct()
     values = frames.select("track_id", F.col("frame").alias("at"), F.col("beat").alias("b"), F.col("downbeat").alias("d"))
-    at = at.join(values, ["track_id", "at"], "left").fillna(0.0, ["b", "d"]).join(mask, ["track_id", "at"], "left").fillna(False, ["masked"]).join(info, "track_id")
+    at = by_frame(by_frame(at, values, ["track_id", "at"], "left").fillna(0.0, ["b", "d"]), mask, ["track_id", "at"], "left").fillna(False, ["masked"])
+    at = by_frame(at, info, ["track_id"])
     at = at.withColumn("_r", F.row_number().over(W.partitionBy("track_id", "phase").orderBy("at")))
     inside, few, w = F.col("at") < window, F.col("_r") <= 3, F.exp(-F.col("at") / max(1.0, window * 0.2))
     strong = inside & (F.col("d") >= ratio * F.col("top_down"))
@@ -81,7 +82,7 @@ def grid_anchor(frames: DataFrame, beats: DataFrame, tracks: DataFrame, fps: flo
     """
     order = track()
     rows = frames.select("track_id", "frame", "beat", "downbeat").withColumns({"_p": F.lag("beat").over(order), "_n": F.lead("beat").over(order)})
-    rows = rows.join(tracks.select("track_id", "step"), "track_id").where(F.col("frame") <= F.round("step"))
+    rows = by_frame(rows, tracks.select("track_id", "step"), ["track_id"]).where(F.col("frame") <= F.round("step"))
     v = F.col("beat")
     peak = (v >= floor) & (v >= F.col("_p")) & (v >= F.col("_n"))
     rows = rows.withColumn("_top", F.max("downbeat").over(W.partitionBy("track_id")))
