@@ -3,6 +3,11 @@
 from pyspark.sql import functions as F
 
 from pulsegrid.jobs.rhythm import r6
+from pulsegrid.operators import joins as J
+from pulsegrid.operators import peaks as P
+from pulsegrid.operators import phase as H
+from pulsegrid.operators import stats as A
+from pulsegrid.sources import tables as T
 
 
 def test_six_places_go_by_the_double(spark):
@@ -10,3 +15,48 @@ def test_six_places_go_by_the_double(spark):
     xs = [0.0649925, -0.0649925, 0.06499250000000001, 0.1234565, None]
     got = [r["y"] for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").select("i", r6("x").alias("y")).orderBy("i").collect()]
     assert got == [0.064992, -0.064992, 0.064993, 0.123457 if 0.1234565 * 1e6 >= 123456.5 else 0.123456, None]
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dense_lays_out_frames_without_a_grid(spark):
+    """Frames outside, tracks with nothing inside, null tracks and frames; no join whose grid could be broadcast."""
+    rows = [(1, 2, 0.5), (1, 4, 0.7), (1, 9, 0.9), (2, -3, 0.1), (2, -1, 0.2), (3, 7, 0.3), (None, 1, 0.4), (4, None, 0.6), (4, 0, 0.8)]
+    cells = spark.createDataFrame(rows, "track_id long, frame long, beat double").withColumns({"downbeat": F.col("beat"), "energy": F.lit(None).cast("double")})
+    out = T.dense(cells, 5)
+    assert "Join" not in plan(out)
+    got = {}
+    for r in out.orderBy("track_id", "frame").collect():
+        got.setdefault(r["track_id"], []).append((r["frame"], r["beat"], r["downbeat"], r["energy"]))
+    want = {1: [0, 0, 0.5, 0, 0.7], 2: [0] * 5, 3: [0] * 5, None: [0] * 5, 4: [0.8, 0, 0, 0, 0]}
+    assert got == {t: [(i, v, v, 0.0) for i, v in enumerate(vs)] for t, vs in want.items()}
+
+
+def test_windows_merge_without_a_grid(spark):
+    """Gaps between windows are 0, an empty window still counts its start, overlaps by both rules."""
+    w = spark.createDataFrame([(1, 0, [0.1, 0.2]), (1, 1, [0.5, 0.6]), (1, 5, [0.9]), (2, 3, []), (3, 2, [0.4])], "track_id long, start long, values array<double>")
+    for first, second in ((False, 0.5), (True, 0.2)):
+        out = A.merge_windows(w, 0, first)
+        assert "Join" not in plan(out)
+        got = {}
+        for r in out.orderBy("track_id", "frame").collect():
+            got.setdefault(r["track_id"], []).append(r["value"])
+        assert got == {1: [0.1, second, 0.6, 0.0, 0.0, 0.9], 2: [0.0] * 3, 3: [0.0, 0.0, 0.4]}
+
+
+def test_joins_by_frame_are_never_broadcast(spark):
+    """Laid-out rows look as small as what they come from; their joins must be sort-merge joins."""
+    few = spark.createDataFrame([(1, 3), (1, 7)], "track_id long, frame long").withColumn("beat_index", F.monotonically_increasing_id())
+    curve = few.select("track_id").distinct().withColumn("frame", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long")))).withColumns({"beat": F.col("frame") / 10, "downbeat": F.col("frame") / 20, "energy": F.lit(1.0)})
+    for out in (J.strength_lookup(few, curve), J.shifted_energy(few, curve, 1), J.bpb_phase(few, curve.select("track_id", "frame")), P.refine_to_peak(few, curve), J.onset_backtrack(curve, curve, 3), H.onset_frames(few, curve, "beat", 0.35, 4)):
+        assert "BroadcastHashJoin" not in plan(out)
+
+
+def test_onsets_on_sparse_curves(spark):
+    """Only frames of the curve within reach count, whatever lies between; a peak the curve lacks keeps its own value."""
+    curve = spark.createDataFrame([(1, 0, 0.0), (1, 4, 0.1), (1, 5, 0.9), (1, 20, 1.0)], "track_id long, frame long, beat double")
+    peaks = spark.createDataFrame([(1, 5, 0.9), (1, 7, 0.2), (1, 20, 1.0), (1, 0, 0.0)], "track_id long, frame long, beat double")
+    assert sorted((r["peak"], r["onset"]) for r in J.onset_backtrack(peaks, curve, 4).collect()) == [(0, 0), (5, 4), (7, 3), (20, 16)]
+    assert sorted((r["frame"], r["onset"]) for r in H.onset_frames(peaks.select("track_id", "frame"), curve, "beat", 0.35, 4).collect()) == [(0, 0), (5, 5), (7, 7), (20, 16)]
