@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import by_frame
+
 
 def viterbi_frames(activation: np.ndarray, low: int, high: int, floor: float, gain: bool = False) -> list[int]:
     """V1: best path of beats low..high frames apart by the sum of log activations; the first best end.
@@ -186,7 +188,7 @@ def fill_grid(frames: DataFrame, beats: DataFrame, gap: int, floor: float = 0.1,
     first = beats.groupBy("track_id").agg(F.sort_array(F.collect_list("frame")).alias("beats")) if only_gaps else beats.groupBy("track_id").agg(F.array(F.min("frame")).alias("beats"))
     ends = first if last is None else first.join(last.select("track_id", "last"), "track_id", "left")
     rows = frames.select("track_id", F.struct("frame", "beat").alias("v")).groupBy("track_id").agg(F.transform(F.sort_array(F.collect_list("v")), lambda v: v["beat"]).alias("vs"))
-    rows = rows.join(ends, "track_id").select("track_id", "vs", "beats", (F.lit(2**62) if last is None else F.coalesce("last", F.lit(2**62))).alias("last"))
+    rows = by_frame(rows, ends, ["track_id"]).select("track_id", "vs", "beats", (F.lit(2**62) if last is None else F.coalesce("last", F.lit(2**62))).alias("last"))
 
     def run(batches):
         for pdf in batches:
