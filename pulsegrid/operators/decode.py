@@ -65,6 +65,23 @@ def fits(frames: np.ndarray, start: int, end: int, one: float, total: float, out
     return border <= one / 2
 
 
+def last_fit(frames: np.ndarray, start: int, one: float, total: float, outliers: int, part: int = 64, block: int = 512) -> int:
+    """The last end that ``fits``, 512 ends at a time: ends whose borders fit, then the first part of their beats at once."""
+    for hi in range(len(frames) - 1, start, -block):
+        ends = np.arange(hi, max(start, hi - block), -1)
+        gap = (frames[ends] - frames[start]) / (ends - start)
+        border = np.abs(frames[start + 1] - frames[start] + frames[ends] - frames[ends - 1] - 2 * gap)
+        ok = (np.abs(frames[start] + gap - frames[start + 1]) <= one) & ((ends <= start + 2) | (border <= one / 2))
+        ends, gap = ends[ok], gap[ok]
+        k = np.arange(start + 1, min(start + part, hi) + 1)
+        error = np.where(k <= ends[:, None], frames[start] + gap[:, None] * (k - start) - frames[k], 0.0)
+        ok = (np.abs(np.cumsum(error, 1)).max(1, initial=0.0) <= total) & ((np.abs(error) > one).sum(1) <= outliers)
+        for end in ends[ok].tolist():
+            if end - start <= part or fits(frames, start, end, one, total, outliers):
+                return end
+    return start + 1
+
+
 def constant_regions(frames: np.ndarray, one: float, total: float, outliers: int = 1) -> list[tuple[int, int]]:
     """V5: greedy runs of beats that a constant interval fits, as (first, last) indexes.
 
@@ -74,9 +91,7 @@ def constant_regions(frames: np.ndarray, one: float, total: float, outliers: int
     """
     out, start, n = [], 0, len(frames)
     while start < n - 1:
-        end = n - 1
-        while not fits(frames, start, end, one, total, outliers):
-            end -= 1
+        end = last_fit(frames, start, one, total, outliers)
         out.append((start, end))
         start = end
     return out

@@ -1,8 +1,11 @@
 """Rounding as the SQL has it, and steps whose plan must not grow on the driver."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.jobs.rhythm import r6
+from pulsegrid.operators import decode as D
 from pulsegrid.operators import joins as J
 from pulsegrid.operators import peaks as P
 from pulsegrid.operators import phase as H
@@ -60,3 +63,19 @@ def test_onsets_on_sparse_curves(spark):
     peaks = spark.createDataFrame([(1, 5, 0.9), (1, 7, 0.2), (1, 20, 1.0), (1, 0, 0.0)], "track_id long, frame long, beat double")
     assert sorted((r["peak"], r["onset"]) for r in J.onset_backtrack(peaks, curve, 4).collect()) == [(0, 0), (5, 4), (7, 3), (20, 16)]
     assert sorted((r["frame"], r["onset"]) for r in H.onset_frames(peaks.select("track_id", "frame"), curve, "beat", 0.35, 4).collect()) == [(0, 0), (5, 5), (7, 7), (20, 16)]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_last_fit_tries_ends_together(seed, monkeypatch):
+    """The same regions as end by end, with few single trials."""
+    r = np.random.default_rng(seed)
+    x = np.cumsum(r.integers(5, 5 + r.integers(2, 8), 700)).astype(float)
+    want, start = [], 0
+    while start < len(x) - 1:
+        end = next(e for e in range(len(x) - 1, start, -1) if D.fits(x, start, e, 2.0, 8.0, 1))
+        want.append((start, end))
+        start = end
+    calls, one_by_one = [], D.fits
+    monkeypatch.setattr(D, "fits", lambda *a: calls.append(1) or one_by_one(*a))
+    assert D.constant_regions(x, 2.0, 8.0) == want
+    assert len(calls) <= len(x)
