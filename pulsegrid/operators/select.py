@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import llround, upper_median
+from .joins import by_frame
 
 
 def track():
@@ -220,7 +221,7 @@ def resample_linear(samples: DataFrame, ratio: float) -> DataFrame:
     outs = n.select("track_id", F.col("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.round(F.col("n") * ratio).cast("long") - 1)).alias("i"))
     outs = outs.withColumn("_p", F.col("i") / ratio).withColumn("sample", F.least(F.floor("_p"), F.col("n") - 1))
     part = F.least(F.col("_p") - F.col("sample"), F.lit(1.0))
-    return outs.join(x, ["track_id", "sample"]).select("track_id", "i", (F.col("x") * (1 - part) + F.col("nx") * part).alias("x"))
+    return by_frame(outs, x, ["track_id", "sample"]).select("track_id", "i", (F.col("x") * (1 - part) + F.col("nx") * part).alias("x"))
 
 
 def pad_and_mask(series: DataFrame) -> DataFrame:
@@ -234,11 +235,11 @@ def pad_and_mask(series: DataFrame) -> DataFrame:
 def robust_slope(offsets: DataFrame) -> DataFrame:
     """Q3: least-squares slope of offset on beat index over the offsets near their median; over all if few are."""
     mid = offsets.groupBy("track_id").agg(upper_median("offset_ms").alias("m"))
-    dev = offsets.join(mid, "track_id").withColumn("d", F.abs(F.col("offset_ms") - F.col("m")))
+    dev = by_frame(offsets, mid, ["track_id"]).withColumn("d", F.abs(F.col("offset_ms") - F.col("m")))
     mad = dev.groupBy("track_id").agg(F.greatest(F.lit(1.0), 1.4826 * upper_median("d")).alias("mad"))
     limit = F.least(F.greatest(3 * F.col("mad"), F.lit(12.0)), F.lit(30.0))
     near = F.col("d") <= limit
-    by = dev.join(mad, "track_id").withColumn("_near", near).groupBy("track_id").agg(
+    by = by_frame(dev, mad, ["track_id"]).withColumn("_near", near).groupBy("track_id").agg(
         F.count(F.when(F.col("_near"), 1)).alias("n"),
         F.regr_slope(F.when(F.col("_near"), F.col("offset_ms")), F.col("beat_index")).alias("robust"),
         F.regr_slope("offset_ms", "beat_index").alias("plain"),
