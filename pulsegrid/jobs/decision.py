@@ -31,7 +31,7 @@ def global_fit(beats: DataFrame, tracks: DataFrame, fps: float, window: int, int
     t = t.where(F.abs(F.col("z") - F.col("a")) >= F.greatest(F.col("w"), F.lit(apart)))
 
     def modes(start: str) -> DataFrame:
-        own = beats.select("track_id", "frame").join(t, "track_id").where((F.col("frame") >= F.col(start)) & (F.col("frame") < F.col(start) + F.col("w")))
+        own = J.by_frame(beats.select("track_id", "frame"), t, ["track_id"]).where((F.col("frame") >= F.col(start)) & (F.col("frame") < F.col(start) + F.col("w")))
         found = A.tempo_confidence(own.select("track_id", "frame"), fps).where("bpm > 0").join(t.select("track_id", "low", "high"), "track_id")
         return found.select("track_id", "confidence", F.posexplode(S.expand_modes("bpm", "confidence", F.col("low"), F.col("high"), S.FUSION_FACTORS)).alias("rank", "m")).select("track_id", "rank", "m.bpm", "confidence")
 
@@ -40,7 +40,7 @@ def global_fit(beats: DataFrame, tracks: DataFrame, fps: float, window: int, int
 
 def greedy(peaks: DataFrame, apart: DataFrame) -> DataFrame:
     """D2 with an interval of each track's own (track_id, apart)."""
-    rows = peaks.select("track_id", "frame").join(apart, "track_id")
+    rows = J.by_frame(peaks.select("track_id", "frame"), apart, ["track_id"])
     kept = P._fold(rows, ["apart"], "array<bigint>", "array()", "if(size(acc) = 0 or p.frame - element_at(acc, -1) >= p.apart, array_append(acc, p.frame), acc)", "acc")
     return kept.select("track_id", F.explode("kept").alias("frame"))
 
@@ -49,7 +49,7 @@ def peak_intervals(frames: DataFrame, value: str, floor: float, apart: DataFrame
     """Of the peaks of a curve (D2), at the tops of their parabolas (W5): how many, and count, mean, deviation, upper
     median and regression slope of their intervals."""
     picked = greedy(P.local_peaks(frames, value, floor), apart)
-    at = P.parabolic_position(frames.select("track_id", "frame", value), value).select("track_id", "frame", "position").join(picked, ["track_id", "frame"])
+    at = J.by_frame(P.parabolic_position(frames.select("track_id", "frame", value), value).select("track_id", "frame", "position"), picked, ["track_id", "frame"])
     order = W.partitionBy("track_id").orderBy("frame")
     rows = at.withColumns({"i": F.row_number().over(order) - 1, "gap": F.col("position") - F.lag("position").over(order)})
     gap = F.when(F.col("gap") > 0, F.col("gap"))
