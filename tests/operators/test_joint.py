@@ -92,3 +92,20 @@ def test_few_candidates_give_the_strongest_frame(spark):
     assert got == [(1, 50, True), (2, 0, True)]
     assert joint.decode_candidates(f.limit(0), 100.0, 118.0, 122.0).count() == 0
     assert joint.decode_tempo_phase(f.limit(0), 100.0, 118.0, 122.0).count() == 0
+
+
+def test_candidates_of_many_tracks_are_decoded_together(spark):
+    lists, rng = [], np.random.default_rng(3)
+    for n in (1, 40, 2, 25, 90, 7):
+        frames = np.sort(rng.choice(400, n, replace=False))
+        lists.append((frames, -3 * rng.random(n), -4 * rng.random(n)))
+    for piece in (1, 50, 4000):
+        assert joint.decode_many(lists, (4,), RULES, piece) == [joint.decode_many([one], (4,), RULES)[0] for one in lists]
+    rows = [(t, int(f), float(np.exp(b)), float(np.exp(d))) for t, one in enumerate(lists) for f, b, d in zip(*one, strict=True)]
+    f = spark.createDataFrame(rows, "track_id int, frame long, beat double, downbeat double")
+    how = {"floor": 0.2, "tolerance": 0.06}
+    got = joint.decode_candidates(f, 50.0, 180.0, 230.0, **how)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "FlatMapGroups" not in plan  # neither rows sent to the driver nor a call a track
+    alone = [r for t in range(len(lists)) for r in joint.decode_candidates(f.where(f.track_id == t), 50.0, 180.0, 230.0, **how).collect()]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, alone), key=str)
