@@ -109,3 +109,14 @@ def test_candidates_of_many_tracks_are_decoded_together(spark):
     assert "Broadcast" not in plan and "FlatMapGroups" not in plan  # neither rows sent to the driver nor a call a track
     alone = [r for t in range(len(lists)) for r in joint.decode_candidates(f.where(f.track_id == t), 50.0, 180.0, 230.0, **how).collect()]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, alone), key=str)
+
+
+def test_bars_of_three_and_four_in_one_pass(spark):
+    rng = np.random.default_rng(5)
+    lists = [(np.arange(n), -3 * rng.random(n), -4 * rng.random(n)) for n in (30, 3, 61)]
+    for one, got in zip(lists, joint.decode_many(lists, (3, 4), RULES), strict=True):
+        each = [joint.decode_many([one], (bpb,), RULES)[0] for bpb in (3, 4)]
+        assert got == max(each, key=lambda x: x[1])
+    f = spark.createDataFrame([(t, int(i), float(np.exp(b)), None) for t, one in enumerate(lists) for i, b in zip(*one[:2], strict=True)], "track_id int, frame long, beat double, downbeat double")
+    plan = joint.decode_tempo_phase(f, 50.0, 180.0, 230.0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "FlatMapGroups" not in plan  # dealt by track once, nothing counted first
