@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.jobs.rhythm import r6
+from pulsegrid.jobs import registry
+from pulsegrid.jobs.rhythm import numbered, r6
 from pulsegrid.operators import decode as D
 from pulsegrid.operators import joins as J
 from pulsegrid.operators import peaks as P
@@ -12,6 +13,8 @@ from pulsegrid.operators import phase as H
 from pulsegrid.operators import stats as A
 from pulsegrid.sources import tables as T
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_six_places_go_by_the_double(spark):
     """a24_half_step: a mean of 0.0649925 is 64992.49999999999 millionths."""
@@ -79,3 +82,19 @@ def test_last_fit_tries_ends_together(seed, monkeypatch):
     monkeypatch.setattr(D, "fits", lambda *a: calls.append(1) or one_by_one(*a))
     assert D.constant_regions(x, 2.0, 8.0) == want
     assert len(calls) <= len(x)
+
+
+def test_beats_from_the_frames_need_no_join_for_their_downbeats(spark):
+    """a25_downbeat_phase_guard: the plan lays the frames out once; the rows are those of the join."""
+    f = T.signal_by_user(spark, SF)
+    beats = numbered(P.local_peaks(A.downbeat_near(f), "beat", 0.1))
+    made = A.phase_guard(beats, 2)
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, A.downbeat_phase_guard(beats.drop("v"), f, 2).collect()))
+    text = plan(registry.QUERIES["a25_downbeat_phase_guard"](spark, SF))
+    assert "Join" not in text and text.count("Generate") == 1
+
+
+def test_drift_takes_both_offsets_in_one_pass(spark):
+    """q4_drift_signatures: one layout of the frames, and no call to Python a track."""
+    text = plan(registry.QUERIES["q4_drift_signatures"](spark, SF))
+    assert text.count("Generate") == 1 and "Join" not in text and "FlatMapGroups" not in text
