@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .joins import by_frame
+from .joint import in_order, whole_tracks
 
 
 def viterbi_frames(activation: np.ndarray, low: int, high: int, floor: float, gain: bool = False) -> list[int]:
@@ -231,15 +234,21 @@ def unwrap(x: np.ndarray, period: float, rounds: int = 8) -> np.ndarray:
     return y
 
 
-def unwrap_offsets(offsets: DataFrame, period: float) -> DataFrame:
-    """V8: offsets of each track's beats without jumps by the period."""
+def unwrap_offsets(offsets: DataFrame, period: float, into: str = "offset_ms") -> DataFrame:
+    """V8: offsets of each track's beats without jumps by the period, in place of the offsets or in a column of their own."""
+    given = offsets.select("track_id", "beat_index", F.col("offset_ms").cast("double").alias("offset_ms"))
+    schema = given.schema if into == "offset_ms" else StructType([*given.schema.fields, StructField(into, DoubleType())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("beat_index")
-        return pdf.assign(offset_ms=unwrap(pdf["offset_ms"].to_numpy(), period))
-
-    rows = offsets.select("track_id", "beat_index", "offset_ms")
-    return rows.groupBy("track_id").applyInPandas(run, rows.schema)
+    def run(batches):
+        for table, starts in whole_tracks(batches, 1 << 16):
+            x, out = table.column("offset_ms").to_numpy(), []
+            for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(x)], strict=True):
+                out.append(unwrap(x[a:z], period))
+            keep = schema.names[:-1]
+            y = pa.array(np.concatenate(out), from_pandas=True)
+            yield pa.RecordBatch.from_arrays([*[table.column(c).combine_chunks() for c in keep], y], names=schema.names)
+
+    return in_order(given, "beat_index").mapInArrow(run, schema)
 
 
 def mel_filters(n_bins: int, n_mels: int, rate: float, low: float, high: float) -> np.ndarray:

@@ -377,10 +377,16 @@ def corpus_benchmark(runs: DataFrame, listed: DataFrame, truth: DataFrame) -> Da
     )
 
 
+def edge_ranks(offsets: DataFrame) -> DataFrame:
+    """``offsets`` with _a and _z, the number of each beat from the start and from the end, by one sort."""
+    a = offsets.withColumn("_a", F.row_number().over(track().orderBy("beat_index")))
+    return a.withColumn("_z", F.count("*").over(track()) - F.col("_a") + 1)
+
+
 def alignment_report(offsets: DataFrame, beat_ms: float, n_edge: int) -> DataFrame:
     """Q1: medians at the edges and between, their difference in ms and beats, and the odd-even gap of the first 24."""
     i = F.col("beat_index")
-    r = offsets.withColumns({"_a": F.row_number().over(track().orderBy("beat_index")), "_z": F.row_number().over(track().orderBy(F.desc("beat_index")))})
+    r = edge_ranks(offsets)
     when = lambda c: upper_median(F.when(c, F.col("offset_ms")))
     by = r.groupBy("track_id").agg(
         when(F.col("_a") <= n_edge).alias("start_ms"),
