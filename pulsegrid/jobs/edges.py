@@ -16,7 +16,7 @@ from ..operators import peaks as P
 from ..operators import phase as H
 from ..operators import select as K
 from ..sources import tables as T
-from ..sources.lineage import shared_folder
+from ..sources.lineage import settled, shared_folder
 from ..streaming import tracks as R
 from .rhythm import FPS, PEAKS, UM, frames_of, numbered, peaks_of, rounded
 from .signals import X3_SQL
@@ -158,6 +158,7 @@ def c12(s, d):
 def streamed(s: SparkSession, rows: DataFrame, make: Callable[[DataFrame], DataFrame], files: int = 3) -> DataFrame:
     """What a stream over ``rows``, written as files by their column ``part``, has put out when it has read them all."""
     path = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
+    rows = settled(rows)  # read once a file
     for k in range(files):
         rows.where(F.pmod("part", F.lit(files)) == k).drop("part").write.mode("append").parquet(f"{path}/in")
     stream = s.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 64).parquet(f"{path}/in")

@@ -1,6 +1,9 @@
 """Streams give the batch results whatever the chunks' sizes and order."""
 
+from types import SimpleNamespace
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +127,42 @@ def test_windows_and_envelope(spark, tmp_path):
         got = spark.table(f"w{i}").collect()
         assert len(got) >= 55
         assert i or all(abs(r.value - 6 / 7) < 1e-9 for r in got if r.n == 20)
+
+
+class _Handle:
+    """A state of one key that counts calls to its map."""
+
+    def __init__(self):
+        self.own, self.held, self.calls = [], {}, 0
+
+    def getValueState(self, *_):
+        own = self.own
+        return SimpleNamespace(exists=lambda: bool(own), get=lambda: own[-1], update=own.append, clear=own.clear)
+
+    def getMapState(self, *_):
+        def call(f):
+            def counted(*a):
+                self.calls += 1
+                return f(*a)
+
+            return counted
+
+        held = self.held
+        return SimpleNamespace(containsKey=call(held.__contains__), getValue=call(held.__getitem__), removeKey=call(held.pop), updateValue=call(held.__setitem__), keys=call(lambda: list(held)), clear=call(held.clear))
+
+
+def test_chunks_in_their_turn_do_not_touch_the_map():
+    """r5_stream_tempo_anchor: two state calls a chunk and more before; chunks ahead still wait, and come out in order."""
+    step = lambda own, x, last: ([(float(x[0]),)], own)
+    handle, p = _Handle(), R.InOrder(step, (0.0,), "track_id int, value double", None, None)
+    p.init(handle)
+
+    def feed(*ns, last=None):
+        rows = pd.DataFrame({"chunk_no": ns, "pcm": [[float(n)] for n in ns], "is_last": [n == last for n in ns]})
+        return [v for out in p.handleInputRows((1,), iter([rows]), None) for v in out["value"]]
+
+    assert feed(0, 2, 1, 3) == [0.0, 1.0, 2.0, 3.0] and handle.calls == 0
+    assert feed(6, 5) == [] and sorted(handle.held) == [(5,), (6,)]
+    assert feed(5, 4) == [4.0, 5.0, 6.0] and not handle.held
+    before = handle.calls
+    assert feed(8, 7, last=8) == [7.0, 8.0] and handle.calls == before and not handle.own
