@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.jobs import registry
+from pulsegrid.jobs import registry, rhythm
 from pulsegrid.jobs.rhythm import numbered, r6
 from pulsegrid.operators import decode as D
 from pulsegrid.operators import joins as J
@@ -98,3 +98,11 @@ def test_drift_takes_both_offsets_in_one_pass(spark):
     """q4_drift_signatures: one layout of the frames, and no call to Python a track."""
     text = plan(registry.QUERIES["q4_drift_signatures"](spark, SF))
     assert text.count("Generate") == 1 and "Join" not in text and "FlatMapGroups" not in text
+
+
+def test_tempo_estimates_keep_the_dealing_by_track(spark, monkeypatch):
+    """c1_tempo_by_user: no estimate deals the frames again into the session's fixed number of parts."""
+    seen = []
+    monkeypatch.setattr(rhythm, "settled", lambda df: seen.append(plan(df)) or df)
+    registry.QUERIES["c1_tempo_by_user"](spark, SF)
+    assert len(seen) == 4 and all("REPARTITION_BY_NUM" in p and "ENSURE_REQUIREMENTS" not in p for p in seen)
