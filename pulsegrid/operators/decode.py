@@ -160,10 +160,13 @@ def constant_bpm(beats: DataFrame, fps: float, one: float, total: float, least:
 
     rows = beats.select("track_id", "frame")
     got = rows.groupBy("track_id").applyInPandas(run, f"track_id {dict(rows.dtypes)['track_id']}, start double, n int, interval double, low double, high double")
-    bpm = got.withColumn("bpm", round_bpm(60 * fps / F.col("high"), 60 * fps / F.col("interval"), 60 * fps / F.col("low")))
+    # A lower bound of 0 (one interval of ``one`` frames) leaves the tempo without an upper bound.
+    top = F.when(F.col("low") == 0, F.lit(float("inf"))).otherwise(60 * fps / F.col("low"))
+    bpm = got.withColumn("bpm", round_bpm(60 * fps / F.col("high"), 60 * fps / F.col("interval"), top))
     length = 60 * fps / F.col("bpm")
     into = F.col("start") % length
-    first = F.when(length - into < length / 4, into - length).otherwise(into) + F.floor(F.lit(silence) / length) * length
+    wrapped = F.when(length - into < length / 4, into - length).otherwise(into) + F.floor(F.lit(silence) / length) * length
+    first = F.when(F.col("bpm") > 0, wrapped).otherwise(F.col("start"))  # a tempo that rounds to 0 has no interval
     return bpm.select("track_id", "n", "interval", "bpm", llround(first).alias("first_beat"))
 
 

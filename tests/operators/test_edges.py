@@ -55,6 +55,16 @@ def test_constant_tempo_joins_compatible_regions():
     assert D.constant_tempo(np.array([5.0]), np.zeros(0), 2.0, 10) is None
 
 
+def test_constant_bpm_without_an_upper_bound(spark):
+    """Interval bounds of 0 and below (v6 at 60 times failed there by a division), and a tempo that rounds to 0."""
+    tracks = {1: [4, 6], 2: [4, 5], 3: [4, 5, 6], 4: [3, 11, 19, 27]}
+    beats = spark.createDataFrame([(t, x) for t, xs in tracks.items() for x in xs], "track_id long, frame long")
+    got = {r.track_id: (r.n, r.interval, r.bpm, r.first_beat) for r in D.constant_bpm(beats, 50.0, 2.0, 8.0, 3).collect()}
+    assert got == {1: (1, 2.0, 1500.0, 0), 2: (1, 1.0, 3000.0, 0), 3: (2, 1.0, 3000.0, 0), 4: (3, 8.0, 375.0, 3)}
+    slow = spark.createDataFrame([(1, 7), (1, 20007)], "track_id long, frame long")
+    assert [(r.bpm, r.first_beat) for r in D.constant_bpm(slow, 50.0, 20000.0, 80000.0, 3).collect()] == [(0.0, 7)]
+
+
 @pytest.mark.parametrize("gap", [7.0, 8.5, 12.0])
 def test_fill_grid_equals_a_plain_walk(gap):
     v = np.random.default_rng(3).random(300)
