@@ -7,10 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import peaks as P
 from ..operators import select as K
 from ..operators import stats as A
 from ..sources import tables as T
-from .rhythm import FPS, PEAKS, UM, frames_of, peaks_of, r6, rounded
+from ..sources.lineage import settled
+from .rhythm import FLOOR, FPS, PEAKS, UM, frames_of, peaks_of, r6, rounded
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -260,15 +262,16 @@ OFFSETS = f"""o as (select i.track_id, i.i beat_index, cast(i.frame - (f0 + i.i
     select track_id, failed, failed = '' passed from c""",
 )
 def q5(s, d):
-    from ..operators.joins import strength_lookup
     from .rhythm import numbered
 
-    f, p = frames_of(s, d), peaks_of(s, d)
+    # A dozen measures read the beats, few rows beside the frames they are picked from.
+    p = settled(P.local_peaks(frames_of(s, d), "beat", FLOOR).select("track_id", "frame", "beat", "downbeat"))
+    p = T.by_track(p, p.count(), 200_000)
     b = numbered(p)
     off = b.withColumn("offset_ms", (F.col("frame") - F.min("frame").over(W.partitionBy("track_id")) - F.col("beat_index") * 5).cast("double"))
     first = F.row_number().over(W.partitionBy("track_id").orderBy("beat_index"))
     intro = off.withColumn("_r", first).where("_r <= 16").groupBy("track_id").agg(S.upper_median(F.abs("offset_ms")).alias("intro_abs_ms"))
-    down = strength_lookup(b.drop("beat"), f, "downbeat").where("strength >= 0.1")
+    down = b.where("downbeat >= 0.1")
     bars = K.bar_regularity(down.select("track_id", "frame", "beat_index")).select("track_id", F.col("regular").alias("bars_regular"), F.col("whole_first").alias("first_bar_whole"))
     downs = down.groupBy("track_id").agg(F.count("*").alias("n_downbeats"), F.min("frame").alias("first_downbeat"))
     m = A.linear_fit_bpm(p, FPS).join(K.edge_tempo(p, FPS, 16), "track_id").join(K.robust_slope(off).select("track_id", "slope"), "track_id").join(K.alignment_report(off, 5.0, 16), "track_id").join(intro, "track_id")

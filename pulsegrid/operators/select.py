@@ -285,7 +285,8 @@ def gate_report(metrics: DataFrame, limits: DataFrame, windows: DataFrame | None
     """Q5: all checks that a track fails, in a fixed order, and whether it passes.
 
     Limits are one row a track, joined by it; a limit that is null or not given is no check, a measure that is null or not
-    given fails each check that has a limit. Where a target tempo stands, the tempo range is not checked.
+    given fails each check that has a limit; of CHECKS_RULE it counts as false, so a track without downbeats has no whole first
+    bar and no bars of four. Where a target tempo stands, the tempo range is not checked.
     ``windows`` (track_id, label, abs_ms) and their limits (track_id, label, max_ms) add local windows of beats or bars.
     """
     r = metrics.join(limits, "track_id")
@@ -298,7 +299,7 @@ def gate_report(metrics: DataFrame, limits: DataFrame, windows: DataFrame | None
     rules += [(n, has(lim) & fails(of(m) < of(lim)) & (~target if m == "bpm" else F.lit(True))) for n, m, lim in CHECKS_BELOW]
     rules += [(n, has(lim) & (F.lit(n != "seed_count") | has(m)) & fails(of(m) != of(lim))) for n, m, lim in CHECKS_EQUAL]
     rules += [(n, has(lim) & fails(F.abs(of(m) - of(lim)) > F.coalesce(of(t), F.lit(0)))) for n, m, lim, t in CHECKS_NEAR]
-    rules += [(n, plain(lim) & (F.coalesce(of(m).cast("boolean"), F.lit(not bad)) == F.lit(bad))) for n, m, lim, bad in CHECKS_RULE]
+    rules += [(n, plain(lim) & (plain(m) == F.lit(bad))) for n, m, lim, bad in CHECKS_RULE]
     rules += [(n, has(lim) & fails(F.abs(of(m)) > of(lim)) & (~target if m == "bpm" else F.lit(True))) for n, m, lim in CHECKS_ABOVE]
     failed = F.array_compact(F.array(*[F.when(bad, F.lit(n)) for n, bad in rules]))
     out = r.select("track_id", failed.alias("_f"))
