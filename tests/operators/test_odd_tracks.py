@@ -37,3 +37,11 @@ def test_rules_of_measures_that_are_not_there(spark):
     metrics = spark.createDataFrame([(1, 120.0, None, None), (2, 120.0, True, True), (3, 120.0, False, False)], "track_id int, bpm double, bars_regular boolean, one_beat_linear boolean")
     limits = spark.createDataFrame([(t, True, True) for t in (1, 2, 3)], "track_id int, need_regular_bars boolean, reject_one_beat boolean")
     assert {r.track_id: r.failed for r in K.gate_report(metrics, limits).collect()} == {1: "bars_of_four", 2: "one_beat_drift", 3: "bars_of_four"}
+
+
+def test_constant_grids_of_tracks_without_downbeats(spark, odd):
+    """Scores by a curve of zeros are 0, not an error, and two beats two frames apart have a tempo."""
+    got = {r.track_id: r for r in registry.QUERIES["c7_refine_constant"](spark, odd).collect()}
+    assert set(got) == set(range(13)) and got[12].bpm == 1500.0
+    df = registry.QUERIES["a19_downbeat_phase_scores"](spark, odd)
+    assert sorted(tuple(r) for r in df.collect()) == rows_of_sql("a19_downbeat_phase_scores", odd, df.columns)
