@@ -72,6 +72,29 @@ def test_a_grid_off_by_half_a_step_is_moved(spark):
     assert all(min(a % 25, 25 - a % 25) <= 3 for a in at)
 
 
+def test_fine_sweep_equals_a_plain_one(spark):
+    """Tracks in parts (frames beyond 1024 and below 0, few tempi together), one frame alone, ties to the first; rows are not
+    laid out once a block of tempi."""
+    rng = np.random.default_rng(8)
+    tracks = {1: [(int(f), float(v)) for f, v in zip(rng.choice(5000, 300, False) - 900, rng.random(300), strict=True)], 2: [(700, 0.5)], 3: [(k * 20, 1.0) for k in range(200)] + [(7, 0.0)], None: [(3, 0.2), (1030, 0.4)]}
+    frames = spark.createDataFrame([(t, f, v) for t, rows in tracks.items() for f, v in rows], "track_id int, frame long, beat double")
+    out = A.fine_tempo_sweep(frames, 50.0, 70.0, 187.0, 0.5, together=50)
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.track_id: r for r in out.collect()}
+    assert set(got) == set(tracks)
+    for t, rows in tracks.items():
+        best = (-1.0, 0.0, 0.0)
+        for bpm in (70.0 + i * 0.5 for i in range(235)):
+            c = sum(v * math.cos(f * 2 * math.pi * bpm / 60 / 50.0) for f, v in rows)
+            s = sum(v * math.sin(f * 2 * math.pi * bpm / 60 / 50.0) for f, v in rows)
+            strength = round(math.hypot(c, s) / sum(v for _, v in rows), 9)
+            if strength > best[0]:
+                best = (strength, bpm, math.atan2(s, c) / (2 * math.pi) * 3000 / bpm % (3000 / bpm))
+        assert (got[t].strength, got[t].bpm) == pytest.approx(best[:2], abs=1e-9)
+        away = abs(got[t].phase - best[2])
+        assert min(away, 3000 / best[1] - away) < 1e-6
+
+
 def test_consensus_grid_has_its_downbeats(spark):
     f = spark.createDataFrame(pulse(1500, 25, 7), FRAMES)
     got = grids.consensus_grid(f, 50.0, 100.0, 140.0).orderBy("frame").collect()
