@@ -8,9 +8,10 @@ hundreds against all pairs); these stand in a BK-tree whose children are keyed b
 a search follows only edges within the radius. A shard sends the edges of a spanning forest of its links. Components
 come from alternating star steps on these edges.
 
-The pipeline's stage links texts by a Jaccard similarity of 0.8 of their shingles, some 10 of 64 bits and up to 16,
-where a search of a BK-tree visits nearly all of it. There the shards are bands of least hashes, the fingerprints
-rule out chance members, and every candidate is checked on its shingles.
+The pipeline's stage links texts by a Jaccard similarity of 0.8 of their shingles, counted exactly. Its candidates are the
+components that the same BK-trees find among the fingerprints, and, since texts at 0.8 differ by some 10 of 64 bits and
+up to 16, where a search of a BK-tree visits nearly all of it, the bands of least hashes as well; there the fingerprints
+rule out chance members.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ ROWS, BANDS = 6, 24
 SEEDS = [(np.uint64(r.getrandbits(64) | 1), np.uint64(r.getrandbits(64))) for r in [Random(5)] for _ in range(ROWS * BANDS)]
 #: Bits that fingerprints of candidates differ by at most: at J = 0.8 they differ by 9.7 with a deviation of 2.9.
 FAR = 24
+#: Bits of one link of the BK-trees' search, whose components are candidates too: up to here a fingerprint needs 16 keys.
+RADIUS = 3
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -369,12 +372,22 @@ def by_fingerprint(a: Callable[[str], Column], b: Callable[[str], Column]) -> Co
     return F.bit_count(a("fp").bitwiseXOR(b("fp"))) <= FAR
 
 
+def fingerprint_shards(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(key, node, fp) of ``nodes`` (node, fp): the key names the component of all fingerprints that BK-trees link within
+    the radius, so that one key holds every two nodes whose fingerprints differ by that many bits or fewer."""
+    counts = cut(nodes.groupBy("fp").agg(F.count("*").alias("n")))
+    edges = cut(links(counts.select("fp"), int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), radius))
+    rooted = nodes.withColumn("root", F.col("fp")) if edges.isEmpty() else spread_join(nodes, cut(components(edges)).toDF("fp", "root"), "fp", counts, "left")
+    return rooted.select(F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("key"), "node", "fp")
+
+
 def similar_roots(docs: DataFrame, prints: DataFrame, shingle: int) -> DataFrame | None:
-    """(node, root) of every shingle set with a similar one, None if there is none. Candidates share a band of least
-    hashes and differ by FAR bits of their fingerprints at most."""
+    """(node, root) of every shingle set with a similar one, None if there is none. Candidates lie in one component of the
+    fingerprints (see fingerprint_shards), or share a band of least hashes and differ by FAR bits of their fingerprints at most."""
     nodes = prints.where(F.size("_pg_keys") > 0).groupBy(F.col("_pg_node").alias("node")).agg(
         F.min(F.struct("_pg_fp", "_pg_keys")).alias("x"), F.min(F.struct(F.col("_pg_id").isNull().alias("n"), "_pg_id", "_pg_text")).alias("w"))
-    shards = nodes.select("node", F.col("x._pg_fp").alias("fp"), F.explode("x._pg_keys").alias("key"))
+    bands = nodes.select(F.explode("x._pg_keys").alias("key"), "node", F.col("x._pg_fp").alias("fp"))
+    shards = bands.union(cut(fingerprint_shards(cut(nodes.select("node", F.col("x._pg_fp").alias("fp"))))))
     return joined_roots(docs, nodes.select("node", "w._pg_id", "w._pg_text"), shards, ["fp"], by_fingerprint, shingle)
 
 

@@ -324,6 +324,25 @@ def test_near_dedup_reaches_a_similarity_of_four_fifths(spark):
         assert sum(g for g, (x, _) in zip(gone, found, strict=True) if x == goal) >= 59, goal
 
 
+def test_near_dedup_finds_candidates_by_fingerprint_alone(spark):
+    """Texts that share no band of least hashes are linked where BK-trees find their fingerprints, if they are alike."""
+    rng = random.Random(3)
+    of = lambda words: simhash.majority(np.unique(simhash.shingle_hashes(" ".join(words), 5)))
+    texts, alike = [], []
+    while len(alike) < 4:  # pairs of one changed word, 0.97 alike, whose fingerprints differ by 1 to 3 bits
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        other = [*words[:150], "changed", *words[151:]]
+        if 0 < (of(words) ^ of(other)).bit_count() <= simhash.RADIUS:
+            alike.append((len(texts), len(texts) + 1))
+            texts += [words, other]
+    texts += [[f"v{rng.randrange(5000)}" for _ in range(300)] for _ in range(20)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    prints = simhash.cut(simhash.with_sketches(docs, 5).withColumn("_pg_keys", F.array(F.xxhash64("_pg_node"))))
+    root = {r.node: r.root for r in simhash.similar_roots(docs, prints, 5).collect()}
+    node = {r._pg_id: r._pg_node for r in prints.collect()}
+    assert len(root) == 8 and all(root[node[a]] == root[node[b]] for a, b in alike) and len(set(root.values())) == 4
+
+
 def test_near_dedup_links_a_shard_beyond_its_first_member(spark):
     rng = random.Random(3)
     base = [f"w{i}" for i in range(200)]
